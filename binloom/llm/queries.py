@@ -13,8 +13,14 @@ def op2_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op7_min_max_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from binloom.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_chunk_recipes,)}
+    return {f.__name__: f for f in (op2_chunk_recipes, op7_min_max_hashing)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -23,4 +29,22 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                    doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+        "op7_min_max_hashing": """
+            WITH RECURSIVE words AS (
+                SELECT doc_id, list_transform(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), x -> x) AS w
+                FROM documents),
+            shingles AS (
+                SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                    ELSE list_transform(generate_series(1, len(w) - 4), i -> array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
+            sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+            links AS (
+                SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+                JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+                GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+            reach AS (
+                SELECT doc_id AS a, doc_id AS b FROM documents
+                UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+            SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+            FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
+            JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) m ON m.a = d.doc_id""",
     }
