@@ -28,18 +28,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def running_total(df: DataFrame, keys: list[str], segment: str, order: list[str], value: str, out: str) -> DataFrame:
-    """Exclusive running total of ``value`` along ``order`` within ``keys``, without one task per key.
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most_rows: int = 100_000) -> DataFrame:
+    """Join with a table that is usually small: it is counted, broadcast up to ``most_rows``, shuffled beyond.
 
-    ``segment`` must not decrease along ``order``.  Rows are summed inside (keys, segment); the far
-    fewer segment sums are then added up along each key.  A hot key is so spread over its segments.
+    ``small`` should have been cut, as counting it runs it.
+    """
+    return big.join(F.broadcast(small) if small.count() <= most_rows else small, on, how)
+
+
+def running_total(df: DataFrame, keys: list[str], segment: str, order: list, value: str, out: str) -> DataFrame:
+    """Adds the exclusive running total of ``value`` along ``order`` within ``keys``, without one task per key.
+
+    ``segment`` must not decrease along ``order``; neither it nor the keys may be null.  Rows are summed
+    inside (keys, segment); the far fewer segment sums are then added up along each key.  So a hot key is
+    spread over its segments.
     """
     within = Window.partitionBy(*keys, segment).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     along = Window.partitionBy(*keys).orderBy(segment).rowsBetween(Window.unboundedPreceding, -1)
-    sums = df.groupBy(*keys, segment).agg(F.sum(value).alias("_seg"))
-    base = sums.select(*keys, segment, F.coalesce(F.sum("_seg").over(along), F.lit(0)).alias("_base"))
+    sums = df.groupBy(*keys, segment).agg(F.sum(value).alias("_sum"))
+    base = sums.select(*keys, segment, F.coalesce(F.sum("_sum").over(along), F.lit(0)).alias("_base"))
     inner = df.withColumn("_in", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    renamed = base.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(segment).alias("_s"), "_base")
-    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col(segment) == F.col("_s")]
-    joined = inner.join(renamed, on, "inner")
-    return joined.withColumn(out, F.col("_base") + F.col("_in")).drop("_in", "_s", "_base", *[f"_k{i}" for i in range(len(keys))])
+    return inner.join(base, [*keys, segment]).withColumn(out, F.col("_base") + F.col("_in")).drop("_in", "_base")

@@ -19,8 +19,14 @@ def op7_min_max_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_van_der_corput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from binloom.llm.mixing import mixed_documents
+
+    return mixed_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_chunk_recipes, op7_min_max_hashing)}
+    return {f.__name__: f for f in (op2_chunk_recipes, op5_van_der_corput, op7_min_max_hashing)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -31,11 +37,11 @@ def oracle_sql() -> dict[str, str]:
             FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
         "op7_min_max_hashing": """
             WITH RECURSIVE words AS (
-                SELECT doc_id, list_transform(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), x -> x) AS w
+                SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
                 FROM documents),
             shingles AS (
                 SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-                    ELSE list_transform(generate_series(1, len(w) - 4), i -> array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
+                    ELSE list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
             sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
             links AS (
                 SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
