@@ -36,6 +36,12 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     return big.join(F.broadcast(small) if small.count() <= most_rows else small, on, how)
 
 
+def hash_segment(name: str, count: int, rows: int = 4096) -> Column:
+    """The leading bits of a hash column, so many that a segment has about ``rows`` of ``count`` rows."""
+    bits = min(20, max(0, (max(1, count) // rows).bit_length()))
+    return F.shiftrightunsigned(name, 64 - bits) if bits else F.lit(0).cast("long")
+
+
 def running_total(df: DataFrame, keys: list[str], segment: str, order: list, value: str, out: str) -> DataFrame:
     """Adds the exclusive running total of ``value`` along ``order`` within ``keys``, without one task per key.
 

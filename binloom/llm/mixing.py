@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from binloom.llm._common import WORD, cut, join_small, running_total, text_or_empty
+from binloom.llm._common import WORD, cut, hash_segment, join_small, running_total, text_or_empty
 
 WEIGHTS = (1, 2, 3)
 #: No document is taken more often, and no target is larger than so many times its source.
@@ -75,8 +75,7 @@ def schedule(plan: DataFrame, bits: int, total: int) -> DataFrame:
 
 def laid_out(documents: DataFrame, count: int) -> DataFrame:
     """Adds start, the words of the source's shuffled documents before this one."""
-    bits = min(20, max(0, (max(1, count) // SEGMENT_ROWS).bit_length()))
-    segment = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
+    segment = hash_segment("h", count)
     unsigned = F.col("h").bitwiseXOR(F.lit(-(2**63)))
     return running_total(documents.withColumn("segment", segment), ["skey"], "segment", [unsigned, "doc_id"], "size", "start")
 

@@ -25,8 +25,14 @@ def op5_van_der_corput(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from binloom.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_chunk_recipes, op5_van_der_corput, op7_min_max_hashing)}
+    return {f.__name__: f for f in (op2_chunk_recipes, op5_van_der_corput, op7_min_max_hashing, op9_linear_grouping)}
 
 
 def oracle_sql() -> dict[str, str]:
