@@ -31,8 +31,14 @@ def op9_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from binloom.llm.chat import rotate
+
+    return rotate(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_chunk_recipes, op5_van_der_corput, op7_min_max_hashing, op9_linear_grouping)}
+    return {f.__name__: f for f in (op2_chunk_recipes, op5_van_der_corput, op7_min_max_hashing, op9_linear_grouping, op10_perspective_rotation)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -59,4 +65,28 @@ def oracle_sql() -> dict[str, str]:
             SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
             FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
             JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) m ON m.a = d.doc_id""",
+        "op10_perspective_rotation": r"""
+            WITH turns AS (
+                SELECT conv_id, turn, coalesce(role, '') = 'system' AS is_system,
+                       CASE WHEN role = 'system' THEN 'system'
+                            ELSE regexp_replace(coalesce(nullif(role, ''), 'unknown'), '[^A-Za-z0-9_-]', '_', 'g') END AS speaker,
+                       regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '<| \1|>', 'g') AS text
+                FROM conversations),
+            speakers AS (SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE NOT is_system),
+            views AS (
+                SELECT * FROM speakers
+                UNION ALL SELECT DISTINCT conv_id, NULL FROM turns t
+                WHERE NOT EXISTS (SELECT 1 FROM speakers s WHERE s.conv_id IS NOT DISTINCT FROM t.conv_id)),
+            seen AS (
+                SELECT t.*, v.perspective, coalesce(NOT is_system AND speaker = v.perspective, false) AS mask
+                FROM turns t JOIN views v ON v.conv_id IS NOT DISTINCT FROM t.conv_id),
+            shown AS (
+                SELECT *, CASE WHEN is_system THEN 'system' WHEN mask THEN 'assistant' ELSE 'user' END AS role,
+                       CASE WHEN NOT is_system AND NOT mask THEN speaker END AS name FROM seen),
+            full_turns AS (
+                SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) || text || '<|im_end|>' || chr(10) AS rendered FROM shown)
+            SELECT conv_id, perspective, turn, row_number() OVER place - 1 AS seq, role, name, rendered, mask,
+                   (sum(length(rendered)) OVER place - length(rendered))::BIGINT AS start, (sum(length(rendered)) OVER place)::BIGINT AS stop
+            FROM full_turns
+            WINDOW place AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker, is_system, text ROWS UNBOUNDED PRECEDING)""",
     }
