@@ -37,8 +37,14 @@ def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate(table(spark, sf_dir, "conversations"))
 
 
+def op8_composite_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from binloom.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_chunk_recipes, op5_van_der_corput, op7_min_max_hashing, op9_linear_grouping, op10_perspective_rotation)}
+    return {f.__name__: f for f in (op2_chunk_recipes, op5_van_der_corput, op7_min_max_hashing, op8_composite_density, op9_linear_grouping, op10_perspective_rotation)}
 
 
 def oracle_sql() -> dict[str, str]:
