@@ -7,6 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from binloom.llm._common import table
 
 
+def op1_cumulative_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from binloom.llm import quality
+
+    docs, top = table(spark, sf_dir, "documents"), 2
+    model = quality.fit(docs, quality.document_grades(table(spark, sf_dir, "labels")), top)
+    return quality.selected(quality.score(docs, model, top))
+
+
 def op2_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from binloom.llm.exact_dedup import exact_dedup
 
@@ -44,7 +52,7 @@ def op8_composite_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_chunk_recipes, op5_van_der_corput, op7_min_max_hashing, op8_composite_density, op9_linear_grouping, op10_perspective_rotation)}
+    return {f.__name__: f for f in (op1_cumulative_link, op2_chunk_recipes, op5_van_der_corput, op7_min_max_hashing, op8_composite_density, op9_linear_grouping, op10_perspective_rotation)}
 
 
 def oracle_sql() -> dict[str, str]:
