@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from binloom.llm._common import table
 
@@ -21,6 +22,14 @@ def op2_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op6_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from binloom.llm.revisit import page_captures, resolve
+
+    found = resolve(page_captures(table(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return found.withColumn("headers", F.array_join(lines, "\n"))
+
+
 def op7_min_max_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from binloom.llm.near_dup import near_duplicates
 
@@ -52,7 +61,7 @@ def op8_composite_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_cumulative_link, op2_chunk_recipes, op5_van_der_corput, op7_min_max_hashing, op8_composite_density, op9_linear_grouping, op10_perspective_rotation)}
+    return {f.__name__: f for f in (op1_cumulative_link, op2_chunk_recipes, op5_van_der_corput, op6_revisit_resolution, op7_min_max_hashing, op8_composite_density, op9_linear_grouping, op10_perspective_rotation)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -61,6 +70,27 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                    doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+        "op6_revisit_resolution": r"""
+            WITH named AS (
+                SELECT page_id AS p, md5(coalesce(html, '')) AS digest, coalesce(html, '') AS body,
+                       regexp_replace(regexp_replace(trim(coalesce(url, '')), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?', '') AS bare
+                FROM pages),
+            keyed AS (
+                SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^www\.', ''), ':(?:80|443)?$', '')
+                          || regexp_replace(regexp_replace(bare, '^[^/?]*', ''), '/$', '') AS url_key FROM named),
+            full_ AS (SELECT url_key, 2 * p AS ts, p AS source, digest AS was, p % 28 AS was_day, strlen(body) AS size FROM keyed),
+            later AS (SELECT url_key, 2 * p + 1 + 2 * ((p * 7919) % 5000) AS ts, p, digest, p % 28 AS day FROM keyed),
+            met AS (SELECT later.*, source, was, was_day, size FROM later ASOF LEFT JOIN full_ ON later.url_key = full_.url_key AND later.ts > full_.ts),
+            judged AS (
+                SELECT *, CASE WHEN source IS NULL THEN 'missing' WHEN p % 11 = 0 THEN 'unverified'
+                               WHEN CASE WHEN p % 7 = 0 THEN day = was_day ELSE digest = was END THEN 'resolved' ELSE 'mismatch' END AS status FROM met)
+            SELECT 2 * p + 1 AS record_id, url_key, ts, 2 * source AS source_id, status, CASE WHEN status = 'resolved' THEN was END AS payload_digest,
+                   CASE WHEN status = 'resolved' THEN 'content-length: ' || size || chr(10) || 'content-type: text/html'
+                        ELSE 'connection: close' || chr(10) || 'content-length: 0' END
+                   || CASE WHEN p % 7 <> 0 AND p % 11 <> 0 THEN chr(10) || 'etag: ' || CASE WHEN p % 5 = 0 THEN 'W/' ELSE '' END || '"' || digest || '"'
+                           WHEN status = 'resolved' THEN chr(10) || 'etag: "' || was || '"' ELSE '' END
+                   || CASE WHEN p % 11 <> 0 THEN chr(10) || 'last-modified: day ' || day ELSE '' END || chr(10) || 'x-cache: hit' AS headers
+            FROM judged""",
         "op7_min_max_hashing": """
             WITH RECURSIVE words AS (
                 SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
