@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 
 #: Chunks that a Python worker remembers at most, some 200 bytes each.
-REMEMBERED_CHUNKS = 1_000_000
+REMEMBERED_CHUNKS = 800_000
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 ID_BYTES = 4
 
@@ -19,12 +20,19 @@ def default_path() -> str:
     return public_tokenizers.path(DEFAULT_VOCABULARY)
 
 
+#: A comma or full stop between a letter of Latin text and a blank: always a token of its own.
+_STOP = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])([,.])(?=[ \n]|\Z)")
+#: Where letters may be joined with marks, or special tokens may stand, case is left to the tokenizer.
+_DELICATE = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]|<\\|")
+
+
 class ChunkEncoder:
-    """Ids of whole texts for a tokenizer that drops white space (as the word-level BPE file does).
+    """Ids of whole texts for a tokenizer that lowers case and drops white space (the word-level BPE file).
 
     Such a tokenizer never joins across a space or a line feed, and its normaliser looks at no character
     beyond one, so the ids of a text are those of its space-separated chunks in order.  Chunks met before
-    are looked up; the memory is emptied when it is full.
+    are looked up; capitals of ASCII and stops after words are evened out first, so that fewer differ.
+    The memory is emptied when it is full.
     """
 
     def __init__(self, path: str):
@@ -36,7 +44,9 @@ class ChunkEncoder:
 
     def ids(self, text: str) -> bytes:
         """The ids, each as four little-endian bytes."""
-        known, chunks = self.known, text.replace("\n", " ").split(" ")
+        if not _DELICATE.search(text):
+            text = text.encode().lower().decode()
+        known, chunks = self.known, _STOP.sub(r" \1", text).replace("\n", " ").split(" ")
         fresh = [c for c in dict.fromkeys(chunks) if c not in known]
         if len(known) + len(fresh) > REMEMBERED_CHUNKS:
             known.clear()
@@ -48,5 +58,16 @@ class ChunkEncoder:
         return b"".join(map(known.__getitem__, chunks))
 
 
+def encoder(path: str) -> ChunkEncoder:
+    """One encoder for each file and Python worker, so that later tasks find the words of earlier ones."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = ChunkEncoder(path)
+    return _ENCODERS[path]
+
+
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
 def crc32(ids: bytes) -> int:
     return zlib.crc32(ids)

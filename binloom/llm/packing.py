@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from binloom.llm._common import cut, hash_segment, running_total, text_or_empty
-from binloom.llm._tokens import ID_BYTES, ChunkEncoder, crc32, default_path
+from binloom.llm._tokens import ID_BYTES, crc32, default_path, encoder
 
 LIMIT = 2048
 #: Lengths above this share of the limit are large.
@@ -30,11 +30,11 @@ END_ID = 0
 
 def _encoded(path: str, limit: int):
     def run(batches):
-        encoder, end = ChunkEncoder(path), END_ID.to_bytes(ID_BYTES, "little")
+        coder, end = encoder(path), END_ID.to_bytes(ID_BYTES, "little")
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("_text"), strict=True):
-                ids = encoder.ids(text.as_py()) + end
+                ids = coder.ids(text.as_py()) + end
                 for piece, at in enumerate(range(0, len(ids), limit * ID_BYTES)):
                     part = ids[at : at + limit * ID_BYTES]
                     rows.append((doc_id, piece, at // ID_BYTES, len(part) // ID_BYTES, crc32(part)))
