@@ -36,6 +36,18 @@ def op7_min_max_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_randomised_lexicons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from binloom.llm.fingerprints import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op4_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from binloom.llm.token_counts import length_histogram, limit_curve
+
+    return limit_curve(length_histogram(table(spark, sf_dir, "documents")))
+
+
 def op5_van_der_corput(spark: SparkSession, sf_dir: str) -> DataFrame:
     from binloom.llm.mixing import mixed_documents
 
@@ -61,7 +73,7 @@ def op8_composite_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_cumulative_link, op2_chunk_recipes, op5_van_der_corput, op6_revisit_resolution, op7_min_max_hashing, op8_composite_density, op9_linear_grouping, op10_perspective_rotation)}
+    return {f.__name__: f for f in (op1_cumulative_link, op2_chunk_recipes, op3_randomised_lexicons, op4_length_histogram, op5_van_der_corput, op6_revisit_resolution, op7_min_max_hashing, op8_composite_density, op9_linear_grouping, op10_perspective_rotation)}
 
 
 def oracle_sql() -> dict[str, str]:
