@@ -123,3 +123,26 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     # documents without words share a start, so they are told apart by nothing and counted
     whole = pieces.groupBy(*own).agg(F.sum("taken").alias("taken"), F.count_if(F.col("pass").isNull()).alias("rows"))
     return whole.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def first_words(text: Column, count: Column) -> Column:
+    """The text up to the end of its ``count``-th word, as it is written."""
+    words = F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    return F.array_join(F.slice(words, F.lit(1), count.cast("int")), "")
+
+
+def mixture(docs: DataFrame, **options) -> DataFrame:
+    """The documents of the mix, with the columns of ``docs``: a row for each pass over a document.
+
+    A document that the last slot of its source takes in part is cut after its last word that is taken.
+    n_chars, where there is such a column, counts the text as it is then.  Rows that share a doc_id share
+    what the mix takes of it.
+    """
+    taken = mix(docs, **options).filter("taken > 0").groupBy("doc_id", "pass").agg(F.sum("taken").cast("long").alias("_taken"), F.max("size").alias("_size"))
+    taken = taken.select(F.col("doc_id").alias("_id"), "_taken", "_size")
+    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
+    text = F.when(F.col("_taken") < F.col("_size"), first_words(F.col("text"), F.col("_taken"))).otherwise(F.col("text"))
+    joined = joined.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return joined.select(*docs.columns)

@@ -136,29 +136,43 @@ def fit(docs: DataFrame, ratings: DataFrame, top: int, sample: int = SAMPLE_RATI
     return fit_rows([rows[i] for i in order], np.clip([table.column("grade")[i].as_py() for i in order], 0, top), top)
 
 
+class _Scorer:
+    """Scores of texts, with the weights of words met before at hand."""
+
+    def __init__(self, model: Model | None, top: int):
+        self.model, self.top = model, top
+        self.weights = model.weights.astype(np.float64).tolist() if model else []
+        self.known: dict[str, float] = {}
+
+    def __call__(self, texts: list[str]) -> tuple[list[float], np.ndarray]:
+        """The score of each text, and its tail probabilities."""
+        scores, blank = [], []
+        for text in texts:
+            words = text.split()
+            blank.append(not words)
+            if not words or self.model is None:
+                scores.append(0.0)
+                continue
+            known, weights = self.known, self.weights
+            fresh = {w for w in words if w not in known}
+            if len(known) + len(fresh) > REMEMBERED_WORDS:
+                known.clear()
+                fresh = set(words)
+            for w in fresh:
+                a, b = word_features(w)
+                known[w] = weights[a] + weights[b]
+            repeats = sum(map(str.__eq__, words, words[1:]))
+            scores.append((sum(map(known.__getitem__, words)) + repeats * weights[_REPEATED]) / len(words))
+        tails = self.model.tails(np.array(scores)) if self.model else np.ones((len(scores), self.top))
+        tails[np.array(blank, dtype=bool)] = 0.0
+        return scores, tails
+
+
 def _scored(model: Model | None, top: int):
     def run(batches):
-        weights = model.weights.astype(np.float64).tolist() if model else None
-        score_of: dict[str, float] = {}
+        scorer = _Scorer(model, top)
         for batch in batches:
-            scores, blank = [], []
-            for value in batch.column("_text"):
-                words = value.as_py().split()
-                blank.append(not words)
-                if not words or model is None:
-                    scores.append(0.0)
-                    continue
-                fresh = {w for w in words if w not in score_of}
-                if len(score_of) + len(fresh) > REMEMBERED_WORDS:
-                    score_of.clear()
-                    fresh = set(words)
-                for w in fresh:
-                    a, b = word_features(w)
-                    score_of[w] = weights[a] + weights[b]
-                repeats = sum(map(str.__eq__, words, words[1:]))
-                scores.append((sum(map(score_of.__getitem__, words)) + repeats * weights[_REPEATED]) / len(words))
-            tails = model.tails(np.array(scores)) if model else np.ones((len(scores), top))
-            tails[np.array(blank, dtype=bool)] = 0.0
+            scores, tails = scorer(batch.column("_text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(tails.sum(axis=1), pa.float64()), pa.array(list(tails), pa.list_(pa.float64()))],
                 ["doc_id", "score", "expected_grade", "tails"],
@@ -167,6 +181,16 @@ def _scored(model: Model | None, top: int):
     return run
 
 
+def _accepted(model: Model | None, top: int, grade: int, tail: float):
+    def run(batches):
+        scorer = _Scorer(model, top)
+        for batch in batches:
+            _, tails = scorer([x or "" for x in batch.column("text").to_pylist()])
+            yield batch.filter(pa.array(tails[:, grade - 1] >= tail, pa.bool_()))
+
+    return run
+
+
 def score(docs: DataFrame, model: Model | None, top: int) -> DataFrame:
     """Rows doc_id, score, expected_grade, tails (P(grade >= 1), ...), one for each row of ``docs``.
 
@@ -182,6 +206,11 @@ def selected(scores: DataFrame, grade: int = LEAST_GRADE, tail: float = LEAST_TA
     return scores.withColumn("accepted", F.element_at("tails", grade) >= tail)
 
 
+def accepted(docs: DataFrame, model: Model | None, top: int, grade: int = LEAST_GRADE, tail: float = LEAST_TAIL) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``selected`` would accept; one pass, nothing is joined."""
+    return docs.mapInArrow(_accepted(model, top, grade, tail), docs.schema)
+
+
 def document_grades(labels: DataFrame) -> DataFrame:
     """Grades of documents from their two labels: 0 poor, 1 fair text but toxic, 2 good; a null toxic is 0."""
     grade = F.when(F.col("quality") == 0, 0).when(F.coalesce("toxic", F.lit(0)) == 1, 1).when(F.col("quality") == 1, 2)
