@@ -1,11 +1,908 @@
-"""Queries over the driver tables and the SQL that says the same."""
+"""Queries over the driver tables and the SQL that says the same.
+
+The tables hold no sequencing data, so each operator runs on columns of the same shape: order lines stand
+for alignments, documents for sequences and profiles, embeddings for latent contigs.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from binloom.functions import alignment as al
+from binloom.functions import numeric as nm
+from binloom.functions import sequence as sq
+from binloom.operators import binquality, clustering, composition, counts, distance, embedding, graph, hits, latent, nmf, normalise, priors, relational
+from binloom.storage import cut
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Prior of a letter, for all letters alike.
+LETTER_ALPHA = 42.52
+KMER_ALPHA = 0.5
+NEIGHBOURS = 12
+
+_queries: dict = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query, with the SQL that gives the same rows."""
+
+    def add(f):
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r4(column) -> Column:
+    return F.round(column, 4)
+
+
+# ---------------------------------------------------------------- alignments
+
+ORDER = "l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_linestatus, l_shipdate"
+
+
+def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates from order lines: sample, read_id, contig, ord, dir, proper, identity."""
+    w = Window.partitionBy("l_returnflag", "l_orderkey").orderBy(*[c.strip() for c in ORDER.split(",")])
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("sample"), F.col("l_orderkey").alias("read_id"), F.col("l_suppkey").cast("string").alias("contig"), F.row_number().over(w).alias("ord"),
+        (F.col("l_linenumber") % 2 + 1).cast("int").alias("dir"), (F.col("l_linestatus") == "F").alias("proper"), (100 * (1 - F.col("l_discount"))).alias("identity"),
+    )
+
+
+READS_SQL = f"""
+    SELECT l_returnflag AS sample, l_orderkey AS read_id, l_suppkey::VARCHAR AS contig,
+           row_number() OVER (PARTITION BY l_returnflag, l_orderkey ORDER BY {ORDER}) AS ord,
+           l_linenumber % 2 + 1 AS dir, l_linestatus = 'F' AS proper, 100 * (1 - l_discount) AS identity
+    FROM lineitem"""
+FOLD_SQL = f"""
+    SELECT sample, read_id, contig, e.dir AS dir, e.paired AS paired, e.identity AS identity FROM (
+        SELECT sample, read_id, contig, list_reduce(
+            list({{'dir': dir, 'paired': proper, 'identity': identity, 'averaged': false}} ORDER BY ord),
+            lambda a, x: {{'dir': a.dir, 'paired': a.paired OR x.dir <> a.dir,
+                'identity': CASE WHEN x.dir <> a.dir THEN CASE WHEN NOT a.averaged OR (a.identity + x.identity) / 2 > a.identity
+                                 THEN (a.identity + x.identity) / 2 ELSE a.identity END
+                            ELSE greatest(a.identity, x.identity) END,
+                'averaged': a.averaged OR x.dir <> a.dir}}) AS e
+        FROM ({READS_SQL}) GROUP BY sample, read_id, contig)"""
+WEIGHTS_SQL = f"""
+    WITH best AS (SELECT *, max(identity) OVER (PARTITION BY sample, read_id) AS top FROM ({FOLD_SQL})),
+    kept AS (SELECT *, count(*) OVER r AS n, sum(paired::INT) OVER r AS p FROM best WHERE top >= 97 AND identity = top
+             WINDOW r AS (PARTITION BY sample, read_id))
+    SELECT sample, read_id, contig, dir, paired, n,
+           CASE WHEN paired THEN 1.0::DOUBLE / n + 1.0::DOUBLE / n / 2 * (n - p) / p WHEN p > 0 THEN 1.0::DOUBLE / n / 2 ELSE 1.0::DOUBLE / n END AS weight
+    FROM kept"""
+ORDERED_SQL = f"""
+    WITH reads AS (
+        SELECT sample, read_id, list_reduce(
+            list([{{'contig': contig, 'dir': dir, 'paired': proper, 'identity': identity}}] ORDER BY ord),
+            lambda a, x: CASE
+                WHEN list_contains(list_transform(a, lambda e: e.contig), x[1].contig)
+                THEN list_transform(a, lambda e: CASE WHEN e.contig <> x[1].contig THEN e ELSE
+                    {{'contig': e.contig, 'dir': e.dir, 'paired': e.paired OR e.dir <> x[1].dir,
+                      'identity': CASE WHEN e.dir <> x[1].dir THEN (e.identity + x[1].identity) / 2 ELSE greatest(e.identity, x[1].identity) END}} END)
+                WHEN x[1].paired OR a[-1].identity <= x[1].identity THEN list_concat(a, x) ELSE a END) AS es
+        FROM ({READS_SQL}) GROUP BY sample, read_id)
+    SELECT sample, read_id, e.contig AS contig, e.dir AS dir, e.paired AS paired, round(e.identity, 4) AS identity
+    FROM (SELECT sample, read_id, unnest(es) AS e FROM reads)"""
+
+
+@query(f"SELECT sample, read_id, contig, dir, paired, round(identity, 4) AS identity FROM ({FOLD_SQL})")
+def fold_by_contig(spark, sf_dir):
+    return counts.fold_contigs(alignments(spark, sf_dir)).withColumn("identity", r4("identity"))
+
+
+@query(ORDERED_SQL)
+def fold_in_order(spark, sf_dir):
+    return counts.fold_ordered(alignments(spark, sf_dir)).withColumn("identity", r4("identity"))
+
+
+def _weights(spark, sf_dir) -> DataFrame:
+    return counts.read_weights(counts.fold_contigs(alignments(spark, sf_dir)))
+
+
+@query(f"SELECT sample, read_id, contig, dir, paired, n, round(weight, 4) AS weight FROM ({WEIGHTS_SQL})")
+def read_audit(spark, sf_dir):
+    return _weights(spark, sf_dir).withColumn("weight", r4("weight"))
+
+
+@query(f"SELECT sample, contig, round(sum(weight), 4) AS count FROM ({WEIGHTS_SQL}) GROUP BY sample, contig")
+def fractional_counts(spark, sf_dir):
+    return counts.contig_counts(_weights(spark, sf_dir)).withColumn("count", r4("count"))
+
+
+@query(f"""
+    SELECT s.sample, c.s_suppkey::VARCHAR AS contig, coalesce(round(w.count, 4), 0) AS count
+    FROM supplier c CROSS JOIN (SELECT DISTINCT l_returnflag AS sample FROM lineitem) s
+    LEFT JOIN (SELECT sample, contig, sum(weight) AS count FROM ({WEIGHTS_SQL}) GROUP BY sample, contig) w
+    ON w.contig = c.s_suppkey::VARCHAR AND w.sample = s.sample""")
+def counts_with_zero_rows(spark, sf_dir):
+    contigs = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("name"))
+    samples = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("sample")).distinct()
+    return counts.with_zero_rows(counts.contig_counts(_weights(spark, sf_dir)), contigs, samples).withColumn("count", r4("count"))
+
+
+LINKS_SQL = f"""
+    WITH w AS ({WEIGHTS_SQL})
+    SELECT a.contig AS src, b.contig AS dst, sum(1.0::DOUBLE / a.n) AS weight
+    FROM w a JOIN w b ON a.sample = b.sample AND a.read_id = b.read_id AND a.contig < b.contig GROUP BY a.contig, b.contig"""
+
+
+@query(f"""
+    WITH links AS ({LINKS_SQL}), totals AS (SELECT contig, sum(weight) AS count FROM ({WEIGHTS_SQL}) GROUP BY contig)
+    SELECT src, dst, round(weight, 4) AS weight, round(least(weight, a.count, b.count) / least(a.count, b.count), 4) AS normalised
+    FROM links JOIN totals a ON a.contig = src JOIN totals b ON b.contig = dst""")
+def contig_links(spark, sf_dir):
+    weights = cut(_weights(spark, sf_dir))
+    totals = weights.groupBy("contig").agg(F.sum("weight").alias("count"))
+    return counts.normalised_links(counts.contig_links(weights), totals).select("src", "dst", r4("weight").alias("weight"), r4("normalised").alias("normalised"))
+
+
+@query("""
+    SELECT l_orderkey AS read_id, l_linenumber AS line, last_value(CASE WHEN l_quantity >= 25 THEN l_quantity::INT::VARCHAR END IGNORE NULLS)
+        OVER (PARTITION BY l_returnflag, l_orderkey ORDER BY """ + ORDER + """ ROWS UNBOUNDED PRECEDING) AS qual FROM lineitem""")
+def carried_quality(spark, sf_dir):
+    w = Window.partitionBy("sample", "read_id").orderBy(*[c.strip() for c in ORDER.split(",")])
+    lines = table(spark, sf_dir, "lineitem").withColumns({"sample": F.col("l_returnflag"), "read_id": F.col("l_orderkey")}).withColumn("ord", F.row_number().over(w))
+    shown = F.when(F.col("l_quantity") >= 25, F.col("l_quantity").cast("int").cast("string")).otherwise("*")
+    return counts.carried_quality(lines.withColumn("qual", shown)).select("read_id", F.col("l_linenumber").alias("line"), "qual")
+
+
+MADE_SQL = """
+    SELECT p_partkey, p_size AS n, CASE p_partkey % 4 WHEN 0 THEN p_size || 'M' WHEN 1 THEN '3S' || p_size || 'M' WHEN 2 THEN p_size || 'M4S' ELSE '2S' || p_size || 'M1I' END AS cigar,
+           CASE p_partkey % 4 WHEN 0 THEN p_size ELSE p_size + CASE p_partkey % 4 WHEN 1 THEN 3 WHEN 2 THEN 4 ELSE 3 END END AS length,
+           (p_size // 2) || 'A' || greatest(p_size - p_size // 2 - 1, 0) AS md, p_partkey % 256 AS flag FROM part"""
+
+
+@query(f"""
+    WITH made AS ({MADE_SQL}),
+    parsed AS (
+        SELECT *, coalesce(nullif(regexp_extract(cigar, '^(\\d+)S', 1), '')::INT, 0) AS s,
+               length - coalesce(nullif(regexp_extract(cigar, '\\D(\\d+)S$', 1), '')::INT, 0) AS e FROM made)
+    SELECT p_partkey, cigar, len(regexp_extract_all(cigar, '\\d+[A-Z]')) BETWEEN 1 AND 2 AS simple, NOT regexp_matches(cigar, '[IDNP*]') AS gapless,
+           CASE WHEN flag & 64 <> 0 THEN 1 WHEN flag & 128 <> 0 THEN 2 ELSE 0 END AS dir, flag & 2 <> 0 AS proper, s AS "start", e AS "end",
+           round(100.0::DOUBLE * (e - s) / length, 4) AS coverage,
+           round(100.0::DOUBLE * (len(list_filter(range(s, e), lambda p: p % 5 <> 0)) - CASE WHEN (n // 2 + s) % 5 <> 0 AND n // 2 + s < e THEN 1 ELSE 0 END)
+                 / nullif(len(list_filter(range(s, e), lambda p: p % 5 <> 0)), 0), 4) AS identity
+    FROM parsed""")
+def alignment_fields(spark, sf_dir):
+    p, n = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    cigar = F.when(p == 0, F.concat(n, F.lit("M"))).when(p == 1, F.concat(F.lit("3S"), n, F.lit("M"))).when(p == 2, F.concat(n, F.lit("M4S"))).otherwise(F.concat(F.lit("2S"), n, F.lit("M1I")))
+    length = F.when(p == 0, F.col("p_size")).otherwise(F.col("p_size") + F.when(p == 2, 4).otherwise(3))
+    half = F.floor(F.col("p_size") / 2)
+    made = table(spark, sf_dir, "part").select("p_partkey", cigar.alias("cigar"), length.cast("int").alias("length"), F.concat(half.cast("string"), F.lit("A"), F.greatest(F.col("p_size") - half - 1, F.lit(0)).cast("string")).alias("md"), (F.col("p_partkey") % 256).alias("flag"))
+    quality = F.array_join(F.transform(F.sequence(F.lit(0), F.col("length") - 1), lambda i: F.when(i % 5 == 0, "#").otherwise("I")), "")
+    made = made.withColumn("qual", quality).withColumn("start", al.clipped_start(F.col("cigar"))).withColumn("end", al.clipped_end(F.col("cigar"), F.col("length")))
+    return made.select(
+        "p_partkey", "cigar", al.simple_shape(F.col("cigar")).alias("simple"), al.without_gaps(F.col("cigar")).alias("gapless"), al.pair_direction(F.col("flag")).alias("dir"),
+        al.has_flag(F.col("flag"), al.PROPER).alias("proper"), "start", "end", r4(al.coverage(F.col("start"), F.col("end"), F.col("length"))).alias("coverage"),
+        r4(al.identity(F.col("md"), F.col("qual"), F.col("start"), F.col("end"))).alias("identity"),
+    )
+
+
+# ---------------------------------------------------------------- count tables
+
+
+def event_counts(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("contig"), F.col("event_type").alias("sample")).agg(F.count(F.lit(1)).alias("count"))
+
+
+EVENTS_SQL = "SELECT user_id AS contig, event_type AS sample, count(*) AS count FROM events GROUP BY user_id, event_type"
+
+
+@query(f"SELECT contig, sample, sum(count)::BIGINT AS total FROM ({EVENTS_SQL}) GROUP BY GROUPING SETS ((contig), (sample))")
+def count_totals(spark, sf_dir):
+    return counts.totals(event_counts(spark, sf_dir))
+
+
+def _typed(name: str) -> str:
+    return f"round(avg(value) FILTER (event_type = '{name}'), 4) AS \"{name}\""
+
+
+@query(f"SELECT user_id AS contig, {_typed('click')}, {_typed('purchase')}, {_typed('view')} FROM events GROUP BY user_id")
+def count_matrix(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("contig"), F.col("event_type").alias("sample"), F.col("value").alias("count"))
+    wide = counts.wide(rows, ["click", "purchase", "view"])
+    return wide.select("contig", *[r4(c).alias(c) for c in ("click", "purchase", "view")])
+
+
+@query(f"""
+    WITH c AS ({EVENTS_SQL}), grid AS (SELECT contig, sample FROM (SELECT DISTINCT contig FROM c) CROSS JOIN (SELECT DISTINCT sample FROM c))
+    SELECT contig, sum(coalesce(count, 0))::DOUBLE AS total, array_to_string(list(coalesce(count, 0)::BIGINT ORDER BY sample), ' ') AS profile
+    FROM grid LEFT JOIN c USING (contig, sample) GROUP BY contig""")
+def count_profiles(spark, sf_dir):
+    made = counts.profiles(event_counts(spark, sf_dir))
+    return made.select("contig", "total", F.array_join(F.transform("profile", lambda x: x.cast("long").cast("string")), " ").alias("profile"))
+
+
+@query("SELECT event_id, round(value / avg(value) OVER (PARTITION BY user_id), 4) AS value FROM events")
+def over_row_mean(spark, sf_dir):
+    return normalise.over_mean(table(spark, sf_dir, "events"), "user_id", "value").select("event_id", r4("value").alias("value"))
+
+
+@query("SELECT event_id, round((value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0), 4) AS value FROM events WINDOW w AS (PARTITION BY event_type)")
+def column_z_scores(spark, sf_dir):
+    return normalise.z_scores(table(spark, sf_dir, "events"), "event_type", "value").select("event_id", r4("value").alias("value"))
+
+
+@query("SELECT event_type, row_number() OVER (ORDER BY min(event_id), event_type) - 1 AS code FROM events GROUP BY event_type")
+def dense_labels(spark, sf_dir):
+    return normalise.dense_labels(table(spark, sf_dir, "events"), "event_type", "event_id").withColumn("code", F.col("code").cast("long"))
+
+
+@query(f"SELECT sample, contig, count FROM ({EVENTS_SQL}) WHERE sample IN (SELECT sample FROM ({EVENTS_SQL}) GROUP BY sample HAVING sum(count) > 0)")
+def without_empty_samples(spark, sf_dir):
+    return counts.without_empty_samples(counts.require_counts(event_counts(spark, sf_dir))).select("sample", "contig", "count")
+
+
+# ---------------------------------------------------------------- sequences
+
+
+def sequences(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), F.translate(F.coalesce("text", F.lit("")), "atgc", "ATGC").alias("seq"))
+
+
+SEQ_SQL = "SELECT doc_id AS name, translate(coalesce(text, ''), 'atgc', 'ATGC') AS seq FROM documents"
+WORDS_SQL = f"""
+    WITH s AS ({SEQ_SQL}),
+    coded AS (SELECT name, translate(regexp_replace(seq, '[^ATGC]', 'A', 'gs'), 'ATGC', '0123') AS f,
+                     translate(regexp_replace(seq, '[^ATGC]', 'T', 'gs'), 'ATGC', '1032') AS r, length(seq) AS n FROM s),
+    places AS (SELECT name, f, r, unnest(range(1, n - 2)) AS i FROM coded),
+    words AS (
+        SELECT name, ascii(f[i]) * 64 + ascii(f[i + 1]) * 16 + ascii(f[i + 2]) * 4 + ascii(f[i + 3]) - 48 * 85 AS kmer FROM places
+        UNION ALL SELECT name, ascii(r[i + 3]) * 64 + ascii(r[i + 2]) * 16 + ascii(r[i + 1]) * 4 + ascii(r[i]) - 48 * 85 FROM places)
+    SELECT name, kmer::INT AS kmer, count(*) AS n FROM words GROUP BY name, kmer"""
+
+
+@query(WORDS_SQL)
+def tetramer_counts(spark, sf_dir):
+    return composition.long_form(composition.tetramers(sequences(spark, sf_dir))).filter("n > 0")
+
+
+@query(WORDS_SQL)
+def tetramer_counts_native(spark, sf_dir):
+    return composition.tetramers_long(sequences(spark, sf_dir))
+
+
+GC_SQL = f"SELECT name, length(seq) AS length, length(regexp_replace(seq, '[^GC]', '', 'gs')) / nullif(length(seq), 0)::DOUBLE AS gc FROM ({SEQ_SQL})"
+
+
+@query(f"SELECT name, length, round(gc, 4) AS gc FROM ({GC_SQL})")
+def gc_fraction(spark, sf_dir):
+    return composition.gc(sequences(spark, sf_dir)).select("name", F.col("length").cast("long").alias("length"), r4("gc").alias("gc"))
+
+
+def _masked(spark, sf_dir) -> DataFrame:
+    seq = sequences(spark, sf_dir)
+    return composition.without_repeats(composition.halved(composition.long_form(composition.tetramers(seq)).filter("n > 0")), composition.gc(seq))
+
+
+MASKED_SQL = f"""
+    WITH c AS (SELECT name, kmer, n / 2 AS n FROM ({WORDS_SQL})), g AS ({GC_SQL}),
+    e AS (SELECT name, kmer, n, (length - 3) * pow(gc, bit_count(kmer & 170)) * pow(1 - gc, 4 - bit_count(kmer & 170)) / 16 AS expected FROM c JOIN g USING (name)),
+    f AS (SELECT *, max(CASE WHEN expected > 0 AND n / expected > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY name, kmer // 4) AS repeated FROM e)
+    SELECT name, kmer, CASE WHEN repeated = 1 THEN 0 ELSE n END::DOUBLE AS n FROM f"""
+
+
+@query(MASKED_SQL)
+def masked_tetramers(spark, sf_dir):
+    return _masked(spark, sf_dir)
+
+
+@query(f"SELECT name, (kmer // 4)::INT AS trimer, sum(n) AS total FROM ({MASKED_SQL}) GROUP BY ALL")
+def trimer_totals(spark, sf_dir):
+    return composition.trimer_totals(_masked(spark, sf_dir))
+
+
+@query(f"SELECT kmer, sum(n) AS total FROM ({MASKED_SQL}) GROUP BY kmer")
+def tetramer_totals(spark, sf_dir):
+    return composition.tetramer_totals(_masked(spark, sf_dir))
+
+
+CODON_SQL = f"SELECT name, seq[i:i + 2] AS c, i FROM (SELECT name, seq, unnest(range(1, length(seq) - 4, 3)) AS i FROM ({SEQ_SQL}))"
+NUMBER_SQL = "(strpos('ATGC', c[1]) - 1) * 16 + (strpos('ATGC', c[2]) - 1) * 4 + strpos('ATGC', c[3]) - 1"
+
+
+@query(f"SELECT name, ({NUMBER_SQL})::INT AS codon, count(*) AS n FROM ({CODON_SQL}) WHERE regexp_full_match(c, '[ATGC]{{3}}') GROUP BY ALL")
+def codon_counts(spark, sf_dir):
+    return composition.codons(sequences(spark, sf_dir))
+
+
+@query(f"""
+    SELECT s.name, coalesce(bool_or(translate(regexp_replace(c, '[^ATGC]', 'A', 'gs'), 'ATGC', '0123') IN ('100', '102')), false) AS inner_stop
+    FROM ({SEQ_SQL}) s LEFT JOIN ({CODON_SQL}) k ON k.name = s.name GROUP BY s.name""")
+def inner_stops(spark, sf_dir):
+    return composition.inner_stops(sequences(spark, sf_dir))
+
+
+@query("""
+    SELECT i::INT AS word, (xor(i & 3, 1) * 64 + xor(i >> 2 & 3, 1) * 16 + xor(i >> 4 & 3, 1) * 4 + xor(i >> 6 & 3, 1))::INT AS complement, bit_count(i & 170)::INT AS gc
+    FROM range(256) t(i)""")
+def word_complements(spark, sf_dir):
+    w = F.col("id").cast("int")
+    return spark.range(256).select(w.alias("word"), sq.reverse_complement_number(w).cast("int").alias("complement"), sq.gc_of_word(w).cast("int").alias("gc"))
+
+
+@query()
+def random_fragments(spark, sf_dir):
+    return composition.fragments(sequences(spark, sf_dir), 200)
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE n_chars >= 2000")
+def long_contigs(spark, sf_dir):
+    return counts.keep_long(table(spark, sf_dir, "documents").withColumnRenamed("n_chars", "length")).select("doc_id", F.col("length").alias("n_chars"))
+
+
+# ---------------------------------------------------------------- distances
+
+
+def letter_profiles(spark, sf_dir, keys: list[Column] | None = None) -> DataFrame:
+    """contig, total, profile: letters of whole documents, or of groups of them."""
+    text = F.lower(F.coalesce("text", F.lit("")))
+    docs = table(spark, sf_dir, "documents").withColumn("t", text)
+    each = [(F.length("t") - F.length(F.replace(F.col("t"), F.lit(c)))).cast("double").alias(c) for c in LETTERS]
+    key = keys[0] if keys else F.col("doc_id")
+    summed = docs.select(key.alias("contig"), *each)
+    if keys:
+        summed = summed.groupBy("contig").agg(*[F.sum(c).alias(c) for c in LETTERS])
+    profile = F.array(*LETTERS)
+    return summed.select("contig", F.aggregate(profile, F.lit(0.0), lambda a, x: a + x).alias("total"), profile.alias("profile"))
+
+
+def _letters_sql(key: str, group: bool) -> str:
+    count = [f"length(t) - length(replace(t, '{c}', ''))" for c in LETTERS]
+    cells = ", ".join(f"sum({c})::DOUBLE" if group else f"({c})::DOUBLE" for c in count)
+    return f"SELECT contig, p, list_sum(p) AS total FROM (SELECT {key} AS contig, [{cells}] AS p FROM (SELECT *, lower(coalesce(text, '')) AS t FROM documents){' GROUP BY ALL' if group else ''})"
+
+
+def _lg(x: str) -> str:
+    return f"(({x} + 1.5) * ln({x} + 1) - ({x} + 1) + {nm.HALF_LOG_TWO_PI!r} + 1 / (12 * ({x} + 1)) - ln(({x}) * (({x}) + 1)))"
+
+
+def _distance_sql(a: str, b: str, alpha: float, n: int) -> str:
+    """Distance of list columns p of aliases a and b with an even prior."""
+    lg = float(nm.log_gamma_np([alpha])[0])
+    whole = alpha * n
+    own = lambda t: f"list_sum(list_transform({t}.p, lambda x: {_lg(f'(x + {alpha})')}))"
+    both = f"list_sum(list_transform(list_zip({a}.p, {b}.p), lambda z: {_lg(f'(z[1] + z[2] + {alpha})')}))"
+    z = f"({own(a)} + {own(b)} - {both} - {lg * n!r} - ({_lg(f'({a}.total + {whole})')} + {_lg(f'({b}.total + {whole})')} - {_lg(f'({a}.total + {b}.total + {whole})')} - {float(nm.log_gamma_np([whole])[0])!r}) + {7.999664493477282!r})"
+    return z
+
+
+def _log1p_exp_sql(z: str) -> str:
+    return f"(CASE WHEN abs({z}) > 350 THEN greatest({z}, 0) ELSE greatest({z}, 0) + ln(1 + exp(-abs({z}))) END)"
+
+
+PAIRS_SQL = f"""
+    WITH m AS ({_letters_sql('doc_id', False)}),
+    z AS (SELECT a.contig AS a, b.contig AS b, {_distance_sql('a', 'b', LETTER_ALPHA, 26)} AS z FROM m a CROSS JOIN m b)
+    SELECT a, b, {_log1p_exp_sql('z')} AS distance FROM z"""
+
+
+@query(f"SELECT a, b, round(distance, 4) AS distance FROM ({PAIRS_SQL}) WHERE distance < 1")
+def profile_distance(spark, sf_dir):
+    pairs = distance.pair_distances(letter_profiles(spark, sf_dir), [LETTER_ALPHA] * 26, 1.0)
+    return pairs.select("a", "b", r4("distance").alias("distance"))
+
+
+@query(f"""
+    WITH m AS ({_letters_sql('doc_id', False)}), q AS (SELECT * FROM m ORDER BY total DESC, contig LIMIT 1),
+    z AS (SELECT a.contig AS contig, {_distance_sql('a', 'q', LETTER_ALPHA, 26)} AS z FROM m a CROSS JOIN q)
+    SELECT contig, round({_log1p_exp_sql('z')}, 4) AS distance FROM z""")
+def distance_from_query(spark, sf_dir):
+    profiles = letter_profiles(spark, sf_dir)
+    fullest = profiles.orderBy(F.col("total").desc(), "contig").limit(1)
+    return distance.from_query(profiles, fullest, [LETTER_ALPHA] * 26).withColumn("distance", r4("distance"))
+
+
+GROUP = "coalesce(source, '') || '/' || coalesce(lang, '')"
+
+
+def group_profiles(spark, sf_dir) -> DataFrame:
+    """contig, total, profile, kmer, length of documents by source and language."""
+    key = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), key.alias("contig"), F.col("n_chars").alias("length"))
+    words = composition.long_form(composition.tetramers(sequences(spark, sf_dir))).join(docs, "name").groupBy("contig", "kmer").agg(F.sum("n").cast("double").alias("n"))
+    lists = words.groupBy("contig").agg(F.sort_array(F.collect_list(F.struct("kmer", "n"))).alias("k")).select("contig", F.col("k.n").alias("kmer"))
+    sizes = docs.groupBy("contig").agg(F.sum("length").alias("length"))
+    return letter_profiles(spark, sf_dir, [key]).join(lists, "contig").join(sizes, "contig")
+
+
+KGROUP_SQL = f"""
+    SELECT contig, kmer, sum(n)::DOUBLE AS n FROM (SELECT doc_id AS name, {GROUP} AS contig FROM documents) d JOIN ({WORDS_SQL}) w USING (name) GROUP BY ALL"""
+_LGA, _LGC = float(nm.log_gamma_np([KMER_ALPHA])[0]), float(nm.log_gamma_np([4 * KMER_ALPHA])[0])
+COMBINED_SQL = f"""
+    WITH m AS MATERIALIZED ({_letters_sql(GROUP, True)}),
+    present AS ({KGROUP_SQL}),
+    k AS MATERIALIZED (SELECT contig, kmer, coalesce(n, 0) AS n FROM (SELECT contig, i AS kmer FROM (SELECT DISTINCT contig FROM present) CROSS JOIN range(256) r(i)) LEFT JOIN present USING (contig, kmer)),
+    c AS MATERIALIZED (SELECT contig, kmer // 4 AS t, sum(n) AS n FROM k GROUP BY ALL),
+    kz AS (SELECT a.contig AS a, b.contig AS b, sum({_lg(f'(a.n + {KMER_ALPHA})')} + {_lg(f'(b.n + {KMER_ALPHA})')} - {_lg(f'(a.n + b.n + {KMER_ALPHA})')} - {_LGA!r}) AS s FROM k a JOIN k b USING (kmer) GROUP BY ALL),
+    cz AS (SELECT a.contig AS a, b.contig AS b, sum({_lg(f'(a.n + {4 * KMER_ALPHA})')} + {_lg(f'(b.n + {4 * KMER_ALPHA})')} - {_lg(f'(a.n + b.n + {4 * KMER_ALPHA})')} - {_LGC!r}) AS s FROM c a JOIN c b USING (t) GROUP BY ALL),
+    rz AS (SELECT a.contig AS a, b.contig AS b, {_distance_sql('a', 'b', LETTER_ALPHA, 26)} AS z FROM m a CROSS JOIN m b),
+    z AS (SELECT a, b, rz.z AS z, kz.s - cz.s + {7.999664493477282!r} AS y FROM rz JOIN kz USING (a, b) JOIN cz USING (a, b))
+    SELECT a, b, round({_log1p_exp_sql('z')} + {_log1p_exp_sql('y')}, 3) AS distance FROM z"""
+
+
+def _group_pairs(spark, sf_dir) -> DataFrame:
+    """Rounded, so that the order of sums decides no tie."""
+    pairs = distance.pair_distances(group_profiles(spark, sf_dir), [LETTER_ALPHA] * 26, None, [KMER_ALPHA] * 256)
+    return pairs.withColumn("distance", F.round("distance", 3))
+
+
+@query(COMBINED_SQL)
+def combined_distance(spark, sf_dir):
+    return _group_pairs(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- priors
+
+
+@query()
+def read_priors(spark, sf_dir):
+    top, each = priors.dirichlet_prior(_letter_counts(spark, sf_dir))
+    return spark.createDataFrame([(s, a, top) for s, a in sorted(each.items())], "sample string, alpha double, total double")
+
+
+@query()
+def tetramer_priors(spark, sf_dir):
+    return priors.tetramer_priors(cut(_masked(spark, sf_dir)))
+
+
+def _letter_counts(spark, sf_dir) -> DataFrame:
+    made = letter_profiles(spark, sf_dir)
+    return made.select("contig", F.posexplode("profile").alias("i", "count")).select("contig", F.lit("").alias("sample"), "i", "count").withColumn("sample", F.element_at(F.array(*map(F.lit, LETTERS)), F.col("i") + 1)).drop("i")
+
+
+# ---------------------------------------------------------------- clusters
+
+
+@query()
+def leader_clusters(spark, sf_dir):
+    profiles = cut(letter_profiles(spark, sf_dir))
+    alpha = [LETTER_ALPHA] * 26
+    # an own distance may exceed the bound, and then a leader may be as far as that
+    pairs = distance.pair_distances(profiles, alpha, 8.1)
+    return clustering.leaders(pairs, profiles.select("contig", "total"))
+
+
+@query()
+def binned_contigs(spark, sf_dir):
+    return clustering.bins(leader_clusters(spark, sf_dir))
+
+
+SHARED_SQL = """
+    WITH p AS (SELECT DISTINCT l_partkey AS contig, l_suppkey AS leader FROM lineitem)
+    SELECT x.leader AS a, y.leader AS b, count(*) AS shared FROM p x JOIN p y ON x.contig = y.contig AND x.leader < y.leader GROUP BY ALL HAVING count(*) > 40"""
+
+
+def _shared(spark, sf_dir) -> DataFrame:
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("contig"), F.col("l_suppkey").alias("leader"))
+    return graph.shared_member_links(pairs, 40)
+
+
+@query(SHARED_SQL)
+def shared_member_links(spark, sf_dir):
+    return _shared(spark, sf_dir)
+
+
+COMPONENTS_SQL = f"""
+    WITH RECURSIVE links AS MATERIALIZED (SELECT a, b FROM ({SHARED_SQL}) UNION ALL SELECT b, a FROM ({SHARED_SQL})),
+    reach AS (SELECT s_suppkey AS id, s_suppkey AS other FROM supplier UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.other)
+    SELECT id, min(other) AS comp FROM reach GROUP BY id"""
+
+
+@query(COMPONENTS_SQL)
+def connected_components(spark, sf_dir):
+    return graph.components(_shared(spark, sf_dir), table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")))
+
+
+@query(f"SELECT DISTINCT comp, l_partkey AS contig FROM lineitem JOIN ({COMPONENTS_SQL}) c ON c.id = l_suppkey")
+def merged_members(spark, sf_dir):
+    members = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("contig"), F.col("l_suppkey").alias("leader"))
+    return graph.merged_members(members, connected_components(spark, sf_dir))
+
+
+@query(f"SELECT comp, count(*) AS size FROM ({COMPONENTS_SQL}) GROUP BY comp")
+def component_sizes(spark, sf_dir):
+    return relational.group_sizes(connected_components(spark, sf_dir), "comp")
+
+
+DENSITY_SQL = f"""
+    WITH p AS MATERIALIZED ({COMBINED_SQL}), s AS (SELECT {GROUP} AS id, sum(n_chars)::BIGINT AS length FROM documents GROUP BY 1),
+    d AS MATERIALIZED (SELECT a AS id, sum(CASE WHEN distance < 1 OR a = b THEN length ELSE 0 END)::BIGINT AS density FROM p JOIN s ON s.id = b GROUP BY a),
+    h AS (SELECT a AS id, min(distance) AS separation, arg_min(b, (distance, b)) AS nearest FROM p JOIN d x ON x.id = a JOIN d y ON y.id = b WHERE y.density > x.density GROUP BY a)
+    SELECT id, density, coalesce(separation, 1e30) AS separation, coalesce(nearest, id) AS nearest FROM d LEFT JOIN h USING (id)"""
+
+
+def _densities(spark, sf_dir) -> DataFrame:
+    sizes = table(spark, sf_dir, "documents").select(F.expr(GROUP).alias("id"), F.col("n_chars").alias("length")).groupBy("id").agg(F.sum("length").alias("length"))
+    return clustering.densities(cut(_group_pairs(spark, sf_dir)), sizes)
+
+
+@query(DENSITY_SQL)
+def cluster_densities(spark, sf_dir):
+    return _densities(spark, sf_dir)
+
+
+@query(f"""
+    WITH RECURSIVE d AS MATERIALIZED ({DENSITY_SQL}),
+    c AS MATERIALIZED (SELECT id, separation > 1 AND density * separation > 1000 AS centre, nearest FROM d),
+    n AS MATERIALIZED (SELECT id, CASE WHEN centre THEN id ELSE nearest END AS next FROM c),
+    f AS (SELECT id, next FROM n UNION SELECT f.id, n.next FROM f JOIN n ON n.id = f.next)
+    SELECT f.id, f.next AS centre FROM f JOIN c ON c.id = f.next AND c.centre JOIN n ON n.id = f.next AND n.next = f.next""")
+def density_centres(spark, sf_dir):
+    return clustering.assign_centres(_densities(spark, sf_dir))
+
+
+@query("""
+    SELECT lang AS cluster, source AS sample, count(*)::DOUBLE AS count, max(t.length)::BIGINT AS length
+    FROM documents JOIN (SELECT lang AS l, sum(n_chars) AS length FROM documents GROUP BY lang) t ON t.l = lang GROUP BY lang, source""")
+def cluster_profiles(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    members = docs.select(F.col("doc_id").alias("contig"), F.col("lang").alias("cluster"))
+    rows = docs.select(F.col("doc_id").alias("contig"), F.col("source").alias("sample"), F.lit(1.0).alias("count"))
+    return clustering.cluster_profiles(members, rows, docs.select(F.col("doc_id").alias("contig"), F.col("n_chars").alias("length")))
+
+
+@query("SELECT e.lang AS centre, d.doc_id AS contig FROM documents d JOIN (SELECT DISTINCT source, min(lang) OVER (PARTITION BY source) AS lang FROM documents) e ON e.source = d.source")
+def merged_lists(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    assigned = docs.groupBy(F.col("source").alias("id")).agg(F.min("lang").alias("centre"))
+    return clustering.merged_lists(assigned, docs.select(F.col("doc_id").alias("contig"), F.col("source").alias("cluster")))
+
+
+# ---------------------------------------------------------------- embeddings
+
+
+def points(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", (F.col("vec_id") * 7919 % 200000 + 1000).alias("length"), "label")
+
+
+POINTS_SQL = "SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v, vec_id * 7919 % 200000 + 1000 AS length FROM embeddings"
+KNN_SQL = f"""
+    WITH p AS MATERIALIZED ({POINTS_SQL}),
+    d AS (SELECT a.id AS id, b.id AS neighbour, list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS distance FROM p a CROSS JOIN p b),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY (id <> neighbour)::INT, distance, neighbour) - 1 AS rank FROM d)
+    SELECT id, neighbour, rank, distance FROM r WHERE rank < {NEIGHBOURS}"""
+RUN_SQL = f"""
+    WITH k AS ({KNN_SQL}), s AS (SELECT k.*, sum(length) OVER (PARTITION BY k.id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS running FROM k JOIN ({POINTS_SQL}) p ON p.id = k.neighbour)
+    SELECT *, coalesce(min(CASE WHEN running > 500000 THEN rank END) OVER (PARTITION BY id), 0) AS cut FROM s"""
+
+
+def _knn(spark, sf_dir) -> DataFrame:
+    return embedding.nearest(points(spark, sf_dir), NEIGHBOURS)
+
+
+def _running(spark, sf_dir) -> DataFrame:
+    return embedding.with_running_length(_knn(spark, sf_dir), points(spark, sf_dir))
+
+
+@query(f"SELECT id, neighbour, rank, round(distance, 4) AS distance FROM ({KNN_SQL})")
+def nearest_neighbours(spark, sf_dir):
+    return _knn(spark, sf_dir).select("id", "neighbour", F.col("rank").cast("long").alias("rank"), r4("distance").alias("distance"))
+
+
+@query(f"SELECT id, neighbour, rank, running::BIGINT AS running, cut FROM ({RUN_SQL})")
+def running_lengths(spark, sf_dir):
+    return _running(spark, sf_dir).select("id", "neighbour", F.col("rank").cast("long").alias("rank"), "running", F.col("cut").cast("long").alias("cut"))
+
+
+MEDIAN_SQL = f"SELECT median(distance) AS radius FROM ({RUN_SQL}) r JOIN ({POINTS_SQL}) p ON p.id = r.id WHERE rank = cut AND (cut > 0 OR length > 500000)"
+
+
+@query(f"SELECT round(radius, 4) AS radius FROM ({MEDIAN_SQL})")
+def median_radius(spark, sf_dir):
+    return embedding.median_radius(_running(spark, sf_dir), points(spark, sf_dir)).withColumn("radius", r4("radius"))
+
+
+LISTS_SQL = f"""
+    WITH n AS MATERIALIZED ({RUN_SQL}), q AS ({MEDIAN_SQL}),
+    w AS (SELECT id, max(CASE WHEN rank = cut THEN distance END) AS reach, arg_max(distance, rank) FILTER (WHERE rank <= 10) AS tenth FROM n GROUP BY id),
+    d AS MATERIALIZED (SELECT id, length, pow(length::DOUBLE, 2.0 / 64) / CASE WHEN length < 8000 THEN tenth WHEN reach = 0 THEN radius ELSE reach END AS density FROM w JOIN ({POINTS_SQL}) p USING (id) CROSS JOIN q)
+    SELECT id, neighbour, rank, density FROM n JOIN d USING (id) WHERE CASE WHEN length < 8000 THEN rank < 10 ELSE rank <= cut END"""
+
+
+def _lists(spark, sf_dir) -> DataFrame:
+    return cut(embedding.neighbourhoods(cut(_running(spark, sf_dir)), points(spark, sf_dir), 64))
+
+
+@query(f"SELECT id, neighbour, rank, round(density, 4) AS density FROM ({LISTS_SQL})")
+def neighbourhoods(spark, sf_dir):
+    return _lists(spark, sf_dir).select("id", "neighbour", F.col("rank").cast("long").alias("rank"), r4("density").alias("density"))
+
+
+PEAKS_SQL = f"""
+    WITH RECURSIVE l AS MATERIALIZED ({LISTS_SQL}), dense AS (SELECT id, density FROM l WHERE rank = 0),
+    best AS MATERIALIZED (SELECT l.id, arg_max(neighbour, (dense.density, -rank)) AS next FROM l JOIN dense ON dense.id = l.neighbour GROUP BY l.id),
+    f AS (SELECT id, next FROM best UNION SELECT f.id, best.next FROM f JOIN best ON best.id = f.next)
+    SELECT f.id AS id, f.next AS peak FROM f JOIN best ON best.id = f.next AND best.next = f.next"""
+
+
+@query(PEAKS_SQL)
+def density_peaks(spark, sf_dir):
+    return embedding.density_peaks(_lists(spark, sf_dir))
+
+
+@query()
+def peak_links(spark, sf_dir):
+    lists = _lists(spark, sf_dir)
+    return embedding.peak_links(lists, embedding.density_peaks(lists))
+
+
+@query()
+def peak_clusters(spark, sf_dir):
+    lists = _lists(spark, sf_dir)
+    peaks = cut(embedding.density_peaks(lists))
+    return embedding.peak_clusters(peaks, embedding.peak_links(lists, peaks))
+
+
+WIDE_SQL = """
+    WITH RECURSIVE e AS MATERIALIZED (SELECT l_suppkey AS src, l_suppkey % 7 * 10 + l_linenumber AS dst, max(l_quantity) AS w FROM lineitem GROUP BY ALL),
+    p AS (SELECT s_suppkey AS "start", s_suppkey AS id, 'infinity'::DOUBLE AS width FROM supplier
+          UNION SELECT p."start", e.dst, least(p.width, e.w) FROM p JOIN e ON e.src = p.id)
+    SELECT "start", id, max(width) AS width FROM p GROUP BY ALL"""
+
+
+@query(WIDE_SQL)
+def widest_paths(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    edges = lines.groupBy(F.col("l_suppkey").alias("src"), (F.col("l_suppkey") % 7 * 10 + F.col("l_linenumber")).alias("dst")).agg(F.max("l_quantity").alias("w"))
+    return graph.widest_paths(cut(edges), table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")))
+
+
+@query()
+def adaptive_neighbours(spark, sf_dir):
+    return embedding.adaptive_neighbours(points(spark, sf_dir))
+
+
+@query("SELECT vec_id AS id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS squared, 1.0::DOUBLE AS unit FROM embeddings")
+def vector_norms(spark, sf_dir):
+    rows = points(spark, sf_dir)
+    zero = F.transform("embedding", lambda x: F.lit(0.0))
+    unit = nm.l2_normalised(F.col("embedding"))
+    return rows.select("id", r4(nm.squared_distance(F.col("embedding"), zero)).alias("squared"), r4(nm.squared_distance(unit, zero)).alias("unit"))
+
+
+@query()
+def latent_components(spark, sf_dir):
+    return latent.principal_components(points(spark, sf_dir), 8)
+
+
+@query()
+def latent_autoencoder(spark, sf_dir):
+    profiles = cut(group_profiles(spark, sf_dir))
+    return latent.transform(profiles, latent.fit(profiles, epochs=20, hidden=64, latent=8))
+
+
+@query()
+def linear_probe(spark, sf_dir):
+    return latent.probe(points(spark, sf_dir))
+
+
+@query()
+def probe_accuracy(spark, sf_dir):
+    return hits.accuracy(latent.probe(points(spark, sf_dir)).filter("held_out"), "prediction", "label")
+
+
+@query("SELECT round(avg((quality = toxic)::INT::DOUBLE), 4) AS accuracy FROM labels")
+def label_agreement(spark, sf_dir):
+    return hits.accuracy(table(spark, sf_dir, "labels"), "quality", "toxic").withColumn("accuracy", r4("accuracy"))
+
+
+# ---------------------------------------------------------------- bin quality
+
+
+def _binned(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return binquality.overlaps(docs.select(F.col("doc_id").alias("contig"), F.col("n_chars").alias("length"), F.col("source").alias("bin"), F.col("lang").alias("genome")))
+
+
+OVER_SQL = "SELECT source AS bin, lang AS genome, sum(n_chars)::DOUBLE AS bp FROM documents GROUP BY ALL"
+BEST_BIN_SQL = f"SELECT bin, genome, bp FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY bp DESC, genome) AS r FROM ({OVER_SQL})) WHERE r = 1"
+BEST_GENOME_SQL = f"SELECT genome, bin, bp FROM (SELECT *, row_number() OVER (PARTITION BY genome ORDER BY bp DESC, bin) AS r FROM ({OVER_SQL})) WHERE r = 1"
+
+
+@query(BEST_BIN_SQL)
+def genome_of_bin(spark, sf_dir):
+    return binquality.best_genome(_binned(spark, sf_dir))
+
+
+@query(BEST_GENOME_SQL)
+def bin_of_genome(spark, sf_dir):
+    return binquality.best_bin(_binned(spark, sf_dir))
+
+
+@query(f"SELECT b.bin, b.genome, round(bp / size, 4) AS purity, round(1 - bp / size, 4) AS contamination FROM ({BEST_BIN_SQL}) b JOIN (SELECT bin, sum(bp) AS size FROM ({OVER_SQL}) GROUP BY bin) s USING (bin)")
+def bin_purity(spark, sf_dir):
+    return binquality.purity(_binned(spark, sf_dir)).select("bin", "genome", r4("purity").alias("purity"), r4("contamination").alias("contamination"))
+
+
+@query(f"SELECT b.genome, b.bin, round(bp / size, 4) AS completeness FROM ({BEST_GENOME_SQL}) b JOIN (SELECT genome, sum(bp) AS size FROM ({OVER_SQL}) GROUP BY genome) s USING (genome)")
+def genome_completeness(spark, sf_dir):
+    return binquality.completeness(_binned(spark, sf_dir)).withColumn("completeness", r4("completeness"))
+
+
+@query(f"""
+    WITH o AS ({OVER_SQL}), g AS (SELECT genome, sum(bp) AS g FROM o GROUP BY genome), b AS (SELECT bin, sum(bp) AS b FROM o GROUP BY bin),
+    x AS (SELECT sum(bp) AS tp, sum(bp / g) AS older, avg(bp / b) AS purity FROM ({BEST_BIN_SQL}) JOIN g USING (genome) JOIN b USING (bin)),
+    y AS (SELECT avg(bp / g) AS c FROM ({BEST_GENOME_SQL}) JOIN g USING (genome)),
+    t AS (SELECT sum(g) AS total, count(*) AS n, sum(g * (g - 1) / 2) AS pg FROM g), u AS (SELECT sum(b * (b - 1) / 2) AS pb FROM b), v AS (SELECT sum(bp * (bp - 1) / 2) AS po FROM o),
+    e AS (SELECT *, pb * pg / (total * (total - 1) / 2) AS expected, older / n AS oc FROM x, y, t, u, v)
+    SELECT round(purity, 4) AS purity, round(tp / total, 4) AS accuracy, round(c, 4) AS completeness, round(oc, 4) AS older_completeness, round(2 * purity * c / (purity + c), 4) AS f1,
+           round(2 * purity * oc / (purity + oc), 4) AS older_f1, round((po - expected) / ((pb + pg) / 2 - expected), 4) AS adjusted_rand FROM e""")
+def binning_summary(spark, sf_dir):
+    made = binquality.summary(_binned(spark, sf_dir))
+    return made.select(*[r4(c).alias(c) for c in made.columns])
+
+
+@query("SELECT source AS bin, sum(n_chars)::BIGINT AS length FROM documents GROUP BY source HAVING sum(n_chars) BETWEEN 100000 AND 10000000")
+def plausible_bins(spark, sf_dir):
+    return nmf.kept_bins(table(spark, sf_dir, "documents").groupBy(F.col("source").alias("bin")).agg(F.sum("n_chars").alias("length")))
+
+
+# ---------------------------------------------------------------- hits
+
+
+def _hits(spark, sf_dir) -> DataFrame:
+    name = F.concat(F.col("l_linenumber").cast("string"), F.lit("_"), F.col("l_suppkey").cast("string"), F.lit("_"), F.col("l_orderkey").cast("string"))
+    return table(spark, sf_dir, "lineitem").select(name.alias("name"), F.concat(F.lit("COG"), F.lpad((F.col("l_partkey") % 60 + 12).cast("string"), 4, "0")).alias("cog"), (F.col("l_quantity") * 10).alias("bitscore")).withColumn("query", hits.contig_of("name"))
+
+
+HITS_SQL = "SELECT l_linenumber || '_' || l_suppkey || '_' || l_orderkey AS name, 'COG' || lpad((l_partkey % 60 + 12)::VARCHAR, 4, '0') AS cog, l_quantity * 10 AS bitscore, l_suppkey || '_' || l_orderkey AS query FROM lineitem"
+CUT_SQL = "(VALUES " + ", ".join(f"('{k}', {v})" for k, v in hits.CUTOFFS.items()) + ") AS c(cog, cutoff)"
+
+
+@query(f"SELECT name, query, h.cog AS cog, bitscore FROM ({HITS_SQL}) h JOIN {CUT_SQL} ON c.cog = h.cog WHERE bitscore >= cutoff")
+def hits_above_cutoff(spark, sf_dir):
+    return hits.above_cutoff(_hits(spark, sf_dir), hits.cutoff_table(spark)).select("name", "query", "cog", "bitscore")
+
+
+@query(f"""
+    SELECT query, min(cog) AS cog, max(bitscore) AS bitscore FROM (SELECT *, max(bitscore) OVER (PARTITION BY query) AS top FROM ({HITS_SQL}))
+    WHERE bitscore = top GROUP BY query HAVING count(DISTINCT cog) = 1""")
+def best_hits(spark, sf_dir):
+    return hits.best_hits(_hits(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- factors and functions
+
+
+@query()
+def deconvolved(spark, sf_dir):
+    rows = event_counts(spark, sf_dir)
+    return nmf.deconvolve(rows, rows.select("contig", (F.col("contig") % 5).alias("cluster")).distinct(), 4)
+
+
+@query()
+def component_lists(spark, sf_dir):
+    return nmf.component_members(deconvolved(spark, sf_dir))
+
+
+@query(f"""
+    WITH c AS ({EVENTS_SQL}), m AS (SELECT *, avg(count) OVER (PARTITION BY sample) AS mean FROM c)
+    SELECT sample, round(sum(count * ln(mean) - mean - {_lg('(count::DOUBLE + 1)')}), 3) AS log_likelihood, count(*) FILTER (mean > 1e-17) AS parameters FROM m GROUP BY sample""")
+def poisson_likelihood(spark, sf_dir):
+    rows = event_counts(spark, sf_dir).withColumn("mean", F.avg("count").over(Window.partitionBy("sample")))
+    return rows.groupBy("sample").agg(F.round(F.sum(nm.poisson_log_pmf(F.col("count").cast("double"), F.col("mean"))), 3).alias("log_likelihood"), F.count_if(F.col("mean") > nmf.TINY).alias("parameters"))
+
+
+@query(f"""
+    SELECT p_partkey, round({_lg('p_size::DOUBLE')}, 4) AS log_gamma, round({_lg('(p_size::DOUBLE + 1)')}, 4) AS log_factorial,
+           round({_log1p_exp_sql('(p_size - 25.0::DOUBLE)')}, 4) AS softplus, greatest(p_size - 25.0::DOUBLE, 0) AS relu, round(pow(p_size::DOUBLE, 2.0 / 64) / 3, 4) AS density,
+           CASE WHEN p_size > 5 THEN round(0.5 * ln(2 * pi() * 2.718 * p_size) - 1 / (12.0::DOUBLE * p_size) - 1 / (24.0::DOUBLE * p_size * p_size) - 19 / (360.0::DOUBLE * p_size * p_size * p_size), 4)
+                ELSE round(p_size - p_size * ln(p_size) + exp(-p_size) * list_sum(list_transform(range(1, 50), lambda k: exp(k * ln(p_size) - lgamma(k + 1)) * lgamma(k + 1))), 4) END AS entropy
+    FROM part""")
+def scalar_functions(spark, sf_dir):
+    x = F.col("p_size").cast("double")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", r4(nm.log_gamma(x)).alias("log_gamma"), r4(nm.log_factorial(x)).alias("log_factorial"), r4(nm.log1p_exp(x - 25)).alias("softplus"), nm.relu(x - 25).alias("relu"),
+        r4(nm.local_density(x, F.lit(3.0), 64)).alias("density"), r4(nm.poisson_entropy(x)).alias("entropy"),
+    )
+
+
+@query("""
+    WITH v AS (SELECT p_partkey, [p_size / 10.0::DOUBLE, 1.0::DOUBLE, 0.5::DOUBLE] AS v FROM part), e AS (SELECT p_partkey, v, list_sum(list_transform(v, lambda x: exp(x - list_max(v)))) AS s FROM v)
+    SELECT p_partkey, round(exp(v[1] - list_max(v)) / s, 4) AS first, round(-ln(exp(v[1] - list_max(v)) / s + 1e-9), 4) AS loss FROM e""")
+def softmax_loss(spark, sf_dir):
+    v = F.array(F.col("p_size") / 10.0, F.lit(1.0), F.lit(0.5))
+    p = table(spark, sf_dir, "part").select("p_partkey", nm.softmax(v).alias("p"))
+    return p.select("p_partkey", r4(F.col("p")[0]).alias("first"), r4(nm.cross_entropy(F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)), F.col("p"))).alias("loss"))
+
+
+@query()
+def chi_square_survival(spark, sf_dir):
+    def run(batches):
+        for part in batches:
+            yield part.assign(survival=[nm.chi2_sf(x, 10) for x in part["p_size"]])
+
+    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size")).mapInPandas(run, "p_partkey long, p_size double, survival double")
+
+
+# ---------------------------------------------------------------- sets, order, streams
+
+
+@query("SELECT c_custkey AS id FROM customer UNION ALL SELECT o_custkey FROM orders")
+def union_all(spark, sf_dir):
+    return relational.all_rows(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")))
+
+
+@query("SELECT c_nationkey::BIGINT AS id FROM customer UNION SELECT s_nationkey::BIGINT FROM supplier")
+def union_distinct(spark, sf_dir):
+    return relational.distinct_union(table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("id")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("id")))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def members_of(spark, sf_dir):
+    return relational.in_keys(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def others_than(spark, sf_dir):
+    return relational.not_in_keys(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("SELECT o_custkey, array_to_string(list(o_orderkey ORDER BY o_orderkey), ' ') AS members FROM orders GROUP BY o_custkey")
+def member_lists(spark, sf_dir):
+    made = relational.member_lists(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey")
+    return made.select("o_custkey", F.array_join(F.transform("members", lambda x: x.cast("string")), " ").alias("members"))
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) ORDER BY c_acctbal DESC, c_custkey LIMIT 10")
+def largest_remaining(spark, sf_dir):
+    return relational.largest_remaining(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "c_acctbal", 10)
+
+
+@query(f"""
+    WITH p AS MATERIALIZED ({COMBINED_SQL}), t AS (SELECT a FROM p ORDER BY distance DESC, a, b LIMIT 1)
+    SELECT seed, b, rank, distance FROM (SELECT p.a AS seed, b, distance, row_number() OVER (ORDER BY distance DESC, b) AS rank FROM p JOIN t ON t.a = p.a) WHERE rank <= 2""")
+def farthest_seeds(spark, sf_dir):
+    made = relational.farthest_pair(cut(_group_pairs(spark, sf_dir)))
+    return made.select("seed", "b", F.col("rank").cast("long").alias("rank"), "distance")
+
+
+def _streamed(spark: SparkSession, source: DataFrame, mode: str, schema: str) -> DataFrame:
+    """Rows that a stream hands to foreachBatch until its input ends, collected in the checkpoint folder."""
+    import uuid
+
+    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    writer = source.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    writer.foreachBatch(keep).start().awaitTermination()
+    return spark.read.schema(f"{schema}, batch INT").parquet(f"{folder}/out").drop("batch")
+
+
+@query(f"SELECT sample, contig, round(sum(weight), 4) AS count FROM ({WEIGHTS_SQL}) GROUP BY sample, contig")
+def streamed_counts(spark, sf_dir):
+    from binloom.streaming import counter
+
+    stored = table(spark, sf_dir, "lineitem")
+    folder, _, name = stored.inputFiles()[0].rpartition("/")
+    glob = "lineitem.parquet" if name == "lineitem.parquet" else "*.parquet"
+    lines = spark.readStream.schema(stored.schema).option("pathGlobFilter", glob).parquet(folder)
+    # the order of a read's records, as a number that sorts as all its columns do
+    order = F.col("l_linenumber") * F.lit(10**14).cast("long") + F.col("l_suppkey") * F.lit(10**8).cast("long") + F.col("l_partkey")
+    rows = lines.select(
+        F.col("l_returnflag").alias("sample"), F.col("l_orderkey").alias("read_id"), F.col("l_suppkey").alias("contig"), order.alias("ord"), (F.col("l_linenumber") % 2 + 1).alias("dir"),
+        (F.col("l_linestatus") == "F").alias("proper"), (100 * (1 - F.col("l_discount"))).alias("identity"),
+    )
+    return counter.counts(_streamed(spark, counter.weights_stream(rows), "update", counter.OUTPUT)).withColumn("count", r4("count"))

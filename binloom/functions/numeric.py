@@ -70,7 +70,8 @@ def squared_distance(a: Column, b: Column) -> Column:
 def l2_normalised(v: Column) -> Column:
     """The vector over its length; a zero vector stays."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x.cast("double")))
+    # through an array of one, so that the norm is worked out once and not for every value
+    return F.transform(F.array(norm), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x.cast("double"))))[0]
 
 
 def local_density(length: Column, radius: Column, dimensions: int) -> Column:
@@ -79,9 +80,12 @@ def local_density(length: Column, radius: Column, dimensions: int) -> Column:
 
 
 def softmax(v: Column) -> Column:
-    top = F.array_max(v)
-    powers = F.transform(v, lambda x: F.exp(x - top))
-    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda acc, y: acc + y))
+    def over_sum(powers: Column) -> Column:
+        total = F.aggregate(powers, F.lit(0.0), lambda acc, y: acc + y)
+        return F.transform(F.array(total), lambda t: F.transform(powers, lambda x: x / t))[0]
+
+    shifted = F.transform(F.array(F.array_max(v)), lambda top: F.transform(v, lambda x: F.exp(x - top)))
+    return F.transform(shifted, over_sum)[0]
 
 
 def leaky_relu(x: Column, slope: float = 0.01) -> Column:

@@ -28,7 +28,10 @@ def digits(sequence: Column) -> Column:
 
 
 def word_numbers(digits_: Column, width: int = WORD) -> Column:
-    """Numbers of all overlapping words of ``width`` bases; none if the sequence is shorter."""
+    """Numbers of all overlapping words of ``width`` bases; none if the sequence is shorter.
+
+    ``digits_`` must be a plain column: an expression would be worked out again for every word.
+    """
     count = F.size(digits_) - (width - 1)
     at = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
 
@@ -75,7 +78,7 @@ def tetramer_counts(sequence: str) -> np.ndarray:
 
 
 def codon_numbers(digits_: Column) -> Column:
-    """Numbers of the codons of a reading frame, each third place, without the last codon."""
+    """Numbers of the codons of a reading frame, each third place, without the last codon; of a plain column as well."""
     last = F.size(digits_) - 6
     at = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(3))).otherwise(F.array().cast("array<int>"))
     return F.transform(at, lambda i: F.element_at(digits_, i + 1) * 16 + F.element_at(digits_, i + 2) * 4 + F.element_at(digits_, i + 3))

@@ -29,11 +29,11 @@ def tetramers(sequences: DataFrame) -> DataFrame:
 
 def tetramers_long(sequences: DataFrame) -> DataFrame:
     """(name, kmer, n) by built-in expressions alone, words that occur only."""
-    numbers = sq.word_numbers(sq.digits(F.col("seq")))
-    plain = sequences.select("name", F.explode(numbers).alias("w"))
+    # digits are a column of their own: inside a lambda they would be worked out for every word
+    plain = sequences.select("name", sq.digits(F.col("seq")).alias("d")).select("name", F.explode(sq.word_numbers(F.col("d"))).alias("w"))
     # unknown bases count as A on both strands, so the strand read backwards is numbered from its own digits
     back = F.translate(F.reverse(F.regexp_replace("seq", "(?s)[^ATGC]", "T")), "ATGC", "TACG")
-    other = sequences.select("name", F.explode(sq.word_numbers(sq.digits(back))).alias("w"))
+    other = sequences.select("name", sq.digits(back).alias("d")).select("name", F.explode(sq.word_numbers(F.col("d"))).alias("w"))
     return plain.union(other).groupBy("name", F.col("w").alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -76,15 +76,17 @@ def tetramer_totals(counts: DataFrame) -> DataFrame:
 
 def codons(sequences: DataFrame) -> DataFrame:
     """(name, codon, n) over the reading frames ``sequences`` (name, seq); frames with unknown bases in a codon skip it."""
-    plain = F.transform(sq.codon_numbers(sq.digits(F.col("seq"))), lambda c: c)
-    known = F.transform(sq.codon_numbers(F.transform(F.split("seq", ""), lambda c: F.when(c.isin(*sq.BASES), 0).otherwise(1000))), lambda c: c == 0)
-    pairs = F.filter(F.arrays_zip(plain.alias("c"), known.alias("k")), lambda p: p["k"])
-    return sequences.select("name", F.explode(pairs).alias("p")).groupBy("name", F.col("p.c").alias("codon")).agg(F.count(F.lit(1)).alias("n"))
+    coded = F.when(F.length("seq") > 0, F.split("seq", "")).otherwise(F.array().cast("array<string>"))
+    marked = sequences.select("name", sq.digits(F.col("seq")).alias("d"), F.transform(coded, lambda c: F.when(c.isin(*sq.BASES), 0).otherwise(1000)).alias("k"))
+    pairs = F.arrays_zip(sq.codon_numbers(F.col("d")).alias("c"), sq.codon_numbers(F.col("k")).alias("k"))
+    kept = marked.select("name", F.explode(pairs).alias("p")).filter("p.k = 0")
+    return kept.groupBy("name", F.col("p.c").alias("codon")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def inner_stops(sequences: DataFrame) -> DataFrame:
     """(name, inner_stop): whether a reading frame has a stop codon before its last codon."""
-    return sequences.select("name", F.exists(sq.codon_numbers(sq.digits(F.col("seq"))), lambda c: c.isin(*sq.STOP_CODONS)).alias("inner_stop"))
+    coded = sequences.select("name", sq.digits(F.col("seq")).alias("d"))
+    return coded.select("name", F.exists(sq.codon_numbers(F.col("d")), lambda c: c.isin(*sq.STOP_CODONS)).alias("inner_stop"))
 
 
 def fragments(sequences: DataFrame, least: int = 2000, seed: int = 1) -> DataFrame:

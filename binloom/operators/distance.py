@@ -81,17 +81,18 @@ def pair_distances(profiles: DataFrame, alpha: list[float], below: float | None
     own = profiles.select(*names, F.pmod(F.xxhash64("contig"), F.lit(blocks)).cast("int").alias("block"))
     other = F.explode(F.array(*[F.lit(i) for i in range(blocks)])) if blocks <= 64 else F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = own.withColumn("j", other).select(*names, F.col("block").alias("i"), "j")
-    right = own.withColumn("i", other).select(*names, "i", F.col("block").alias("j"))
+    # every column of the second side gets a name of its own: both sides come of one frame
+    right = own.withColumn("i", other).select(*[F.col(c).alias(f"{c}_2") for c in names], F.col("i").alias("i_2"), F.col("block").alias("j_2"))
     a_n, k_n = np.array(alpha, dtype=float), np.array(kmer_alpha, dtype=float) if kmer_alpha else None
     kind = profiles.schema["contig"].dataType.simpleString()
 
     def tile(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         if one.empty or two.empty:
             return pd.DataFrame({"a": [], "b": [], "distance": []})
-        d = tile_distances(np.stack(one["profile"]).astype(float), np.stack(two["profile"]).astype(float), a_n, 1, q)
+        d = tile_distances(np.stack(one["profile"]).astype(float), np.stack(two["profile_2"]).astype(float), a_n, 1, q)
         if k_n is not None:
-            d = d + tile_distances(np.stack(one["kmer"]).astype(float), np.stack(two["kmer"]).astype(float), k_n, 64, q)
+            d = d + tile_distances(np.stack(one["kmer"]).astype(float), np.stack(two["kmer_2"]).astype(float), k_n, 64, q)
         i, j = np.nonzero(d < below) if below is not None else np.nonzero(np.ones_like(d, dtype=bool))
-        return pd.DataFrame({"a": one["contig"].to_numpy()[i], "b": two["contig"].to_numpy()[j], "distance": d[i, j]})
+        return pd.DataFrame({"a": one["contig"].to_numpy()[i], "b": two["contig_2"].to_numpy()[j], "distance": d[i, j]})
 
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(tile, f"a {kind}, b {kind}, distance double")
+    return left.groupBy("i", "j").cogroup(right.groupBy("i_2", "j_2")).applyInPandas(tile, f"a {kind}, b {kind}, distance double")

@@ -29,13 +29,13 @@ def nearest(points: DataFrame, k: int, tile_rows: int = TILE_ROWS) -> DataFrame:
     own = points.select("id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = own.withColumn("j", other).select("id", "v", F.col("block").alias("i"), "j")
-    right = own.withColumn("i", other).select("id", "v", "i", F.col("block").alias("j"))
+    right = own.withColumn("i", other).select(F.col("id").alias("id_2"), F.col("v").alias("v_2"), F.col("i").alias("i_2"), F.col("block").alias("j_2"))
 
     def tile(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         if one.empty or two.empty:
             return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
-        two = two.sort_values("id")
-        x, y, ids, names = np.stack(one["v"]), np.stack(two["v"]), one["id"].to_numpy(), two["id"].to_numpy()
+        two = two.sort_values("id_2")
+        x, y, ids, names = np.stack(one["v"]), np.stack(two["v_2"]), one["id"].to_numpy(), two["id_2"].to_numpy()
         keep, parts = min(k, len(y)), []
         for at in range(0, len(x), 256):
             part = x[at : at + 256]
@@ -48,7 +48,7 @@ def nearest(points: DataFrame, k: int, tile_rows: int = TILE_ROWS) -> DataFrame:
             parts.append(pd.DataFrame({"id": ids[at + i], "neighbour": names[j], "distance": exact}))
         return pd.concat(parts)
 
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(tile, "id long, neighbour long, distance double")
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i_2", "j_2")).applyInPandas(tile, "id long, neighbour long, distance double")
     order = Window.partitionBy("id").orderBy((F.col("id") != F.col("neighbour")).cast("int"), "distance", "neighbour")
     return found.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
 
