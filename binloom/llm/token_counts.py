@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binloom.llm._common import running_total, text_or_empty
+from binloom.llm._common import cut, running_total, text_or_empty
 from binloom.llm._tokens import ID_BYTES, default_path, encoder
 
 #: Lengths that one running total goes over at once.
@@ -48,6 +48,7 @@ def limit_curve(histogram: DataFrame) -> DataFrame:
     of all lower ones above the row before).  Between two rows, counts stay and tokens_truncated grows by
     docs_longer a step, so the rows answer every limit.
     """
+    histogram = cut(histogram)  # read three times below; the texts are encoded once
     rows = histogram.select("length", "docs", (F.col("length") * F.col("docs")).alias("tokens"), F.lit(0).alias("all"))
     rows = rows.withColumn("segment", -F.floor(F.col("length") / SEGMENT_LENGTHS))
     down = [F.col("length").desc()]
