@@ -62,12 +62,11 @@ def leaders(pairs: DataFrame, totals: DataFrame, d0: float = LEADER_DISTANCE) ->
     limit = own.select(F.col("contig").alias("b"), F.col("self").alias("self_b"))
     used = cut(pairs.join(limit, "b").filter((F.col("a") == F.col("b")) | (F.col("distance") < F.greatest(F.lit(d0), F.col("self_b")))).select("a", "b", "distance"))
     groups = graph.components(used.select("a", "b"), own.select(F.col("contig").alias("id")))
-    rank = F.struct((-F.col("total")).alias("t"), (-F.col("contig")).alias("c"))
-    ranked = totals.select(F.col("contig").alias("a"), rank.alias("r"))
-    keyed = used.join(groups.withColumnRenamed("id", "a"), "a").join(ranked, "a").select("a", "b", "distance", "comp", "r.t", "r.c")
+    ranked = totals.select(F.col("contig").alias("a"), F.col("total").cast("double").alias("t"))
+    keyed = used.join(groups.withColumnRenamed("id", "a"), "a").join(ranked, "a").select("a", "b", "distance", "comp", "t")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["t", "c"]).reset_index(drop=True)
+        part = part.sort_values(["t", "a"], ascending=False).reset_index(drop=True)
         part["rank_a"] = part.index
         part["rank_a"] = part.groupby("a", sort=False)["rank_a"].transform("min")
         return sweep(part, d0)
