@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle and checkpoint files of finished steps.
+
+    They go once the driver has collected the frames they belong to, which by itself it does rarely, so an
+    operator of many rounds asks for it; the driver's heap shrinks as well.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most_rows: int = 100_000) -> DataFrame:
     """Join with a table that is usually small: it is counted, broadcast up to ``most_rows``, shuffled beyond.
 

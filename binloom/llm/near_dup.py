@@ -8,7 +8,9 @@ independent.  A pair of similarity 0.75 misses all 60 bands with probability bel
 Links are confirmed on the full shingle sets.  Components need not see every link: equal sets are first
 folded into one class, then each bucket offers its members a leader, components found so far meet once per
 bucket, and at last all members of different components that still share a bucket are compared, so that no
-candidate link between two components is left out while links inside one are not expanded.
+candidate link between two components is left out while links inside one are not expanded.  Three bounds
+spare that last step most of its pairs: sets with many shingles of their own can have no link, sizes must
+allow one, and sketches of the signatures must (they miss a pair at 0.75 with probability below 1e-5).
 """
 
 from __future__ import annotations
@@ -22,13 +24,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binloom.llm._common import cut, text_or_empty
+from binloom.llm._common import cut, join_small, release, text_or_empty
 
 SHINGLE_WORDS = 5
 PERMUTATIONS, BAND_ROWS = 180, 6
 #: Words whose hash a Python worker remembers, so that its memory stays bounded.
 REMEMBERED_WORDS = 500_000
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
+#: Rows of a table of one or two numbers that is broadcast at most; it is counted first, and shuffled beyond.
+SMALL_ROWS = 500_000
+#: Bits of each signature value that a sketch keeps, and the deviations by which its estimate may fall below the similarity.
+SKETCH_BITS, SKETCH_DEVIATIONS = 4, 4.4
 _ODD = np.random.default_rng(20240611).integers(1, 2**63, size=SHINGLE_WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -87,6 +93,31 @@ def bands(low: np.ndarray, high: np.ndarray, rows: int = BAND_ROWS) -> np.ndarra
     return keys.view(np.int64)
 
 
+def sketch(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Four bits of every signature value, sixteen values in a long; the last long is filled up with zeros."""
+    values = _mix(np.concatenate([low, high])) & np.uint64(15)
+    values = np.concatenate([values, np.zeros(-len(values) % 16, np.uint64)]).reshape(-1, 16)
+    return (values << (np.arange(16, dtype=np.uint64) * np.uint64(SKETCH_BITS))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def most_differences(percent: int, permutations: int) -> int:
+    """How many values of two sketches may differ if their sets may be alike enough."""
+    count = 2 * permutations
+    match = percent / 100 + (1 - percent / 100) / (1 << SKETCH_BITS)
+    return int(count * (1 - match) + SKETCH_DEVIATIONS * (count * match * (1 - match)) ** 0.5)
+
+
+def _differences(one: str, two: str):
+    """How many values of two sketches differ."""
+
+    def nibbles(a, b):
+        x = a.bitwiseXOR(b)
+        some = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+        return F.bit_count(some.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return F.aggregate(F.zip_with(one, two, nibbles), F.lit(0), lambda acc, n: acc + n)
+
+
 def _raw_texts(column: pa.Array) -> Iterator[bytes]:
     for value in column.cast(pa.binary()):
         yield value.as_py() or b""
@@ -97,15 +128,17 @@ def _signed(permutations: int, rows: int):
         known = _WordHashes()
         factors, shifts = _permutations(permutations)
         for batch in batches:
-            counts, digests, keys = [], [], []
+            counts, digests, keys, sketches = [], [], [], []
             for text in _raw_texts(batch.column("_text")):
                 hashes = shingle_set(text, known)
                 counts.append(len(hashes))
                 digests.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
-                keys.append(bands(*min_max(hashes, factors, shifts), rows) if len(hashes) else np.empty(0, np.int64))
+                both = min_max(hashes, factors, shifts)
+                keys.append(bands(*both, rows) if len(hashes) else np.empty(0, np.int64))
+                sketches.append(sketch(*both) if len(hashes) else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n", "digest", "keys"],
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                ["doc_id", "n", "digest", "keys", "sketch"],
             )
 
     return run
@@ -118,6 +151,13 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.large_binary()).cast(pa.binary())], ["id", "hashes"])
 
 
+def _spread(batches):
+    for batch in batches:
+        for id_, hashes in zip(batch.column("id"), batch.column("hashes"), strict=True):
+            values = np.frombuffer(hashes.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), id_.as_py())), pa.array(values)], ["id", "hash"])
+
+
 def _linked(percent: int):
     def run(batches):
         for batch in batches:
@@ -149,10 +189,12 @@ def components(edges: DataFrame) -> DataFrame:
     labels = None
     while True:
         left = cut(left)
-        if left.isEmpty():
-            break
         both = left.union(left.select("b", "a"))
         parent = cut(both.groupBy("a").agg(F.min(near).alias("m")).select(F.col("a").alias("id"), F.least("m", own)["id"].alias("p")))
+        count = parent.count()
+        if not count:
+            break
+        parent = F.broadcast(parent) if count <= SMALL_ROWS else parent
         if labels is None:
             labels = parent.select("id", F.col("p").alias("root"))
         else:
@@ -166,8 +208,36 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.join(least, "root").select("id", "comp")
 
 
-def _similar_sizes(percent: int):
-    return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+def several(rows: DataFrame) -> DataFrame:
+    """The rows (key, comp, ...) of buckets that hold more than one component."""
+    meet = rows.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi").select("key")
+    return join_small(rows, cut(meet), ["key"], "left_semi", SMALL_ROWS)
+
+
+def shared_counts(ids: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, c): how many shingles of each set are in another set of ``ids`` too.
+
+    No intersection is larger than c, so a set with many shingles of its own is known to have no link
+    without being compared with anything.
+    """
+    spread = sets.join(ids, "id", "left_semi").mapInArrow(_spread, "id long, hash long")
+    common = spread.groupBy("hash").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id"))
+    alone = common.filter("k = 1").groupBy("id").agg(F.count(F.lit(1)).alias("u"))
+    sizes = sets.join(ids, "id", "left_semi").groupBy("id").agg((F.max(F.octet_length("hashes")) / 8).cast("long").alias("m"))
+    return sizes.join(alone, "id", "left").select("id", (F.col("m") - F.coalesce("u", F.lit(0))).alias("c"))
+
+
+def possible(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows (key, n, c, ...) whose set may link with the smallest set in its bucket that is not too small."""
+    least = rows.groupBy("key").agg(F.min("n").alias("_n"))
+    partner = F.greatest(F.col("_n"), F.ceil(F.col("n") * percent / 100))
+    return join_small(rows, cut(least), ["key"], most_rows=SMALL_ROWS).filter(F.col("c") * (100 + percent) >= (F.col("n") + partner) * percent).drop("_n")
+
+
+def _may_link(percent: int):
+    """|x and y| >= p (|x| + |y|) / (1 + p) must be possible, and neither set much larger than the other."""
+    both, sizes = F.least("x.c", "y.c"), F.col("x.n") + F.col("y.n")
+    return (both * (100 + percent) >= sizes * percent) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, permutations: int = PERMUTATIONS, band_rows: int = BAND_ROWS) -> DataFrame:
@@ -178,7 +248,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, permutations: int = PERM
     Ties need no rule: the smallest id names a component.  An empty table gives an empty result.
     """
     docs = docs.select("doc_id", text_or_empty().alias("_text"))
-    signed = cut(docs.mapInArrow(_signed(permutations, band_rows), "doc_id long, n long, digest binary, keys array<long>"))
+    signed = cut(docs.mapInArrow(_signed(permutations, band_rows), "doc_id long, n long, digest binary, keys array<long>, sketch array<long>"))
     full = signed.filter("n > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("digest", "n").agg(F.min("doc_id").alias("rep"))
     chosen = full.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi")
@@ -192,29 +262,48 @@ def near_duplicates(docs: DataFrame, percent: int = 75, permutations: int = PERM
     best = votes.groupBy("id").agg(F.max(F.struct("v", (-F.col("leader")).alias("l"))).alias("m"))
     tried = best.select((-F.col("m.l")).alias("a"), F.col("id").alias("b"))
     edges = cut(verified(tried, sets, percent))
+    del votes, best, leaders, rows
+    open_rows, labels = None, cut(components(edges))
     for round_ in range(STAR_ROUNDS + 1):
-        labels = components(edges)
-        placed = members.select("key", "id", "n").join(labels, "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
-        meet = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key", "lo")
-        placed = cut(placed.join(meet, "key"))
+        release(docs.sparkSession)
+        placed = members if open_rows is None else open_rows
+        placed = join_small(placed.drop("comp", "leader"), labels, ["id"], "left", SMALL_ROWS).withColumn("comp", F.coalesce("comp", "id"))
+        if open_rows is None:
+            placed = cut(several(placed))
+            shared = cut(shared_counts(placed.select("id").distinct(), sets))
+            placed = several(possible(join_small(placed, shared, ["id"], most_rows=SMALL_ROWS), percent))
+        open_rows = placed = cut(placed)
         if placed.isEmpty():
             break
+        end = F.struct("id", "n", "c")
         if round_ < STAR_ROUNDS:
-            ends = placed.groupBy("key", "comp", "lo").agg(F.min(F.struct("id", "n")).alias("e"))
-            first = ends.filter("comp = lo").select("key", F.col("e.id").alias("a"), F.col("e.n").alias("na"))
-            other = ends.filter("comp <> lo").select("key", F.col("e.id").alias("b"), F.col("e.n").alias("nb"))
-            pairs = first.join(other, "key")
+            lowest = placed.groupBy("key").agg(F.min("comp").alias("lo"))
+            ends = cut(placed.groupBy("key", "comp").agg(F.min(end).alias("e")).join(lowest, "key"))
+            pairs = ends.filter("comp = lo").select("key", F.col("e").alias("x")).join(ends.filter("comp <> lo").select("key", F.col("e").alias("y")), "key")
         else:
-            kinds = placed.select("key", "comp").distinct()
-            met = kinds.select("key", F.col("comp").alias("ca")).join(kinds.select("key", F.col("comp").alias("cb")), "key").filter("ca < cb")
-            one = placed.select("key", F.col("comp").alias("ca"), F.col("id").alias("a"), F.col("n").alias("na"))
-            two = placed.select("key", F.col("comp").alias("cb"), F.col("id").alias("b"), F.col("n").alias("nb"))
-            pairs = met.join(one, ["key", "ca"]).join(two, ["key", "cb"])
-        pairs = pairs.filter(_similar_sizes(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            # one end of each pair is outside the bucket's largest component, so that is never paired with itself;
+            # a pair leaves the join once, in the first bucket that it shares, and only if its sketches allow a link
+            counted = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
+            main = counted.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
+            ids = placed.select(F.col("id").alias("doc_id")).distinct()
+            own = chosen.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.first(F.struct("keys", "sketch")).alias("s"))
+            own = own.select(F.col("doc_id").alias("id"), "s.keys", "s.sketch")
+            tagged = cut(placed.join(main, "key").join(own, "id").select("key", "main", "comp", F.struct("id", "n", "c", "keys", "sketch").alias("x")))
+            one = tagged.filter("comp <> main").select("key", F.col("comp").alias("ca"), "x")
+            two = tagged.select("key", F.col("main"), F.col("comp").alias("cb"), F.col("x").alias("y"))
+            apart = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("x.id") < F.col("y.id")))
+            alike = _differences("x.sketch", "y.sketch") <= most_differences(percent, permutations)
+            first = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("key")
+            pairs = one.join(two, "key").filter(apart).filter(_may_link(percent)).filter(alike).filter(first)
+        pairs = pairs.filter(_may_link(percent)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
         pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+        release(docs.sparkSession)
         found = cut(verified(pairs, sets, percent))
-        tried, edges = tried.union(pairs), edges.union(found)
-    labels = components(edges)
+        tried = tried.union(pairs)
+        if not found.isEmpty():
+            edges = edges.union(found)
+            labels = cut(components(edges))
+    release(docs.sparkSession)
     named = classes.join(labels, classes["rep"] == labels["id"], "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))
     named = signed.filter("n > 0").select("doc_id", "n", "digest").join(named, "digest", "left").select("doc_id", "n", "component_id")
     alone = signed.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
