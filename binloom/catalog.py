@@ -213,14 +213,14 @@ def count_totals(spark, sf_dir):
 
 
 def _typed(name: str) -> str:
-    return f"round(avg(value) FILTER (event_type = '{name}'), 4) AS \"{name}\""
+    return f"round(avg(value) FILTER (event_type = '{name}'), 8) AS \"{name}\""
 
 
 @query(f"SELECT user_id AS contig, {_typed('click')}, {_typed('purchase')}, {_typed('view')} FROM events GROUP BY user_id")
 def count_matrix(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("contig"), F.col("event_type").alias("sample"), F.col("value").alias("count"))
     wide = counts.wide(rows, ["click", "purchase", "view"])
-    return wide.select("contig", *[r4(c).alias(c) for c in ("click", "purchase", "view")])
+    return wide.select("contig", *[F.round(c, 8).alias(c) for c in ("click", "purchase", "view")])
 
 
 @query(f"""
