@@ -69,5 +69,10 @@ def encoder(path: str) -> ChunkEncoder:
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
+def forget() -> None:
+    """Drop the encoders of this worker; operators that need its memory for other words call it first."""
+    _ENCODERS.clear()
+
+
 def crc32(ids: bytes) -> int:
     return zlib.crc32(ids)

@@ -24,12 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binloom.llm._common import cut, join_small, release, text_or_empty
+from binloom.llm._common import arrow_batches, cut, join_small, release, text_or_empty
+from binloom.llm._tokens import forget
 
 SHINGLE_WORDS = 5
 PERMUTATIONS, BAND_ROWS = 180, 6
 #: Words whose hash a Python worker remembers, so that its memory stays bounded.
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 120_000
+#: Rows of a batch that carries texts or sets.
+BATCH_ROWS = 512
 STAR_ROUNDS = 1
 #: Rows of a table of one or two numbers that is broadcast at most; it is counted first, and shuffled beyond.
 SMALL_ROWS = 500_000
@@ -125,6 +128,7 @@ def _raw_texts(column: pa.Array) -> Iterator[bytes]:
 
 def _signed(permutations: int, rows: int):
     def run(batches):
+        forget()
         known = _WordHashes()
         factors, shifts = _permutations(permutations)
         for batch in batches:
@@ -145,6 +149,7 @@ def _signed(permutations: int, rows: int):
 
 
 def _sets(batches):
+    forget()
     known = _WordHashes()
     for batch in batches:
         found = [shingle_set(text, known).tobytes() for text in _raw_texts(batch.column("_text"))]
@@ -177,6 +182,13 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ha", "hb").mapInArrow(_linked(percent), "a long, b long")
 
 
+def _step(df: DataFrame) -> DataFrame:
+    """A cut after which the driver lets go of what the step before it needed."""
+    out = cut(df)
+    release(df.sparkSession)
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp) for every end of an edge (a, b); comp is the smallest id that can be reached.
 
@@ -190,7 +202,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         left = cut(left)
         both = left.union(left.select("b", "a"))
-        parent = cut(both.groupBy("a").agg(F.min(near).alias("m")).select(F.col("a").alias("id"), F.least("m", own)["id"].alias("p")))
+        parent = _step(both.groupBy("a").agg(F.min(near).alias("m")).select(F.col("a").alias("id"), F.least("m", own)["id"].alias("p")))
         count = parent.count()
         if not count:
             break
@@ -248,29 +260,34 @@ def near_duplicates(docs: DataFrame, percent: int = 75, permutations: int = PERM
     Ties need no rule: the smallest id names a component.  An empty table gives an empty result.
     """
     docs = docs.select("doc_id", text_or_empty().alias("_text"))
-    signed = cut(docs.mapInArrow(_signed(permutations, band_rows), "doc_id long, n long, digest binary, keys array<long>, sketch array<long>"))
+    spark = docs.sparkSession
+    with arrow_batches(spark, BATCH_ROWS):
+        signed = _step(docs.mapInArrow(_signed(permutations, band_rows), "doc_id long, n long, digest binary, keys array<long>, sketch array<long>"))
     full = signed.filter("n > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("digest", "n").agg(F.min("doc_id").alias("rep"))
     chosen = full.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi")
     rows = chosen.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), "n")
     leaders = rows.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("_last")).filter("leader < _last").drop("_last")
-    members = cut(rows.join(leaders, "key"))
+    members = _step(rows.join(leaders, "key"))
     ids = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = cut(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, hashes binary"))
+    with arrow_batches(spark, BATCH_ROWS):
+        sets = _step(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, hashes binary"))
 
     votes = members.filter("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("v"))
     best = votes.groupBy("id").agg(F.max(F.struct("v", (-F.col("leader")).alias("l"))).alias("m"))
     tried = best.select((-F.col("m.l")).alias("a"), F.col("id").alias("b"))
-    edges = cut(verified(tried, sets, percent))
+    with arrow_batches(spark, BATCH_ROWS):
+        edges = _step(verified(tried, sets, percent))
     del votes, best, leaders, rows
     open_rows, labels = None, cut(components(edges))
     for round_ in range(STAR_ROUNDS + 1):
-        release(docs.sparkSession)
+        release(spark)
         placed = members if open_rows is None else open_rows
         placed = join_small(placed.drop("comp", "leader"), labels, ["id"], "left", SMALL_ROWS).withColumn("comp", F.coalesce("comp", "id"))
         if open_rows is None:
             placed = cut(several(placed))
-            shared = cut(shared_counts(placed.select("id").distinct(), sets))
+            with arrow_batches(spark, BATCH_ROWS):
+                shared = _step(shared_counts(placed.select("id").distinct(), sets))
             placed = several(possible(join_small(placed, shared, ["id"], most_rows=SMALL_ROWS), percent))
         open_rows = placed = cut(placed)
         if placed.isEmpty():
@@ -288,7 +305,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, permutations: int = PERM
             ids = placed.select(F.col("id").alias("doc_id")).distinct()
             own = chosen.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.first(F.struct("keys", "sketch")).alias("s"))
             own = own.select(F.col("doc_id").alias("id"), "s.keys", "s.sketch")
-            tagged = cut(placed.join(main, "key").join(own, "id").select("key", "main", "comp", F.struct("id", "n", "c", "keys", "sketch").alias("x")))
+            tagged = _step(placed.join(main, "key").join(own, "id").select("key", "main", "comp", F.struct("id", "n", "c", "keys", "sketch").alias("x")))
             one = tagged.filter("comp <> main").select("key", F.col("comp").alias("ca"), "x")
             two = tagged.select("key", F.col("main"), F.col("comp").alias("cb"), F.col("x").alias("y"))
             apart = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("x.id") < F.col("y.id")))
@@ -297,13 +314,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, permutations: int = PERM
             pairs = one.join(two, "key").filter(apart).filter(_may_link(percent)).filter(alike).filter(first)
         pairs = pairs.filter(_may_link(percent)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
         pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        release(docs.sparkSession)
-        found = cut(verified(pairs, sets, percent))
+        release(spark)
+        with arrow_batches(spark, BATCH_ROWS):
+            found = _step(verified(pairs, sets, percent))
         tried = tried.union(pairs)
         if not found.isEmpty():
             edges = edges.union(found)
             labels = cut(components(edges))
-    release(docs.sparkSession)
+    release(spark)
     named = classes.join(labels, classes["rep"] == labels["id"], "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))
     named = signed.filter("n > 0").select("doc_id", "n", "digest").join(named, "digest", "left").select("doc_id", "n", "component_id")
     alone = signed.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))

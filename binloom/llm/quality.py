@@ -18,13 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from binloom.llm._common import text_or_empty
+from binloom.llm._tokens import forget
 
 #: Hashed features: the words', the shapes' and the repetition's share one table.
 DIMENSIONS = 1 << 15
 #: Ratings that the model is fitted on at most: those with the least hash of their doc_id.
 SAMPLE_RATINGS = 4096
 #: Words that a Python worker remembers.
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 250_000
 #: A document is kept if its grade is at least this one with at least this probability.
 LEAST_GRADE, LEAST_TAIL = 1, 0.5
 STEPS, RATE, RIDGE = 250, 0.1, 1e-4
@@ -140,6 +141,7 @@ class _Scorer:
     """Scores of texts, with the weights of words met before at hand."""
 
     def __init__(self, model: Model | None, top: int):
+        forget()
         self.model, self.top = model, top
         self.weights = model.weights.astype(np.float64).tolist() if model else []
         self.known: dict[str, float] = {}
