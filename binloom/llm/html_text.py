@@ -187,13 +187,16 @@ def measure(nodes: list[Node]) -> None:
 
 def _mark(nodes: list[Node]) -> Node | None:
     """The subtree of the article: the largest density sum, widened to the part that calls itself article."""
-    body = next((n for n in nodes if n.tag == "body"), nodes[0])
-    inside = [n for n in nodes if n.chars and n.tag not in INLINE]
-    if not inside:
+    root = nodes[0]
+    if not root.chars:
         return None
+    # text before or after the body is the page's as well, so the root stands for a body that doesn't hold all of it
+    body = next((n for n in nodes if n.tag == "body" and n.chars == root.chars), root)
+    above = set(_path(body.parent))
+    inside = [n for n in nodes if n.chars and n.tag not in INLINE and n not in above]
     best = max(inside, key=lambda n: (n.total, n.chars))
     path = list(_path(best))
-    threshold = min((n.density for n in path[: path.index(body) + 1] if body in path), default=0.0)
+    threshold = min(n.density for n in path[: path.index(body) + 1])
     for up in path:
         if up.tag in ("article", "main") or (up.said and up is not body and up.density >= threshold):
             best = up

@@ -25,6 +25,15 @@ def test_main_text_of_odd_pages():
     assert html_text.main_text(f"<article><p>{long}</p></article>") == long
 
 
+def test_main_text_where_the_body_does_not_win():
+    for body in ("text", "<h1>404 Not Found</h1>", "<nav>n</nav><div>text</div>", "<a href=x>lone link</a>", "<p></p>"):
+        got = html_text.main_text(f"<html><head><title>t</title></head><body>{body}</body></html>")
+        assert got == {"<h1>404 Not Found</h1>": "404 Not Found", "<a href=x>lone link</a>": "lone link", "<p></p>": ""}.get(body, "text")
+    assert html_text.main_text(f"<body><p>short</p></body><div><p>{P}</p><p>{P * 2}</p></div>").split("\n")[-2:] == [P, P * 2]
+    assert html_text.main_text(f"<div><p>{P}</p><p>{P * 2}</p></div><body><script>x</script></body>").split("\n") == [P, P * 2]
+    assert P in html_text.main_text(f"<b>b<body><p>{P}</p></body>")
+
+
 def test_extract_rows(spark):
     made = spark.createDataFrame([(1, "u", f"<article><p>{P}</p></article>", "x"), (1, "u", f"<article><p>{P}</p></article>", "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     got = sorted(tuple(r) for r in html_text.extract(made).fillna({"page_id": -1, "url": ""}).collect())
