@@ -3,7 +3,8 @@
 Each node's density is its characters for each tag below it, adjusted by the share of link text (the
 composite text density of Sun, Song and Liao, "DOM based content extraction via text density", 2011).  A
 node is judged by the sum of its children's densities: the node with the largest sum holds the article, and
-along the path from body to it the least density gives the threshold below which other parts are dropped.
+along the path from body to it the least density gives the threshold: other parts that reach it are kept, each
+by its own node with the largest sum, and the rest is dropped.
 Parts that announce themselves as furniture (navigation, asides, forms, notices, comments and so on) are
 taken out before densities are computed.
 """
@@ -163,51 +164,111 @@ def _ordered(root: Node) -> list[Node]:
     return out
 
 
+def _count(n: Node) -> None:
+    own = sum(len("".join(c.split())) for c in n.children if isinstance(c, str))
+    below = [c for c in n.children if isinstance(c, Node) and hasattr(c, "chars")]
+    n.chars = own + sum(c.chars for c in below)
+    n.tags = sum(c.tags + 1 for c in below)
+    n.link_chars = n.chars if n.tag == "a" else sum(c.link_chars for c in below)
+    n.link_tags = sum(c.link_tags + (c.tag == "a") for c in below)
+
+
+def _density(n: Node, ratio: float) -> float:
+    tags, links, link_tags = max(n.tags, 1), max(n.link_chars, 1), max(n.link_tags, 1)
+    plain = max(n.chars - n.link_chars, 1)
+    base = math.log(n.chars / plain * links + ratio * n.chars + math.e)
+    return max(0.0, n.chars / tags * math.log(n.chars * tags / (links * link_tags)) / math.log(base))
+
+
 def measure(nodes: list[Node]) -> None:
     """Composite text density of every node, and the sum over its children."""
     for n in reversed(nodes):
-        own = sum(len("".join(c.split())) for c in n.children if isinstance(c, str))
-        below = [c for c in n.children if isinstance(c, Node) and hasattr(c, "chars")]
-        n.chars = own + sum(c.chars for c in below)
-        n.tags = sum(c.tags + 1 for c in below)
-        n.link_chars = n.chars if n.tag == "a" else sum(c.link_chars for c in below)
-        n.link_tags = sum(c.link_tags + (c.tag == "a") for c in below)
+        _count(n)
     body = nodes[0]
     ratio = body.link_chars / body.chars if body.chars else 0.0
     for n in reversed(nodes):
         if not n.chars:
             n.density = n.total = 0.0
             continue
-        tags, links, link_tags = max(n.tags, 1), max(n.link_chars, 1), max(n.link_tags, 1)
-        plain = max(n.chars - n.link_chars, 1)
-        base = math.log(n.chars / plain * links + ratio * n.chars + math.e)
-        n.density = max(0.0, n.chars / tags * math.log(n.chars * tags / (links * link_tags)) / math.log(base))
+        n.density = _density(n, ratio)
         n.total = sum(c.density for c in n.children if isinstance(c, Node) and hasattr(c, "density"))
 
 
-def _mark(nodes: list[Node]) -> Node | None:
-    """The subtree of the article: the largest density sum, widened to the part that calls itself article."""
+def _widened(best: Node, top: Node, body: Node) -> Node:
+    """``best`` widened, within ``top``, to the part that calls itself article, or to parents as dense as it."""
+    for up in _path(best):
+        if up.tag in ("article", "main") or up.said and up is not body:
+            best = up
+        if up is top or up.tag in ("article", "main"):
+            break
+    while best.tag != "article" and best is not top and best is not body and best.parent.density >= best.density and best.parent.link_chars * 3 < best.parent.chars:
+        best = best.parent
+    return best
+
+
+def _parts(node: Node, kept: set[Node], ratio: float, threshold: float) -> list[Node]:
+    """Children in ``kept`` in page order, and runs of text between block children, as parts of their own, where dense enough."""
+    out: list[Node] = []
+    run: Node | None = None
+    for c in node.children:
+        if isinstance(c, Node) and (c in kept or c.tag not in INLINE and c.tag != "br"):
+            run = None
+            if c in kept:
+                out.append(c)
+            continue
+        if run is None:
+            out.append(run := Node("div", node))
+        run.children.append(c)
+    for part in out:
+        if part not in kept:
+            _count(part)
+            part.density = _density(part, ratio) if part.chars else 0.0
+    return [p for p in out if p.density and p.density >= threshold or p in kept]
+
+
+def _mark(nodes: list[Node]) -> list[Node]:
+    """Subtrees of the article in page order, none inside another.
+
+    The subtree of the largest density sum is one; the least density from it up to the body is the threshold.
+    Any other part that reaches it, as all parts around it do, gives its own subtree of the largest sum.
+    """
     root = nodes[0]
     if not root.chars:
-        return None
+        return []
     # text before or after the body is the page's as well, so the root stands for a body that doesn't hold all of it
     body = next((n for n in nodes if n.tag == "body" and n.chars == root.chars), root)
-    above = set(_path(body.parent))
-    inside = [n for n in nodes if n.chars and n.tag not in INLINE and n not in above]
-    best = max(inside, key=lambda n: (n.total, n.chars))
+    largest: dict[Node, Node] = {}  # the block of the largest sum in each subtree
+    for n in reversed(nodes):
+        found = [n] if n.chars and (n.tag not in INLINE or n is body) else []
+        found += [largest[c] for c in n.children if isinstance(c, Node) and c in largest]
+        if found:
+            largest[n] = max(found, key=lambda x: (x.total, x.chars))
+    best = largest[body]
     path = list(_path(best))
     threshold = min(n.density for n in path[: path.index(body) + 1])
-    for up in path:
-        if up.tag in ("article", "main") or (up.said and up is not body and up.density >= threshold):
-            best = up
-            if up.tag in ("article", "main"):
-                break
-    if best.tag == "article":
-        # several articles side by side are one text if each is as dense as the path asks
-        return best
-    while best.parent and best is not body and best.parent.density >= best.density and best.parent.link_chars * 3 < best.parent.chars:
-        best = best.parent
-    return best
+    marked: set[Node] = set()
+    opened: set[Node] = set()  # parts around marked ones
+    todo = [body]
+    while todo:
+        node = todo.pop()
+        if node in marked or node.density < threshold:
+            continue
+        if node not in opened:
+            top = _widened(largest[node], node, body)
+            marked.add(top)
+            while top is not node:
+                top = top.parent
+                opened.add(top)
+        if node in opened:
+            todo += [c for c in node.children if isinstance(c, Node) and c in largest]
+    kept, tops, todo = marked | opened, [], [body]
+    while todo:
+        node = todo.pop()
+        if node in opened:
+            todo += reversed(_parts(node, kept, root.link_chars / root.chars, threshold))
+        else:
+            tops.append(node)
+    return tops
 
 
 def _blocks(top: Node) -> list[str]:
@@ -238,8 +299,7 @@ def main_text(source: str) -> str:
     """The article's blocks joined by line feeds; empty if the page has no visible text."""
     nodes = _ordered(parse(source))
     measure(nodes)
-    top = _mark(nodes)
-    return "\n".join(_blocks(top)) if top else ""
+    return "\n".join(text for top in _mark(nodes) for text in _blocks(top))
 
 
 def _extracted(batches):

@@ -34,6 +34,17 @@ def test_main_text_where_the_body_does_not_win():
     assert P in html_text.main_text(f"<b>b<body><p>{P}</p></body>")
 
 
+def test_main_text_in_several_parts():
+    links = "<div>" + "".join(f"<a href={i}>link {i}</a> " for i in range(9)) + "</div>"
+    for one, two in (("<article>", "</article>"), ("<div>", "</div>"), ("<section><div>", "</div></section>")):
+        page = f"<body>{links}{one}{f"<p>{P * 3}</p>" * 9}{two}{links}{one}<p>{P * 4}</p><p>{P}</p>{two}{links}{one}<p>{P}</p>{two}<div><a href=q>x</a> more</div>{links}</body>"
+        assert html_text.main_text(page).split("\n") == [P * 3] * 9 + [P * 4, P, P]
+    page = f"<body>{links}{P} <b>bold</b><br>{P}<div>{f"<p>{P * 3}</p>" * 9}</div>| <a href=q>x</a>{links}<h1>{P}</h1>{links}</body>"
+    assert html_text.main_text(page).split("\n") == [f"{P} bold {P}", *[P * 3] * 9, P]
+    deep = "<div>" * 3000 + f"<p>{P}</p>" + "</div>" * 3000
+    assert html_text.main_text(f"<body>{deep}{links}{deep}</body>").split("\n")[0] == P
+
+
 def test_extract_rows(spark):
     made = spark.createDataFrame([(1, "u", f"<article><p>{P}</p></article>", "x"), (1, "u", f"<article><p>{P}</p></article>", "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     got = sorted(tuple(r) for r in html_text.extract(made).fillna({"page_id": -1, "url": ""}).collect())
