@@ -6,7 +6,7 @@ node is judged by the sum of its children's densities: the node with the largest
 along the path from body to it the least density gives the threshold: other parts that reach it are kept, each
 by its own node with the largest sum, and the rest is dropped.
 Parts that announce themselves as furniture (navigation, asides, forms, notices, comments and so on) are
-taken out before densities are computed.
+taken out before densities are computed; where only a name or a form tells so, not those that seem to hold the article.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ INVISIBLE = frozenset("script style textarea title xmp iframe noembed noframes n
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-FURNITURE = frozenset("nav header footer aside form dialog menu fieldset".split())
+FURNITURE = frozenset("nav header footer aside dialog menu".split())
+#: Furniture unless the article may be in them: a form may go around a whole page.
+FORMS = frozenset(["form", "fieldset"])
 CLOSES_PARAGRAPH = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
 )
@@ -55,7 +57,11 @@ FURNITURE_WORDS = frozenset(
     share sharing social related recommended recommendations trending popular outbrain taboola
     form search searchform skip hidden disclaimer""".split()
 )
+#: Those of them that tell what readers wrote, which may be longer than the article.
+COMMENT_WORDS = frozenset("comment comments commentlist respond disqus discussion replies reply".split())
 ARTICLE_WORDS = frozenset("article post entry content main story body text".split())
+#: Words beside which header means the article's own.
+HEADED_WORDS = frozenset("article post entry story".split())
 
 _TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<bogus>[!?][^>]*(?:>|\Z))|/(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'=])*?)(?P<own>/?)(?:>|\Z))", re.S)
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
@@ -64,28 +70,75 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "furniture", "chars", "link_chars", "tags", "link_tags", "density", "total", "said")
+    __slots__ = ("tag", "parent", "children", "furniture", "doubt", "declares", "chars", "link_chars", "tags", "link_tags", "density", "total", "said")
 
     def __init__(self, tag: str, parent: Node | None, furniture: bool = False, said: bool = False):
         self.tag, self.parent, self.furniture, self.said = tag, parent, furniture, said
+        self.doubt, self.declares = "", False
         self.children: list[Node | str] = []
 
 
 def _furniture(tag: str, attrs: dict[str, str]) -> bool:
     if tag in FURNITURE or attrs.get("role", "").lower() in FURNITURE_ROLES:
         return True
-    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
-        return True
     if tag in ("html", "body", "main", "article"):
         return False
+    return "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I))
+
+
+def _furniture_words(attrs: dict[str, str]) -> set[str]:
+    """Words of class and id that tell furniture."""
     named = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower()
-    words = _WORDS.findall(named)
-    return any(w in FURNITURE_WORDS for w in words)
+    words = set(_WORDS.findall(named))
+    found = words & FURNITURE_WORDS
+    return set() if found == {"header"} and words & HEADED_WORDS else found
+
+
+def _children(node: Node) -> Iterator[Node]:
+    return (c for c in node.children if isinstance(c, Node) and not c.furniture and c.tag not in INVISIBLE)
+
+
+def _settle(root: Node) -> None:
+    """Makes furniture of the parts that are so by a word of their name, or as forms, only.
+
+    Such a part stays in, for the density to judge, where no article or main is beside it and it either contains one
+    or holds more than half of the page's text outside links; the latter isn't enough for comments.
+    """
+    order, todo = [], [root]
+    while todo:
+        order.append(node := todo.pop())
+        todo += _children(node)
+    declared: dict[Node, int] = {}  # articles in each subtree
+    for n in reversed(order):
+        declared[n] = n.declares + sum(declared[c] for c in _children(n))
+    plain: dict[Node, int] = {}  # characters outside links
+    scopes = [root]
+    while scopes:
+        doubtful, beside, todo = [], 0, [(scopes.pop(), 0)]
+        while todo:
+            node, above = todo.pop()
+            for c in _children(node):
+                if c.doubt:
+                    doubtful.append((c, above))
+                else:
+                    beside += c.declares
+                    todo.append((c, above + c.declares))
+        for c, above in doubtful:
+            c.furniture = beside > above
+            if not c.furniture and not declared[c]:
+                if not plain:
+                    for n in reversed(order):
+                        own = sum(len("".join(x.split())) for x in n.children if isinstance(x, str))
+                        plain[n] = 0 if n.tag == "a" else own + sum(plain.get(x, 0) for x in n.children if isinstance(x, Node))
+                c.furniture = c.doubt == "comments" or 2 * plain[c] <= plain[root]
+            if not c.furniture:
+                scopes.append(c)
 
 
 def parse(source: str) -> Node:
     """A forgiving tree: unknown ends are skipped, open paragraphs and items close where HTML closes them."""
     root = node = Node("html", None)
+    doubts = False
     at, size, found = 0, len(source), _TAG.match
     while at < size:
         lt = source.find("<", at)
@@ -127,12 +180,21 @@ def parse(source: str) -> Node:
         attrs = {k.lower(): next((v for v in (a, b, c) if v), "") for k, a, b, c in _ATTR.findall(m["attrs"] or "")} if m["attrs"] else {}
         words = set(_WORDS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())) if attrs else set()
         new = Node(tag, node, _furniture(tag, attrs), tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article") or attrs.get("itemprop") == "articleBody" or bool(words & ARTICLE_WORDS))
+        furniture_words = _furniture_words(attrs) if attrs else set()
+        role = attrs.get("role", "").lower()
+        own = tag in ("main", "article") or role in ("main", "article") or attrs.get("itemprop") == "articleBody"
+        new.declares = own and (not furniture_words or tag == "main" or role == "main")
+        if (furniture_words or tag in FORMS) and tag not in ("html", "body", "main", "article"):
+            new.doubt = "comments" if furniture_words & COMMENT_WORDS else "name"
+            doubts = True
         node.children.append(new)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(source, at)
             at = close.end() if close else size
         elif tag not in VOID and not (m["own"] and tag not in INLINE and tag not in CLOSES_PARAGRAPH):
             node = new
+    if doubts:
+        _settle(root)
     return root
 
 
@@ -160,7 +222,7 @@ def _ordered(root: Node) -> list[Node]:
     while todo:
         node = todo.pop()
         out.append(node)
-        todo += [c for c in reversed(node.children) if isinstance(c, Node) and not c.furniture and c.tag not in INVISIBLE]
+        todo += reversed([*_children(node)])
     return out
 
 

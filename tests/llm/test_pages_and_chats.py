@@ -45,6 +45,23 @@ def test_main_text_in_several_parts():
     assert html_text.main_text(f"<body>{deep}{links}{deep}</body>").split("\n")[0] == P
 
 
+def test_main_text_in_parts_named_like_furniture():
+    text = f"<h1>Title</h1><p>{P}</p><p>{P * 2}</p>"
+    want = ["Title", P, P * 2]
+    for name in ("has-sidebar", "no-sidebar", "header-fixed", "share-enabled", "post-related", "comments-open"):
+        assert html_text.main_text(f"<body><nav>n</nav><div class='{name}'><article>{text}</article></div></body>").split("\n") == want
+        if name != "comments-open":
+            assert html_text.main_text(f"<body><div id=x class='{name}'>{text}</div><div class=ad>advert</div></body>").split("\n") == want
+    assert html_text.main_text(f"<body><form id=aspnetForm><fieldset>{text}</fieldset><div class=ad>advert</div></form></body>").split("\n") == want
+    assert html_text.main_text(f"<body><article><div class='article-header'><h1>Title</h1></div><p>{P}</p><p>{P * 2}</p></article></body>").split("\n") == want
+    assert html_text.main_text(f"<body style='visibility:hidden'><article hidden>{text}</article><div hidden>{P}</div></body>").split("\n") == want
+    # what is furniture beside an article, or within a wrapper, stays out
+    more = f"<div class='comments'><article class='comment'><p>{P * 9}</p></article></div><div class='related-posts'><article><p>{P * 9}</p></article></div>"
+    assert html_text.main_text(f"<body><main><article>{text}</article>{more}</main></body>").split("\n") == want
+    assert html_text.main_text(f"<body><div class='has-sidebar'><article>{text}</article>{more}</div></body>").split("\n") == want
+    assert html_text.main_text(f"<body><div class='content'>{text}</div><div class='comments'><p>{P * 9}</p></div></body>").split("\n") == want
+
+
 def test_extract_rows(spark):
     made = spark.createDataFrame([(1, "u", f"<article><p>{P}</p></article>", "x"), (1, "u", f"<article><p>{P}</p></article>", "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     got = sorted(tuple(r) for r in html_text.extract(made).fillna({"page_id": -1, "url": ""}).collect())
