@@ -1,9 +1,10 @@
 """I-Match fingerprints over randomised lexicons (DataFrame functions only).
 
-The lexicon holds the terms whose document frequency lies in a band of inverse document frequency.  Each of
-several families gives nested random subsets of it, every one half of the one before; a document's slot for
-a family is the hash of its terms in the narrowest subset that still holds any of them.  Documents agree in
-a slot when these terms are the same, so a family has nothing to say about the many terms it left out.
+The lexicon holds the terms whose document frequency lies in a band of inverse document frequency.  Chains of
+nested random subsets of it, every one half of the one before, are the families' lexicons, the same for all
+documents; a document's slot for a family is the hash of all its terms, sorted, in the family's lexicon, or of
+all its terms in the band where that lexicon holds none of them.  Documents agree in a slot when these terms are
+the same, so a family has nothing to say about the many terms it left out.
 
 The next document is found without a global window: ids are cut into ranges at quantiles, texts move once
 to their range, and the first row of each range is also sent to the range before it.
@@ -24,7 +25,10 @@ LEAST_SHARE, MOST_SHARE = 1 / 2000, 1 / 20
 FAMILIES = 16
 #: Rows of a range of ids, until there are MOST_RANGES of them.
 RANGE_ROWS, MOST_RANGES = 4096, 16384
-_LEVEL = 52
+#: Lexicons of a chain: the first holds half of the terms, each of the others half of the one before.
+LEVELS = 8
+#: Chains that the bits of one 64-bit hash serve.
+_CHAINS = 64 // LEVELS
 
 
 def terms(text: Column) -> Column:
@@ -39,24 +43,20 @@ def lexicon(texts: DataFrame, count: int, least: float = LEAST_SHARE, most: floa
 
 
 def slots(band: Column, fallback: Column, families: int = FAMILIES) -> Column:
-    """One long for each family; all of them ``fallback`` where no term of the document is in the lexicon."""
-    mask = F.lit((1 << _LEVEL) - 1)
+    """One long for each family, from the sorted terms ``band``; all of them ``fallback`` where it holds none."""
 
-    def leveled(family: int):
-        def one(term: Column) -> Column:
-            x = F.xxhash64(term, F.lit(family))
-            y = F.shiftrightunsigned(x, 20)
-            level = F.bit_count(F.bitwise_not(y).bitwiseAND(y - 1))  # trailing zeros: each level halves the lexicon
-            return F.shiftleft(level.cast("long"), _LEVEL).bitwiseOR(x.bitwiseAND(mask))
+    def within(family: int) -> Column:
+        chain, level = family // LEVELS, family % LEVELS + 1
+        mask = F.lit((1 << level) - 1)  # each level halves the lexicon
 
-        return one
+        def listed(term: Column) -> Column:
+            bits = term if chain < _CHAINS else F.xxhash64(term, F.lit(chain // _CHAINS))
+            return F.shiftrightunsigned(bits, chain % _CHAINS * LEVELS).bitwiseAND(mask) == 0
 
-    def narrowest(acc: Column, p: Column) -> Column:
-        mine, other = F.shiftright(acc, _LEVEL), F.shiftright(p, _LEVEL)
-        return F.when(other > mine, p).when(other == mine, acc.bitwiseXOR(p.bitwiseAND(mask))).otherwise(acc)
+        return F.filter(band, listed)
 
-    each = [F.aggregate(F.transform(band, leveled(f)), F.lit(-1).cast("long"), narrowest) for f in range(families)]
-    return F.when(F.size(band) > 0, F.array(*each)).otherwise(F.array_repeat(fallback, families))
+    each = F.transform(F.array(*map(within, range(families))), lambda kept: F.xxhash64(F.when(F.size(kept) > 0, kept).otherwise(band)))
+    return F.when(F.size(band) > 0, each).otherwise(F.array_repeat(fallback, families))
 
 
 def written(slots_: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -144,6 +145,27 @@ def test_fingerprints(spark, rows, monkeypatch):
     assert all(len(v) <= 1 for v in prints.values())
 
 
+def test_slots_hash_all_terms_of_shared_lexicons(spark):
+    rng = random.Random(4)
+    base = [rng.getrandbits(63) for _ in range(40)]
+    bands = [sorted(set(rng.sample(base, n)) | ({base[0]} if n else set())) for n in (0, 1, 3, 30, 38, 39, 39, 39, 40, 40)]
+    whole, without = sorted(base), [sorted(set(base) - {t}) for t in base]
+    made = spark.createDataFrame(list(enumerate([*bands, whole, *without])), "id long, band array<long>").coalesce(1)
+    got = {r["id"]: r["s"] for r in made.select("id", fp.slots(F.col("band"), F.col("id")).alias("s")).collect()}
+    assert got[0] == [0] * fp.FAMILIES
+    at = len(bands)
+    assert sum(x != y for i in range(len(base)) for x, y in zip(got[at], got[at + 1 + i], strict=True)) > len(base)
+    agreed = 0
+    for f in range(fp.FAMILIES):
+        chain, level = divmod(f, fp.LEVELS)
+        listed = {t for t in base if (t >> chain * fp.LEVELS) % 2 ** (level + 1) == 0}
+        want = [sorted(listed & set(b)) or b for b in bands]
+        for i, j in itertools.combinations(range(1, len(bands)), 2):
+            assert (got[i][f] == got[j][f]) == (want[i] == want[j])
+            agreed += want[i] == want[j] != bands[i]
+    assert agreed
+
+
 def test_mixing(docs, rows):
     sizes = [len(WORD.findall(r[1] or "")) for r in rows]
     total, by = sum(sizes), collections.Counter()
