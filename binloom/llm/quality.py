@@ -2,7 +2,8 @@
 
 One weight vector over hashed text features serves every grade; ordered thresholds cut its score:
 P(grade >= k) = 1 / (1 + exp(threshold_k - score)).  A document's score is the mean over its words of what
-each word's features weigh, so words once met are looked up, and texts of any length are read whole.
+each word's features weigh, so words once met are looked up, and texts of any length are read whole.  With
+``marking``, one more feature is not divided by the length: whether any word that marks middle grades occurs.
 The model is fitted on the driver from a bounded sample of ratings.
 """
 
@@ -26,6 +27,9 @@ DIMENSIONS = 1 << 15
 SAMPLE_RATINGS = 4096
 #: Words that a Python worker remembers.
 REMEMBERED_WORDS = 250_000
+#: A word marks middle grades if at least the first share of their rated texts has it, and at least the second share of
+#: the texts with it, poor ones aside, are of middle grades.
+MARK_COVER, MARK_SHARE = 0.1, 0.9
 #: A document is kept if its grade is at least this one with at least this probability.
 LEAST_GRADE, LEAST_TAIL = 1, 0.5
 STEPS, RATE, RIDGE = 250, 0.1, 1e-4
@@ -34,6 +38,7 @@ SEED = 20240601
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
 _REPEATED = xxhash.xxh3_64_intdigest(b"repeated") % DIMENSIONS
+_MARKED, _WIDTH = DIMENSIONS, DIMENSIONS + 1  # a place of its own after the hashed ones
 
 
 def _shape(word: str) -> str:
@@ -47,6 +52,29 @@ def word_features(word: str) -> tuple[int, int]:
     return digest(b"w" + word.lower().encode()) % DIMENSIONS, digest(b"s" + _shape(word).encode()) % DIMENSIONS
 
 
+def word_key(word: str) -> int:
+    """A signed 64-bit hash of a word's letters and digits in lower case."""
+    return xxhash.xxh3_64_intdigest("".join(filter(str.isalnum, word.lower())).encode()) - (1 << 63)
+
+
+_NO_WORD = word_key("")
+
+
+def marking_words(keys: list[np.ndarray], grades: np.ndarray, top: int) -> frozenset[int]:
+    """Keys of the words that mark middle grades, from the distinct keys of each rated text."""
+    middle = [k for k, g in zip(keys, grades, strict=True) if 0 < g < top]
+    if not middle:
+        return frozenset()
+    found, n = np.unique(np.concatenate(middle), return_counts=True)
+    often = (n >= MARK_COVER * len(middle)) & (found != _NO_WORD)
+    found, n = found[often], n[often]
+    others = np.zeros(len(found), np.int64)
+    for k, g in zip(keys, grades, strict=True):
+        if g == top:
+            others += np.isin(found, k, assume_unique=True)
+    return frozenset(found[n >= MARK_SHARE * (n + others)].tolist())
+
+
 class _Features(dict):
     def __missing__(self, word: str):
         if len(self) >= REMEMBERED_WORDS:
@@ -70,6 +98,7 @@ def text_features(text: str, known: dict) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     weights: np.ndarray
     thresholds: np.ndarray  # rising; number k is the least grade k + 1's
+    marks: frozenset[int] = frozenset()  # keys of the words that mark middle grades
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= 1), P(grade >= 2), ... for each score."""
@@ -80,17 +109,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, top: int) -> Model:
+def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, top: int, marks: frozenset[int] = frozenset()) -> Model:
     """Maximum likelihood with a ridge, by Adam on all rows; the gaps between thresholds are exponentials."""
     grades = np.asarray(grades, dtype=np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(n) for n, _ in rows])
     numbers, values = np.concatenate([n for n, _ in rows]), np.concatenate([v for _, v in rows]).astype(np.float64)
     shares = np.array([(np.sum(grades >= k) + 0.5) / (len(grades) + 1) for k in range(1, top + 1)])
     start = -np.log(shares / (1 - shares))
-    theta = np.concatenate([np.zeros(DIMENSIONS), start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
+    theta = np.concatenate([np.zeros(_WIDTH), start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
-        w, cuts = theta[:DIMENSIONS], np.cumsum(np.concatenate([theta[DIMENSIONS : DIMENSIONS + 1], np.exp(theta[DIMENSIONS + 1 :])]))
+        w, cuts = theta[:_WIDTH], np.cumsum(np.concatenate([theta[_WIDTH : _WIDTH + 1], np.exp(theta[_WIDTH + 1 :])]))
         score = np.bincount(owner, values * w[numbers], minlength=len(rows))
         bounds = np.concatenate([[-np.inf], cuts, [np.inf]])
         # P(grade) = s(score - low) - s(score - high); its log's derivative by low and by high
@@ -100,41 +129,56 @@ def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, top:
         da, db = a * (1 - a) / p, b * (1 - b) / p
         by_score = -(da - db) / len(rows)
         grad = np.empty_like(theta)
-        grad[:DIMENSIONS] = np.bincount(numbers, values * by_score[owner], minlength=DIMENSIONS) + RIDGE * w
+        grad[:_WIDTH] = np.bincount(numbers, values * by_score[owner], minlength=_WIDTH) + RIDGE * w
         by_cut = np.zeros(top + 2)
         np.add.at(by_cut, grades, da / len(rows))
         np.add.at(by_cut, grades + 1, -db / len(rows))
         later = np.cumsum(by_cut[1 : top + 1][::-1])[::-1]
-        grad[DIMENSIONS:] = later * np.concatenate([[1.0], np.exp(theta[DIMENSIONS + 1 :])])
+        grad[_WIDTH:] = later * np.concatenate([[1.0], np.exp(theta[_WIDTH + 1 :])])
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         theta = theta - RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return Model(theta[:DIMENSIONS].astype(np.float32), np.cumsum(np.concatenate([theta[DIMENSIONS : DIMENSIONS + 1], np.exp(theta[DIMENSIONS + 1 :])])))
+    return Model(theta[:_WIDTH].astype(np.float32), np.cumsum(np.concatenate([theta[_WIDTH : _WIDTH + 1], np.exp(theta[_WIDTH + 1 :])])), marks)
 
 
-def _featured(batches):
-    known = _Features()
-    for batch in batches:
-        found = [text_features(x.as_py(), known) for x in batch.column("_text")]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("grade"), pa.array([n for n, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32()))], ["grade", "numbers", "values"]
-        )
+def _featured(marking: bool):
+    def run(batches):
+        known = _Features()
+        for batch in batches:
+            texts = batch.column("_text").to_pylist()
+            found = [text_features(x, known) for x in texts]
+            keys = [sorted({word_key(w) for w in {*x.split()}}) if marking else [] for x in texts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("grade"), pa.array([n for n, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32())), pa.array(keys, pa.list_(pa.int64()))],
+                ["grade", "numbers", "values", "keys"],
+            )
+
+    return run
 
 
-def fit(docs: DataFrame, ratings: DataFrame, top: int, sample: int = SAMPLE_RATINGS) -> Model | None:
+def fit(docs: DataFrame, ratings: DataFrame, top: int, sample: int = SAMPLE_RATINGS, marking: bool = False) -> Model | None:
     """The model for ratings (doc_id, grade 0 to ``top``) of ``docs``; None where no rating meets a text.
 
     Rows without doc_id or grade are left out.  At most ``sample`` ratings are used, so the table that is
-    broadcast and the features that come to the driver are bounded whatever the size of the corpus.
+    broadcast and the features that come to the driver are bounded whatever the size of the corpus.  With
+    ``marking`` the words that mark middle grades are sought among them, however rare they are in a text.
     """
     usable = ratings.filter("doc_id IS NOT NULL AND grade IS NOT NULL").select("doc_id", F.col("grade").cast("int").alias("grade"))
     chosen = usable.withColumn("h", F.xxhash64("doc_id", F.lit(SEED))).orderBy("h", "doc_id", "grade").limit(sample)
     texts = docs.select("doc_id", text_or_empty().alias("_text")).join(F.broadcast(chosen), "doc_id").select("grade", "_text")
-    table = texts.mapInArrow(_featured, "grade int, numbers array<int>, values array<float>").toArrow()
+    table = texts.mapInArrow(_featured(marking), "grade int, numbers array<int>, values array<float>, keys array<long>").toArrow()
     rows = [(np.asarray(n.values), np.asarray(v.values)) for n, v in zip(table.column("numbers"), table.column("values"), strict=True)]
     order = sorted((i for i, r in enumerate(rows) if len(r[0])), key=lambda i: (len(rows[i][0]), rows[i][0].tobytes(), rows[i][1].tobytes(), table.column("grade")[i].as_py()))
     if not order:
         return None
-    return fit_rows([rows[i] for i in order], np.clip([table.column("grade")[i].as_py() for i in order], 0, top), top)
+    grades = np.clip([table.column("grade")[i].as_py() for i in order], 0, top)
+    if not marking:
+        return fit_rows([rows[i] for i in order], grades, top)
+    keys = [np.asarray(table.column("keys")[i].values) for i in order]
+    marks = marking_words(keys, grades, top)
+    sought = np.array(sorted(marks), np.int64)
+    marked = [np.isin(sought, k, assume_unique=True).any() for k in keys]
+    rows = [(np.append(rows[i][0], _MARKED), np.append(rows[i][1], 1.0)) if m else rows[i] for i, m in zip(order, marked, strict=True)]
+    return fit_rows(rows, grades, top, marks)
 
 
 class _Scorer:
@@ -145,6 +189,7 @@ class _Scorer:
         self.model, self.top = model, top
         self.weights = model.weights.astype(np.float64).tolist() if model else []
         self.known: dict[str, float] = {}
+        self.marking: set[str] = set()  # those of the known words that mark middle grades
 
     def __call__(self, texts: list[str]) -> tuple[list[float], np.ndarray]:
         """The score of each text, and its tail probabilities."""
@@ -159,12 +204,16 @@ class _Scorer:
             fresh = {w for w in words if w not in known}
             if len(known) + len(fresh) > REMEMBERED_WORDS:
                 known.clear()
+                self.marking.clear()
                 fresh = set(words)
             for w in fresh:
                 a, b = word_features(w)
                 known[w] = weights[a] + weights[b]
+            if self.model.marks:
+                self.marking.update(w for w in fresh if word_key(w) in self.model.marks)
+            marked = 0.0 if self.marking.isdisjoint(words) else weights[_MARKED]
             repeats = sum(map(str.__eq__, words, words[1:]))
-            scores.append((sum(map(known.__getitem__, words)) + repeats * weights[_REPEATED]) / len(words))
+            scores.append((sum(map(known.__getitem__, words)) + repeats * weights[_REPEATED]) / len(words) + marked)
         tails = self.model.tails(np.array(scores)) if self.model else np.ones((len(scores), self.top))
         tails[np.array(blank, dtype=bool)] = 0.0
         return scores, tails

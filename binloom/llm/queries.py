@@ -12,8 +12,8 @@ def op1_cumulative_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     from binloom.llm import quality
 
     docs, top = table(spark, sf_dir, "documents"), 2
-    model = quality.fit(docs, quality.document_grades(table(spark, sf_dir, "labels")), top)
-    return quality.selected(quality.score(docs, model, top))
+    model = quality.fit(docs, quality.document_grades(table(spark, sf_dir, "labels")), top, marking=True)
+    return quality.selected(quality.score(docs, model, top), top)
 
 
 def op2_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:

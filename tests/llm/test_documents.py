@@ -297,6 +297,25 @@ def test_quality_on_held_out_texts(spark):
     assert all(0 <= got[i]["expected_grade"] <= 2 and got[i]["tails"][0] >= got[i]["tails"][1] for i in got)
 
 
+def test_quality_rejects_rare_toxic_words_in_long_texts(spark):
+    rng = random.Random(5)
+
+    def text(grade):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) + "###" * (grade == 0) for _ in range(rng.randint(100, 600))]
+        if grade == 1:
+            words[rng.randrange(len(words))] = rng.choice(["awful", "Nasty", "vile."])
+        return " ".join(words)
+
+    grades = [rng.choice([0, 1, 2, 2, 2, 2]) for _ in range(600)]
+    rows = [(i, text(g)) for i, g in enumerate(grades)]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.fit(made, spark.createDataFrame([(i, grades[i]) for i in range(400)], "doc_id long, grade int"), 2, marking=True)
+    kept = {r["doc_id"] for r in quality.accepted(made, model, 2, 2).collect()}
+    assert kept == {r["doc_id"] for r in quality.selected(quality.score(made, model, 2), 2).filter("accepted").collect()}
+    assert kept == {i for i, g in enumerate(grades) if g == 2}
+    assert {r["doc_id"] for r in quality.accepted(made, model, 2, 1).collect()} == {i for i, g in enumerate(grades) if g}
+
+
 def test_quality_of_odd_rows(spark, docs, empty):
     nothing = spark.createDataFrame([], "doc_id long, grade int")
     assert quality.fit(docs, nothing, 2) is None and quality.fit(empty, nothing, 2) is None
