@@ -13,7 +13,7 @@ from binloom.functions import alignment as al
 from binloom.functions import numeric as nm
 from binloom.functions import sequence as sq
 from binloom.operators import binquality, clustering, composition, counts, distance, embedding, graph, hits, latent, nmf, normalise, priors, relational
-from binloom.storage import cut
+from binloom.storage import cut, shared_folder
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Prior of a letter, for all letters alike.
@@ -881,7 +881,7 @@ def _streamed(spark: SparkSession, source: DataFrame, mode: str, schema: str) ->
     """Rows that a stream hands to foreachBatch until its input ends, collected in the checkpoint folder."""
     import uuid
 
-    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")

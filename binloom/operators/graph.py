@@ -2,27 +2,52 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binloom.storage import cut
+from binloom.storage import cut, cut_counted
 
+#: Edges that one task joins at most; larger tables are contracted first.
+LOCAL_EDGES = 500_000
 
-def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+
+def _joined(batches):
+    """(id, comp) of all edges of one task: roots hook to smaller ones, and paths are pressed flat."""
+    found = [b for b in batches if b.num_rows]
+    if not found:
+        return
+    edges = pa.Table.from_batches(found)
+    ids = pc.unique(pa.chunked_array([*edges.column("a").chunks, *edges.column("b").chunks]))
+    ids = ids.take(pc.sort_indices(ids))
+    a, b = (pc.index_in(edges.column(c), ids).to_numpy() for c in ("a", "b"))
+    root = np.arange(len(ids))
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low < high
+        if not apart.any():
+            break
+        np.minimum.at(root, high[apart], low[apart])
+        while (flat := root[root]).tobytes() != root.tobytes():
+            root = flat
+    yield pa.RecordBatch.from_arrays([ids, ids.take(pa.array(root))], ["id", "comp"])
+
+
+def components(edges: DataFrame, nodes: DataFrame | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(id, comp) for edges (a, b): comp is the least id in reach.  ``nodes`` (id) adds isolated ones.
 
     Rounds of contraction: each node joins the neighbour of least hash, itself included; edges between
     joined nodes are rewritten and made distinct.  Neighbourhoods are reduced to minima, never gathered,
-    and the expected number of rounds is logarithmic.
+    and the expected number of rounds is logarithmic.  The last ``local_edges`` are joined by one task.
     """
     near = F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("id"))
     own = F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("id"))
-    left = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    kind = edges.schema["a"].dataType.simpleString()
+    left, count = cut_counted(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None
-    while True:
-        left = cut(left)
-        if left.isEmpty():
-            break
+    while count > local_edges:
         both = left.union(left.select("b", "a"))
         parent = cut(both.groupBy("a").agg(F.min(near).alias("m")).select(F.col("a").alias("id"), F.least("m", own)["id"].alias("p")))
         if labels is None:
@@ -30,11 +55,13 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         else:
             labels = cut(labels.join(parent.select(F.col("id").alias("root"), "p"), "root", "left").select("id", F.coalesce("p", "root").alias("root")))
         x, y = parent.select(F.col("id").alias("a"), F.col("p").alias("x")), parent.select(F.col("id").alias("b"), F.col("p").alias("y"))
-        left = left.join(x, "a").join(y, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        left, count = cut_counted(left.join(x, "a").join(y, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    last = left.coalesce(1).mapInArrow(_joined, f"id {kind}, comp {kind}")
     if labels is None:
-        found = edges.select(F.col("a").alias("id"), F.col("b").alias("comp")).limit(0)
+        found = last
     else:
-        found = labels.join(labels.groupBy("root").agg(F.min("id").alias("comp")), "root").select("id", "comp")
+        met = labels.join(last.select(F.col("id").alias("root"), "comp"), "root", "left").select("id", F.coalesce("comp", "root").alias("root"))
+        found = met.join(met.groupBy("root").agg(F.min("id").alias("comp")), "root").select("id", "comp")
     if nodes is None:
         return found
     return nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))

@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder (tests, notebooks).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names.
+
+    A session that names none has one in local mode only, where driver and executors are one process.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return "/tmp/checkpoints"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once; later reads come from storage that survives lost executors."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Compute ``df`` once into the shared folder; later reads survive lost executors."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` after a cut, and its number of rows, counted on the way."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return out, seen.get["rows"]

@@ -64,6 +64,8 @@ def test_components(spark, seed):
         parent[y] = x
     nodes = spark.createDataFrame([(i,) for i in [*parent, 999]], "id long")
     got = {r["id"]: r["comp"] for r in graph.components(spark.createDataFrame(edges, "a long, b long"), nodes).collect()}
+    for most in (0, 30):  # by rounds of contraction alone, and with the last edges joined by one task
+        assert got == {r["id"]: r["comp"] for r in graph.components(spark.createDataFrame(edges, "a long, b long"), nodes, most).collect()}
     assert got == {i: find(i) for i in parent} | {999: 999}
 
 
