@@ -9,11 +9,11 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from binloom.storage import cut
+
+__all__ = ["WORD", "arrow_batches", "cut", "hash_segment", "join_small", "release", "running_total", "table", "text_or_empty"]
 #: One word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Used only where the session names no checkpoint folder (tests, notebooks).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,15 +23,6 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared checkpoint folder; later reads survive lost executors."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
-    return df.checkpoint(eager=True)
-
-
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """What is computed inside goes to Python in batches of at most so many rows, which bounds a worker's memory for wide rows."""
@@ -68,8 +59,8 @@ def hash_segment(name: str, count: int, rows: int = 4096) -> Column:
     return F.shiftrightunsigned(name, 64 - bits) if bits else F.lit(0).cast("long")
 
 
-def running_total(df: DataFrame, keys: list[str], segment: str, order: list, value: str, out: str) -> DataFrame:
-    """Adds the exclusive running total of ``value`` along ``order`` within ``keys``, without one task per key.
+def running_total(df: DataFrame, keys: list[str], segment: str, order: list, totals: dict[str, str]) -> DataFrame:
+    """Adds, by name, exclusive running totals of columns along ``order`` within ``keys``, without one task per key.
 
     ``segment`` must not decrease along ``order``; neither it nor the keys may be null.  Rows are summed
     inside (keys, segment); the far fewer segment sums are then added up along each key.  So a hot key is
@@ -77,7 +68,9 @@ def running_total(df: DataFrame, keys: list[str], segment: str, order: list, val
     """
     within = Window.partitionBy(*keys, segment).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     along = Window.partitionBy(*keys).orderBy(segment).rowsBetween(Window.unboundedPreceding, -1)
-    sums = df.groupBy(*keys, segment).agg(F.sum(value).alias("_sum"))
-    base = sums.select(*keys, segment, F.coalesce(F.sum("_sum").over(along), F.lit(0)).alias("_base"))
-    inner = df.withColumn("_in", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    return inner.join(base, [*keys, segment]).withColumn(out, F.col("_base") + F.col("_in")).drop("_in", "_base")
+    none = F.lit(0)
+    sums = df.groupBy(*keys, segment).agg(*[F.sum(value).alias(f"_sum_{out}") for out, value in totals.items()])
+    base = sums.select(*keys, segment, *[F.coalesce(F.sum(f"_sum_{out}").over(along), none).alias(f"_base_{out}") for out in totals])
+    inner = df.withColumns({f"_in_{out}": F.coalesce(F.sum(value).over(within), none) for out, value in totals.items()})
+    found = inner.join(base, [*keys, segment]).withColumns({out: F.col(f"_base_{out}") + F.col(f"_in_{out}") for out in totals})
+    return found.drop(*[f"_{kind}_{out}" for out in totals for kind in ("in", "base")])

@@ -8,10 +8,10 @@ row; joined in order of ``seq`` the rows of a perspective are its rendering.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from binloom.llm._common import running_total, text_or_empty
+from binloom.llm._common import cut, join_small, running_total, text_or_empty
 
 #: Fixed values of the template.
 START, END, LINE = "<|im_start|>", "<|im_end|>", "\n"
@@ -30,36 +30,52 @@ def plain(text: Column) -> Column:
     return F.regexp_replace(text, r"<\|(im_start|im_end)\|>", "<| $1|>")
 
 
+def participants(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Views (key, viewer, perspective), and the few speakers (key, raw, name) who share a written name with another.
+
+    Speakers are told apart by their roles as given.  Of those whose written names are equal, the first by
+    role keeps it and the others add a full stop, which no written name has, and their number.
+    """
+    people = turns.groupBy("key", F.when(~F.col("is_system"), F.col("raw")).alias("viewer")).agg(F.lit(1).alias("_"))
+    base = F.when(F.col("viewer").isNotNull(), spoken_name(F.col("viewer")))
+    rank = F.row_number().over(Window.partitionBy("key", "base").orderBy("viewer"))
+    heard = F.max(F.col("viewer").isNotNull()).over(Window.partitionBy("key"))
+    named = people.select("key", "viewer", base.alias("base")).withColumns({"rank": rank, "heard": heard})
+    named = named.filter("viewer IS NOT NULL OR NOT heard")
+    written = F.when(F.col("rank") > 1, F.concat("base", F.lit("."), F.col("rank").cast("string"))).otherwise(F.col("base"))
+    views = cut(named.select("key", "viewer", written.alias("perspective"), "rank"))
+    renamed = cut(views.filter("viewer IS NOT NULL AND rank > 1").select("key", F.col("viewer").alias("raw"), F.col("perspective").alias("name")))
+    return views.drop("rank"), renamed
+
+
 def rotate(conversations: DataFrame) -> DataFrame:
     """Rows conv_id, perspective, turn, seq, role, name, rendered, mask, start, stop.
 
     Reads conv_id, turn, role and text.  ``role`` is as rendered, ``name`` is null but for users;
     ``rendered`` is the whole turn with its marks, ``start`` and ``stop`` its place in the rendering in
     characters, ``seq`` its place in turns from 0, ``mask`` whether it carries the loss.  Participants are
-    the distinct roles of a conversation but system; a null or empty role speaks as "unknown".  A
+    the distinct roles of a conversation but system, each by a written name of its own (see
+    ``participants``), which ``perspective`` gives; a null or empty role is one participant, "unknown".  A
     conversation of system turns alone is rendered once, with a null perspective and no loss.  Turns go by
-    turn number, null last, ties by speaker and text; repeated rows are turns of their own.  A null conv_id
+    turn number, null last, ties by role and text; repeated rows are turns of their own.  A null conv_id
     is one more conversation; a null text is empty.  An empty table gives no rows.
     """
     raw = F.coalesce(F.col("role").cast("string"), F.lit(""))
+    key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
     turns = conversations.select(
-        "conv_id", F.col("turn").cast("long").alias("turn"), plain(text_or_empty()).alias("text"),
-        F.when(raw == SYSTEM, SYSTEM).otherwise(spoken_name(raw)).alias("speaker"), (raw == SYSTEM).alias("is_system"),
+        "conv_id", key.alias("key"), F.col("turn").cast("long").alias("turn"), raw.alias("raw"), (raw == SYSTEM).alias("is_system"), plain(text_or_empty()).alias("text"),
     )
-    turns = turns.withColumn("key", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
-    speakers = turns.groupBy("key", F.when(~F.col("is_system"), F.col("speaker")).alias("perspective")).agg(F.lit(1).alias("_")).drop("_")
-    people = speakers.filter("perspective IS NOT NULL")
-    alone = speakers.join(people.select("key"), "key", "left_anti")
-    seen = turns.join(people.union(alone), "key")
-    own = F.coalesce(F.col("speaker") == F.col("perspective"), F.lit(False)) & ~F.col("is_system")
+    views, renamed = participants(turns)
+    named = join_small(turns, renamed, ["key", "raw"], "left").withColumn("spoken", F.coalesce("name", spoken_name(F.col("raw")))).drop("name")
+    seen = named.join(views, "key")
+    own = ~F.col("is_system") & F.col("raw").eqNullSafe(F.col("viewer"))
     role = F.when(F.col("is_system"), SYSTEM).when(own, ASSISTANT).otherwise(USER)
-    name = F.when(~F.col("is_system") & ~own, F.col("speaker"))
+    name = F.when(~F.col("is_system") & ~own, F.col("spoken"))
     head = F.concat(F.lit(START), role, F.coalesce(F.concat(F.lit(" name="), name), F.lit("")), F.lit(LINE))
     shown = seen.withColumns({
         "mask": own, "shown": role, "name": name, "rendered": F.concat(head, F.col("text"), F.lit(END + LINE)),
-        "who": F.coalesce("perspective", F.lit("")), "last": F.coalesce("turn", F.lit(2**62)),
+        "who": F.coalesce(F.concat(F.lit("="), F.col("viewer")), F.lit("")), "last": F.coalesce("turn", F.lit(2**62)), "one": F.lit(1).cast("long"),
     })
-    shown = shown.withColumn("segment", F.floor(F.col("last") / SEGMENT_TURNS)).withColumn("one", F.lit(1).cast("long")).withColumn("size", F.length("rendered").cast("long"))
-    order = ["last", "speaker", "is_system", "text"]
-    placed = running_total(running_total(shown, ["key", "who"], "segment", order, "size", "start"), ["key", "who"], "segment", order, "one", "seq")
+    shown = shown.withColumns({"segment": F.floor(F.col("last") / SEGMENT_TURNS), "size": F.length("rendered").cast("long")})
+    placed = running_total(shown, ["key", "who"], "segment", ["last", "raw", "text"], {"start": "size", "seq": "one"})
     return placed.select("conv_id", "perspective", "turn", "seq", F.col("shown").alias("role"), "name", "rendered", "mask", "start", (F.col("start") + F.col("size")).alias("stop"))

@@ -69,10 +69,11 @@ def likeness(one: Column, two: Column, families: int = FAMILIES) -> Column:
     return F.size(F.filter(F.zip_with(one, two, lambda a, b: a == b), lambda same: same)) / F.lit(float(families))
 
 
-def ranged(docs: DataFrame, count: int) -> DataFrame:
-    """Rows of doc_id and _text dealt to ranges: adds bucket and extra, 1 for a copy of the next range's first row.
+def ranged(docs: DataFrame, count: int, nulls: int) -> DataFrame:
+    """Rows of doc_id, _text and th dealt to ranges: adds bucket and extra, 1 for a copy of the next range's first row.
 
-    Ranges follow one another by falling number, the one of null ids (-1) last, and the last is followed by the first.
+    Ranges follow one another by falling number, and the last is followed by the first.  ``count`` rows have an id and
+    are cut at quantiles of it; the ``nulls`` others come after them, cut by th, the hash of the text.
     """
     ranges = min(MOST_RANGES, max(1, -(-count // RANGE_ROWS)))
     cuts: list[int] = []
@@ -88,17 +89,19 @@ def ranged(docs: DataFrame, count: int) -> DataFrame:
         )
     else:
         found = F.lit(0)
-    dealt = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(found))
-    firsts = {r["bucket"]: r["first"] for r in dealt.groupBy("bucket").agg(F.max("doc_id").alias("first")).collect()}  # a row for each range
+    bits = (min(MOST_RANGES, -(-nulls // RANGE_ROWS)) - 1).bit_length() if nulls else 0
+    part = F.shiftrightunsigned(F.col("th").bitwiseXOR(F.lit(-(2**63))), 64 - bits) if bits else F.lit(0)
+    dealt = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), part.cast("int") - (1 << bits)).otherwise(found))
+    firsts = {r["bucket"]: r["f"] for r in dealt.groupBy("bucket").agg(F.max(F.struct("doc_id", "th")).alias("f")).collect()}  # a row for each range
     order = sorted(firsts, reverse=True)
     before = {b: order[i - 1] for i, b in enumerate(order)}
-    pairs = dealt.sparkSession.createDataFrame([(b, firsts[b], before[b]) for b in order], "bucket int, first long, before int")
-    marked = dealt.join(F.broadcast(pairs), "bucket")  # at most MOST_RANGES rows and one more
-    is_first = F.col("doc_id").eqNullSafe(F.col("first"))
+    pairs = dealt.sparkSession.createDataFrame([(b, firsts[b]["doc_id"], firsts[b]["th"], before[b]) for b in order], "bucket int, first long, first_th long, before int")
+    marked = dealt.join(F.broadcast(pairs), "bucket")  # at most twice MOST_RANGES rows
+    is_first = F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("th") == F.col("first_th"))
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("extra"))
     copy = F.struct(F.col("before").alias("bucket"), F.lit(1).alias("extra"))
     places = F.when(is_first, F.array(own, copy)).otherwise(F.array(own))
-    return marked.select("doc_id", "_text", F.explode(places).alias("place")).select("doc_id", "_text", "place.bucket", "place.extra")
+    return marked.select("doc_id", "_text", "th", F.explode(places).alias("place")).select("doc_id", "_text", "th", "place.bucket", "place.extra")
 
 
 def fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE, families: int = FAMILIES) -> DataFrame:
@@ -106,22 +109,22 @@ def fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST
 
     Reads doc_id and text.  The edited text has its last third of code points replaced by as many first
     ones (or all) of the next document by falling doc_id; after the last comes the first.  Equal ids go by
-    falling text, null ids come last.  A null text is empty.  A text none of whose terms is in the lexicon
+    falling 64-bit hash of the text, null ids come last.  A null text is empty.  A text none of whose terms is in the lexicon
     is known by all its distinct terms, or, without any term, by itself; so equal texts have equal
     fingerprints.  A single document is next to itself.  An empty table gives no rows.
     """
-    texts = docs.select("doc_id", text_or_empty().alias("_text"))
-    count = texts.count()
-    words = cut(lexicon(texts, count, least, most))
-    place = Window.partitionBy("bucket").orderBy("extra", F.col("doc_id").desc_nulls_last(), F.col("_text").desc())
-    rows = ranged(texts, count).withColumn("following", F.lead("_text").over(place)).withColumn("pos", F.row_number().over(place))
+    texts = docs.select("doc_id", text_or_empty().alias("_text")).withColumn("th", F.xxhash64("_text"))
+    known, nulls = texts.agg(F.count("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    words = cut(lexicon(texts, known + nulls, least, most))
+    place = Window.partitionBy("bucket").orderBy("extra", F.col("doc_id").desc_nulls_last(), F.col("th").desc(), F.col("_text").desc())
+    rows = ranged(texts, known, nulls).withColumn("following", F.lead("_text").over(place)).withColumn("pos", F.row_number().over(place))
     size = F.length("_text")
     third = F.floor(size / 3).cast("int")
     edited = F.concat(F.substring("_text", F.lit(1), size - third), F.substring(F.coalesce("following", F.lit("")), F.lit(1), third))
-    rows = rows.select("bucket", "pos", "extra", "doc_id", size.cast("long").alias("n_chars"), "_text", edited.alias("edited"))
+    rows = rows.select("bucket", "pos", "extra", "doc_id", size.cast("long").alias("n_chars"), "_text", "th", edited.alias("edited"))
     rows = rows.select(
         "bucket", "pos", "extra", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        F.xxhash64("_text").alias("own_raw"), F.xxhash64("edited").alias("edited_raw"),
+        F.col("th").alias("own_raw"), F.xxhash64("edited").alias("edited_raw"),
         terms(F.col("_text")).alias("own"), terms(F.col("edited")).alias("new"),
     )
     keys = ["bucket", "pos", "extra", "doc_id", "n_chars", "edited_sha256", "own_all", "edited_all"]

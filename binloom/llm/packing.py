@@ -218,11 +218,11 @@ def pack(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFr
     that repeat a doc_id, and null ones, are packed each for itself.  Sequence numbers run from 0 without
     gaps.  An empty table packs into nothing.
     """
-    parts = cut(pieces(docs, path or default_path(), limit).withColumn("h", F.xxhash64("doc_id", "piece")))
+    parts = cut(pieces(docs, path or default_path(), limit).withColumn("h", F.xxhash64("doc_id", "piece", "ids_crc32")))
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``limit`` rows
     table = segments(plan(counts, limit))
     segmented = parts.withColumn("segment", hash_segment("h", sum(counts.values()))).withColumn("one", F.lit(1).cast("long"))
     order = [F.col("h").bitwiseXOR(F.lit(-(2**63))), "doc_id", "piece"]
-    ranked = running_total(segmented, ["length"], "segment", order, "one", "rank").drop("one", "segment", "h")
+    ranked = running_total(segmented, ["length"], "segment", order, {"rank": "one"}).drop("one", "segment", "h")
     names = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return ranked.mapInArrow(_placed(table, limit), names)

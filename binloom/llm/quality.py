@@ -158,13 +158,15 @@ def _featured(marking: bool):
 def fit(docs: DataFrame, ratings: DataFrame, top: int, sample: int = SAMPLE_RATINGS, marking: bool = False) -> Model | None:
     """The model for ratings (doc_id, grade 0 to ``top``) of ``docs``; None where no rating meets a text.
 
-    Rows without doc_id or grade are left out.  At most ``sample`` ratings are used, so the table that is
-    broadcast and the features that come to the driver are bounded whatever the size of the corpus.  With
+    Rows without doc_id or grade are left out; of rows that share a rated doc_id the last by text counts, once.
+    At most ``sample`` ratings are used, so the table that is broadcast and the features that come to the
+    driver are bounded whatever the size of the corpus.  With
     ``marking`` the words that mark middle grades are sought among them, however rare they are in a text.
     """
     usable = ratings.filter("doc_id IS NOT NULL AND grade IS NOT NULL").select("doc_id", F.col("grade").cast("int").alias("grade"))
     chosen = usable.withColumn("h", F.xxhash64("doc_id", F.lit(SEED))).orderBy("h", "doc_id", "grade").limit(sample)
-    texts = docs.select("doc_id", text_or_empty().alias("_text")).join(F.broadcast(chosen), "doc_id").select("grade", "_text")
+    met = docs.select("doc_id", text_or_empty().alias("_text")).join(F.broadcast(chosen), "doc_id")
+    texts = met.groupBy("doc_id", "h", "grade").agg(F.max("_text").alias("_text")).select("grade", "_text")  # copies of a rated row are one
     table = texts.mapInArrow(_featured(marking), "grade int, numbers array<int>, values array<float>, keys array<long>").toArrow()
     rows = [(np.asarray(n.values), np.asarray(v.values)) for n, v in zip(table.column("numbers"), table.column("values"), strict=True)]
     order = sorted((i for i, r in enumerate(rows) if len(r[0])), key=lambda i: (len(rows[i][0]), rows[i][0].tobytes(), rows[i][1].tobytes(), table.column("grade")[i].as_py()))

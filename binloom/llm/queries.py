@@ -123,26 +123,30 @@ def oracle_sql() -> dict[str, str]:
             JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) m ON m.a = d.doc_id""",
         "op10_perspective_rotation": r"""
             WITH turns AS (
-                SELECT conv_id, turn, coalesce(role, '') = 'system' AS is_system,
-                       CASE WHEN role = 'system' THEN 'system'
-                            ELSE regexp_replace(coalesce(nullif(role, ''), 'unknown'), '[^A-Za-z0-9_-]', '_', 'g') END AS speaker,
+                SELECT conv_id, turn, coalesce(role, '') AS raw, coalesce(role, '') = 'system' AS is_system,
                        regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '<| \1|>', 'g') AS text
                 FROM conversations),
-            speakers AS (SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE NOT is_system),
+            based AS (
+                SELECT DISTINCT conv_id, raw, regexp_replace(coalesce(nullif(raw, ''), 'unknown'), '[^A-Za-z0-9_-]', '_', 'g') AS base
+                FROM turns WHERE NOT is_system),
+            speakers AS (
+                SELECT conv_id, raw, base || CASE WHEN n > 1 THEN '.' || n ELSE '' END AS name
+                FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, base ORDER BY raw) AS n FROM based)),
             views AS (
-                SELECT * FROM speakers
-                UNION ALL SELECT DISTINCT conv_id, NULL FROM turns t
+                SELECT conv_id, raw AS viewer, name AS perspective FROM speakers
+                UNION ALL SELECT DISTINCT conv_id, NULL, NULL FROM turns t
                 WHERE NOT EXISTS (SELECT 1 FROM speakers s WHERE s.conv_id IS NOT DISTINCT FROM t.conv_id)),
             seen AS (
-                SELECT t.*, v.perspective, coalesce(NOT is_system AND speaker = v.perspective, false) AS mask
-                FROM turns t JOIN views v ON v.conv_id IS NOT DISTINCT FROM t.conv_id),
+                SELECT t.*, v.viewer, v.perspective, s.name AS spoken, coalesce(NOT is_system AND t.raw = v.viewer, false) AS mask
+                FROM turns t JOIN views v ON v.conv_id IS NOT DISTINCT FROM t.conv_id
+                LEFT JOIN speakers s ON s.conv_id IS NOT DISTINCT FROM t.conv_id AND s.raw = t.raw),
             shown AS (
                 SELECT *, CASE WHEN is_system THEN 'system' WHEN mask THEN 'assistant' ELSE 'user' END AS role,
-                       CASE WHEN NOT is_system AND NOT mask THEN speaker END AS name FROM seen),
+                       CASE WHEN NOT is_system AND NOT mask THEN spoken END AS name FROM seen),
             full_turns AS (
                 SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) || text || '<|im_end|>' || chr(10) AS rendered FROM shown)
             SELECT conv_id, perspective, turn, row_number() OVER place - 1 AS seq, role, name, rendered, mask,
                    (sum(length(rendered)) OVER place - length(rendered))::BIGINT AS start, (sum(length(rendered)) OVER place)::BIGINT AS stop
             FROM full_turns
-            WINDOW place AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker, is_system, text ROWS UNBOUNDED PRECEDING)""",
+            WINDOW place AS (PARTITION BY conv_id, viewer ORDER BY turn NULLS LAST, raw, text ROWS UNBOUNDED PRECEDING)""",
     }

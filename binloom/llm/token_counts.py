@@ -52,7 +52,7 @@ def limit_curve(histogram: DataFrame) -> DataFrame:
     rows = histogram.select("length", "docs", (F.col("length") * F.col("docs")).alias("tokens"), F.lit(0).alias("all"))
     rows = rows.withColumn("segment", -F.floor(F.col("length") / SEGMENT_LENGTHS))
     down = [F.col("length").desc()]
-    longer = running_total(running_total(rows, ["all"], "segment", down, "docs", "docs_longer"), ["all"], "segment", down, "tokens", "tokens_longer")
+    longer = running_total(rows, ["all"], "segment", down, {"docs_longer": "docs", "tokens_longer": "tokens"})
     totals = histogram.agg(F.sum("docs").alias("_docs"), F.sum(F.col("length") * F.col("docs")).alias("_tokens")).withColumn("all", F.lit(0))
     joined = longer.join(F.broadcast(totals), "all")  # one row
     within = F.col("_tokens") - F.col("tokens_longer")

@@ -1,3 +1,5 @@
+import random
+
 from binloom.llm import chat, html_text, revisit
 
 P = "The quick brown fox jumps over the lazy dog and runs away from the wolf that lives here."
@@ -134,6 +136,45 @@ def test_rotation(spark):
     assert [r["mask"] for r in views["bob"]] == [False, False, True, False] and [r["mask"] for r in views["Ann_B"]] == [False, True, False, True]
 
 
+def test_speakers_are_told_apart_by_their_roles(spark):
+    for roles, names in ((("李", "王"), ("_", "_.2")), (("Ann Lee", "Ann_Lee"), ("Ann_Lee", "Ann_Lee.2")), (("unknown", None), ("unknown.2", "unknown"))):
+        got = rotated(spark, (1, 0, "system", "s"), *[(1, i + 1, roles[i % 2], f"t{i}") for i in range(4)])
+        assert {r["perspective"] for r in got} == set(names)
+        for i, name in enumerate(names):
+            own = sorted((r for r in got if r["perspective"] == name), key=lambda r: r["seq"])
+            assert [r["mask"] for r in own] == [False] + [j % 2 == i for j in range(4)]
+            assert {r["name"] for r in own} == {None, names[1 - i]}
+    both = rotated(spark, (None, 0, "a", "x"), (None, 1, "b", "y"))
+    assert len(both) == 4
+    strings = spark.createDataFrame([(None, 0, "a", "x"), ("", 0, "a", "x")], "conv_id string, turn long, role string, text string")
+    assert [r["start"] for r in chat.rotate(strings).collect()] == [0, 0]
+
+
+def test_rotation_equals_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([1, 2, None]), rng.choice([None, *range(0, 900, 7)]), rng.choice(["system", "a b", "a_b", "é", "", None, "c"]), rng.choice([None, "x", "long " * 900, "<|im_start|>"])) for _ in range(400)]
+    got = {}
+    for r in rotated(spark, *rows):
+        got.setdefault((r["conv_id"], r["perspective"]), []).append((r["seq"], r["turn"], r["role"], r["name"], r["rendered"], r["mask"], r["start"], r["stop"]))
+    for conv in (1, 2, None):
+        turns = sorted(((r[1], r[2] or "", r[3] or "") for r in rows if r[0] == conv), key=lambda t: (t[0] is None, t[0] or 0, t[1].encode(), t[2].replace("<|im_start|>", "<| im_start|>")))
+        names, seen = {}, {}
+        for raw in sorted({t[1] for t in turns} - {"system"}, key=str.encode):
+            base = "".join(c if c.isascii() and (c.isalnum() or c in "_-") else "_" for c in raw) or "unknown"
+            seen[base] = seen.get(base, 0) + 1
+            names[raw] = base if seen[base] == 1 else f"{base}.{seen[base]}"
+        for viewer, perspective in names.items():
+            at, want = 0, []
+            for seq, (turn, raw, text) in enumerate(turns):
+                role = "system" if raw == "system" else "assistant" if raw == viewer else "user"
+                name = names[raw] if role == "user" else None
+                body = f"<|im_start|>{role}{f' name={name}' if name else ''}\n{text.replace('<|im_start|>', '<| im_start|>')}<|im_end|>\n"
+                want.append((seq, turn, role, name, body, role == "assistant", at, at + len(body)))
+                at += len(body)
+            assert sorted(got.pop((conv, perspective))) == want
+    assert not got
+
+
 def test_rotation_of_odd_rows(spark):
     assert rotated(spark) == []
     only = rotated(spark, (1, 0, "system", "x"))
