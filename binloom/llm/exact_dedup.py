@@ -2,9 +2,9 @@
 
 Each text is cut where its own characters say so, chunks get short identifiers, and two documents are
 equal when their ordered identifier lists are.  Before lists are compared every identifier is verified:
-distinct (identifier, chunk) pairs are gathered once and an identifier that stands for two chunks makes
-the whole pass run again with the next seed.  So texts move at most once, as distinct chunks; grouping
-and joining see identifier lists alone.
+all chunks that bear it, wherever they are, must agree in their length and in two more hashes, which are
+gathered by identifier; one that stands for two chunks makes the whole pass run again with the next seed.
+Texts are read and cut into chunks once and never move; grouping and joining see identifier lists alone.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from binloom.llm._common import text_or_empty
+from binloom.llm._common import cut, text_or_empty
 
 #: A cut follows two letters or digits of these classes and then white space, or an ideographic full stop.
 CUT = r"(?:[a-eA-Eio0-4à-ÿ][acegikmoqsuwyACEGIKMOQSUWY13579]\s|[。！？])"
@@ -32,10 +32,16 @@ def digest_id(chunk: Column, seed: int) -> Column:
     return F.unhex(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), chunk), 256), 1, 32))
 
 
-def has_collision(docs: DataFrame, seed: int, identify: Callable[[Column, int], Column], low: int, high: int) -> bool:
-    """Whether an identifier stands for two different chunks."""
-    pairs = docs.select(F.explode(chunks(F.col("_text"), low, high)).alias("c")).select(identify(F.col("c"), seed).alias("id"), "c")
-    return not pairs.distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+def witness(chunk: Column) -> Column:
+    """What two different chunks do not share: 128 bits that have nothing to do with the identifier, and the length."""
+    return F.struct(F.xxhash64(F.lit(1), chunk).alias("p"), F.xxhash64(F.lit(2), chunk).alias("q"), F.length(chunk).alias("size"))
+
+
+def has_collision(listed: DataFrame) -> bool:
+    """Whether an identifier of the recipes stands for two different chunks."""
+    pairs = listed.select(F.explode(F.arrays_zip("recipe", "witnesses")).alias("c")).select(F.col("c.recipe").alias("id"), "c.witnesses.*")
+    ends = [f(c).alias(f"{name}_{c}") for c in ("p", "q", "size") for name, f in (("least", F.min), ("most", F.max))]
+    return not pairs.groupBy("id").agg(*ends).filter("least_p < most_p OR least_q < most_q OR least_size < most_size").isEmpty()
 
 
 def exact_dedup(
@@ -52,14 +58,17 @@ def exact_dedup(
     keep_id null and kept true.  An empty table gives an empty result.
     """
     docs = docs.select("doc_id", text_or_empty().alias("_text"))
-    seed = 0
-    while has_collision(docs, seed, identify, low, high):
-        seed += 1
-        if seed == MAX_SEEDS:
-            raise ValueError("chunk identifiers collide for every seed")
-    recipe = F.transform(chunks(F.col("_text"), low, high), lambda c: identify(c, seed))
-    listed = docs.select("doc_id", recipe.alias("recipe"), F.sha2("_text", 256).alias("text_sha256"))
-    groups = listed.groupBy("recipe").agg(F.max("doc_id").alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    for seed in range(MAX_SEEDS):
+        cut_up = docs.select("doc_id", chunks(F.col("_text"), low, high).alias("chunks"), F.sha2("_text", 256).alias("text_sha256"))
+        recipe = F.transform("chunks", lambda c, seed=seed: identify(c, seed))
+        listed = cut(cut_up.select("doc_id", recipe.alias("recipe"), F.transform("chunks", witness).alias("witnesses"), "text_sha256"))
+        if not has_collision(listed):
+            break
+    else:
+        raise ValueError("chunk identifiers collide for every seed")
+    listed = listed.drop("witnesses")
+    # a table of its own, so that Spark can split the tasks of recipes that many rows share
+    groups = cut(listed.groupBy("recipe").agg(F.max("doc_id").alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     joined = listed.join(groups, "recipe", "left")
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
     return joined.select(
