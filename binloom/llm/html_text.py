@@ -2,9 +2,10 @@
 
 Each node's density is its characters for each tag below it, adjusted by the share of link text (the
 composite text density of Sun, Song and Liao, "DOM based content extraction via text density", 2011).  A
-node is judged by the sum of its children's densities: the node with the largest sum holds the article, and
-along the path from body to it the least density gives the threshold: other parts that reach it are kept, each
-by its own node with the largest sum, and the rest is dropped.
+node is judged by the sum of its children's densities, a run of text and inline elements being one child: the
+node with the largest sum holds the article, and along the path from body to it the least density gives the
+threshold: other parts that reach it are kept, each by its own node with the largest sum, and the rest is
+dropped, as are blocks inside that miss it and are lists of links.
 Parts that announce themselves as furniture (navigation, asides, forms, notices, comments and so on) are
 taken out before densities are computed; where only a name or a form tells so, not those that seem to hold the article.
 """
@@ -60,6 +61,8 @@ FURNITURE_WORDS = frozenset(
 #: Those of them that tell what readers wrote, which may be longer than the article.
 COMMENT_WORDS = frozenset("comment comments commentlist respond disqus discussion replies reply".split())
 ARTICLE_WORDS = frozenset("article post entry content main story body text".split())
+#: A block of so many links at least, that make up so large a share of its characters, is a list of links.
+LEAST_LINKS, LINK_SHARE = 3, 0.9
 #: Words beside which header means the article's own.
 HEADED_WORDS = frozenset("article post entry story".split())
 
@@ -235,11 +238,32 @@ def _count(n: Node) -> None:
     n.link_tags = sum(c.link_tags + (c.tag == "a") for c in below)
 
 
-def _density(n: Node, ratio: float) -> float:
-    tags, links, link_tags = max(n.tags, 1), max(n.link_chars, 1), max(n.link_tags, 1)
-    plain = max(n.chars - n.link_chars, 1)
-    base = math.log(n.chars / plain * links + ratio * n.chars + math.e)
-    return max(0.0, n.chars / tags * math.log(n.chars * tags / (links * link_tags)) / math.log(base))
+def _density(chars: int, tags: int, link_chars: int, link_tags: int, ratio: float) -> float:
+    if not chars:
+        return 0.0
+    tags, links, link_tags = max(tags, 1), max(link_chars, 1), max(link_tags, 1)
+    plain = max(chars - link_chars, 1)
+    base = math.log(chars / plain * links + ratio * chars + math.e)
+    return max(0.0, chars / tags * math.log(chars * tags / (links * link_tags)) / math.log(base))
+
+
+def _runs(n: Node) -> Iterator[Node | tuple[int, int, int, int]]:
+    """Children that are blocks, and between them characters, tags, link characters and link tags of each run."""
+    chars = tags = link_chars = link_tags = 0
+    for c in n.children:
+        if isinstance(c, str):
+            chars += len("".join(c.split()))
+        elif not hasattr(c, "chars"):
+            continue
+        elif c.tag in INLINE or c.tag in VOID:
+            chars, tags, link_chars, link_tags = chars + c.chars, tags + c.tags + 1, link_chars + c.link_chars, link_tags + c.link_tags + (c.tag == "a")
+        else:
+            if chars:
+                yield chars, tags, link_chars, link_tags
+            chars = tags = link_chars = link_tags = 0
+            yield c
+    if chars:
+        yield chars, tags, link_chars, link_tags
 
 
 def measure(nodes: list[Node]) -> None:
@@ -249,11 +273,8 @@ def measure(nodes: list[Node]) -> None:
     body = nodes[0]
     ratio = body.link_chars / body.chars if body.chars else 0.0
     for n in reversed(nodes):
-        if not n.chars:
-            n.density = n.total = 0.0
-            continue
-        n.density = _density(n, ratio)
-        n.total = sum(c.density for c in n.children if isinstance(c, Node) and hasattr(c, "density"))
+        n.density = _density(n.chars, n.tags, n.link_chars, n.link_tags, ratio)
+        n.total = sum(c.density if isinstance(c, Node) else _density(*c, ratio) for c in _runs(n)) if n.chars else 0.0
 
 
 def _widened(best: Node, top: Node, body: Node) -> Node:
@@ -284,19 +305,19 @@ def _parts(node: Node, kept: set[Node], ratio: float, threshold: float) -> list[
     for part in out:
         if part not in kept:
             _count(part)
-            part.density = _density(part, ratio) if part.chars else 0.0
+            part.density = _density(part.chars, part.tags, part.link_chars, part.link_tags, ratio)
     return [p for p in out if p.density and p.density >= threshold or p in kept]
 
 
-def _mark(nodes: list[Node]) -> list[Node]:
-    """Subtrees of the article in page order, none inside another.
+def _mark(nodes: list[Node]) -> tuple[list[Node], float]:
+    """Subtrees of the article in page order, none inside another, and the threshold.
 
     The subtree of the largest density sum is one; the least density from it up to the body is the threshold.
     Any other part that reaches it, as all parts around it do, gives its own subtree of the largest sum.
     """
     root = nodes[0]
     if not root.chars:
-        return []
+        return [], 0.0
     # text before or after the body is the page's as well, so the root stands for a body that doesn't hold all of it
     body = next((n for n in nodes if n.tag == "body" and n.chars == root.chars), root)
     largest: dict[Node, Node] = {}  # the block of the largest sum in each subtree
@@ -330,10 +351,15 @@ def _mark(nodes: list[Node]) -> list[Node]:
             todo += reversed(_parts(node, kept, root.link_chars / root.chars, threshold))
         else:
             tops.append(node)
-    return tops
+    return tops, threshold
+
+
+def _is_menu(n: Node, threshold: float) -> bool:
+    """Whether a block is a list of links and not dense enough."""
+    return getattr(n, "link_tags", 0) >= LEAST_LINKS and n.density < threshold and n.link_chars >= LINK_SHARE * n.chars
 
 
-def _blocks(top: Node) -> list[str]:
+def _blocks(top: Node, threshold: float) -> list[str]:
     """Texts of blocks in page order: a block ends where a block-level element starts or ends."""
     out: list[list[str]] = [[]]
     todo: list[Node | str | None] = [top]
@@ -345,7 +371,7 @@ def _blocks(top: Node) -> list[str]:
             out[-1].append(x)
         elif x.tag == "br":
             out[-1].append(" ")
-        elif x.furniture and x is not top or x.tag in INVISIBLE:
+        elif x.furniture and x is not top or x.tag in INVISIBLE or x is not top and x.tag not in INLINE and _is_menu(x, threshold):
             if x.tag not in INLINE:
                 out.append([])
         elif x.tag in INLINE:
@@ -361,7 +387,8 @@ def main_text(source: str) -> str:
     """The article's blocks joined by line feeds; empty if the page has no visible text."""
     nodes = _ordered(parse(source))
     measure(nodes)
-    return "\n".join(text for top in _mark(nodes) for text in _blocks(top))
+    tops, threshold = _mark(nodes)
+    return "\n".join(text for top in tops for text in _blocks(top, threshold))
 
 
 def _extracted(batches):

@@ -1,4 +1,7 @@
+import math
+import os
 import random
+import re
 
 from binloom.llm import chat, html_text, revisit
 
@@ -64,6 +67,100 @@ def test_main_text_in_parts_named_like_furniture():
     assert html_text.main_text(f"<body><div class='content'>{text}</div><div class='comments'><p>{P * 9}</p></div></body>").split("\n") == want
 
 
+def _counts(node):
+    """(characters, tags, link characters, link tags) below a node, by plain recursion."""
+    if isinstance(node, str):
+        return len("".join(node.split())), 0, 0, 0
+    if node.furniture or node.tag in html_text.INVISIBLE:
+        return 0, 0, 0, 0
+    chars = tags = links = link_tags = 0
+    for c in node.children:
+        if not isinstance(c, str) and (c.furniture or c.tag in html_text.INVISIBLE):
+            continue
+        n = _counts(c)
+        chars, tags = chars + n[0], tags + n[1] + (not isinstance(c, str))
+        links, link_tags = links + n[2], link_tags + n[3] + (not isinstance(c, str) and c.tag == "a")
+    return chars, tags, chars if node.tag == "a" else links, link_tags
+
+
+def _plain_density(counts, ratio):
+    chars, tags, links, link_tags = counts
+    if not chars:
+        return 0.0
+    inner = math.log(chars / max(chars - links, 1) * max(links, 1) + ratio * chars + math.e)
+    return max(0.0, chars / max(tags, 1) * math.log(chars / max(links, 1) * max(tags, 1) / max(link_tags, 1), inner))
+
+
+def _random_page(rng, depth=0):
+    out = []
+    for _ in range(rng.randint(1, 4)):
+        tag = rng.choice(["p", "div", "section", "ul", "a", "b", "nav", "h2", "text", "text"])
+        words = " ".join(rng.choice(["lorem", "ipsum", "dolor,", "sit", "amet"]) for _ in range(rng.choice([1, 3, 30])))
+        out.append(words if tag == "text" else f"<{tag}>{words if depth > 3 or tag in 'pabh2' else _random_page(rng, depth + 1)}</{tag}>")
+    return " ".join(out)
+
+
+def test_densities_equal_brute_force():
+    rng, chosen = random.Random(11), 0
+    for _ in range(150):
+        nodes = html_text._ordered(html_text.parse(f"<body>{_random_page(rng)}</body>"))
+        html_text.measure(nodes)
+        whole = _counts(nodes[0])
+        ratio = whole[2] / whole[0] if whole[0] else 0.0
+        for n in nodes:
+            assert (n.chars, n.tags, n.link_chars, n.link_tags) == _counts(n)
+            assert math.isclose(n.density, _plain_density(_counts(n), ratio), abs_tol=1e-9)
+            total, run = 0.0, [0, 0, 0, 0]
+            for c in [*n.children, None]:
+                inline = isinstance(c, str) or c is not None and c.tag in html_text.INLINE | html_text.VOID
+                if c is not None and not isinstance(c, str) and (c.furniture or c.tag in html_text.INVISIBLE):
+                    continue
+                if inline:
+                    k = _counts(c)
+                    run = [run[0] + k[0], run[1] + k[1] + (not isinstance(c, str)), run[2] + k[2], run[3] + k[3] + (not isinstance(c, str) and c.tag == "a")]
+                    continue
+                total, run = total + _plain_density(run, ratio), [0, 0, 0, 0]
+                total += _plain_density(_counts(c), ratio) if c is not None else 0.0
+            assert math.isclose(n.total, total, abs_tol=1e-9)
+        tops, threshold = html_text._mark(nodes)
+        if tops:
+            body = next((n for n in nodes if n.tag == "body" and n.chars == nodes[0].chars), nodes[0])
+            blocks = [n for n in nodes if n.chars and (n is body or n.tag not in html_text.INLINE) and any(u is body for u in html_text._path(n))]
+            best = max(blocks, key=lambda n: n.total)
+            above = list(html_text._path(best))
+            assert math.isclose(threshold, min(n.density for n in above[: above.index(body) + 1]))
+            # the subtree of the largest sum is kept, in one of the chosen parts or cut up into several
+            assert any(top in above or best in html_text._path(top) or math.isclose(top.total, best.total) for top in tops)
+            chosen += 1
+    assert chosen > 100
+
+
+def test_text_does_not_hang_on_element_names():
+    """The density alone gives the article: renamed containers change nothing."""
+    folder = "/root/testdata/sf0.01/pages.parquet"
+    if os.path.exists(folder):
+        import pyarrow.parquet as pq
+
+        for r in pq.read_table(folder).to_pylist():
+            assert html_text.main_text(re.sub(r"<(/?)(?:article|main)\b", r"<\1div", r["html"])) == html_text.main_text(r["html"])
+    for tag in ("article", "div", "main", "section"):
+        for body in (f"<h1>A short one</h1><p>{P}</p>", f"<h1>T</h1><p><b>{P}</b><br>{P}</p>", f"<h1>T</h1><p>{P}</p><p>Short.</p>"):
+            want = [x for x in re.sub(r"<br>", " ", re.sub(r"</?b>", "", body)).replace("</h1>", "").replace("</p>", "").replace("<h1>", "<p>").split("<p>") if x]
+            assert html_text.main_text(f"<body><nav><a href=x>n</a></nav><div class=ad>{P}</div><{tag}>{body}</{tag}><footer>f</footer></body>").split("\n") == want
+
+
+def test_lists_of_links_inside_the_article_go():
+    links = "".join(f"<a href={i}>link number {i}</a> " for i in range(20))
+    items = "".join(f"<li><a href={i}>link number {i}</a></li>" for i in range(20))
+    for tag in ("article", "div", "main"):
+        for menu in (f"<div>{links}</div>", f"<ul>{items}</ul>"):
+            page = f"<body><nav>n</nav><{tag}><h1>Title</h1><p>{P}</p>{menu}<p>{P * 2} <a href=x>one</a> <a href=y>two</a></p></{tag}><footer>f</footer></body>"
+            assert html_text.main_text(page).split("\n") == ["Title", P, f"{P * 2} one two"]
+        talk = "<div id=kommentare>" + "".join(f"<div><b>user{i}</b><p>{P}</p></div>" for i in range(8)) + "</div>"
+        page = f"<body><{tag}><h1>T</h1><p>{P * 3}</p><p>{P * 2}</p><p>{P * 4}</p></{tag}>{talk}</body>"
+        assert html_text.main_text(page).split("\n") == ["T", P * 3, P * 2, P * 4]
+
+
 def test_extract_rows(spark):
     made = spark.createDataFrame([(1, "u", f"<article><p>{P}</p></article>", "x"), (1, "u", f"<article><p>{P}</p></article>", "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     got = sorted(tuple(r) for r in html_text.extract(made).fillna({"page_id": -1, "url": ""}).collect())
