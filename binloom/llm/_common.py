@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from binloom.storage import cut
+from binloom.storage import cut, cut_counted
 
-__all__ = ["WORD", "arrow_batches", "cut", "hash_segment", "join_small", "release", "running_total", "table", "text_or_empty"]
+__all__ = ["WORD", "arrow_batches", "cut", "cut_counted", "hash_segment", "join_counted", "join_small", "running_total", "table", "text_or_empty"]
 #: One word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -35,22 +34,17 @@ def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle and checkpoint files of finished steps.
-
-    They go once the driver has collected the frames they belong to, which by itself it does rarely, so an
-    operator of many rounds asks for it; the driver's heap shrinks as well.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most_rows: int = 100_000) -> DataFrame:
     """Join with a table that is usually small: it is counted, broadcast up to ``most_rows``, shuffled beyond.
 
     ``small`` should have been cut, as counting it runs it.
     """
-    return big.join(F.broadcast(small) if small.count() <= most_rows else small, on, how)
+    return join_counted(big, small, small.count(), on, how, most_rows)
+
+
+def join_counted(big: DataFrame, small: DataFrame, rows: int, on: list[str], how: str = "inner", most_rows: int = 100_000) -> DataFrame:
+    """``join_small`` for a table whose rows have been counted."""
+    return big.join(F.broadcast(small) if rows <= most_rows else small, on, how)
 
 
 def hash_segment(name: str, count: int, rows: int = 4096) -> Column:

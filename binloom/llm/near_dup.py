@@ -6,11 +6,11 @@ values, banded by six; the two values of one permutation never share a band, so
 independent.  A pair of similarity 0.75 misses all 60 bands with probability below 1e-5.
 
 Links are confirmed on the full shingle sets.  Components need not see every link: equal sets are first
-folded into one class, then each bucket offers its members a leader, components found so far meet once per
-bucket, and at last all members of different components that still share a bucket are compared, so that no
-candidate link between two components is left out while links inside one are not expanded.  Three bounds
-spare that last step most of its pairs: sets with many shingles of their own can have no link, sizes must
-allow one, and sketches of the signatures must (they miss a pair at 0.75 with probability below 1e-5).
+folded into one class, then every member of a bucket is compared with the bucket's leader, and at last all
+members of different components that share a bucket are compared, so that no candidate link between two
+components is left out while links inside one are not expanded.  Three bounds spare that last step most of
+its pairs: sets with many shingles of their own can have no link, sizes must allow one, and sketches of the
+signatures must (they miss a pair at 0.75 with probability below 1e-5).
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binloom.llm._common import arrow_batches, cut, join_small, release, text_or_empty
+from binloom.llm._common import arrow_batches, cut, cut_counted, join_counted, text_or_empty
 from binloom.llm._tokens import forget
+from binloom.operators.graph import components
 
 SHINGLE_WORDS = 5
 PERMUTATIONS, BAND_ROWS = 180, 6
@@ -33,9 +34,6 @@ PERMUTATIONS, BAND_ROWS = 180, 6
 REMEMBERED_WORDS = 120_000
 #: Rows of a batch that carries texts or sets.
 BATCH_ROWS = 512
-STAR_ROUNDS = 1
-#: Rows of a table of one or two numbers that is broadcast at most; it is counted first, and shuffled beyond.
-SMALL_ROWS = 500_000
 #: Bits of each signature value that a sketch keeps, and the deviations by which its estimate may fall below the similarity.
 SKETCH_BITS, SKETCH_DEVIATIONS = 4, 4.4
 _ODD = np.random.default_rng(20240611).integers(1, 2**63, size=SHINGLE_WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -182,68 +180,25 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ha", "hb").mapInArrow(_linked(percent), "a long, b long")
 
 
-def _step(df: DataFrame) -> DataFrame:
-    """A cut after which the driver lets go of what the step before it needed."""
-    out = cut(df)
-    release(df.sparkSession)
-    return out
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(id, comp) for every end of an edge (a, b); comp is the smallest id that can be reached.
-
-    Rounds of contraction: every node joins the neighbour of least hash, itself included, and edges are
-    rewritten and made distinct.  Neighbourhoods are only ever reduced to a minimum, never gathered.
-    """
-    near = F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("id"))
-    own = F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("id"))
-    left = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    labels = None
-    while True:
-        left = cut(left)
-        both = left.union(left.select("b", "a"))
-        parent = _step(both.groupBy("a").agg(F.min(near).alias("m")).select(F.col("a").alias("id"), F.least("m", own)["id"].alias("p")))
-        count = parent.count()
-        if not count:
-            break
-        parent = F.broadcast(parent) if count <= SMALL_ROWS else parent
-        if labels is None:
-            labels = parent.select("id", F.col("p").alias("root"))
-        else:
-            step = parent.select(F.col("id").alias("root"), "p")
-            labels = cut(labels.join(step, "root", "left").select("id", F.coalesce("p", "root").alias("root")))
-        pa_, pb = parent.select(F.col("id").alias("a"), F.col("p").alias("x")), parent.select(F.col("id").alias("b"), F.col("p").alias("y"))
-        left = left.join(pa_, "a").join(pb, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    if labels is None:
-        return edges.select(F.col("a").alias("id"), F.col("b").alias("comp")).limit(0)
-    least = labels.groupBy("root").agg(F.min("id").alias("comp"))
-    return labels.join(least, "root").select("id", "comp")
-
-
-def several(rows: DataFrame) -> DataFrame:
-    """The rows (key, comp, ...) of buckets that hold more than one component."""
-    meet = rows.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi").select("key")
-    return join_small(rows, cut(meet), ["key"], "left_semi", SMALL_ROWS)
-
-
-def shared_counts(ids: DataFrame, sets: DataFrame) -> DataFrame:
-    """(id, c): how many shingles of each set are in another set of ``ids`` too.
+def with_shared(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Adds c to rows (id, n, ...): how many shingles of the set are in the set of another id of ``rows`` too.
 
     No intersection is larger than c, so a set with many shingles of its own is known to have no link
     without being compared with anything.
     """
-    spread = sets.join(ids, "id", "left_semi").mapInArrow(_spread, "id long, hash long")
+    spread = sets.join(rows.select("id").distinct(), "id", "left_semi").mapInArrow(_spread, "id long, hash long")
     common = spread.groupBy("hash").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id"))
     alone = common.filter("k = 1").groupBy("id").agg(F.count(F.lit(1)).alias("u"))
-    sizes = sets.join(ids, "id", "left_semi").groupBy("id").agg((F.max(F.octet_length("hashes")) / 8).cast("long").alias("m"))
-    return sizes.join(alone, "id", "left").select("id", (F.col("m") - F.coalesce("u", F.lit(0))).alias("c"))
+    return rows.join(alone, "id", "left").withColumn("c", F.col("n") - F.coalesce("u", F.lit(0))).drop("u")
 
 
-def possible(rows: DataFrame, percent: int) -> DataFrame:
-    """The rows (key, n, c, ...) whose set may link with the smallest set in its bucket that is not too small."""
-    least = rows.groupBy("key").agg(F.min("n").alias("_n"))
-    partner = F.greatest(F.col("_n"), F.ceil(F.col("n") * percent / 100))
-    return join_small(rows, cut(least), ["key"], most_rows=SMALL_ROWS).filter(F.col("c") * (100 + percent) >= (F.col("n") + partner) * percent).drop("_n")
+def still_open(members: DataFrame, labels: DataFrame, count: int, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows (key, id, n, comp, c) of members whose set may link with a set of another component in its bucket."""
+    placed = join_counted(members.select("key", "id", "n"), labels, count, ["id"], "left").withColumn("comp", F.coalesce("comp", "id"))
+    meet = cut(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")).filter("lo < hi").drop("lo", "hi"))
+    rows = cut(placed.join(meet, "key"))  # both sides are dealt by key alone, so Spark can split a large bucket
+    partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
+    return with_shared(rows, sets).filter(F.col("c") * (100 + percent) >= (F.col("n") + partner) * percent).drop("least")
 
 
 def _may_link(percent: int):
@@ -252,6 +207,27 @@ def _may_link(percent: int):
     return (both * (100 + percent) >= sizes * percent) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
 
 
+def apart(rows: DataFrame, signed: DataFrame, percent: int, permutations: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and that the bounds allow.
+
+    One end of each pair is outside the bucket's largest component, so that is never paired with itself; a
+    pair leaves the join once, in the first bucket that it shares, and only if its sketches allow a link.
+    """
+    ids, count = cut_counted(rows.select(F.col("id").alias("doc_id"), "n").distinct())
+    own = join_counted(signed, ids.select("doc_id"), count, ["doc_id"], "left_semi").groupBy("doc_id").agg(F.first(F.struct("keys", "sketch")).alias("s"))
+    largest = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max(F.struct("k", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"))
+    largest = largest.filter("comps > 1").select("key", F.col("m.comp").alias("main"))
+    signs = own.select(F.col("doc_id").alias("id"), "s.keys", "s.sketch")
+    tagged = cut(rows.join(largest, "key").join(signs, "id").select("key", "main", "comp", F.struct("id", "n", "c", "keys", "sketch").alias("x")))
+    one = tagged.filter("comp <> main").select("key", F.col("comp").alias("ca"), "x")
+    two = tagged.select("key", F.col("main"), F.col("comp").alias("cb"), F.col("x").alias("y"))
+    other = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("x.id") < F.col("y.id")))
+    alike = _differences("x.sketch", "y.sketch") <= most_differences(percent, permutations)
+    first = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("key")
+    pairs = one.join(two, "key").filter(other).filter(_may_link(percent)).filter(alike).filter(first)
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, permutations: int = PERMUTATIONS, band_rows: int = BAND_ROWS) -> DataFrame:
     """Rows doc_id, n_shingles, component_id, kept, one for each row of ``docs`` (doc_id and text are read).
 
@@ -262,70 +238,32 @@ def near_duplicates(docs: DataFrame, percent: int = 75, permutations: int = PERM
     docs = docs.select("doc_id", text_or_empty().alias("_text"))
     spark = docs.sparkSession
     with arrow_batches(spark, BATCH_ROWS):
-        signed = _step(docs.mapInArrow(_signed(permutations, band_rows), "doc_id long, n long, digest binary, keys array<long>, sketch array<long>"))
+        signed = cut(docs.mapInArrow(_signed(permutations, band_rows), "doc_id long, n long, digest binary, keys array<long>, sketch array<long>"))
     full = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("digest", "n").agg(F.min("doc_id").alias("rep"))
-    chosen = full.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi")
-    rows = chosen.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), "n")
+    # an id of several texts is one class for each
+    classes = full.groupBy("digest", "n").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies"))
+    rows = classes.select(F.explode("keys").alias("key"), "id", "n")
     leaders = rows.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("_last")).filter("leader < _last").drop("_last")
-    members = _step(rows.join(leaders, "key"))
+    members = cut(rows.join(leaders, "key"))
     ids = members.select(F.col("id").alias("doc_id")).distinct()
     with arrow_batches(spark, BATCH_ROWS):
-        sets = _step(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, hashes binary"))
-
-    votes = members.filter("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("v"))
-    best = votes.groupBy("id").agg(F.max(F.struct("v", (-F.col("leader")).alias("l"))).alias("m"))
-    tried = best.select((-F.col("m.l")).alias("a"), F.col("id").alias("b"))
+        sets = cut(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, hashes binary"))
+        tried = cut(members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
+        edges = cut(verified(tried, sets, percent))
+    labels, count = cut_counted(components(edges))
     with arrow_batches(spark, BATCH_ROWS):
-        edges = _step(verified(tried, sets, percent))
-    del votes, best, leaders, rows
-    open_rows, labels = None, cut(components(edges))
-    for round_ in range(STAR_ROUNDS + 1):
-        release(spark)
-        placed = members if open_rows is None else open_rows
-        placed = join_small(placed.drop("comp", "leader"), labels, ["id"], "left", SMALL_ROWS).withColumn("comp", F.coalesce("comp", "id"))
-        if open_rows is None:
-            placed = cut(several(placed))
-            with arrow_batches(spark, BATCH_ROWS):
-                shared = _step(shared_counts(placed.select("id").distinct(), sets))
-            placed = several(possible(join_small(placed, shared, ["id"], most_rows=SMALL_ROWS), percent))
-        open_rows = placed = cut(placed)
-        if placed.isEmpty():
-            break
-        end = F.struct("id", "n", "c")
-        if round_ < STAR_ROUNDS:
-            lowest = placed.groupBy("key").agg(F.min("comp").alias("lo"))
-            ends = cut(placed.groupBy("key", "comp").agg(F.min(end).alias("e")).join(lowest, "key"))
-            pairs = ends.filter("comp = lo").select("key", F.col("e").alias("x")).join(ends.filter("comp <> lo").select("key", F.col("e").alias("y")), "key")
-        else:
-            # one end of each pair is outside the bucket's largest component, so that is never paired with itself;
-            # a pair leaves the join once, in the first bucket that it shares, and only if its sketches allow a link
-            counted = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
-            main = counted.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
-            ids = placed.select(F.col("id").alias("doc_id")).distinct()
-            own = chosen.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.first(F.struct("keys", "sketch")).alias("s"))
-            own = own.select(F.col("doc_id").alias("id"), "s.keys", "s.sketch")
-            tagged = _step(placed.join(main, "key").join(own, "id").select("key", "main", "comp", F.struct("id", "n", "c", "keys", "sketch").alias("x")))
-            one = tagged.filter("comp <> main").select("key", F.col("comp").alias("ca"), "x")
-            two = tagged.select("key", F.col("main"), F.col("comp").alias("cb"), F.col("x").alias("y"))
-            apart = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("x.id") < F.col("y.id")))
-            alike = _differences("x.sketch", "y.sketch") <= most_differences(percent, permutations)
-            first = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("key")
-            pairs = one.join(two, "key").filter(apart).filter(_may_link(percent)).filter(alike).filter(first)
-        pairs = pairs.filter(_may_link(percent)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        release(spark)
-        with arrow_batches(spark, BATCH_ROWS):
-            found = _step(verified(pairs, sets, percent))
-        tried = tried.union(pairs)
-        if not found.isEmpty():
-            edges = edges.union(found)
-            labels = cut(components(edges))
-    release(spark)
-    named = classes.join(labels, classes["rep"] == labels["id"], "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))
-    named = signed.filter("n > 0").select("doc_id", "n", "digest").join(named, "digest", "left").select("doc_id", "n", "component_id")
-    alone = signed.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return named.union(alone).select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
+        rows, still = cut_counted(still_open(members, labels, count, sets, percent))
+        if still:
+            pairs = apart(rows, signed.filter("n > 0 AND doc_id IS NOT NULL"), percent, permutations).join(tried, ["a", "b"], "left_anti")
+            found, links = cut_counted(verified(cut(pairs), sets, percent))
+            if links:
+                labels = cut(components(edges.union(found)))
+    # the classes whose component isn't named by their only member
+    named = classes.select("digest", "id", "copies").join(labels, "id", "left").filter("copies > 1 OR comp <> id")
+    named = cut(named.select("digest", F.coalesce("comp", "id").alias("comp")))
+    found = signed.select("doc_id", "n", "digest").join(named, "digest", "left")
+    component = F.when(F.col("n") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id"))
+    return found.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
+        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
