@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from binloom.operators import graph
@@ -14,65 +13,71 @@ LEADER_DISTANCE = 1.0
 LEAST_SEPARATION, LEAST_PRODUCT = 1.0, 1000.0
 
 
-def sweep(part: pd.DataFrame, d0: float) -> pd.DataFrame:
-    """The sequential rule on one set of contigs: rows a, b, distance, self_b, rank_a -> contig, leader, owner.
+#: Contig b is visited before a: the fuller one first, of equally full ones the one of larger id.
+_BEFORE = "(tb > ta OR tb = ta AND b > a)"
 
-    Contigs are visited by rank.  An unassigned one takes every contig that is nearer to it than to its
-    present leader (d0 where it has none); with an own distance above d0 it joins its cluster only if it
-    took something.  Contigs within d0 of such a leader note it; who is left leads itself.
+
+def _decided(pairs: DataFrame, d0: float) -> DataFrame:
+    """(contig, state) for ``pairs`` (a, b, d, ta, tb, self_b): leader, taken or left.
+
+    A contig is taken if a leader before it is nearer than d0.  If none is, it leads as soon as some contig is
+    nearer to it than to all leaders before it, and is left if there is no such contig.  A round decides every
+    contig whose answer no undecided one before it can change; the first undecided one is always among them.
     """
-    near: dict = {}
-    for a, b, d in zip(part["a"], part["b"], part["distance"], strict=True):
-        near.setdefault(a, {})[b] = d
-    visits = part[["a", "rank_a"]].drop_duplicates().sort_values("rank_a")["a"]
-    owner: dict = {}
-    nearest: dict = {}
-    notes: list[tuple] = []
-    for c in visits:
-        if c in owner:
-            continue
-        row = near[c]
-        taken = [b for b, d in row.items() if d < nearest.get(b, d0)]
-        if not taken:
-            continue
-        own = row.get(c, float("inf"))
-        if own > d0 and c not in taken:
-            taken.append(c)
-        for b in taken:
-            nearest[b], owner[b] = row.get(b, own), c
-        notes += [(b, c, False) for b, d in row.items() if d < d0]
-    for c in visits:
-        if c not in owner:
-            owner[c] = c
-            notes.append((c, c, False))
-    rows = [(c, o, True) for c, o in owner.items()] + notes
-    return pd.DataFrame(rows, columns=["contig", "leader", "owned"])
+    before = Window.partitionBy("b").orderBy(F.col("ta").desc(), F.col("a").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    far = F.lit(float("inf"))
+    state = cut(pairs.filter("a = b").select(F.col("a").alias("contig"), F.lit("open").alias("state")))
+    while True:
+        met = pairs.join(state.select(F.col("contig").alias("a"), F.col("state").alias("sa")), "a").join(state.select(F.col("contig").alias("b"), F.col("state").alias("sb")), "b")
+        led = F.coalesce(F.min(F.when(F.col("sa") == "leader", F.col("d"))).over(before), far)
+        may = F.coalesce(F.min(F.when(F.col("sa") == "open", F.col("d"))).over(before), far)
+        # a leader far from itself has joined its own cluster at that distance
+        wide = F.expr(_BEFORE) & (F.col("self_b") > d0)
+        sure_limit = F.when(wide & (F.col("sb") == "leader"), F.col("self_b")).otherwise(d0)
+        open_limit = F.when(wide & F.col("sb").isin("leader", "open"), F.col("self_b")).otherwise(d0)
+        takes = met.select(
+            "a", "b", "sa", (F.col("d") < F.least(sure_limit, led, may)).alias("sure"), (F.col("d") < F.least(open_limit, led)).alias("possible"),
+            ((F.col("a") == F.col("b")) & (led < d0)).alias("hit"), ((F.col("a") == F.col("b")) & (may < d0)).alias("wait"),
+        )
+        found = takes.filter("sa = 'open'").groupBy("a").agg(*[F.max(c).alias(c) for c in ("sure", "possible", "hit", "wait")])
+        new = F.when(F.col("hit"), "taken").when(F.col("wait"), "open").when(F.col("sure"), "leader").when(F.col("possible"), "open").otherwise("left")
+        fresh = found.select(F.col("a").alias("contig"), new.alias("new"))
+        state = cut(state.join(fresh, "contig", "left").select("contig", F.coalesce("new", "state").alias("state")))
+        if state.filter("state = 'open'").isEmpty():
+            return state
 
 
 def leaders(pairs: DataFrame, totals: DataFrame, d0: float = LEADER_DISTANCE) -> DataFrame:
     """(contig, leader, owned) from ``pairs`` (a, b, distance) and ``totals`` (contig, total).
 
     ``pairs`` must have every ordered pair nearer than max(d0, own distance of b) and all pairs of a contig
-    with itself.  Contigs are visited by falling total, then falling id.  Rows with owned give each
-    contig's cluster; the others name every leader within d0.  Contigs that no pair connects cannot
-    affect each other, so each component of the pair graph is swept on its own, in parallel.
+    with itself.  Contigs are visited by falling total, then falling id.  One that no leader has taken takes
+    every contig that is nearer to it than to its present leader (d0 where it has none); with an own distance
+    above d0 it joins its cluster only if it took something.  Who takes nothing and is not taken leads itself.
+    Rows with owned give each contig's cluster; the others name every leader within d0.
+
+    The visits are not made one after the other: rounds of joins decide all contigs that depend on nothing
+    undecided, and the result is the sequential rule's.
     """
     pairs = cut(pairs)
-    own = pairs.filter("a = b").select(F.col("a").alias("contig"), F.col("distance").alias("self"))
-    limit = own.select(F.col("contig").alias("b"), F.col("self").alias("self_b"))
-    used = cut(pairs.join(limit, "b").filter((F.col("a") == F.col("b")) | (F.col("distance") < F.greatest(F.lit(d0), F.col("self_b")))).select("a", "b", "distance"))
-    groups = graph.components(used.select("a", "b"), own.select(F.col("contig").alias("id")))
-    ranked = totals.select(F.col("contig").alias("a"), F.col("total").cast("double").alias("t"))
-    keyed = used.join(groups.withColumnRenamed("id", "a"), "a").join(ranked, "a").select("a", "b", "distance", "comp", "t")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["t", "a"], ascending=False).reset_index(drop=True)
-        part["rank_a"] = part.index
-        part["rank_a"] = part.groupby("a", sort=False)["rank_a"].transform("min")
-        return sweep(part, d0)
-
-    kind = totals.schema["contig"].dataType.simpleString()
-    return keyed.groupBy("comp").applyInPandas(run, f"contig {kind}, leader {kind}, owned boolean")
+    own = pairs.filter("a = b").select(F.col("a").alias("b"), F.col("distance").alias("self_b"))
+    used = pairs.join(own, "b").filter((F.col("a") == F.col("b")) | (F.col("distance") < F.greatest(F.lit(d0), F.col("self_b"))))
+    full = F.col("total").cast("double")
+    used = used.join(totals.select(F.col("contig").alias("a"), full.alias("ta")), "a").join(totals.select(F.col("contig").alias("b"), full.alias("tb")), "b")
+    used = cut(used.select("a", "b", F.col("distance").alias("d"), "ta", "tb", "self_b"))
+    state = _decided(used, d0)
+    chosen = state.filter("state = 'leader'").select("contig")
+    led = used.join(chosen.withColumnRenamed("contig", "a"), "a", "left_semi").join(chosen.select(F.col("contig").alias("b"), F.lit(True).alias("leads")), "b", "left")
+    wide = F.coalesce("leads", F.lit(False)) & (F.col("self_b") > d0)
+    takes = F.when(wide, (F.col("a") == F.col("b")) | (F.expr(_BEFORE) & (F.col("d") < F.col("self_b")))).otherwise(F.col("d") < d0)
+    led = cut(led.select("a", "b", "d", "ta", takes.alias("takes")))
+    # the first of those that are nearest
+    owners = led.filter("takes").groupBy("b").agg(F.max_by("a", F.struct(-F.col("d"), F.col("ta"), F.col("a"))).alias("leader"))
+    everyone = state.select("contig").join(owners.withColumnRenamed("b", "contig"), "contig", "left")
+    owned = everyone.select("contig", F.coalesce("leader", "contig").alias("leader"), F.lit(True).alias("owned"))
+    alone = everyone.filter("leader IS NULL").select("contig", F.col("contig").alias("leader"), F.lit(False).alias("owned"))
+    notes = led.filter(F.col("d") < d0).select(F.col("b").alias("contig"), F.col("a").alias("leader"), F.lit(False).alias("owned"))
+    return owned.union(alone).union(notes)
 
 
 def bins(found: DataFrame, more_than: int = 5) -> DataFrame:

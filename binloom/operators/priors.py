@@ -1,7 +1,8 @@
 """Dirichlet priors of count matrices by one-dimensional maximum likelihood.
 
 The prior of a column is e^a times the column's share of all counts.  Only distinct (column, count) and
-distinct totals enter the likelihood, so it is evaluated on their histograms, however many contigs there are.
+distinct totals enter the likelihood; their histograms stay distributed, and one job evaluates a whole grid of
+exponents for every matrix that is fitted, so that a few jobs bracket the optimum and a parabola ends the search.
 """
 
 from __future__ import annotations
@@ -10,14 +11,17 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from binloom.functions.numeric import log_gamma_np
+from binloom.storage import cut
 
 #: Where the exponent is sought; data without any overdispersion have their optimum at infinity and end at the bound.
 LOWEST, HIGHEST = -20.0, 30.0
+#: Exponents of a grid, and the distance between two at which the parabola is laid.
+GRID, FINE = 65, 1e-4
 _GOLD = (3 - math.sqrt(5)) / 2
 
 
@@ -54,61 +58,99 @@ def brent(f: Callable[[float], float], low: float = LOWEST, high: float = HIGHES
     return x
 
 
-def objective(cells: pd.DataFrame, rows: pd.DataFrame, contigs: int) -> Callable[[float], float]:
-    """Negative log likelihood in a, without the terms that a does not enter.
+def minima(f: Callable[[np.ndarray], np.ndarray], size: int, low: float = LOWEST, high: float = HIGHEST) -> np.ndarray:
+    """Where each of ``size`` unimodal functions is least; ``f`` takes (size, GRID) places and gives their values."""
+    lows, highs = np.full(size, low), np.full(size, high)
+    while True:
+        places = lows[:, None] + (highs - lows)[:, None] * np.linspace(0, 1, GRID)[None, :]
+        values = f(places)
+        at = values.argmin(axis=1)
+        rows, step = np.arange(size), (highs - lows) / (GRID - 1)
+        if step.max(initial=0.0) <= FINE:
+            break
+        lows, highs = places[rows, np.maximum(at - 1, 0)], places[rows, np.minimum(at + 1, GRID - 1)]
+    inner = (at > 0) & (at < GRID - 1)
+    mid = np.clip(at, 1, GRID - 2)
+    before, here, after = (values[rows, mid + i] for i in (-1, 0, 1))
+    bend = before - 2 * here + after
+    shift = np.where(inner & (bend > 0), (before - after) / np.where(bend > 0, 2 * bend, 1.0), 0.0)
+    return places[rows, at] + np.clip(shift, -1, 1) * step
 
-    ``cells`` has share, x, n for each distinct count of a column (zeros included), ``rows`` total, n.
-    """
-    share, x, n = (cells[c].to_numpy(float) for c in ("share", "x", "n"))
-    each = cells.groupby("column")["share"].first().to_numpy(float)
-    each = each[each > 0]
-    total, m = rows["total"].to_numpy(float), rows["n"].to_numpy(float)
-    used = share > 0
 
-    def value(a: float) -> float:
-        top = math.exp(a)
-        prior = log_gamma_np(np.array([top]))[0] - log_gamma_np(top * each).sum()
-        return -(contigs * prior + (n[used] * log_gamma_np(x[used] + top * share[used])).sum() - (m * log_gamma_np(total + top)).sum())
+def _partial(places: np.ndarray, sign: float):
+    """(group, place, value): what rows group, share, x, n add to the negative log likelihood of each place."""
 
-    return value
+    def run(batches):
+        sums = np.zeros(places.shape)
+        tops = np.exp(places)
+        for batch in batches:
+            group, share, x, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "share", "x", "n"))
+            for i in range(0, len(group), 4096):
+                g = group[i : i + 4096]
+                values = log_gamma_np(x[i : i + 4096, None] + tops[g] * share[i : i + 4096, None]) * n[i : i + 4096, None]
+                np.add.at(sums, g, sign * values)
+        at = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at[0], pa.int32()), pa.array(at[1], pa.int32()), pa.array(sums[at])], ["grp", "place", "value"])
 
+    return run
 
-def histograms(counts: DataFrame, name: str = "count") -> tuple[pd.DataFrame, pd.DataFrame, int]:
-    """Distinct (column, count) and distinct totals with their numbers, of long counts (contig, sample, count)."""
-    summed = counts.groupBy("contig", "sample").agg(F.sum(name).cast("double").alias("x"))
-    contigs = summed.agg(F.count_distinct("contig")).first()[0]
-    columns = summed.groupBy("sample").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("k")).toPandas()
-    cells = summed.groupBy(F.col("sample").alias("column"), "x").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    zeros = pd.DataFrame({"column": columns["sample"], "x": 0.0, "n": contigs - columns["k"]})
-    cells = pd.concat([cells, zeros[zeros["n"] > 0]], ignore_index=True)
-    cells["share"] = cells["column"].map(dict(zip(columns["sample"], columns["s"] / columns["s"].sum(), strict=True)))
-    rows = summed.groupBy("contig").agg(F.sum("x").alias("total")).groupBy("total").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    return cells, rows, contigs
 
+def fit_groups(counts: DataFrame) -> dict[int, tuple[float, dict]]:
+    """{group: (sum of the prior, share of each column)} of long counts (grp, row, col, x), one matrix a group.
 
-def dirichlet_prior(counts: DataFrame, name: str = "count") -> tuple[float, dict]:
-    """(sum of the prior, prior of each sample) of long counts (contig, sample, count)."""
-    cells, rows, contigs = histograms(counts, name)
-    top = math.exp(brent(objective(cells, rows, contigs)))
-    return top, {k: top * v for k, v in cells.groupby("column")["share"].first().items()}
+    Groups are numbered from 0 and, like columns, are few; rows and distinct counts may be many.
+    """
+    summed = cut(counts.groupBy("grp", "row", "col").agg(F.sum("x").cast("double").alias("x")))
+    totals = cut(summed.groupBy("grp", "row").agg(F.sum("x").alias("x")))
+    rows = {r["grp"]: r["n"] for r in totals.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}
+    columns = summed.groupBy("grp", "col").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("k")).collect()  # a row for each column
+    whole = {g: sum(c["s"] for c in columns if c["grp"] == g) for g in rows}
+    size = max(rows, default=-1) + 1
+    shares: dict[int, dict] = {g: {} for g in rows}
+    zeros: list[tuple[int, float, float]] = []
+    for c in columns:
+        share = shares[c["grp"]][c["col"]] = c["s"] / whole[c["grp"]] if whole[c["grp"]] > 0 else 0.0
+        if share > 0 and rows[c["grp"]] > c["k"]:
+            zeros.append((c["grp"], share, rows[c["grp"]] - c["k"]))
+    known = [(g, c, v) for g, each in shares.items() for c, v in each.items() if v > 0]
+    fitted = [g for g in rows if whole[g] > 0]
+    if not fitted:
+        return {g: (0.0, shares[g]) for g in rows}
+    named = counts.sparkSession.createDataFrame(known, f"grp int, col {counts.schema['col'].dataType.simpleString()}, share double")
+    one = F.count(F.lit(1)).cast("double").alias("n")
+    cells = cut(summed.groupBy("grp", "col", "x").agg(one).join(F.broadcast(named), ["grp", "col"]).select("grp", "share", "x", "n"))
+    sides = cut(totals.groupBy("grp", "x").agg(one).select("grp", F.lit(1.0).alias("share"), "x", "n"))
+
+    def values(places: np.ndarray) -> np.ndarray:
+        kind = "grp int, place int, value double"
+        parts = cells.mapInArrow(_partial(places, -1.0), kind).union(sides.mapInArrow(_partial(places, 1.0), kind))
+        out, tops = np.zeros(places.shape), np.exp(places)
+        for r in parts.groupBy("grp", "place").agg(F.sum("value").alias("value")).collect():  # groups x places
+            out[r["grp"], r["place"]] = r["value"]
+        for g, share, n in zeros:
+            out[g] -= n * log_gamma_np(tops[g] * share)
+        for g in fitted:
+            each = np.array([v for v in shares[g].values() if v > 0])
+            out[g] -= rows[g] * (log_gamma_np(tops[g]) - log_gamma_np(tops[g][:, None] * each[None, :]).sum(axis=1))
+        return out
+
+    tops = np.exp(minima(values, size))
+    return {g: (float(tops[g]) if whole[g] > 0 else 0.0, shares[g]) for g in rows}
 
 
-def _fit_context(part: pd.DataFrame) -> pd.DataFrame:
-    matrix = part.pivot_table(index="name", columns="kmer", values="n", aggfunc="sum", fill_value=0.0)
-    sums = matrix.to_numpy(float).sum(axis=0)
-    if sums.sum() <= 0:
-        return pd.DataFrame({"kmer": matrix.columns, "alpha": 0.0})
-    cells = pd.DataFrame([(k, s, x, n) for k, s in zip(matrix.columns, sums / sums.sum(), strict=True) for x, n in matrix[k].value_counts().items()], columns=["column", "share", "x", "n"])
-    totals = matrix.sum(axis=1).value_counts()
-    rows = pd.DataFrame({"total": totals.index, "n": totals.to_numpy()})
-    top = math.exp(brent(objective(cells, rows, len(matrix))))
-    return pd.DataFrame({"kmer": matrix.columns, "alpha": top * sums / sums.sum()})
+def dirichlet_prior(counts: DataFrame, name: str = "count") -> tuple[float, dict]:
+    """(sum of the prior, prior of each sample) of long counts (contig, sample, count)."""
+    long = counts.select(F.lit(0).alias("grp"), F.col("contig").alias("row"), F.col("sample").alias("col"), F.col(name).cast("double").alias("x"))
+    top, shares = fit_groups(long).get(0, (0.0, {}))
+    return top, {k: top * v for k, v in shares.items()}
 
 
 def tetramer_priors(counts: DataFrame) -> DataFrame:
-    """(kmer, alpha) of long tetramer counts (name, kmer, n): one fit for each trimer, 64 tasks."""
-    keyed = counts.select("name", "kmer", F.col("n").cast("double").alias("n"), F.floor(F.col("kmer") / 4).cast("int").alias("trimer"))
-    return keyed.groupBy("trimer").applyInPandas(lambda part: _fit_context(part).astype({"kmer": "int32"}), "kmer int, alpha double")
+    """(kmer, alpha) of long tetramer counts (name, kmer, n): a fit for each of the 64 trimers, all in the same jobs."""
+    trimer = F.floor(F.col("kmer") / 4).cast("int")
+    found = fit_groups(counts.select(trimer.alias("grp"), F.col("name").alias("row"), F.col("kmer").cast("int").alias("col"), F.col("n").cast("double").alias("x")))
+    rows = [(k, top * v) for top, shares in found.values() for k, v in shares.items()]
+    return counts.sparkSession.createDataFrame(sorted(rows), "kmer int, alpha double")
 
 
 def gamma_poisson(rows: list[tuple[float, float]], start: tuple[float, float] = (0.0, 0.0), steps: int = 400) -> tuple[float, float]:

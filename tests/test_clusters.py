@@ -31,14 +31,13 @@ def sequential(d, order, d0):
     return owner, sorted(notes)
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_leaders_equal_the_sequential_rule(spark, seed):
+@pytest.mark.parametrize(("seed", "n"), [(0, 30), (1, 30), (2, 30), (3, 60), (4, 12)])
+def test_leaders_equal_the_sequential_rule(spark, seed, n):
     rng = random.Random(seed)
-    n = 30
     d = [[0.0] * n for _ in range(n)]
     for i in range(n):
         for j in range(i + 1):
-            d[i][j] = d[j][i] = rng.choice([rng.uniform(0, 1.5), rng.uniform(1, 6)]) if i != j else rng.choice([0.1, 0.5, 1.4, 3.0])
+            d[i][j] = d[j][i] = rng.choice([rng.uniform(0, 1.5), rng.uniform(1, 6), 0.5]) if i != j else rng.choice([0.1, 0.5, 1.4, 3.0])
     totals = [rng.randint(1, 9) for _ in range(n)]
     order = sorted(range(n), key=lambda i: (-totals[i], -i))
     pairs = spark.createDataFrame([(i, j, d[i][j]) for i in range(n) for j in range(n) if i == j or d[i][j] < max(1.0, d[j][j])], "a long, b long, distance double")
@@ -109,6 +108,35 @@ def test_prior_recovers_the_truth(spark):
     assert each["0"] / total == pytest.approx(8 / 15, rel=0.1)
 
 
+def test_priors_equal_a_plain_fit(spark):
+    """Several matrices in the same jobs, each as a one-dimensional search over its own cells finds it."""
+    rng = np.random.default_rng(7)
+    rows, want = [], {}
+    for g in range(4):
+        x = rng.poisson(rng.gamma(2.0, 3.0, (50, 4)) * [1, 2, 3, 0 if g == 2 else 1]).astype(float) if g != 3 else np.zeros((5, 2))
+        share, total = x.sum(axis=0) / max(x.sum(), 1.0), x.sum(axis=1)
+        used = share > 0
+
+        def cost(a, x=x[:, used], share=share[used], total=total):
+            top = math.exp(a)
+            lg = np.vectorize(math.lgamma)
+            return float((lg(total + top) - math.lgamma(top)).sum() - (lg(x + top * share) - lg(top * share)).sum())
+
+        want[g] = (math.exp(priors.brent(cost)), share) if used.any() else (0.0, share)
+        rows += [(g, i, j, float(v)) for i, r in enumerate(x) for j, v in enumerate(r) if v or rng.random() < 0.5 or g == 3 or j == 0]
+    got = priors.fit_groups(spark.createDataFrame(rows, "grp int, row int, col int, x double"))
+    for g, (top, share) in want.items():
+        assert got[g][0] == pytest.approx(top, rel=2e-3)
+        assert all(got[g][1][j] == pytest.approx(share[j]) for j in got[g][1])
+    assert priors.fit_groups(spark.createDataFrame([], "grp int, row int, col int, x double")) == {}
+
+
+def test_minima_of_several_functions():
+    places = np.array([3.3, -7.0, 30.0])
+    found = priors.minima(lambda x: np.stack([(x[0] - 3.3) ** 2, np.cosh(x[1] + 7), -x[2]]), 3)
+    assert np.allclose(found, places, atol=1e-6)
+
+
 def test_brent_finds_minima():
     assert priors.brent(lambda x: (x - 3.3) ** 2) == pytest.approx(3.3, abs=1e-5)
     assert priors.brent(lambda x: math.cosh(x + 7)) == pytest.approx(-7, abs=1e-4)
