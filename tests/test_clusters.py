@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from binloom.operators import clustering, distance, embedding, graph, latent, nmf, priors
+from binloom.operators import clustering, distance, embedding, graph, latent, network, nmf, priors
 
 
 def sequential(d, order, d0):
@@ -177,17 +177,84 @@ def test_factors_separate_two_profiles(spark):
     assert all(len(g) == 1 for g in groups.values()) and len(groups) >= 2
 
 
-def test_autoencoder_learns():
+def _two_kinds(count=200):
     rng = np.random.default_rng(4)
-    kind = rng.integers(0, 2, 200)
+    kind = rng.integers(0, 2, count)
     reads = rng.poisson(np.array([[40, 5, 5], [5, 5, 40]])[kind]).astype(float) + 1
     kmers = rng.poisson(np.where(kind[:, None] == 1, [9, 1, 1, 9], [1, 9, 9, 1])).astype(float) + 1
-    model = latent.Autoencoder(3, 4, hidden=32, latent=4)
-    losses = model.train(reads, kmers, epochs=40, batch=32)
-    assert losses[-1] < losses[0] - 0.1
-    assert model.encode(latent.inputs(reads, kmers)).shape == (200, 4)
-    kept, left = latent.split_counts(reads, 0.5, rng)
-    assert (kept + left == np.floor(reads)).all()
+    return kind, reads, kmers
+
+
+def _profiles(spark, count=200):
+    kind, reads, kmers = _two_kinds(count)
+    rows = [(i, 1000 + 40 * i, r.tolist(), k.tolist(), (k / 2).tolist(), (k / 2 + 0.1).tolist(), k[::-1].tolist()) for i, (r, k) in enumerate(zip(reads, kmers, strict=True))]
+    return kind, spark.createDataFrame(rows, "contig long, length long, profile array<double>, kmer array<double>, left array<double>, right array<double>, codon array<double>")
+
+
+@pytest.mark.parametrize("squared", [False, True])
+def test_gradients_of_the_network(squared):
+    rng = np.random.default_rng(0)
+    net = network.Network(5, (network.Head("one", 3), network.Head("two", 2, 0.3, squared)), hidden=6, latent=2)
+    x, targets = rng.random((4, 5)), [rng.random((4, 3)), rng.random((4, 2))]
+    _, grads = net.gradients(x, targets)
+    flat, exact = net.flat(), np.concatenate([g.ravel() for pair in grads for g in pair])
+    for i in rng.choice(len(flat), 40, replace=False):
+        ends = []
+        for sign in (1, -1):
+            moved = flat.copy()
+            moved[i] += sign * 1e-6
+            net.load(moved)
+            ends.append(net.weighed(net.losses(net.forward(x)[-1], targets)[0]))
+        assert (ends[0] - ends[1]) / 2e-6 == pytest.approx(exact[i], abs=1e-5)
+
+
+@pytest.mark.parametrize("worker_rows", [1000, 60])
+def test_bins_network_learns_from_all_rows(spark, worker_rows):
+    kind, profiles = _profiles(spark)
+    net, losses = latent.fit_with_losses(profiles, epochs=30, batch=32, worker_rows=worker_rows, hidden=32, latent=4)
+    assert len(losses) == 30 and net.weighed(losses[-1]) < net.weighed(losses[0]) - 0.05
+    z = {r["contig"]: r["latent"] for r in latent.transform(profiles, net).collect()}
+    z = np.array([z[i] for i in range(len(kind))])
+    one, two = z[kind == 0].mean(axis=0), z[kind == 1].mean(axis=0)
+    near = (((z - one) ** 2).sum(1) > ((z - two) ** 2).sum(1)).astype(int)
+    assert (near == kind).mean() > 0.95
+    again = network.from_weights(latent.bin_network(3, 4, hidden=32, latent=4), network.weights_table(spark, net))
+    assert np.array_equal(again.flat(), net.flat())
+
+
+@pytest.mark.parametrize(("mode", "z_scores"), [("reads", False), ("kmers", False), ("kmers", True), ("both", True), ("threesources", False)])
+def test_contig_network_in_all_modes(spark, mode, z_scores):
+    kind, profiles = _profiles(spark)
+    model = latent.fit_contigs(profiles, mode, epochs=25, batch=16, z_scores=z_scores, hidden=32, latent=4)
+    assert model.net.weighed(model.history[-1]) < model.net.weighed(model.history[0])
+    heads = {"reads": ["reads"], "kmers": ["kmers"], "both": ["reads", "kmers"], "threesources": ["reads", "kmers", "codons"]}[mode]
+    assert list(model.tested) == list(model.validation) == [*heads, "loss"] and all(math.isfinite(v) for v in model.tested.values())
+    z = {r["contig"]: r["latent"] for r in latent.contig_latent(profiles, model).collect()}
+    assert len(z) == 200 and all(len(v) == 4 for v in z.values())
+    z = np.array([z[i] for i in range(200)])
+    one, two = z[kind == 0].mean(axis=0), z[kind == 1].mean(axis=0)
+    assert ((((z - one) ** 2).sum(1) > ((z - two) ** 2).sum(1)).astype(int) == kind).mean() > 0.9
+
+
+def test_thinning_and_schedule():
+    rng = np.random.default_rng(4)
+    counts, lengths = np.full((4, 500), 10.5), np.array([3999, 4000, 6999, 7000])
+    for share, long in ((0.5, [False, True, True, True]), (0.4, [False, False, False, True])):
+        made = latent.thinned(counts, lengths, share, rng)
+        assert [bool((m != 10.5).any()) for m in made] == long
+        assert all(abs(m.mean() - 10.5 * share) < 0.3 for m, is_long in zip(made, long, strict=True) if is_long)
+    assert [latent.half_of_epoch(e) for e in (0, 24, 25, 50, 51, 74, 75, 200)] == ["left", "left", "right", "right", "left", "left", "right", "right"]
+    assert [network.batch_size(e, 256, latent.CONTIG_DOUBLE_AT) for e in (0, 49, 50, 99, 100, 299)] == [256, 256, 512, 512, 1024, 1024]
+    kept, left = latent.split_counts(counts, 0.5, rng)
+    assert (kept + left == np.floor(counts)).all()
+
+
+def test_networks_without_rows(spark):
+    _, profiles = _profiles(spark, 3)
+    net = latent.bin_network(3, 4, hidden=4, latent=2)
+    assert network.train(profiles.limit(0), "contig", net, latent._bin_rows(None), 2, 8, ()) == []
+    assert network.test(profiles.limit(0), net, latent._bin_rows(None)) == {}
+    assert latent.transform(profiles.limit(0), net).count() == 0
 
 
 def test_density_by_hand(spark):
