@@ -116,7 +116,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PA
     passes = passes.withColumn("to", F.least(F.col("from") + F.col("size"), "words")).filter("pass < 0 OR from < to")
     # block b has the words from b * block_words to the next block's of the order, repeated, as far as the target goes
     of_pass = F.sequence(F.floor(F.col("from") / block_words), F.floor((F.col("to") - 1) / block_words))
-    pieces = passes.withColumn("block", F.explode(F.when(F.col("pass") < 0, F.array(-1 - F.col("h").bitwiseAND(F.lit(2**62 - 1)))).otherwise(of_pass)))
+    pieces = passes.withColumn("block", F.explode(F.when(F.col("pass") < 0, F.array(-1 - F.col("h").bitwiseAND(F.lit(2**40 - 1)))).otherwise(of_pass)))
     pieces = pieces.withColumn("taken", F.least("to", (F.col("block") + 1) * block_words) - F.greatest("from", F.col("block") * block_words))
     joined = pieces.join(schedule(plan, bits), ["skey", "block"], "left")
     own = F.col("pass") < 0
