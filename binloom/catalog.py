@@ -342,7 +342,7 @@ def word_complements(spark, sf_dir):
 
 @query()
 def random_fragments(spark, sf_dir):
-    return composition.fragments(sequences(spark, sf_dir), 200)
+    return composition.fragments(sequences(spark, sf_dir), 200)  # fragment_properties compares what SQL can tell of them
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE n_chars >= 2000")
@@ -451,6 +451,16 @@ def combined_distance(spark, sf_dir):
     return _group_pairs(spark, sf_dir)
 
 
+@query(COMBINED_SQL)
+def combined_expression(spark, sf_dir):
+    """The combined distance as built-in expressions, for a few groups."""
+    rows = cut(group_profiles(spark, sf_dir).select("contig", "profile", "total", "kmer"))
+    other = rows.select(*[F.col(c).alias(f"{c}_2") for c in rows.columns])
+    value = distance.combined_distance(*[F.col(c) for c in ("profile", "profile_2", "total", "total_2", "kmer", "kmer_2")], [LETTER_ALPHA] * 26, [KMER_ALPHA] * 256)
+    # all pairs are the result itself
+    return rows.crossJoin(other).select(F.col("contig").alias("a"), F.col("contig_2").alias("b"), F.round(value, 3).alias("distance"))
+
+
 # ---------------------------------------------------------------- priors
 
 
@@ -473,16 +483,43 @@ def _letter_counts(spark, sf_dir) -> DataFrame:
 # ---------------------------------------------------------------- clusters
 
 
-@query()
+# contigs are visited one after the other; a step's state has for each contig, in the order of visits, the distance
+# from its leader and the leader's place
+LEADERS_SQL = f"""
+    WITH RECURSIVE z AS MATERIALIZED (SELECT a, b, round(distance, 4) AS distance FROM ({PAIRS_SQL})),
+    v AS MATERIALIZED (SELECT contig, row_number() OVER (ORDER BY total DESC, contig DESC) AS r FROM ({_letters_sql('doc_id', False)})),
+    m AS MATERIALIZED (SELECT x.r, list(z.distance ORDER BY y.r) AS d FROM z JOIN v x ON x.contig = z.a JOIN v y ON y.contig = z.b GROUP BY x.r),
+    steps AS (
+        SELECT 0::BIGINT AS r, list_transform(range(count(*)), lambda i: 1.0::DOUBLE) AS near, list_transform(range(count(*)), lambda i: 0::BIGINT) AS owner, false AS leads FROM v
+        UNION ALL
+        SELECT r, CASE WHEN takes THEN list_transform(range(1, len(near) + 1), lambda i: CASE WHEN d[i] < near[i] OR i = r AND d[r] > 1 THEN d[i] ELSE near[i] END) ELSE near END,
+               CASE WHEN takes THEN list_transform(range(1, len(near) + 1), lambda i: CASE WHEN d[i] < near[i] OR i = r AND d[r] > 1 THEN r ELSE owner[i] END) ELSE owner END, takes
+        FROM (
+            SELECT m.r AS r, near, owner, m.d AS d, owner[m.r] = 0 AND len(list_filter(list_zip(m.d, near), lambda q: q[1] < q[2])) > 0 AS takes
+            FROM steps JOIN m ON m.r = steps.r + 1)),
+    ends AS (SELECT owner FROM steps ORDER BY r DESC LIMIT 1),
+    owned AS (SELECT unnest(range(1, len(owner) + 1)) AS r, unnest(owner) AS o FROM ends),
+    found AS (
+        SELECT r, CASE WHEN o = 0 THEN r ELSE o END AS l, true AS owned FROM owned
+        UNION ALL SELECT r, r, false FROM owned WHERE o = 0
+        UNION ALL SELECT y.r, s.r, false FROM steps s JOIN v x ON x.r = s.r JOIN z ON z.a = x.contig AND z.distance < 1 JOIN v y ON y.contig = z.b WHERE s.leads)
+    SELECT x.contig AS contig, y.contig AS leader, owned FROM found JOIN v x ON x.r = found.r JOIN v y ON y.r = found.l"""
+
+
+@query(LEADERS_SQL)
 def leader_clusters(spark, sf_dir):
-    profiles = cut(letter_profiles(spark, sf_dir))
-    alpha = [LETTER_ALPHA] * 26
+    profiles, alpha = cut(letter_profiles(spark, sf_dir)), [LETTER_ALPHA] * 26
     # an own distance may exceed the bound, and then a leader may be as far as that
-    pairs = distance.pair_distances(profiles, alpha, 8.1)
+    bound = max(clustering.LEADER_DISTANCE, distance.own_distances(profiles, alpha).agg(F.max("distance")).first()[0] or 0.0)
+    pairs = distance.pair_distances(profiles, alpha, bound + 1e-9).withColumn("distance", r4("distance"))  # so that near ties are ties
     return clustering.leaders(pairs, profiles.select("contig", "total"))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE f AS MATERIALIZED ({LEADERS_SQL}), p AS (SELECT DISTINCT contig, leader FROM f WHERE NOT owned),
+    links AS MATERIALIZED (SELECT x.leader AS a, y.leader AS b FROM p x JOIN p y ON x.contig = y.contig AND x.leader <> y.leader GROUP BY ALL HAVING count(*) > 5),
+    reach AS (SELECT DISTINCT leader AS id, leader AS other FROM f UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.other)
+    SELECT DISTINCT contig, c.bin FROM f JOIN (SELECT id, min(other) AS bin FROM reach GROUP BY id) c ON c.id = f.leader WHERE owned""")
 def binned_contigs(spark, sf_dir):
     return clustering.bins(leader_clusters(spark, sf_dir))
 
@@ -640,19 +677,42 @@ def density_peaks(spark, sf_dir):
     return embedding.density_peaks(_lists(spark, sf_dir))
 
 
-@query()
+PEAK_LINKS_SQL = f"""
+    WITH RECURSIVE l AS MATERIALIZED ({LISTS_SQL}), dense AS MATERIALIZED (SELECT id, density FROM l WHERE rank = 0),
+    tops AS MATERIALIZED (SELECT DISTINCT peak FROM ({PEAKS_SQL})),
+    e AS MATERIALIZED (SELECT l.id AS src, l.neighbour AS dst, dense.density AS w FROM l JOIN dense ON dense.id = l.neighbour WHERE rank > 0),
+    p AS (SELECT peak AS s, peak AS id, 'infinity'::DOUBLE AS width FROM tops UNION SELECT p.s, e.dst, least(p.width, e.w) FROM p JOIN e ON e.src = p.id),
+    best AS (SELECT s, id, max(width) AS width FROM p GROUP BY s, id)
+    SELECT s AS a, best.id AS b, 1 - width / density AS separability FROM best JOIN tops ON tops.peak = best.id JOIN dense ON dense.id = s WHERE s <> best.id AND 1 - width / density < 0.5"""
+
+
+@query(f"SELECT a, b, round(separability, 4) AS separability FROM ({PEAK_LINKS_SQL})")
 def peak_links(spark, sf_dir):
     lists = _lists(spark, sf_dir)
-    return embedding.peak_links(lists, embedding.density_peaks(lists))
+    return embedding.peak_links(lists, embedding.density_peaks(lists)).withColumn("separability", r4("separability"))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE links AS MATERIALIZED (SELECT a, b FROM ({PEAK_LINKS_SQL})), pairs_ AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+    tops AS MATERIALIZED ({PEAKS_SQL}),
+    reach AS (SELECT DISTINCT peak AS id, peak AS other FROM tops UNION SELECT reach.id, pairs_.b FROM reach JOIN pairs_ ON pairs_.a = reach.other)
+    SELECT tops.id, c.cluster FROM tops JOIN (SELECT id, min(other) AS cluster FROM reach GROUP BY id) c ON c.id = tops.peak""")
 def peak_clusters(spark, sf_dir):
     lists = _lists(spark, sf_dir)
     peaks = cut(embedding.density_peaks(lists))
     return embedding.peak_clusters(peaks, embedding.peak_links(lists, peaks))
 
 
+@query(f"""
+    WITH p AS (SELECT peak, count(*) AS members FROM ({PEAKS_SQL}) GROUP BY peak)
+    SELECT row_number() OVER (ORDER BY length DESC, peak) - 1 AS ordinal, peak, length, members FROM p JOIN ({POINTS_SQL}) q ON q.id = p.peak""")
+def peaks_by_length(spark, sf_dir):
+    from binloom.plans import paths
+
+    made = paths.peaks_by_length(embedding.density_peaks(_lists(spark, sf_dir)), points(spark, sf_dir))
+    return made.withColumn("ordinal", F.col("ordinal").cast("long"))
+
+
 WIDE_SQL = """
     WITH RECURSIVE e AS MATERIALIZED (SELECT l_suppkey AS src, l_suppkey % 7 * 10 + l_linenumber AS dst, max(l_quantity) AS w FROM lineitem GROUP BY ALL),
     p AS (SELECT s_suppkey AS "start", s_suppkey AS id, 'infinity'::DOUBLE AS width FROM supplier
@@ -667,9 +727,18 @@ def widest_paths(spark, sf_dir):
     return graph.widest_paths(cut(edges), table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE p AS MATERIALIZED ({POINTS_SQL}), total AS MATERIALIZED (SELECT count(*) AS n FROM p),
+    d AS (SELECT a.id AS id, b.id AS neighbour, b.length AS length, list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS distance FROM p a CROSS JOIN p b),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY (id <> neighbour)::INT, distance, neighbour) - 1 AS rank FROM d),
+    s AS MATERIALIZED (SELECT *, sum(length) OVER (PARTITION BY id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS running FROM r),
+    tries AS (SELECT least(4, n)::BIGINT AS k FROM total UNION SELECT least(floor(k * 1.5), n)::BIGINT FROM tries, total WHERE k < n),
+    last AS (SELECT min(k) AS k FROM tries, total WHERE k = n OR (SELECT count(*) FROM s WHERE s.rank = tries.k - 1 AND s.running > 500000) >= 0.5 * n),
+    kept AS (SELECT s.* FROM s, last, total WHERE s.rank < greatest(last.k, least(n, 11)))
+    SELECT id, neighbour, rank, round(distance, 4) AS distance, running::BIGINT AS running, coalesce(min(CASE WHEN running > 500000 THEN rank END) OVER (PARTITION BY id), 0) AS cut FROM kept""")
 def adaptive_neighbours(spark, sf_dir):
-    return embedding.adaptive_neighbours(points(spark, sf_dir))
+    made = embedding.adaptive_neighbours(points(spark, sf_dir))
+    return made.select("id", "neighbour", F.col("rank").cast("long").alias("rank"), r4("distance").alias("distance"), "running", F.col("cut").cast("long").alias("cut"))
 
 
 @query("SELECT vec_id AS id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS squared, 1.0::DOUBLE AS unit FROM embeddings")
@@ -691,6 +760,25 @@ def latent_autoencoder(spark, sf_dir):
     return latent.transform(profiles, latent.fit(profiles, epochs=20, hidden=64, latent=8))
 
 
+def contig_profiles(spark, sf_dir) -> DataFrame:
+    """contig, length, profile, kmer, left, right and codon of whole documents: letters, and words of both halves."""
+    seq = sequences(spark, sf_dir)
+    parts = {"kmer": F.col("seq"), "left": F.expr("substring(seq, 1, cast(floor(length(seq) / 2) as int))"), "right": F.expr("substring(seq, cast(floor(length(seq) / 2) as int) + 1)")}
+    made = letter_profiles(spark, sf_dir).select("contig", "profile").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("contig"), F.coalesce("n_chars", F.lit(0)).alias("length")), "contig")
+    for name, part in parts.items():
+        counted = composition.tetramers(seq.select("name", part.alias("seq"))).select(F.col("name").alias("contig"), F.transform("kmer", lambda x: x.cast("double")).alias(name))
+        made = made.join(counted, "contig")
+    codons = composition.codon_matrix(seq).select(F.col("name").alias("contig"), F.transform("codon", lambda x: x.cast("double")).alias("codon"))
+    return made.join(codons, "contig")
+
+
+@query()
+def contig_autoencoder(spark, sf_dir):
+    """Latent vectors of documents as contigs, three sources of evidence."""
+    rows = cut(contig_profiles(spark, sf_dir))
+    return latent.contig_latent(rows, latent.fit_contigs(rows, "threesources", epochs=4, hidden=32, latent=8))
+
+
 @query()
 def linear_probe(spark, sf_dir):
     return latent.probe(points(spark, sf_dir))
@@ -790,6 +878,17 @@ def deconvolved(spark, sf_dir):
     return nmf.deconvolve(rows, rows.select("contig", (F.col("contig") % 5).alias("cluster")).distinct(), 4)
 
 
+@query()
+def rejoined_components(spark, sf_dir):
+    """Components of like profiles, joined again by the leader rule."""
+    from binloom.plans import paths
+
+    rows = event_counts(spark, sf_dir)
+    members = rows.select("contig", (F.col("contig") % 5).alias("cluster")).distinct()
+    lengths = members.select("contig", (F.col("contig") * 7919 % 20000 + 5000).alias("length"))
+    return paths.deconvolved_bins(rows, members, lengths, 3)[0].select("cluster", "component", "bin", F.size("members").alias("size"))
+
+
 @query()
 def component_lists(spark, sf_dir):
     return nmf.component_members(deconvolved(spark, sf_dir))
@@ -826,13 +925,14 @@ def softmax_loss(spark, sf_dir):
     return p.select("p_partkey", r4(F.col("p")[0]).alias("first"), r4(nm.cross_entropy(F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)), F.col("p"))).alias("loss"))
 
 
-@query()
+@query("SELECT p_partkey, round(exp(-p_size / 2.0::DOUBLE) * list_sum(list_transform(range(5), lambda k: pow(p_size / 2.0::DOUBLE, k) / exp(lgamma(k + 1)))), 6) AS survival FROM part")
 def chi_square_survival(spark, sf_dir):
     def run(batches):
         for part in batches:
             yield part.assign(survival=[nm.chi2_sf(x, 10) for x in part["p_size"]])
 
-    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size")).mapInPandas(run, "p_partkey long, p_size double, survival double")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"))
+    return rows.mapInPandas(run, "p_partkey long, p_size double, survival double").select("p_partkey", F.round("survival", 6).alias("survival"))
 
 
 # ---------------------------------------------------------------- sets, order, streams

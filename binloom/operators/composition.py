@@ -74,13 +74,33 @@ def tetramer_totals(counts: DataFrame) -> DataFrame:
     return counts.groupBy("kmer").agg(F.sum("n").alias("total"))
 
 
+def _codons_counted(batches):
+    """(name, codon): 64 counts for each frame; codons with unknown bases count for nothing."""
+    code = np.full(128, 64, np.int64)
+    for i, base in enumerate(sq.BASES):
+        code[ord(base)] = i
+    for batch in batches:
+        rows = []
+        for seq in batch.column("seq"):
+            points = np.frombuffer((seq.as_py() or "").encode("utf-32-le"), np.uint32)
+            digits = code[np.where(points < 128, points, 0)]
+            count = len(range(1, len(digits) - 4, 3))
+            triples = digits[: 3 * count].reshape(-1, 3)
+            numbers = triples @ np.array([16, 4, 1])
+            rows.append(np.bincount(numbers[(triples < 4).all(axis=1)], minlength=64))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * 64), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("name"), lists], ["name", "codon"])
+
+
+def codon_matrix(sequences: DataFrame) -> DataFrame:
+    """(name, codon): 64 counts for each of the reading frames ``sequences`` (name, seq), one row a frame."""
+    kind = sequences.schema["name"].dataType.simpleString()
+    return sequences.select("name", "seq").mapInArrow(_codons_counted, f"name {kind}, codon array<long>")
+
+
 def codons(sequences: DataFrame) -> DataFrame:
-    """(name, codon, n) over the reading frames ``sequences`` (name, seq); frames with unknown bases in a codon skip it."""
-    coded = F.when(F.length("seq") > 0, F.split("seq", "")).otherwise(F.array().cast("array<string>"))
-    marked = sequences.select("name", sq.digits(F.col("seq")).alias("d"), F.transform(coded, lambda c: F.when(c.isin(*sq.BASES), 0).otherwise(1000)).alias("k"))
-    pairs = F.arrays_zip(sq.codon_numbers(F.col("d")).alias("c"), sq.codon_numbers(F.col("k")).alias("k"))
-    kept = marked.select("name", F.explode(pairs).alias("p")).filter("p.k = 0")
-    return kept.groupBy("name", F.col("p.c").alias("codon")).agg(F.count(F.lit(1)).alias("n"))
+    """(name, codon, n) of the codons that occur; frames with unknown bases in a codon skip it."""
+    return codon_matrix(sequences).select("name", F.posexplode("codon").alias("codon", "n")).filter("n > 0").groupBy("name", "codon").agg(F.sum("n").alias("n"))
 
 
 def inner_stops(sequences: DataFrame) -> DataFrame:

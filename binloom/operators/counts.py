@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from binloom.functions import alignment as al
 
 READ = ["sample", "read_id"]
+#: Samples that a table of counts has at most: one for each alignment file.
+MOST_SAMPLES = 100_000
 
 
 def keep_long(contigs: DataFrame, least: int = 2000) -> DataFrame:
@@ -38,10 +40,10 @@ def candidates(records: DataFrame, contigs: DataFrame, gaps: bool = False, least
     usable = al.simple_shape(F.col("cigar")) if gaps else al.without_gaps(F.col("cigar"))
     spoilt = F.when(~usable & al.has_flag(F.col("flag"), al.PROPER), F.col("ord"))
     later = Window.partitionBy(*READ, "contig")
-    known = known.withColumn("spoilt", F.coalesce(F.max(spoilt).over(later), F.lit(-1)) if not gaps else F.lit(-1))
+    known = known.withColumn("free", F.lit(True) if gaps else F.coalesce(F.col("ord") > F.max(spoilt).over(later), F.lit(True)))
     start, length = al.clipped_start(F.col("cigar")), F.length("qual")
     end = al.clipped_end(F.col("cigar"), length)
-    measured = known.filter(usable & (F.col("ord") > F.col("spoilt"))).withColumns({"start": start, "end": end, "length": length})
+    measured = known.filter(usable & F.col("free")).withColumns({"start": start, "end": end, "length": length})
     measured = measured.filter(al.coverage(F.col("start"), F.col("end"), F.col("length")) >= least_coverage)
     out = measured.select(
         *READ, "contig", "ord", al.pair_direction(F.col("flag")).alias("dir"), al.has_flag(F.col("flag"), al.PROPER).alias("proper"),
@@ -125,8 +127,15 @@ def contig_counts(weights: DataFrame) -> DataFrame:
 
 
 def with_zero_rows(counts: DataFrame, contigs: DataFrame, samples: DataFrame) -> DataFrame:
-    """A row for each contig and sample, 0 where nothing was counted; both lists are dimensions."""
-    grid = contigs.select(F.col("name").alias("contig")).crossJoin(F.broadcast(samples.select("sample")))
+    """A row for each contig and sample, 0 where nothing was counted; both lists are dimensions.
+
+    Samples are collected to be put beside each contig, so there may be MOST_SAMPLES of them.
+    """
+    names = samples.select("sample").distinct().limit(MOST_SAMPLES + 1).collect()
+    if len(names) > MOST_SAMPLES:
+        raise ValueError(f"more than {MOST_SAMPLES} samples")
+    each = samples.sparkSession.createDataFrame([(r["sample"],) for r in names], samples.select("sample").schema)
+    grid = contigs.select(F.col("name").alias("contig")).crossJoin(F.broadcast(each))  # the output itself
     return grid.join(counts, ["contig", "sample"], "left").select("sample", "contig", F.coalesce("count", F.lit(0.0)).alias("count"))
 
 

@@ -41,6 +41,39 @@ def profile_distance(x: Column, y: Column, total_x: Column, total_y: Column, alp
     return log1p_exp(log_product(x, y, literal_array(alpha)) - sides - prior + math.log((1 - q) / q))
 
 
+def kmer_distance(x: Column, y: Column, alpha: list[float], q: float = Q) -> Column:
+    """The distance of two tetramer arrays, each trimer's four words being a context with a total of its own."""
+
+    def trimers(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(len(alpha) // 4 - 1)), lambda t: F.aggregate(F.slice(v, t * 4 + 1, 4), F.lit(0.0), lambda acc, n: acc + n))
+
+    context = [sum(alpha[i : i + 4]) for i in range(0, len(alpha), 4)]
+    prior = float(log_gamma_np(np.array(alpha)).sum() - log_gamma_np(np.array(context)).sum())
+    terms = log_product(x, y, literal_array(alpha)) - log_product(trimers(x), trimers(y), literal_array(context))
+    return log1p_exp(terms - prior + math.log((1 - q) / q))
+
+
+def combined_distance(reads_x: Column, reads_y: Column, total_x: Column, total_y: Column, kmers_x: Column, kmers_y: Column, alpha: list[float], kmer_alpha: list[float], q: float = Q) -> Column:
+    """The sum of both distances as an expression over array columns: counts with totals, and 256 tetramers."""
+    return profile_distance(reads_x, reads_y, total_x, total_y, alpha, q) + kmer_distance(kmers_x, kmers_y, kmer_alpha, q)
+
+
+def own_distances(profiles: DataFrame, alpha: list[float], kmer_alpha: list[float] | None = None, q: float = Q) -> DataFrame:
+    """(contig, distance): each contig's distance from itself, which bounds how near a leader must be."""
+    a, k = np.array(alpha, dtype=float), np.array(kmer_alpha, dtype=float) if kmer_alpha else None
+
+    def run(batches):
+        for part in batches:
+            d = [
+                float(tile_distances(np.array([x], float), np.array([x], float), a, 1, q)[0, 0] + (0.0 if k is None else tile_distances(np.array([y], float), np.array([y], float), k, 64, q)[0, 0]))
+                for x, y in zip(part["profile"], part["profile"] if k is None else part["kmer"], strict=True)
+            ]
+            yield pd.DataFrame({"contig": part["contig"], "distance": d})
+
+    kind = profiles.schema["contig"].dataType.simpleString()
+    return profiles.select("contig", "profile", *(["kmer"] if kmer_alpha else [])).mapInPandas(run, f"contig {kind}, distance double")
+
+
 def from_query(profiles: DataFrame, query: DataFrame, alpha: list[float], q: float = Q) -> DataFrame:
     """(contig, distance) of every profile from the one row of ``query``."""
     one = query.select(F.col("total").alias("_t"), F.col("profile").alias("_p")).limit(1)

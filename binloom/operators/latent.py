@@ -249,10 +249,19 @@ def principal_components(points: DataFrame, k: int = LATENT, name: str = "embedd
 def probe(points: DataFrame, name: str = "embedding", label: str = "label", share: float = 0.8, seed: int = 1, steps: int = 100) -> DataFrame:
     """(id, label, prediction, probability, held_out): multinomial regression on vectors; a hash keeps a fifth out of the fit."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
+
+    held_out = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1000)) >= int(share * 1000)
+    rows = points.select("id", F.col(label).cast("int").alias("label"), F.transform(name, lambda x: x.cast("double")).alias("x"), held_out.alias("held_out"))
+    fitted = rows.filter("NOT held_out").select(F.col("label").cast("double").alias("label"), array_to_vector("x").alias("features"))
+    model = LogisticRegression(family="multinomial", maxIter=steps).fit(fitted)
+    weights, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+
+    def run(batches):
+        for part in batches:
+            if len(part):
+                chances = network.softmax(np.stack(part["x"]) @ weights.T + bias)
+                yield pd.DataFrame({"id": part["id"], "label": part["label"], "prediction": chances.argmax(axis=1), "probability": list(chances), "held_out": part["held_out"]})
 
-    rows = points.select("id", F.col(label).cast("double").alias("label"), array_to_vector(F.transform(name, lambda x: x.cast("double"))).alias("features"))
-    rows = rows.withColumn("held_out", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1000)) >= int(share * 1000))
-    model = LogisticRegression(family="multinomial", maxIter=steps).fit(rows.filter("NOT held_out"))
-    scored = model.transform(rows)
-    return scored.select("id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"), vector_to_array("probability").alias("probability"), "held_out")
+    kind = points.schema["id"].dataType.simpleString()
+    return rows.mapInPandas(run, f"id {kind}, label int, prediction int, probability array<double>, held_out boolean")

@@ -5,16 +5,25 @@ Each cluster is small and is worked on by numpy in one group: X (samples x conti
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binloom.functions.numeric import chi2_sf, log_gamma_np
+from binloom.functions.numeric import ENTROPY_E, LARGE_MEAN, chi2_sf, log_gamma_np
+from binloom.operators import clustering
+from binloom.operators.distance import own_distances, pair_distances, tile_distances
+from binloom.storage import cut
 
 #: Ridge of the first factors, highest rank, level of the likelihood ratio test, size below which a parameter does not count.
 RIDGE, MOST_RANK, LEVEL, TINY = 0.1, 19, 0.01, 1e-17
 ITERATIONS, TOLERANCE = 2000, 1e-10
+#: Chance that two contigs are of one genome, in the distances by which seeds are found.
+SEED_Q = math.exp(-7.0)
+#: Components nearer than this are one bin.
+JOIN_DISTANCE = 0.001
 #: Base pairs of a bin that is kept.
 LEAST_SIZE, MOST_SIZE = 100_000, 10_000_000
 
@@ -24,15 +33,46 @@ def first_factors(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.abs(np.linalg.solve(w @ w.T + RIDGE * np.eye(len(w)), w @ x)) + 1e-12
 
 
-def seeds(x: np.ndarray, rank: int) -> np.ndarray:
-    """Rows of W: profiles of contigs far from each other by cosine, the fullest contig first."""
-    total = x.sum(axis=0)
-    unit = x / np.maximum(np.linalg.norm(x, axis=0), 1e-12)
-    chosen = [int(np.argmax(total))]
-    while len(chosen) < rank:
-        far = 1 - (unit[:, chosen].T @ unit).max(axis=0)
-        far[chosen] = -1
-        chosen.append(int(np.argmax(far)))
+def poisson_entropy(mean: np.ndarray) -> np.ndarray:
+    """Entropy of Poisson variables: a series up to a mean of 5, an asymptotic expansion beyond."""
+    mean = np.maximum(mean, 1e-12)
+    k = np.arange(1, 50)
+    log_k = np.array([math.lgamma(i + 1) for i in k])
+    small = np.minimum(mean, LARGE_MEAN)
+    series = (np.exp(k * np.log(small)[..., None] - log_k) * log_k).sum(axis=-1)
+    low = small - small * np.log(small) + np.exp(-small) * series
+    high = 0.5 * np.log(2 * np.pi * ENTROPY_E * mean) - 1 / (12 * mean) - 1 / (24 * mean**2) - 19 / (360 * mean**3)
+    return np.where(mean > LARGE_MEAN, high, low)
+
+
+def likelihood_gaps(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """How far each contig's mean log likelihood is above what its factors let expect."""
+    mean = np.maximum(mean, 1e-12)
+    found = x * np.log(mean) - mean - log_gamma_np(x + 1)
+    return (found + poisson_entropy(mean)).mean(axis=0)
+
+
+def first_seeds(x: np.ndarray, alpha: np.ndarray) -> list[int]:
+    """Two contigs far from each other by the Bayesian distance: the farthest from the fullest, and the farthest from that."""
+    rows = x.T
+
+    def far(i: int) -> np.ndarray:
+        return tile_distances(rows[i : i + 1], rows, alpha, 1, SEED_Q)[0]
+
+    one = int(np.argmax(far(int(np.argmax(x.sum(axis=0))))))
+    order = np.argsort(-far(one), kind="stable")
+    return [one, int(next((i for i in order if i != one), one))]
+
+
+def next_seed(gaps: np.ndarray, chosen: list[int]) -> int:
+    """The contig of the largest gap that is no seed yet."""
+    left = gaps.copy()
+    left[chosen] = -np.inf
+    return int(np.argmax(left))
+
+
+def profiles_of(x: np.ndarray, chosen: list[int]) -> np.ndarray:
+    """Rows of W: the seeds' profiles as shares, nowhere zero."""
     w = x[:, chosen].T + 1e-3
     return w / w.sum(axis=1, keepdims=True)
 
@@ -41,9 +81,9 @@ def log_likelihood(x: np.ndarray, mean: np.ndarray) -> float:
     return float((x * np.log(mean) - mean - log_gamma_np(x + 1)).sum())
 
 
-def factorise(x: np.ndarray, rank: int, iterations: int = ITERATIONS) -> tuple[np.ndarray, np.ndarray, float]:
-    """W, Z and the log likelihood by multiplicative updates; stops when it no longer grows."""
-    w = seeds(x, rank)
+def factorise(x: np.ndarray, chosen: list[int], iterations: int = ITERATIONS) -> tuple[np.ndarray, np.ndarray, float]:
+    """W, Z and the log likelihood by multiplicative updates from seed contigs; stops when it no longer grows."""
+    w = profiles_of(x, chosen)
     z = first_factors(w, x)
     last = -np.inf
     for step in range(iterations):
@@ -59,12 +99,21 @@ def factorise(x: np.ndarray, rank: int, iterations: int = ITERATIONS) -> tuple[n
     return w, z, log_likelihood(x, np.maximum(w.T @ z, 1e-12))
 
 
-def select_rank(x: np.ndarray, most: int = MOST_RANK) -> tuple[np.ndarray, np.ndarray, float]:
-    """Factors of the best rank: ranks grow while the likelihood ratio test finds them better, then the highest AIC wins."""
+def select_rank(x: np.ndarray, most: int = MOST_RANK, alpha: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Factors of the best rank: ranks grow while the likelihood ratio test finds them better, then the highest AIC wins.
+
+    The first two seeds are far from each other, every further one is the contig that the factors so far explain
+    least as expected.  ``alpha`` is the prior of each sample, shares of the counts where it isn't given.
+    """
     n, c = x.shape
+    alpha = x.sum(axis=1) / x.sum() * n if alpha is None else alpha
+    chosen = first_seeds(x, np.maximum(alpha, 1e-9)) if c > 1 else [0]
     best, score, last = None, -np.inf, None
-    for rank in range(1, min(most, c, n) + 1):
-        w, z, value = factorise(x, rank)
+    for rank in range(1, min(most, c) + 1):
+        if rank > len(chosen):
+            chosen.append(next_seed(gaps, chosen))
+        w, z, value = factorise(x, chosen[:rank])
+        gaps = likelihood_gaps(x, w.T @ z)
         parameters = int((w > TINY).sum() + (z > TINY).sum())
         if value - parameters > score:
             best, score = (w, z, value), value - parameters
@@ -74,11 +123,12 @@ def select_rank(x: np.ndarray, most: int = MOST_RANK) -> tuple[np.ndarray, np.nd
     return best
 
 
-def deconvolve(counts: DataFrame, members: DataFrame, most: int = MOST_RANK) -> DataFrame:
+def deconvolve(counts: DataFrame, members: DataFrame, most: int = MOST_RANK, prior: dict | None = None) -> DataFrame:
     """(cluster, component, contig, z, sample_counts): components of each cluster, long over their contigs.
 
     ``counts`` is (contig, sample, count), ``members`` (contig, cluster).  z is the contig's share, and
     sample_counts maps samples to the component's pseudo-counts, its profile times the sum of its z.
+    ``prior`` (sample: prior) enters the distances by which seeds are found.
     Samples without counts in a cluster are left out of its factors, and so of the map.  A contig is in
     each component that it has a share of; ``main`` marks the largest.
     """
@@ -89,7 +139,8 @@ def deconvolve(counts: DataFrame, members: DataFrame, most: int = MOST_RANK) ->
         matrix = matrix.loc[matrix.sum(axis=1) > 0].sort_index()
         out = []
         if matrix.size:
-            w, z, _ = select_rank(matrix.to_numpy(float), most)
+            alpha = np.array([prior.get(s, 0.0) for s in matrix.index]) if prior else None
+            w, z, _ = select_rank(matrix.to_numpy(float), most, alpha)
             for k in range(len(w)):
                 pseudo = dict(zip(map(str, matrix.index), (w[k] * z[k].sum()).tolist(), strict=True))
                 out += [(part["cluster"].iloc[0], k, c, float(z[k, i]), bool(k == int(np.argmax(z[:, i]))), pseudo) for i, c in enumerate(matrix.columns) if z[k, i] > TINY]
@@ -108,3 +159,24 @@ def component_members(parts: DataFrame) -> DataFrame:
 def kept_bins(sizes: DataFrame, least: int = LEAST_SIZE, most: int = MOST_SIZE) -> DataFrame:
     """Bins (bin, length) of a plausible genome size."""
     return sizes.filter(F.col("length").between(least, most))
+
+
+def join_components(parts: DataFrame, lengths: DataFrame, prior: dict, d0: float = JOIN_DISTANCE, q: float = SEED_Q) -> DataFrame:
+    """(cluster, component, bin): components (see ``deconvolve``) of like pseudo-counts joined by the leader rule.
+
+    Components whose contigs (contig, length) are no plausible genome in size are left alone.  A bin is known
+    by its leader's cluster and component.
+    """
+    key = F.concat_ws("/", F.col("cluster").cast("string"), F.col("component").cast("string"))
+    named = parts.withColumn("contig_", F.col("contig")).drop("contig").withColumn("contig", key)
+    sizes = named.filter("main").join(lengths.select(F.col("contig").alias("contig_"), "length"), "contig_").groupBy("contig").agg(F.sum("length").alias("length"))
+    samples = sorted(prior)
+    profile = F.array(*[F.coalesce(F.element_at("sample_counts", F.lit(str(s))), F.lit(0.0)) for s in samples])
+    whole = named.groupBy("contig", "cluster", "component").agg(F.first("sample_counts").alias("sample_counts")).withColumn("profile", profile)
+    whole = cut(whole.join(sizes, "contig", "left").withColumn("total", F.aggregate("profile", F.lit(0.0), lambda a, x: a + x)))
+    good = whole.filter(F.coalesce("length", F.lit(0)).between(LEAST_SIZE, MOST_SIZE))
+    alpha = [prior[s] for s in samples]
+    bound = max(d0, own_distances(good, alpha, None, q).agg(F.max("distance")).first()[0] or 0.0)
+    pairs = pair_distances(good, alpha, bound + 1e-9, None, q)
+    led = clustering.leaders(pairs, good.select("contig", "total"), d0).filter("owned").select("contig", F.col("leader").alias("bin"))
+    return whole.select("contig", "cluster", "component").join(led, "contig", "left").select("cluster", "component", F.coalesce("bin", "contig").alias("bin"))

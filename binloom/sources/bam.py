@@ -1,16 +1,18 @@
 """A BAM data source: BGZF files are gzip members, records are packed structs.
 
-``spark.dataSource.register(BamSource)`` and ``spark.read.format("bam").load(path)`` give the columns of
-SAM records; each file is one partition.
+``register(spark)`` and ``spark.read.format("bam").load(path)`` give the columns of SAM records, and
+``format("bam_header")`` the reference sequences.  Files are streamed, one partition each, from any file system
+that pyarrow opens by its address; a path without a scheme is a local or mounted one.
 """
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import gzip
-import os
+import posixpath
 import struct
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -73,6 +75,36 @@ def records(stream, sample: str) -> Iterator[tuple]:
         order += 1
 
 
+def _opened(path: str):
+    """The file system and plain path of an address."""
+    import os
+
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
+
+
+def bam_files(path: str) -> list[str]:
+    """Addresses of the BAM files of a folder, a glob or a single file, by name."""
+    from pyarrow import fs
+
+    system, plain = _opened(path)
+    folder, pattern = (posixpath.dirname(plain), posixpath.basename(plain)) if any(c in plain for c in "*?[") else (plain, "*.bam")
+    prefix = path[: len(path) - len(plain)] if path.endswith(plain) else ""
+    if system.get_file_info(folder).type == fs.FileType.File:
+        return [prefix + folder]
+    found = system.get_file_info(fs.FileSelector(folder))
+    return sorted(prefix + f.path for f in found if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, pattern))
+
+
+@contextmanager
+def unpacked(path: str):
+    """The file's bytes, unpacked as they are read: BGZF blocks are gzip members."""
+    system, plain = _opened(path)
+    with system.open_input_stream(plain) as packed, gzip.GzipFile(fileobj=packed) as stream:
+        yield stream
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)
@@ -84,12 +116,19 @@ class BamReader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        found = sorted(glob.glob(os.path.join(self.path, "*.bam")) if os.path.isdir(self.path) else glob.glob(self.path))
-        return [_File(p) for p in found]
+        return [_File(p) for p in bam_files(self.path)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        with unpacked(partition.path) as stream:
+            yield from records(stream, posixpath.basename(partition.path).removesuffix(".bam"))
+
 
+class HeaderReader(BamReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with gzip.open(partition.path, "rb") as stream:
-            yield from records(stream, os.path.basename(partition.path).removesuffix(".bam"))
+        """Reads no further than the header."""
+        with unpacked(partition.path) as stream:
+            for i, (name, size) in enumerate(read_header(stream)):
+                yield posixpath.basename(partition.path).removesuffix(".bam"), i, name, size
 
 
 class BamSource(DataSource):
@@ -104,19 +143,26 @@ class BamSource(DataSource):
         return BamReader(self.options["path"])
 
 
-def bam_contigs(spark, path: str, least: int = 2000):
-    """(ref_id, name, length) of the headers of BAM files, read by executors."""
-    from pyspark.sql import functions as F
+class HeaderSource(BamSource):
+    @classmethod
+    def name(cls) -> str:
+        return "bam_header"
+
+    def schema(self) -> str:
+        return "sample STRING, ref_id INT, name STRING, length INT"
 
-    def run(batches):
-        import io
+    def reader(self, schema) -> DataSourceReader:
+        return HeaderReader(self.options["path"])
+
+
+def register(spark) -> None:
+    for source in (BamSource, HeaderSource):
+        spark.dataSource.register(source)
 
-        import pandas as pd
 
-        for part in batches:
-            for content in part["content"]:
-                names = read_header(gzip.open(io.BytesIO(content)))
-                yield pd.DataFrame([(i, n, size) for i, (n, size) in enumerate(names)], columns=["ref_id", "name", "length"])
+def bam_contigs(spark, path: str, least: int = 2000):
+    """(ref_id, name, length) of the headers of BAM files, read by executors."""
+    from pyspark.sql import functions as F
 
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.bam").load(path).select("content").mapInPandas(run, "ref_id int, name string, length int")
-    return found.distinct().filter(F.col("length") >= least)
+    register(spark)
+    return spark.read.format("bam_header").load(path).select("ref_id", "name", "length").distinct().filter(F.col("length") >= least)

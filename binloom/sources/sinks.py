@@ -31,3 +31,12 @@ def write_bin_fasta(sequences: DataFrame, bins: DataFrame, path: str) -> None:
     joined = sequences.join(bins.withColumnRenamed("contig", "name"), "name")
     records = joined.select("bin", F.concat(F.lit(">"), F.col("name"), F.lit("\n"), F.col("seq")).alias("value"))
     records.repartition("bin").write.mode("overwrite").partitionBy("bin").text(path)
+
+
+def write_model(net, spark, path: str, losses: list[list[float]] | None = None) -> None:
+    """A network's weights, and its losses by epoch and head, in two folders of ``path``."""
+    from binloom.operators import network
+
+    write_columns(network.weights_table(spark, net), f"{path}/weights")
+    rows = [(e, h.name, float(x)) for e, each in enumerate(losses or []) for h, x in zip(net.heads, each, strict=True)]
+    write_columns(spark.createDataFrame(rows, "epoch int, head string, loss double"), f"{path}/losses")

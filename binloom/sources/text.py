@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SELECTED = "ref_id INT, name STRING, length INT"
 COUNTS = "ref_id INT, sample STRING, count DOUBLE"
@@ -13,9 +12,13 @@ BINS = "contig STRING, bin STRING"
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their file and place; a file is read whole by one task only for numbering its lines."""
-    raw = spark.read.text(path, wholetext=False).withColumn("file", F.col("_metadata.file_path"))
-    return raw.withColumn("at", F.monotonically_increasing_id())
+    """Lines with their file and their place in it: where their stretch of the file starts, and a number that rises within it.
+
+    Stretches of a file may be read by any tasks in any order; the place tells the lines' order all the same.
+    """
+    raw = spark.read.text(path, wholetext=False)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return raw.select("value", F.col("_metadata.file_path").alias("file"), place.alias("at"))
 
 
 def sample_name(file: Column) -> Column:
@@ -40,7 +43,7 @@ def sam_contigs(lines: DataFrame, least: int = 2000) -> DataFrame:
 
 
 def sam_records(lines: DataFrame) -> DataFrame:
-    """(sample, read_id, ord, flag, contig, cigar, qual, md) of the alignment lines; MD is found by its tag."""
+    """(sample, read_id, ord, flag, contig, cigar, qual, md) of the alignment lines; ord is the line's place, MD is found by its tag."""
     f = F.split("value", "\t")
     rows = lines.filter(~F.col("value").startswith("@") & (F.size(f) >= 11))
     return rows.select(
@@ -61,10 +64,10 @@ def read_sam(spark: SparkSession, path: str, least: int = 2000) -> tuple[DataFra
 def read_fasta(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """(name, seq): names end at white space, body lines are joined; a missing last line feed is no matter.
 
-    ``strict`` skips body lines that hold anything but letters.  Records are split at ">" by the reader, so
-    large files are read in parallel.
+    ``strict`` skips body lines that hold anything but letters.  Records are split by the reader where a line
+    starts with ">", so large files are read in parallel and a ">" inside a header stays.
     """
-    raw = spark.read.option("lineSep", ">").text(path).filter(F.length(F.trim("value")) > 0)
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^\\s*>", "").alias("value")).filter(F.length(F.trim("value")) > 0)
     parts = F.split("value", "\r?\n")
     body = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
     body = F.transform(body, lambda x: F.trim(x))
@@ -78,6 +81,11 @@ def read_reading_frames(spark: SparkSession, path: str) -> DataFrame:
     return read_fasta(spark, path).select("name", F.regexp_replace("name", r"_[^_]*$", "").alias("contig"), "seq")
 
 
+def with_ordinals(rows: DataFrame, contigs: DataFrame, name: str = "contig") -> DataFrame:
+    """Rows of known contigs with their number: coding sequences or marker hits joined to (ref_id, name)."""
+    return rows.join(contigs.select(F.col("name").alias(name), "ref_id"), name)
+
+
 def selected(sequences: DataFrame, contigs: DataFrame) -> DataFrame:
     """Sequences of selected contigs only."""
     return sequences.join(contigs.select("name"), "name", "left_semi")
@@ -93,9 +101,12 @@ def read_bins(spark: SparkSession, path: str) -> DataFrame:
     return read_delimited(spark, path, BINS, ",")
 
 
-def read_matrix(spark: SparkSession, path: str, names: str | None = None) -> DataFrame:
-    """(row, values) of .npy files, one array a row of the matrix; ``names`` is a text file of row names, in order."""
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("values", T.ArrayType(T.DoubleType()))])
+def read_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """(file, array, row, values) of .npy and .npz files: one array a row of each matrix, "" naming that of a .npy file.
+
+    A file is read whole by one task.
+    """
+    schema = "file string, array string, row long, values array<double>"
 
     def run(batches):
         import io
@@ -104,11 +115,23 @@ def read_matrix(spark: SparkSession, path: str, names: str | None = None) -> Dat
         import pandas as pd
 
         for part in batches:
-            for content in part["content"]:
-                matrix = np.atleast_2d(np.load(io.BytesIO(content), allow_pickle=False)).astype(float)
-                yield pd.DataFrame({"row": range(len(matrix)), "values": list(matrix)})
+            for name, content in zip(part["path"], part["content"], strict=True):
+                found = np.load(io.BytesIO(content), allow_pickle=False)
+                for key in found.files if hasattr(found, "files") else [""]:
+                    values = np.asarray(found[key] if key else found, dtype=float)
+                    matrix = values.reshape(-1, 1) if values.ndim < 2 else values.reshape(len(values), -1)
+                    yield pd.DataFrame({"file": name, "array": key, "row": range(len(matrix)), "values": list(matrix)})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+
 
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+def read_matrix(spark: SparkSession, path: str, names: str | None = None, array: str | None = None) -> DataFrame:
+    """(row, values) of a .npy file, or of one array of a .npz file; ``names`` is a text file of row names, in order.
+
+    Several files, or several arrays without ``array``, would share row numbers, so read those by ``read_arrays``.
+    """
+    found = read_arrays(spark, path)
+    rows = (found if array is None else found.filter(F.col("array") == array)).select("row", "values")
     if names is None:
         return rows
     lines = spark.read.text(names, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("row", "name"))

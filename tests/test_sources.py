@@ -52,10 +52,41 @@ def bam_bytes():
 
 def test_bam(spark, tmp_path):
     (tmp_path / "s1.bam").write_bytes(gzip.compress(bam_bytes()))
-    spark.dataSource.register(bam.BamSource)
+    bam.register(spark)
     rows = spark.read.format("bam").load(str(tmp_path)).orderBy("ord").collect()
     assert [tuple(r) for r in rows] == [("s1", "r1", 0, 67, "a", "10M", "I" * 10, "10"), ("s1", "r1", 1, 131, "a", "2S8M", "*", "8")]
     assert [tuple(r) for r in bam.bam_contigs(spark, str(tmp_path)).collect()] == [(0, "a", 3000)]
+    (tmp_path / "s2.bam").write_bytes(gzip.compress(bam_bytes()[:60]) + gzip.compress(bam_bytes()[60:]))  # several members, as BGZF has
+    for path, count in ((f"{tmp_path}/s*.bam", 4), (f"{tmp_path}/s2.bam", 2), (f"file://{tmp_path}", 4)):
+        assert spark.read.format("bam").load(path).count() == count
+    assert {r["sample"] for r in spark.read.format("bam_header").load(str(tmp_path)).collect()} == {"s1", "s2"}
+
+
+def test_places_tell_the_order_of_lines(spark, tmp_path):
+    """However many tasks read a file, places rise along it."""
+    lines = [f"r{i // 3}\t67\ta\t{i}\t9\t10M\t=\t1\t0\tACGTACGTAC\tIIIIIIIIII\tMD:Z:10" for i in range(3000)]
+    for name in ("x", "y"):
+        (tmp_path / f"{name}.sam").write_text("\n".join(lines))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        found = text._lines(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() > 5
+        by = {}
+        for r in found.orderBy("file", "at").collect():
+            by.setdefault(r["file"], []).append(r["value"])
+        assert len(by) == 2 and all(v == lines for v in by.values())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_headers_may_hold_marks(spark, tmp_path):
+    (tmp_path / "c.fa").write_text(">a from=1>2 x\nAC\nGT\n\n>b\n>c\nTT\n")
+    assert {r["name"]: r["seq"] for r in text.read_fasta(spark, str(tmp_path / "c.fa")).collect()} == {"a": "ACGT", "b": "", "c": "TT"}
+    frames = text.with_ordinals(text.read_reading_frames(spark, str(tmp_path / "c.fa")), spark.createDataFrame([(3, "a"), (5, "c"), (6, "z")], "ref_id int, name string"))
+    assert {r["name"]: r["ref_id"] for r in frames.collect()} == {"a": 3, "c": 5}
 
 
 def test_fasta_and_bins(spark, tmp_path):
@@ -78,6 +109,10 @@ def test_matrix(spark, tmp_path):
     (tmp_path / "names").write_text("x\ny\nz\n")
     got = {r["name"]: r["values"] for r in text.read_matrix(spark, str(tmp_path / "m.npy"), str(tmp_path / "names")).collect()}
     assert got == {"x": [0.0, 1.0], "y": [2.0, 3.0], "z": [4.0, 5.0]}
+    np.savez(tmp_path / "m.npz", one=np.arange(4).reshape(2, 2), two=np.arange(3))
+    every = {(r["array"], r["row"]): r["values"] for r in text.read_arrays(spark, str(tmp_path / "m.npz")).collect()}
+    assert every == {("one", 0): [0.0, 1.0], ("one", 1): [2.0, 3.0], ("two", 0): [0.0], ("two", 1): [1.0], ("two", 2): [2.0]}
+    assert text.read_matrix(spark, str(tmp_path / "m.npz"), array="two").count() == 3
 
 
 def test_counts_sink_is_partitioned(spark, tmp_path):
