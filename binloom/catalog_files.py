@@ -57,6 +57,16 @@ def sam_contigs(spark, sf_dir):
     return contigs.select("ref_id", "name", "length")
 
 
+@query("""
+    SELECT 'r' || l_orderkey AS read_id, 'c' || l_suppkey AS contig,
+           CASE WHEN l_partkey % 256 & 64 <> 0 THEN 1 WHEN l_partkey % 256 & 128 <> 0 THEN 2 ELSE 0 END AS dir, l_partkey % 256 & 2 <> 0 AS proper, 95.0::DOUBLE AS identity
+    FROM lineitem WHERE l_suppkey * 937 % 5000 + 1000 >= 2000""")
+def sam_candidates(spark, sf_dir):
+    """Records of long contigs as candidates: one of twenty bases differs in each."""
+    records, contigs = text.read_sam(spark, f"{_sam(spark, sf_dir)}/*")
+    return counts.candidates(records, contigs).select("read_id", "contig", "dir", "proper", r4("identity").alias("identity"))
+
+
 @query("SELECT 'r' || l_orderkey AS read_id, count(*) AS n, count(*) = count(DISTINCT (l_orderkey, l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice)) AS ordered FROM lineitem GROUP BY 1")
 def sam_order(spark, sf_dir):
     """Every record of a read has a place of its own."""

@@ -60,7 +60,7 @@ def exact_dedup(
     docs = docs.select("doc_id", text_or_empty().alias("_text"))
     for seed in range(MAX_SEEDS):
         cut_up = docs.select("doc_id", chunks(F.col("_text"), low, high).alias("chunks"), F.sha2("_text", 256).alias("text_sha256"))
-        recipe = F.transform("chunks", lambda c, seed=seed: identify(c, seed))
+        recipe = F.transform("chunks", lambda c: identify(c, seed))  # noqa: B023  called at once
         listed = cut(cut_up.select("doc_id", recipe.alias("recipe"), F.transform("chunks", witness).alias("witnesses"), "text_sha256"))
         if not has_collision(listed):
             break

@@ -34,6 +34,8 @@ PERMUTATIONS, BAND_ROWS = 180, 6
 REMEMBERED_WORDS = 120_000
 #: Rows of a batch that carries texts or sets.
 BATCH_ROWS = 512
+#: Ids that are broadcast at most to find their texts; more are joined by a shuffle.
+SMALL_ROWS = 300_000
 #: Bits of each signature value that a sketch keeps, and the deviations by which its estimate may fall below the similarity.
 SKETCH_BITS, SKETCH_DEVIATIONS = 4, 4.4
 _ODD = np.random.default_rng(20240611).integers(1, 2**63, size=SHINGLE_WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -207,17 +209,16 @@ def _may_link(percent: int):
     return (both * (100 + percent) >= sizes * percent) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
 
 
-def apart(rows: DataFrame, signed: DataFrame, percent: int, permutations: int) -> DataFrame:
+def apart(rows: DataFrame, classes: DataFrame, percent: int, permutations: int) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket and that the bounds allow.
 
     One end of each pair is outside the bucket's largest component, so that is never paired with itself; a
     pair leaves the join once, in the first bucket that it shares, and only if its sketches allow a link.
     """
-    ids, count = cut_counted(rows.select(F.col("id").alias("doc_id"), "n").distinct())
-    own = join_counted(signed, ids.select("doc_id"), count, ["doc_id"], "left_semi").groupBy("doc_id").agg(F.first(F.struct("keys", "sketch")).alias("s"))
+    ids, count = cut_counted(rows.select("id", "n").distinct())
+    signs = join_counted(classes, ids, count, ["id", "n"], "left_semi").groupBy("id").agg(F.first(F.struct("keys", "sketch")).alias("s")).select("id", "s.keys", "s.sketch")
     largest = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max(F.struct("k", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"))
-    largest = largest.filter("comps > 1").select("key", F.col("m.comp").alias("main"))
-    signs = own.select(F.col("doc_id").alias("id"), "s.keys", "s.sketch")
+    largest = cut(largest.filter("comps > 1").select("key", F.col("m.comp").alias("main")))  # cut, so that Spark can split a large bucket
     tagged = cut(rows.join(largest, "key").join(signs, "id").select("key", "main", "comp", F.struct("id", "n", "c", "keys", "sketch").alias("x")))
     one = tagged.filter("comp <> main").select("key", F.col("comp").alias("ca"), "x")
     two = tagged.select("key", F.col("main"), F.col("comp").alias("cb"), F.col("x").alias("y"))
@@ -241,20 +242,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75, permutations: int = PERM
         signed = cut(docs.mapInArrow(_signed(permutations, band_rows), "doc_id long, n long, digest binary, keys array<long>, sketch array<long>"))
     full = signed.filter("n > 0 AND doc_id IS NOT NULL")
     # an id of several texts is one class for each
-    classes = full.groupBy("digest", "n").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies"))
+    classes = cut(full.groupBy("digest", "n").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")))
     rows = classes.select(F.explode("keys").alias("key"), "id", "n")
     leaders = rows.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("_last")).filter("leader < _last").drop("_last")
-    members = cut(rows.join(leaders, "key"))
-    ids = members.select(F.col("id").alias("doc_id")).distinct()
+    members = cut(rows.join(cut(leaders), "key"))  # two tables dealt by key alone, so that Spark can split a large bucket
+    ids, count = cut_counted(members.select(F.col("id").alias("doc_id")).distinct())
     with arrow_batches(spark, BATCH_ROWS):
-        sets = cut(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, hashes binary"))
+        sets = cut(join_counted(docs, ids, count, ["doc_id"], "left_semi", SMALL_ROWS).mapInArrow(_sets, "id long, hashes binary"))
         tried = cut(members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
         edges = cut(verified(tried, sets, percent))
     labels, count = cut_counted(components(edges))
     with arrow_batches(spark, BATCH_ROWS):
         rows, still = cut_counted(still_open(members, labels, count, sets, percent))
         if still:
-            pairs = apart(rows, signed.filter("n > 0 AND doc_id IS NOT NULL"), percent, permutations).join(tried, ["a", "b"], "left_anti")
+            pairs = apart(rows, classes, percent, permutations).join(tried, ["a", "b"], "left_anti")
             found, links = cut_counted(verified(cut(pairs), sets, percent))
             if links:
                 labels = cut(components(edges.union(found)))

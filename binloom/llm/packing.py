@@ -33,8 +33,8 @@ def _encoded(path: str, limit: int):
         coder, end = encoder(path), END_ID.to_bytes(ID_BYTES, "little")
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("_text"), strict=True):
-                ids = coder.ids(text.as_py()) + end
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.all_ids(batch.column("_text")), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), limit * ID_BYTES)):
                     part = ids[at : at + limit * ID_BYTES]
                     rows.append((doc_id, piece, at // ID_BYTES, len(part) // ID_BYTES, crc32(part)))

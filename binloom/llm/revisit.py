@@ -9,7 +9,13 @@ RFC 9111, section 3.2, allows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import gzip
+import io
+from collections.abc import Iterator
+from datetime import datetime
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Header fields that a 304 never updates (RFC 9111, 3.2 and RFC 9110, 7.6.1).
@@ -79,6 +85,66 @@ def resolve(captures: DataFrame, segment_seconds: int = SEGMENT_SECONDS) -> Data
     )
 
 
+#: Fixed value: how the profile of server-not-modified revisits ends.
+NOT_MODIFIED = "/server-not-modified"
+
+
+def _fields(stream) -> dict[str, str]:
+    """Named fields up to an empty line, names in lower case; lines that begin with white space go on, repeats are joined by commas."""
+    found: dict[str, str] = {}
+    name = ""
+    while (line := stream.readline()).strip():
+        text = line.decode("utf-8", "replace").rstrip("\r\n")
+        if text[:1] in " \t" and name:
+            found[name] += " " + text.strip()
+            continue
+        name, _, value = text.partition(":")
+        name = name.strip().lower()
+        found[name] = f"{found[name]}, {value.strip()}" if name in found else value.strip()
+    return found
+
+
+def warc_captures(stream) -> Iterator[tuple]:
+    """(id, url, ts, status_code, headers, payload_digest) of the HTTP responses and not-modified revisits of a WARC stream."""
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            continue  # the empty lines between records
+        head = _fields(stream)
+        left = int(head.get("content-length", "0"))
+        kind = head.get("warc-type", "")
+        if kind == "response" or kind == "revisit" and head.get("warc-profile", "").endswith(NOT_MODIFIED):
+            block = io.BytesIO(stream.read(left))
+            left = 0
+            status = block.readline().split(None, 2)
+            if len(status) > 1 and status[0].startswith(b"HTTP/") and status[1].isdigit():
+                ts = int(datetime.fromisoformat(head["warc-date"]).timestamp()) if "warc-date" in head else None
+                yield head.get("warc-record-id", ""), head.get("warc-target-uri", "").strip("<>"), ts, int(status[1]), _fields(block), head.get("warc-payload-digest")
+        while left > 0 and (skipped := stream.read(min(left, 1 << 20))):
+            left -= len(skipped)
+
+
+def _warc_rows(batches):
+    for batch in batches:
+        for content in batch.column("content"):
+            raw = io.BytesIO(content.as_py())
+            stream = gzip.GzipFile(fileobj=raw) if raw.getbuffer()[:2] == b"\x1f\x8b" else raw
+            rows = list(warc_captures(stream))
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.string())
+            made = [pa.array([list(h.items()) for h in c] if pa.types.is_map(k) else c, k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(made, ["id", "url", "ts", "status_code", "headers", "payload_digest"])
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """Captures, as ``resolve`` takes them, of WARC files, packed or not; bodies are left out.
+
+    record_id is a hash of the record's own.  A file is read whole by one task, so it may have 2 GB at most.
+    """
+    kinds = "id string, url string, ts long, status_code int, headers map<string,string>, payload_digest string"
+    found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_warc_rows, kinds)
+    return found.select(F.xxhash64("id").alias("record_id"), "url", "ts", "status_code", "headers", "payload_digest")
+
+
 #: The captures made of a page: its own, and a later one that the server answered with 304.
 REVISIT_AFTER = 5000
 

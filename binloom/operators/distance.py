@@ -19,8 +19,8 @@ from binloom.functions.numeric import log1p_exp, log_gamma, log_gamma_np
 
 #: Prior odds: q is the chance that two profiles are of one genome.
 Q = math.exp(-8.0)
-#: Contigs of a tile's side.
-TILE_ROWS = 1024
+#: Contigs of a tile's side at most, at least where there are cores for more tiles, and of a strip of it.
+TILE_ROWS, LEAST_TILE_ROWS, STRIP_ROWS = 4096, 16, 256
 
 
 def literal_array(values) -> Column:
@@ -101,31 +101,49 @@ def tile_distances(x: np.ndarray, y: np.ndarray, alpha: np.ndarray, groups: int
     return np.where(np.abs(z) > 350, top, top + np.log1p(np.exp(-np.abs(z))))
 
 
+def blocks_of(frame: DataFrame, count: int, most_rows: int = TILE_ROWS) -> int:
+    """Blocks that rows are dealt to: tiles of two blocks should be many enough for all cores, and no larger than a task holds."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-count // most_rows), min(math.ceil(math.sqrt(2 * cores)), -(-count // LEAST_TILE_ROWS)))
+
+
+def met_blocks(frame: DataFrame, key: str, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of tiles (i, j) with i <= j: rows with i and j, and rows with i_2 and j_2, their columns ending in _2."""
+    own = frame.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    left = own.select(*frame.columns, F.col("_block").alias("i"), F.explode(F.sequence("_block", F.lit(blocks - 1))).alias("j"))
+    # every column of the second side gets a name of its own: both sides come of one frame
+    right = own.select(*[F.col(c).alias(f"{c}_2") for c in frame.columns], F.explode(F.sequence(F.lit(0), F.col("_block"))).alias("i_2"), F.col("_block").alias("j_2"))
+    return left, right
+
+
 def pair_distances(profiles: DataFrame, alpha: list[float], below: float | None = None, kmer_alpha: list[float] | None = None, q: float = Q, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(a, b, distance) of all ordered pairs, a pair with itself included; with ``below`` the nearer ones only.
 
     ``profiles`` has contig, profile and, for the combined distance, kmer (256 values).  Rows are dealt to
-    blocks by hash and each pair of blocks is a task of its own, so the quadratic work is spread evenly and
-    only the pairs asked for leave a tile.
+    blocks by hash and each pair of blocks is a task of its own, which works in strips, so the quadratic work is
+    spread evenly and only the pairs asked for leave a tile.  The distance is symmetric, so a tile gives both orders.
     """
-    count = profiles.count()
-    blocks = max(1, -(-count // tile_rows))
+    blocks = blocks_of(profiles, profiles.count(), tile_rows)
     names = ["contig", "profile"] + (["kmer"] if kmer_alpha else [])
-    own = profiles.select(*names, F.pmod(F.xxhash64("contig"), F.lit(blocks)).cast("int").alias("block"))
-    other = F.explode(F.array(*[F.lit(i) for i in range(blocks)])) if blocks <= 64 else F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = own.withColumn("j", other).select(*names, F.col("block").alias("i"), "j")
-    # every column of the second side gets a name of its own: both sides come of one frame
-    right = own.withColumn("i", other).select(*[F.col(c).alias(f"{c}_2") for c in names], F.col("i").alias("i_2"), F.col("block").alias("j_2"))
+    left, right = met_blocks(profiles.select(*names), "contig", blocks)
     a_n, k_n = np.array(alpha, dtype=float), np.array(kmer_alpha, dtype=float) if kmer_alpha else None
     kind = profiles.schema["contig"].dataType.simpleString()
 
     def tile(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         if one.empty or two.empty:
             return pd.DataFrame({"a": [], "b": [], "distance": []})
-        d = tile_distances(np.stack(one["profile"]).astype(float), np.stack(two["profile_2"]).astype(float), a_n, 1, q)
-        if k_n is not None:
-            d = d + tile_distances(np.stack(one["kmer"]).astype(float), np.stack(two["kmer_2"]).astype(float), k_n, 64, q)
-        i, j = np.nonzero(d < below) if below is not None else np.nonzero(np.ones_like(d, dtype=bool))
-        return pd.DataFrame({"a": one["contig"].to_numpy()[i], "b": two["contig_2"].to_numpy()[j], "distance": d[i, j]})
+        x, y = np.stack(one["profile"]).astype(float), np.stack(two["profile_2"]).astype(float)
+        kx, ky = (np.stack(one["kmer"]).astype(float), np.stack(two["kmer_2"]).astype(float)) if k_n is not None else (None, None)
+        ids, others, parts = one["contig"].to_numpy(), two["contig_2"].to_numpy(), []
+        for at in range(0, len(x), STRIP_ROWS):
+            d = tile_distances(x[at : at + STRIP_ROWS], y, a_n, 1, q)
+            if k_n is not None:
+                d = d + tile_distances(kx[at : at + STRIP_ROWS], ky, k_n, 64, q)
+            i, j = np.nonzero(d < below) if below is not None else np.nonzero(np.ones_like(d, dtype=bool))
+            a, b, value = ids[at + i], others[j], d[i, j]
+            parts.append(pd.DataFrame({"a": a, "b": b, "distance": value}))
+            if one["i"].iloc[0] != one["j"].iloc[0]:
+                parts.append(pd.DataFrame({"a": b, "b": a, "distance": value}))
+        return pd.concat(parts)
 
     return left.groupBy("i", "j").cogroup(right.groupBy("i_2", "j_2")).applyInPandas(tile, f"a {kind}, b {kind}, distance double")

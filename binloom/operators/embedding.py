@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from binloom.functions.numeric import local_density
 from binloom.operators import graph
+from binloom.operators.distance import blocks_of, met_blocks
 from binloom.storage import cut
 
 #: Length of neighbours that makes a neighbourhood, contigs below SHORT use SHORT_NEIGHBOURS of them.
@@ -24,18 +25,10 @@ def nearest(points: DataFrame, k: int, tile_rows: int = TILE_ROWS) -> DataFrame:
 
     Blocks of points meet in tiles; each tile keeps k candidates a point, and a window keeps k of those.
     """
-    count = points.count()
-    blocks = max(1, -(-count // tile_rows))
-    own = points.select("id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = own.withColumn("j", other).select("id", "v", F.col("block").alias("i"), "j")
-    right = own.withColumn("i", other).select(F.col("id").alias("id_2"), F.col("v").alias("v_2"), F.col("i").alias("i_2"), F.col("block").alias("j_2"))
+    vectors = points.select("id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    left, right = met_blocks(vectors, "id", blocks_of(points, points.count(), tile_rows))
 
-    def tile(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        if one.empty or two.empty:
-            return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
-        two = two.sort_values("id_2")
-        x, y, ids, names = np.stack(one["v"]), np.stack(two["v_2"]), one["id"].to_numpy(), two["id_2"].to_numpy()
+    def closest(x: np.ndarray, ids: np.ndarray, y: np.ndarray, names: np.ndarray) -> list[pd.DataFrame]:
         keep, parts = min(k, len(y)), []
         for at in range(0, len(x), 256):
             part = x[at : at + 256]
@@ -46,6 +39,15 @@ def nearest(points: DataFrame, k: int, tile_rows: int = TILE_ROWS) -> DataFrame:
             i, j = np.nonzero(d <= edge + 1e-9 * np.maximum(edge, 1.0))
             exact = ((part[i] - y[j]) ** 2).sum(1)
             parts.append(pd.DataFrame({"id": ids[at + i], "neighbour": names[j], "distance": exact}))
+        return parts
+
+    def tile(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if one.empty or two.empty:
+            return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
+        x, y, ids, names = np.stack(one["v"]), np.stack(two["v_2"]), one["id"].to_numpy(), two["id_2"].to_numpy()
+        parts = closest(x, ids, y, names)
+        if one["i"].iloc[0] != one["j"].iloc[0]:
+            parts += closest(y, names, x, ids)
         return pd.concat(parts)
 
     found = left.groupBy("i", "j").cogroup(right.groupBy("i_2", "j_2")).applyInPandas(tile, "id long, neighbour long, distance double")

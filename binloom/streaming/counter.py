@@ -2,7 +2,8 @@
 
 Records of a read come together or in several batches; its state keeps them, and each batch that has
 records of a read emits the read's weights anew with a higher version.  Consumers take the last version,
-as ``latest`` does for what a foreachBatch sink has collected.
+as ``latest`` does for what a foreachBatch sink has collected.  In streams without end, a read that no record has
+come for since ``keep`` milliseconds leaves the state; its weights stand.
 """
 
 from __future__ import annotations
@@ -45,10 +46,17 @@ def weigh(entries: list[list], least_identity: float, discordant: float) -> list
     return [(e[0], 1 / n + (n - p) / (2 * n) / p if e[2] else 1 / (2 * n) if p else discordant / n) for e in kept]
 
 
-def weights_stream(records: DataFrame, least_identity: float = 97.0, discordant: float = 1.0) -> DataFrame:
-    """Weights of a stream of candidates (sample, read_id, contig, ord, dir, proper, identity), in update mode."""
+def weights_stream(records: DataFrame, least_identity: float = 97.0, discordant: float = 1.0, keep: int | None = None) -> DataFrame:
+    """Weights of a stream of candidates (sample, read_id, contig, ord, dir, proper, identity), in update mode.
+
+    With ``keep``, records of a read that come so many milliseconds after its last ones start it anew, with version 1;
+    such a stream looks for reads to forget for as long as it runs, so one that is to end by itself goes without.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         known, version = [], 0
         if state.exists:
             *columns, version = state.get
@@ -58,11 +66,13 @@ def weights_stream(records: DataFrame, least_identity: float = 97.0, discordant:
         version += 1
         columns = [list(c) for c in zip(*known, strict=True)]
         state.update((*columns, version))
+        if keep is not None:
+            state.setTimeoutDuration(keep)
         rows = weigh(fold(known), least_identity, discordant)
         yield pd.DataFrame([(*key, c, w, version) for c, w in rows], columns=["sample", "read_id", "contig", "weight", "version"])
 
     keyed = records.select(F.col("sample").cast("string"), F.col("read_id").cast("string"), F.col("contig").cast("string"), F.col("ord").cast("long"), F.col("dir").cast("int"), "proper", F.col("identity").cast("double"))
-    return keyed.groupBy("sample", "read_id").applyInPandasWithState(run, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    return keyed.groupBy("sample", "read_id").applyInPandasWithState(run, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout if keep is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def latest(weights: DataFrame) -> DataFrame:

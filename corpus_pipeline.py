@@ -25,30 +25,51 @@ def _keeping(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are fair or better with probability one half at least; texts without words go."""
+    """Documents that are fair or better with probability one half at least, with all their columns.
+
+    A null, empty or blank text has nothing to judge and goes.  Rows that repeat are judged alike; a null
+    doc_id is as good as another.  Without ratings of these documents all others stay; no rows give none.
+    """
     model = quality.fit(docs, quality.document_grades(table(spark, sf_dir, "labels")), TOP_GRADE)
     return quality.accepted(docs, model, TOP_GRADE)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts; rows that repeat a doc_id and its text are one."""
+    """One document of each group of equal texts, the one of largest doc_id, with all its columns.
+
+    Null texts equal empty ones.  Rows that repeat a doc_id and its text are one, and any of them stays.  A null
+    doc_id stays only where its group has no other; no rows give none.
+    """
     kept = _keeping(docs, exact_dedup(docs))
     repeated = docs.groupBy("doc_id").count().filter("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each component of near duplicates."""
+    """The document of least doc_id of each component of near duplicates, with all its columns.
+
+    Empty texts link with nothing and stay, as do rows without doc_id.  Rows that share a doc_id stay or go
+    together; no rows give none.
+    """
     return _keeping(docs, near_duplicates(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents as often as it takes them, the last of each source cut where it ends."""
+    """The mix: documents as often as it takes them, the last of each source cut where it ends.
+
+    A null source is a source of its own, last in order.  Empty texts are never taken; rows that share a doc_id
+    are told apart by source and text, and of rows that repeat all three any stands for the others.  The order is
+    a hash's, so reruns agree; no rows give none.
+    """
     return mixture(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mix in their places in sequences of 2048 tokens."""
+    """Pieces of the mix in their places in sequences of 2048 tokens.
+
+    A null or empty text is one piece, its end.  Rows that repeat are packed each for itself, and which of two
+    like pieces takes which place is settled by a hash of their ids; no rows give none.
+    """
     return pack(docs)
 
 

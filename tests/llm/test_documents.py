@@ -369,12 +369,25 @@ def test_encoder_equals_whole_texts():
     from tokenizers import Tokenizer
 
     coder, tokenizer, rng = ChunkEncoder(default_path()), Tokenizer.from_file(default_path()), random.Random(2)
-    parts = ["a", "B", " ", "\n", "\t", "é", "é", "H̱", ".", ", ", "'s", "<|endoftext|>", "<|ENDOFTEXT|>", "ς", "İ", "1", "漢", "\x1c", "　", "word, "]
+    parts = ["a", "B", " ", "\n", "\t", "é", "é", "H̱", ".", ", ", "'s", "<|endoftext|>", "<|ENDOFTEXT|>", "ς", "İ", "1", "漢", "\x1c", "　", "word, ", "\x01", " \x01 ", "Σ", "ΑΣ "]
     for _ in range(3000):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
         assert np.frombuffer(coder.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_other_tokenizers_are_refused(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    made = json.load(open(default_path()))
+    made["normalizer"] = {"type": "NFC"}
+    (tmp_path / "cased.json").write_text(json.dumps(made))
+    for path in (str(tmp_path / "cased.json"), public_tokenizers.path("byte_bpe_50k.json")):
+        with pytest.raises(ValueError):
+            ChunkEncoder(path)
+
+
 def test_token_counts(docs, rows):
     coder = ChunkEncoder(default_path())
     lengths = [len(coder.ids(r[1] or "")) // 4 for r in rows]

@@ -1,3 +1,4 @@
+import gzip
 import math
 import os
 import random
@@ -209,6 +210,32 @@ def test_revisits_equal_brute_force(spark):
     assert resolved(spark) == {}
 
 
+def warc(kind, name, date, block, **fields):
+    head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:{name}>", "WARC-Date": date, "WARC-Target-URI": "https://site.org/p", "Content-Length": str(len(block)), **{k.replace("_", "-"): v for k, v in fields.items()}}
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_revisits_of_warc_files(spark, tmp_path):
+    full = b'HTTP/1.1 200 OK\r\nETag: "a"\r\nContent-Type: text/html\r\nX: 1\r\nX: 2\r\nLong: one\r\n two\r\n\r\n<p>WARC/1.1 inside a body</p>'
+    same = b'HTTP/1.1 304 Not Modified\r\nETag: W/"a"\r\nAge: 5\r\n\r\n'
+    profile = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
+    records = [
+        warc("warcinfo", "0", "2024-01-01T00:00:00Z", b"software: x\r\n"), warc("response", "1", "2024-01-01T00:00:01Z", full, WARC_Payload_Digest="sha1:X"),
+        warc("request", "2", "2024-01-01T00:00:01Z", b"GET / HTTP/1.1\r\n\r\n"), warc("revisit", "3", "2024-01-02T00:00:00Z", same, WARC_Profile=profile),
+        warc("revisit", "4", "2024-01-03T00:00:00Z", full, WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+        warc("revisit", "5", "2024-01-01T00:00:00Z", same, WARC_Profile=profile),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    (tmp_path / "b.warc").write_bytes(warc("revisit", "6", "2024-01-01T00:00:09Z", same.replace(b'"a"', b'"b"'), WARC_Profile=profile))
+    (tmp_path / "c.warc").write_bytes(b"")
+    captures = revisit.read_warc(spark, str(tmp_path))
+    assert sorted((r["ts"], r["status_code"]) for r in captures.collect()) == [(1704067200, 304), (1704067201, 200), (1704067209, 304), (1704153600, 304)]
+    got = sorted((r["ts"], r["status"], r["payload_digest"]) for r in revisit.resolve(captures).collect())
+    assert got == [(1704067200, "missing", None), (1704067209, "mismatch", None), (1704153600, "resolved", "sha1:X")]
+    merged = revisit.resolve(captures).filter("status = 'resolved'").first()["headers"]
+    assert merged == {"etag": 'W/"a"', "content-type": "text/html", "x": "1, 2", "long": "one two", "age": "5"}
+
+
 TURNS = "conv_id long, turn long, role string, text string, name string"
 
 
