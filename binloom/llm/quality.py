@@ -3,14 +3,15 @@
 One weight vector over hashed text features serves every grade; ordered thresholds cut its score:
 P(grade >= k) = 1 / (1 + exp(threshold_k - score)).  A document's score is the mean over its words of what
 each word's features weigh, so words once met are looked up, and texts of any length are read whole.  With
-``marking``, one more feature is not divided by the length: whether any word that marks middle grades occurs.
+``marking``, one more feature is not divided by the length: whether the words that mark middle grades and occur
+in the text are evidence enough together, each by the log odds of its rated texts.
 The model is fitted on the driver from a bounded sample of ratings.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,9 @@ DIMENSIONS = 1 << 15
 SAMPLE_RATINGS = 4096
 #: Words that a Python worker remembers.
 REMEMBERED_WORDS = 250_000
-#: A word marks middle grades if at least the first share of their rated texts has it, and at least the second share of
-#: the texts with it, poor ones aside, are of middle grades.
-MARK_COVER, MARK_SHARE = 0.1, 0.9
+#: A word marks middle grades if at least so many of their rated texts have it, and at least this share of the texts with
+#: it, poor ones aside, are of middle grades.  A text is marked if the log odds of its distinct marking words sum up to this.
+MARK_TEXTS, MARK_SHARE, MARK_EVIDENCE = 4, 0.8, 3.5
 #: A document is kept if its grade is at least this one with at least this probability.
 LEAST_GRADE, LEAST_TAIL = 1, 0.5
 STEPS, RATE, RIDGE = 250, 0.1, 1e-4
@@ -60,19 +61,23 @@ def word_key(word: str) -> int:
 _NO_WORD = word_key("")
 
 
-def marking_words(keys: list[np.ndarray], grades: np.ndarray, top: int) -> frozenset[int]:
-    """Keys of the words that mark middle grades, from the distinct keys of each rated text."""
+def marking_words(keys: list[np.ndarray], grades: np.ndarray, top: int) -> dict[int, float]:
+    """Keys of the words that mark middle grades and their log odds, from the distinct keys of each rated text."""
     middle = [k for k, g in zip(keys, grades, strict=True) if 0 < g < top]
     if not middle:
-        return frozenset()
+        return {}
     found, n = np.unique(np.concatenate(middle), return_counts=True)
-    often = (n >= MARK_COVER * len(middle)) & (found != _NO_WORD)
+    often = (n >= MARK_TEXTS) & (found != _NO_WORD)
     found, n = found[often], n[often]
-    others = np.zeros(len(found), np.int64)
-    for k, g in zip(keys, grades, strict=True):
-        if g == top:
-            others += np.isin(found, k, assume_unique=True)
-    return frozenset(found[n >= MARK_SHARE * (n + others)].tolist())
+    good = [k for k, g in zip(keys, grades, strict=True) if g == top]
+    every = np.concatenate([*good, found[:0]])
+    others = np.bincount(np.searchsorted(found, every[np.isin(every, found)]), minlength=len(found))
+    marks = n >= MARK_SHARE * (n + others)
+    return dict(zip(found[marks].tolist(), np.log((n[marks] + 0.5) / (others[marks] + 0.5)).tolist(), strict=True))
+
+
+def is_marked(keys: set[int], marks: dict[int, float]) -> bool:
+    return sum(marks[k] for k in sorted(keys)) >= MARK_EVIDENCE
 
 
 class _Features(dict):
@@ -98,7 +103,7 @@ def text_features(text: str, known: dict) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     weights: np.ndarray
     thresholds: np.ndarray  # rising; number k is the least grade k + 1's
-    marks: frozenset[int] = frozenset()  # keys of the words that mark middle grades
+    marks: dict[int, float] = field(default_factory=dict)  # keys of the words that mark middle grades, and their log odds
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= 1), P(grade >= 2), ... for each score."""
@@ -109,7 +114,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, top: int, marks: frozenset[int] = frozenset()) -> Model:
+def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, top: int, marks: dict[int, float] | None = None) -> Model:
     """Maximum likelihood with a ridge, by Adam on all rows; the gaps between thresholds are exponentials."""
     grades = np.asarray(grades, dtype=np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(n) for n, _ in rows])
@@ -137,7 +142,7 @@ def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, top:
         grad[_WIDTH:] = later * np.concatenate([[1.0], np.exp(theta[_WIDTH + 1 :])])
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         theta = theta - RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return Model(theta[:_WIDTH].astype(np.float32), np.cumsum(np.concatenate([theta[_WIDTH : _WIDTH + 1], np.exp(theta[_WIDTH + 1 :])])), marks)
+    return Model(theta[:_WIDTH].astype(np.float32), np.cumsum(np.concatenate([theta[_WIDTH : _WIDTH + 1], np.exp(theta[_WIDTH + 1 :])])), marks or {})
 
 
 def _featured(marking: bool):
@@ -177,8 +182,7 @@ def fit(docs: DataFrame, ratings: DataFrame, top: int, sample: int = SAMPLE_RATI
         return fit_rows([rows[i] for i in order], grades, top)
     keys = [np.asarray(table.column("keys")[i].values) for i in order]
     marks = marking_words(keys, grades, top)
-    sought = np.array(sorted(marks), np.int64)
-    marked = [np.isin(sought, k, assume_unique=True).any() for k in keys]
+    marked = [is_marked(marks.keys() & k.tolist(), marks) for k in keys]
     rows = [(np.append(rows[i][0], _MARKED), np.append(rows[i][1], 1.0)) if m else rows[i] for i, m in zip(order, marked, strict=True)]
     return fit_rows(rows, grades, top, marks)
 
@@ -191,7 +195,7 @@ class _Scorer:
         self.model, self.top = model, top
         self.weights = model.weights.astype(np.float64).tolist() if model else []
         self.known: dict[str, float] = {}
-        self.marking: set[str] = set()  # those of the known words that mark middle grades
+        self.marking: dict[str, int] = {}  # those of the known words that mark middle grades, and their keys
 
     def __call__(self, texts: list[str]) -> tuple[list[float], np.ndarray]:
         """The score of each text, and its tail probabilities."""
@@ -212,8 +216,10 @@ class _Scorer:
                 a, b = word_features(w)
                 known[w] = weights[a] + weights[b]
             if self.model.marks:
-                self.marking.update(w for w in fresh if word_key(w) in self.model.marks)
-            marked = 0.0 if self.marking.isdisjoint(words) else weights[_MARKED]
+                keyed = ((w, word_key(w)) for w in fresh)
+                self.marking.update((w, k) for w, k in keyed if k in self.model.marks)
+            found = {self.marking[w] for w in self.marking.keys() & words}
+            marked = weights[_MARKED] if is_marked(found, self.model.marks) else 0.0
             repeats = sum(map(str.__eq__, words, words[1:]))
             scores.append((sum(map(known.__getitem__, words)) + repeats * weights[_REPEATED]) / len(words) + marked)
         tails = self.model.tails(np.array(scores)) if self.model else np.ones((len(scores), self.top))

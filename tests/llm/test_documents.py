@@ -489,6 +489,17 @@ def test_quality_rejects_rare_toxic_words_in_long_texts(spark):
     assert {r["doc_id"] for r in quality.accepted(made, model, 2, 1).collect()} == {i for i, g in enumerate(grades) if g}
 
 
+def test_marking_words_by_log_odds():
+    texts = [({"bad", "worse", "the"}, 1)] * 4 + [({"bad", "the"}, 1)] * 20 + [({"rare", "the"}, 1)] * 3 + [({"the", "worse"}, 2)] + [({"the"}, 2)] * 30 + [({"bad"}, 0)]
+    keys = [np.array(sorted(map(quality.word_key, words)), np.int64) for words, _ in texts]
+    marks = quality.marking_words(keys, np.array([g for _, g in texts]), 2)
+    bad, worse = quality.word_key("bad"), quality.word_key("Worse!")
+    assert marks == pytest.approx({bad: np.log(24.5 / 0.5), worse: np.log(4.5 / 1.5)})
+    assert quality.is_marked({bad}, marks) and not quality.is_marked({worse}, marks) and not quality.is_marked(set(), marks)
+    assert quality.marking_words(keys[:24], np.ones(24, np.int64), 2).keys() == {bad, worse, quality.word_key("the")}
+    assert quality.marking_words(keys[-30:-1], np.full(29, 2), 2) == {}
+
+
 def test_quality_of_odd_rows(spark, docs, empty):
     nothing = spark.createDataFrame([], "doc_id long, grade int")
     assert quality.fit(docs, nothing, 2) is None and quality.fit(empty, nothing, 2) is None
