@@ -72,8 +72,26 @@ def op8_composite_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op11_minimax_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from binloom.llm.sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"))
+
+
+def op12_partition_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from binloom.llm.prefix_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_harmonic_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from binloom.llm.periodic import digests, periodic_runs, repeating
+
+    return digests(periodic_runs(repeating(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_cumulative_link, op2_chunk_recipes, op3_randomised_lexicons, op4_length_histogram, op5_van_der_corput, op6_revisit_resolution, op7_min_max_hashing, op8_composite_density, op9_linear_grouping, op10_perspective_rotation)}
+    return {f.__name__: f for f in (op1_cumulative_link, op2_chunk_recipes, op3_randomised_lexicons, op4_length_histogram, op5_van_der_corput, op6_revisit_resolution, op7_min_max_hashing, op8_composite_density, op9_linear_grouping, op10_perspective_rotation, op11_minimax_partition, op12_partition_refinement, op13_harmonic_grid)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -121,6 +139,33 @@ def oracle_sql() -> dict[str, str]:
             SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
             FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
             JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) m ON m.a = d.doc_id""",
+        # a node is a list of turns; crc32 goes bit by bit over the id's digits
+        "op12_partition_refinement": r"""
+            WITH ids AS (
+                SELECT conv_id AS c, xor(list_reduce(list_concat([4294967295::UBIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+                           lambda d: [ascii(d)::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT]))),
+                           lambda r, e: xor(xor(r, e) >> 1, 3988292384::UBIGINT * (xor(r, e) & 1::UBIGINT))), 4294967295::UBIGINT) % 4 AS h
+                FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+            turns AS (
+                SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS p,
+                       {'r': coalesce(role, ''), 'x': coalesce(text, '')} AS t FROM conversations),
+            placed AS (
+                SELECT c, p - 4 AS p, t FROM (SELECT ids.c, turns.p, turns.t FROM ids JOIN turns ON turns.c = ids.c - ids.c % 20 AND turns.p < ids.h)
+                UNION ALL SELECT c, p, t FROM turns JOIN ids USING (c) WHERE p >= h),
+            lists AS (SELECT ids.c, coalesce(list(t ORDER BY p) FILTER (WHERE p IS NOT NULL), []) AS l FROM ids LEFT JOIN placed USING (c) GROUP BY ids.c),
+            members AS (SELECT c, len(l) AS n, d, l[1:d] AS node FROM (SELECT c, l, unnest(generate_series(0, len(l))) AS d FROM lists)),
+            nodes AS (
+                SELECT node, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends_sha256
+                FROM members GROUP BY node, d),
+            links AS (SELECT a.d, a.conv_id, a.n_convs, a.ends_sha256, a.node, p.conv_id AS parent_conv_id FROM nodes a LEFT JOIN nodes p ON a.d > 0 AND p.d = a.d - 1 AND p.node = a.node[1:a.d - 1]),
+            children AS (SELECT d - 1 AS d, parent_conv_id AS conv_id, count(*) AS n_children FROM links WHERE d > 0 GROUP BY d, parent_conv_id),
+            counted AS (
+                SELECT links.*, coalesce(n_children, 0) AS n_children,
+                       (n_convs - 1) * CASE WHEN links.d = 0 THEN 0 ELSE len(regexp_extract_all(node[links.d].x, '[^\x20\x09-\x0D]+')) END AS saved
+                FROM links LEFT JOIN children USING (d, conv_id))
+            SELECT a.conv_id, a.d AS depth, any_value(a.parent_conv_id) AS parent_conv_id, any_value(a.n_convs) AS n_convs, any_value(a.n_children)::BIGINT AS n_children,
+                   count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, sum(b.saved)::BIGINT AS saved_tokens, any_value(a.ends_sha256) AS ends_sha256
+            FROM counted a JOIN counted b ON b.d >= a.d AND b.node[1:a.d] = a.node GROUP BY a.conv_id, a.d""",
         "op10_perspective_rotation": r"""
             WITH turns AS (
                 SELECT conv_id, turn, coalesce(role, '') AS raw, coalesce(role, '') = 'system' AS is_system,
