@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from binloom.functions import alignment as al
 from binloom.functions import numeric as nm
 from binloom.functions import sequence as sq
-from binloom.operators import binquality, clustering, composition, counts, distance, embedding, graph, hits, latent, nmf, normalise, priors, relational
+from binloom.operators import binquality, clustering, composition, counts, distance, embedding, graph, hits, latent, leaders, nmf, normalise, priors, relational
 from binloom.storage import cut, shared_folder
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -508,11 +508,8 @@ LEADERS_SQL = f"""
 
 @query(LEADERS_SQL)
 def leader_clusters(spark, sf_dir):
-    profiles, alpha = cut(letter_profiles(spark, sf_dir)), [LETTER_ALPHA] * 26
-    # an own distance may exceed the bound, and then a leader may be as far as that
-    bound = max(clustering.LEADER_DISTANCE, distance.own_distances(profiles, alpha).agg(F.max("distance")).first()[0] or 0.0)
-    pairs = distance.pair_distances(profiles, alpha, bound + 1e-9).withColumn("distance", r4("distance"))  # so that near ties are ties
-    return clustering.leaders(pairs, profiles.select("contig", "total"))
+    # rounded, so that near ties are ties
+    return leaders.lead(letter_profiles(spark, sf_dir), [LETTER_ALPHA] * 26, digits=4)
 
 
 @query(f"""

@@ -58,17 +58,35 @@ def combined_distance(reads_x: Column, reads_y: Column, total_x: Column, total_y
     return profile_distance(reads_x, reads_y, total_x, total_y, alpha, q) + kmer_distance(kmers_x, kmers_y, kmer_alpha, q)
 
 
+def own_of(x: np.ndarray, alpha: np.ndarray, k: np.ndarray | None = None, kmer_alpha: np.ndarray | None = None, q: float = Q, digits: int | None = None) -> np.ndarray:
+    """Each row's distance from itself."""
+
+    def log_odds(m: np.ndarray, prior: np.ndarray, groups: int) -> np.ndarray:
+        context = prior.reshape(groups, -1).sum(axis=1)
+        total = m.reshape(len(m), groups, -1).sum(axis=2)
+        part = lambda v, p: (2 * log_gamma_np(v + p) - log_gamma_np(2 * v + p)).sum(axis=1) - log_gamma_np(p).sum()
+        return part(m, prior) - part(total, context)
+
+    d = _softened(log_odds(x, alpha, 1), q)
+    d = d if k is None else d + _softened(log_odds(k, kmer_alpha, 64), q)
+    return d if digits is None else np.round(d, digits)
+
+
+def _softened(log_odds: np.ndarray, q: float) -> np.ndarray:
+    z = log_odds + math.log((1 - q) / q)
+    top = np.maximum(z, 0.0)
+    return np.where(np.abs(z) > 350, top, top + np.log1p(np.exp(-np.abs(z))))
+
+
 def own_distances(profiles: DataFrame, alpha: list[float], kmer_alpha: list[float] | None = None, q: float = Q) -> DataFrame:
     """(contig, distance): each contig's distance from itself, which bounds how near a leader must be."""
     a, k = np.array(alpha, dtype=float), np.array(kmer_alpha, dtype=float) if kmer_alpha else None
 
     def run(batches):
         for part in batches:
-            d = [
-                float(tile_distances(np.array([x], float), np.array([x], float), a, 1, q)[0, 0] + (0.0 if k is None else tile_distances(np.array([y], float), np.array([y], float), k, 64, q)[0, 0]))
-                for x, y in zip(part["profile"], part["profile"] if k is None else part["kmer"], strict=True)
-            ]
-            yield pd.DataFrame({"contig": part["contig"], "distance": d})
+            if len(part):
+                x, y = np.stack(part["profile"]).astype(float), None if k is None else np.stack(part["kmer"]).astype(float)
+                yield pd.DataFrame({"contig": part["contig"], "distance": own_of(x, a, y, k, q)})
 
     kind = profiles.schema["contig"].dataType.simpleString()
     return profiles.select("contig", "profile", *(["kmer"] if kmer_alpha else [])).mapInPandas(run, f"contig {kind}, distance double")
@@ -96,9 +114,15 @@ def tile_distances(x: np.ndarray, y: np.ndarray, alpha: np.ndarray, groups: int
     for i in range(0, len(x), step):
         s = slice(i, i + step)
         out[s] -= log_gamma_np(x[s, None, :] + y[None, :, :] + alpha).sum(axis=2) - log_gamma_np(tx[s, None, :] + ty[None, :, :] + context).sum(axis=2)
-    z = out + math.log((1 - q) / q)
-    top = np.maximum(z, 0.0)
-    return np.where(np.abs(z) > 350, top, top + np.log1p(np.exp(-np.abs(z))))
+    return _softened(out, q)
+
+
+def combined_tile(x, y, alpha, kx=None, ky=None, kmer_alpha=None, q: float = Q, digits: int | None = None) -> np.ndarray:
+    """Distances of all rows of x from all rows of y, by both kinds of evidence where there are tetramers."""
+    d = tile_distances(x, y, alpha, 1, q)
+    if kmer_alpha is not None:
+        d = d + tile_distances(kx, ky, kmer_alpha, 64, q)
+    return d if digits is None else np.round(d, digits)
 
 
 def blocks_of(frame: DataFrame, count: int, most_rows: int = TILE_ROWS) -> int:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binloom import __version__
-from binloom.operators import clustering, composition, counts, distance, priors
+from binloom.operators import clustering, composition, counts, leaders, priors
 from binloom.sources import bam, sinks, text
 from binloom.storage import cut
 
@@ -47,11 +47,8 @@ def evidence(table: DataFrame, sequences: DataFrame) -> Evidence:
 
 
 def lead(known: Evidence, d0: float = clustering.LEADER_DISTANCE) -> DataFrame:
-    """(contig, leader, owned): the leader rule on both kinds of evidence; pairs that may matter are found by tiles."""
-    own = distance.own_distances(known.profiles, known.alpha, known.kmer_alpha)
-    bound = max(d0, own.agg(F.max("distance")).first()[0] or 0.0)
-    pairs = distance.pair_distances(known.profiles, known.alpha, bound + 1e-9, known.kmer_alpha)
-    return clustering.leaders(pairs, known.profiles.select("contig", "total"), d0)
+    """(contig, leader, owned): the leader rule on both kinds of evidence, with distances from leaders only."""
+    return leaders.lead(known.profiles, known.alpha, known.kmer_alpha, d0)
 
 
 def bin_contigs(table: DataFrame, sequences: DataFrame) -> DataFrame:
