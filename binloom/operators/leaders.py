@@ -70,7 +70,8 @@ def met(profiles: DataFrame, block: pd.DataFrame, alpha: np.ndarray, kmer_alpha:
                 first = np.array([(full[j], names[j]) > o for o in order])
                 near[:, j] |= first & (d[:, j] < own[j])
             i, j = np.nonzero(near)
-            yield pd.DataFrame({"a": [ids[p] for p in i], "b": names[j], "d": d[i, j], "ta": totals[i], "at": i, "self_b": own[j]})
+            a, b = (pd.Series(v, dtype=object) for v in ([ids[p] for p in i], names[j]))
+            yield pd.DataFrame({"a": a, "b": b, "d": d[i, j], "ta": totals[i], "at": i, "self_b": own[j]})
 
     columns = ["contig", "total", "profile", *(["kmer"] if k is not None else [])]
     return profiles.select(*columns).mapInPandas(run, f"a {kind}, b {kind}, d double, ta double, at int, self_b double")
