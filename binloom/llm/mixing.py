@@ -99,7 +99,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PA
     Every row of ``docs`` (doc_id, text and source are read) comes at least once.  A row with a slot says
     that the slot takes ``taken`` words of the document in that pass over its source; a row with a null slot
     and 0 words stands for the document itself.  start, with source, tells rows of one doc_id apart.
-    A source's words are its target, rounded.  A null text is empty, size 0, and never taken; a null source
+    Only slots that the schedule gives take words.  A source's words are its target, rounded.  A null text is empty, size 0, and never taken; a null source
     is a source of its own, last in order; a null doc_id is one more value.  Repeated rows are documents of
     their own; the order goes by a hash of id and text, then id, then size, so reruns agree whatever the
     order of the rows.  An empty table, or one without any word, takes nothing.
@@ -122,7 +122,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PA
     own = F.col("pass") < 0
     out = joined.select(
         "doc_id", "source", "skey", "h", "size", "source_size", "target", "start", F.when(~own, F.col("pass")).alias("pass"), "slot",
-        F.when(own, 0).otherwise(F.col("taken")).cast("long").alias("taken"),
+        F.when(F.col("slot").isNull(), 0).otherwise(F.col("taken")).cast("long").alias("taken"),
     )
     none = F.lit(None)
     blank = join_small(documents.filter("size = 0"), named, ["skey"]).select(
@@ -133,12 +133,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PA
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken: one row for each row of ``docs``; see ``mix``."""
+    """doc_id, size, source_size, target, taken, first_slot, slots: one row for each row of ``docs``; see ``mix``.
+
+    ``slots`` slots of the schedule take words of the document, ``first_slot`` the earliest (null where none does).
+    """
     pieces = mix(docs, **options)
-    blank = pieces.filter("size = 0").select("doc_id", "size", "source_size", "target", "taken")
+    names = ["doc_id", "size", "source_size", "target", "taken", "first_slot", "slots"]
+    blank = pieces.filter("size = 0").withColumns({"first_slot": F.lit(None).cast("long"), "slots": F.lit(0).cast("long")}).select(*names)
     own = ["doc_id", "h", "source", "size", "source_size", "target", "start"]
-    whole = pieces.filter("size > 0").groupBy(*own).agg(F.sum("taken").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
-    return whole.unionByName(blank)
+    whole = pieces.filter("size > 0").groupBy(*own).agg(F.sum("taken").alias("taken"), F.min("slot").alias("first_slot"), F.count("slot").alias("slots"))
+    return whole.select(*names).unionByName(blank)
 
 
 def first_words(text: Column, count: Column) -> Column:
@@ -148,20 +152,27 @@ def first_words(text: Column, count: Column) -> Column:
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, with the columns of ``docs``: a row for each pass over a document.
+    """The documents of the mix in the order of the schedule, with the columns of ``docs``: a row for each pass over a document.
 
-    A document that the last slot of its source takes in part is cut after its last word that is taken.
+    A row stands where the first slot that takes of it does: rows go by ranges of slots to partitions, in order within
+    and between them, so files written from it hold the order.  Every stretch of it has the sources in about their
+    shares.  A document that the last slot of its source takes in part is cut after its last word that is taken.
     n_chars, where there is such a column, counts the text as it is then.  Rows that share a doc_id are told
     apart by source and text; where rows repeat all three, any of them stands for the others.
     """
-    taken = mix(docs, **options).filter("taken > 0").groupBy("doc_id", "h", "skey", "pass", "start").agg(F.sum("taken").cast("long").alias("_taken"), F.max("size").alias("_size"))
-    taken = cut(taken.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("skey").alias("_skey"), "pass", "_taken", "_size"))
+    taken = mix(docs, **options).filter("taken > 0").groupBy("doc_id", "h", "skey", "pass", "start").agg(
+        F.sum("taken").cast("long").alias("_taken"), F.max("size").alias("_size"), F.min("slot").alias("_slot")
+    )
+    taken = cut(taken.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("skey").alias("_skey"), "pass", "_taken", "_size", "_slot"))
     own = docs.withColumns({"_own": shuffled(), "_source": source_key()})
-    if not taken.groupBy("_id", "_h", "_skey", "pass").count().filter("count > 1").isEmpty():
+    seen = taken.groupBy("_id", "_h", "_skey", "pass").agg(F.count(F.lit(1)).alias("n"), F.max("_slot").alias("slot")).agg(F.max("n").alias("n"), F.max("slot").alias("slot")).first()
+    if (seen["n"] or 0) > 1:
         own = own.dropDuplicates(["doc_id", "_own", "_source"])
     joined = own.join(taken, (own["_own"] == taken["_h"]) & (own["_source"] == taken["_skey"]) & own["doc_id"].eqNullSafe(taken["_id"]))
     text = F.when(F.col("_taken") < F.col("_size"), first_words(F.col("text"), F.col("_taken"))).otherwise(F.col("text"))
     joined = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.select(*docs.columns)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = joined.repartitionById(parts, F.floor(F.col("_slot") * parts / ((seen["slot"] or 0) + 1)).cast("int"))
+    return placed.sortWithinPartitions("_slot", "pass", "_h").select(*docs.columns)

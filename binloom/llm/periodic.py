@@ -16,12 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binloom.llm._common import WORD, arrow_batches, text_or_empty
+from binloom.llm._common import WORD, text_or_empty
 
 LEAST_WORDS, LEAST_PERIODS = 6, 4
 #: Modulus and base of the prefix hashes, and pairs that are searched at once.
 PRIME, BASE, PAIRS = 2_147_483_647, 1_000_003, 4_000_000
-BATCH_ROWS = 256
 RUN = "array<struct<start:bigint,length:bigint,period:bigint>>"
 
 
@@ -143,8 +142,7 @@ def periodic_runs(docs: DataFrame, word: str = WORD) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(runs, kind), pa.array(texts, pa.string())], names=["doc_id", "runs", "collapsed"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    with arrow_batches(docs.sparkSession, BATCH_ROWS):
-        return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(work, f"doc_id {kind}, runs {RUN}, collapsed string")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(work, f"doc_id {kind}, runs {RUN}, collapsed string")
 
 
 def repeating(docs: DataFrame) -> DataFrame:

@@ -318,6 +318,42 @@ def test_mixture_rows_hold_what_is_taken(docs):
     assert words == mixing.mixed_documents(docs).agg(F.sum("taken")).first()[0]
 
 
+def test_what_is_taken_follows_from_the_schedule(spark, docs, monkeypatch):
+    """Without slots nothing is taken; without some, their words are missing; in another order the mix has that order."""
+    plain = mixing.schedule
+    whole = {r["doc_id"]: r for r in mixing.mixed_documents(docs).collect()}
+    slots = mixing.mix(docs).filter("slot IS NOT NULL").groupBy("slot").agg(F.sum("taken").alias("n")).collect()
+    monkeypatch.setattr(mixing, "schedule", lambda plan, bits: plain(plan, bits).limit(0))
+    assert {(r["taken"], r["first_slot"], r["slots"]) for r in mixing.mixed_documents(docs).collect()} == {(0, None, 0)}
+    assert mixing.mixture(docs).count() == 0
+    monkeypatch.setattr(mixing, "schedule", lambda plan, bits: plain(plan, bits).filter("slot % 3 > 0"))
+    assert mixing.mixed_documents(docs).agg(F.sum("taken")).first()[0] == sum(r["n"] for r in slots if r["slot"] % 3)
+    top = max(r["slot"] for r in slots)
+    monkeypatch.setattr(mixing, "schedule", lambda plan, bits: plain(plan, bits).withColumn("slot", F.lit(top) - F.col("slot")))
+    turned = {r["doc_id"]: r for r in mixing.mixed_documents(docs).collect()}
+    assert all(whole[i]["taken"] == turned[i]["taken"] for i in whole)
+    assert any(whole[i]["first_slot"] != turned[i]["first_slot"] for i in whole)
+
+
+def test_every_stretch_of_the_mixture_has_the_sources_shares(spark):
+    rng = random.Random(2)
+    made = [(i, f"t{i} " + "w " * rng.randint(1, 60), rng.choice("aaab") if i % 7 else "c", "en", 0, True, "z") for i in range(900)]
+    df = spark.createDataFrame(made, SCHEMA)
+    mix = mixing.mixture(df, block_words=16).collect()  # partitions come in order
+    share = collections.Counter()
+    for r in mix:
+        share[r["source"]] += len(r["text"].split())
+    total, seen, at = sum(share.values()), collections.Counter(), 0
+    for r in mix:
+        n = len(r["text"].split())
+        seen[r["source"]] += n
+        at += n
+        assert all(abs(seen[s] - share[s] * at / total) <= 16 * 8 + 61 for s in share)
+    first = {(r["doc_id"]): r["first_slot"] for r in mixing.mixed_documents(df, block_words=16).collect()}
+    once = [first[i] for i in dict.fromkeys(r["doc_id"] for r in mix)]
+    assert once == sorted(once)
+
+
 def test_bits_reversed(spark):
     got = [r[0] for r in spark.range(16).select(mixing.bits_reversed(F.col("id"), 4)).collect()]
     assert got == [int(f"{i:04b}"[::-1], 2) for i in range(16)]
