@@ -16,6 +16,8 @@ from binloom.llm.near_dup import near_duplicates
 from binloom.llm.packing import pack
 
 TOP_GRADE = 2
+#: Toxic documents go: the grade asked for is then the top one, as toxic texts are of the middle grade.
+DROP_TOXIC = True
 
 
 def _keeping(docs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -24,14 +26,14 @@ def _keeping(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
 
 
-def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are fair or better with probability one half at least, with all their columns.
+def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str, drop_toxic: bool = DROP_TOXIC) -> DataFrame:
+    """Documents that are good with probability one half at least, with all their columns; without ``drop_toxic`` also fair but toxic ones.
 
-    A null, empty or blank text has nothing to judge and goes.  Rows that repeat are judged alike; a null
-    doc_id is as good as another.  Without ratings of these documents all others stay; no rows give none.
+    The model is that of the query op1_cumulative_link.  A null, empty or blank text has nothing to judge and goes.  Rows that
+    repeat are judged alike; a null doc_id is as good as another.  Without ratings of these documents all others stay; no rows give none.
     """
-    model = quality.fit(docs, quality.document_grades(table(spark, sf_dir, "labels")), TOP_GRADE)
-    return quality.accepted(docs, model, TOP_GRADE)
+    model = quality.fit(docs, quality.document_grades(table(spark, sf_dir, "labels")), TOP_GRADE, marking=True)
+    return quality.accepted(docs, model, TOP_GRADE, TOP_GRADE if drop_toxic else quality.LEAST_GRADE)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +60,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents as often as it takes them, the last of each source cut where it ends.
 
     A null source is a source of its own, last in order.  Empty texts are never taken; rows that share a doc_id
-    are told apart by source and text, and of rows that repeat all three any stands for the others.  The order is
-    a hash's, so reruns agree; no rows give none.
+    are told apart by source and text, and of rows that repeat all three any stands for the others.  Rows come in the
+    order of the schedule, so reruns agree; no rows give none.
     """
     return mixture(docs)
 
