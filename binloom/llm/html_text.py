@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,6 +37,9 @@ FORMS = frozenset(["form", "fieldset"])
 CLOSES_PARAGRAPH = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
 )
+#: An open paragraph outside of these stays open, and an inline element's end inside of those ends nothing outside.
+KEEPS_PARAGRAPH = ("table", "td", "th", "button", "object")
+SCOPES = ("table", "article", "body")
 CLOSED_BY = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
     "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])),
@@ -63,6 +67,8 @@ COMMENT_WORDS = frozenset("comment comments commentlist respond disqus discussio
 ARTICLE_WORDS = frozenset("article post entry content main story body text".split())
 #: A block of so many links at least, that make up so large a share of its characters, is a list of links.
 LEAST_LINKS, LINK_SHARE = 3, 0.9
+#: A part reaches the threshold with so much of it: a heading, or fewer blocks, lower the density of a like text a little.
+NEARLY = 0.7
 #: Words beside which header means the article's own.
 HEADED_WORDS = frozenset("article post entry story".split())
 
@@ -138,54 +144,91 @@ def _settle(root: Node) -> None:
                 scopes.append(c)
 
 
+class _Open:
+    """The open elements from the root to the present one, with the places of each tag, so that no search walks the path."""
+
+    def __init__(self, root: Node):
+        self.path = [root]
+        self.places: dict[str, list[int]] = {}
+
+    @property
+    def node(self) -> Node:
+        return self.path[-1]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.path))
+        self.path.append(node)
+
+    def cut(self, place: int) -> None:
+        """Closes the element at a place and all in it."""
+        while len(self.path) > place:
+            self.places[self.path.pop().tag].pop()
+
+    def last(self, tags) -> int:
+        """The innermost place of any of the tags; 0, the root's, where none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def first_within(self, tags, stop) -> int:
+        """The outermost place of any of the tags inside the innermost of ``stop``; 0 if there is none."""
+        edge, found = self.last(stop), []
+        for t in tags:
+            held = self.places.get(t, ())
+            at = bisect_right(held, edge)
+            found += held[at : at + 1]
+        return min(found, default=0)
+
+
 def parse(source: str) -> Node:
-    """A forgiving tree: unknown ends are skipped, open paragraphs and items close where HTML closes them."""
-    root = node = Node("html", None)
+    """A forgiving tree: unknown ends are skipped, open paragraphs and items close where HTML closes them.
+
+    Time is in proportion to the page, however deeply it is nested.
+    """
+    root = Node("html", None)
+    path = _Open(root)
     doubts = False
     at, size, found = 0, len(source), _TAG.match
     while at < size:
         lt = source.find("<", at)
         if lt < 0:
-            node.children.append(source[at:])
+            path.node.children.append(source[at:])
             break
         if lt > at:
-            node.children.append(source[at:lt])
+            path.node.children.append(source[at:lt])
         m = found(source, lt)
         if not m:
-            node.children.append("<")
+            path.node.children.append("<")
             at = lt + 1
             continue
         at = m.end()
         if end := m["end"]:
             end = end.lower()
-            up = node
-            while up is not root and up.tag != end:
-                if up.tag in ("table", "article", "body") and end in INLINE:
-                    up = root
-                    break
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            place = path.last([end])
+            if place and not (end in INLINE and path.last(SCOPES) > place):
+                path.cut(place)
             elif end == "p":
-                node.children.append(Node("p", node))
+                path.node.children.append(Node("p", path.node))
             continue
         if not m["start"]:
             continue
         tag = m["start"].lower()
-        if tag in ("html", "body") and (tag == "html" or any(n.tag == "body" for n in _path(node))):
+        if tag in ("html", "body") and (tag == "html" or path.last(["body"])):
             continue
         if tag in CLOSES_PARAGRAPH:
-            node = _close(node, frozenset(["p"]), frozenset(["table", "td", "th", "button", "object"]))
-            if tag[0] == "h" and tag[1:].isdigit():
-                node = node.parent if node.tag[0] == "h" and node.tag[1:].isdigit() else node
-        elif tag in CLOSED_BY:
-            node = _close(node, *CLOSED_BY[tag], every=True)
+            paragraph = path.last(["p"])
+            if paragraph > path.last(KEEPS_PARAGRAPH):
+                path.cut(paragraph)
+            if tag[0] == "h" and tag[1:].isdigit() and path.node.tag[0] == "h" and path.node.tag[1:].isdigit():
+                path.cut(len(path.path) - 1)
+        elif tag in CLOSED_BY and (place := path.first_within(*CLOSED_BY[tag])):
+            path.cut(place)
         attrs = {k.lower(): next((v for v in (a, b, c) if v), "") for k, a, b, c in _ATTR.findall(m["attrs"] or "")} if m["attrs"] else {}
         words = set(_WORDS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())) if attrs else set()
-        new = Node(tag, node, _furniture(tag, attrs), tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article") or attrs.get("itemprop") == "articleBody" or bool(words & ARTICLE_WORDS))
-        furniture_words = _furniture_words(attrs) if attrs else set()
-        role = attrs.get("role", "").lower()
+        node, role = path.node, attrs.get("role", "").lower()
         own = tag in ("main", "article") or role in ("main", "article") or attrs.get("itemprop") == "articleBody"
+        # an article's own header is its headline
+        furniture = _furniture(tag, attrs) and not (tag == "header" and path.last(["article"]) and not role)
+        new = Node(tag, node, furniture, own or bool(words & ARTICLE_WORDS))
+        furniture_words = _furniture_words(attrs) if attrs and not (tag == "header" and not furniture) else set()
         new.declares = own and (not furniture_words or tag == "main" or role == "main")
         if (furniture_words or tag in FORMS) and tag not in ("html", "body", "main", "article"):
             new.doubt = "comments" if furniture_words & COMMENT_WORDS else "name"
@@ -195,7 +238,7 @@ def parse(source: str) -> Node:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(source, at)
             at = close.end() if close else size
         elif tag not in VOID and not (m["own"] and tag not in INLINE and tag not in CLOSES_PARAGRAPH):
-            node = new
+            path.push(new)
     if doubts:
         _settle(root)
     return root
@@ -207,18 +250,6 @@ def _path(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
-def _close(node: Node, tags: frozenset, stop: frozenset, every: bool = False) -> Node:
-    found = None
-    for up in _path(node):
-        if up.tag in stop or up.parent is None:
-            break
-        if up.tag in tags:
-            found = up
-            if not every:
-                break
-    return found.parent if found else node
-
-
 def _ordered(root: Node) -> list[Node]:
     """Visible nodes, parents first; no recursion, as pages may be nested deeply."""
     out, todo = [], [root]
@@ -306,7 +337,7 @@ def _parts(node: Node, kept: set[Node], ratio: float, threshold: float) -> list[
         if part not in kept:
             _count(part)
             part.density = _density(part.chars, part.tags, part.link_chars, part.link_tags, ratio)
-    return [p for p in out if p.density and p.density >= threshold or p in kept]
+    return [p for p in out if p.density and p.density >= threshold * NEARLY or p in kept]
 
 
 def _mark(nodes: list[Node]) -> tuple[list[Node], float]:
@@ -334,7 +365,7 @@ def _mark(nodes: list[Node]) -> tuple[list[Node], float]:
     todo = [body]
     while todo:
         node = todo.pop()
-        if node in marked or node.density < threshold:
+        if node in marked or node.density < threshold * NEARLY:
             continue
         if node not in opened:
             top = _widened(largest[node], node, body)
@@ -360,25 +391,30 @@ def _is_menu(n: Node, threshold: float) -> bool:
 
 
 def _blocks(top: Node, threshold: float) -> list[str]:
-    """Texts of blocks in page order: a block ends where a block-level element starts or ends."""
+    """Texts of blocks in page order: a block ends where a block-level element starts or ends.
+
+    Lists of links are dropped but where the page says that all around them is the article.
+    """
+    trusted = any(n.declares for n in _path(top))
     out: list[list[str]] = [[]]
-    todo: list[Node | str | None] = [top]
+    todo: list[tuple[Node | str | None, bool]] = [(top, trusted)]
     while todo:
-        x = todo.pop()
+        x, sure = todo.pop()
         if x is None:
             out.append([])
         elif isinstance(x, str):
             out[-1].append(x)
         elif x.tag == "br":
             out[-1].append(" ")
-        elif x.furniture and x is not top or x.tag in INVISIBLE or x is not top and x.tag not in INLINE and _is_menu(x, threshold):
+        elif x.furniture and x is not top or x.tag in INVISIBLE or x is not top and not sure and x.tag not in INLINE and _is_menu(x, threshold):
             if x.tag not in INLINE:
                 out.append([])
         elif x.tag in INLINE:
-            todo += reversed(x.children)
+            todo += [(c, sure) for c in reversed(x.children)]
         else:
             out.append([])
-            todo += [None, *reversed(x.children)]
+            sure = sure or x.declares
+            todo += [(None, sure), *[(c, sure) for c in reversed(x.children)]]
     texts = (_SPACE.sub(" ", html.unescape("".join(parts))).strip() for parts in out if parts)
     return [t for t in texts if t]
 

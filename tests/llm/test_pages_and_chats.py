@@ -3,6 +3,9 @@ import math
 import os
 import random
 import re
+import time
+
+import pytest
 
 from binloom.llm import chat, html_text, revisit
 
@@ -307,3 +310,74 @@ def test_rotation_of_odd_rows(spark):
     assert sorted((r["conv_id"] or 0, r["perspective"]) for r in odd if r["conv_id"] != 3) == [(0, "unknown"), (2, "a"), (2, "a")]
     long = sorted((r["seq"], r["start"], r["stop"]) for r in odd if r["conv_id"] == 3 and r["perspective"] == "a")
     assert len(long) == 600 and all(a[2] == b[1] for a, b in zip(long, long[1:], strict=False))
+
+
+SENTENCE = "A paragraph of the article that says something of some length, so that it counts as text here. "
+
+
+def test_headline_in_the_articles_own_header():
+    page = f"<html><body><header><h1>Site</h1></header><article><header class='top'><h1>Headline</h1><p>By Someone</p></header>{f'<p>{SENTENCE * 3}</p>' * 4}</article></body></html>"
+    assert html_text.main_text(page) == "\n".join(["Headline", "By Someone", *[(SENTENCE * 3).strip()] * 4])
+
+
+@pytest.mark.parametrize("n", [2, 4, 8, 20])
+def test_headed_article_beside_a_longer_part(n):
+    page = f"<html><body><div class='artikel'><h1>Title</h1>{f'<p>{SENTENCE}</p>' * n}</div><div class='x1'>{f'<p>{SENTENCE}</p>' * (n + 1)}</div></body></html>"
+    assert html_text.main_text(page) == "\n".join(["Title", *[SENTENCE.strip()] * (2 * n + 1)])
+
+
+def test_reference_list_of_an_article_stays_and_a_menu_goes():
+    links = "".join(f"<li><a href='#{k}'>Reference {k}</a></li>" for k in range(5))
+    body = f"<h1>T</h1>{f'<p>{SENTENCE * 2}</p>' * 4}<ul>{links}</ul>"
+    wanted = ["T", *[(SENTENCE * 2).strip()] * 4]
+    assert html_text.main_text(f"<body><ul>{links}</ul><article>{body}</article></body>") == "\n".join([*wanted, *[f"Reference {k}" for k in range(5)]])
+    assert html_text.main_text(f"<body><ul>{links}</ul><div>{body}</div></body>") == "\n".join(wanted)
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<ul><li>", "<b>", "<table><tr><td>", "<section><p>"])
+def test_time_is_in_proportion_to_the_page(unit):
+    """A page ten times as deep takes about ten times as long, not a hundred times."""
+
+    def took(n):
+        began = time.process_time()
+        html_text.main_text(unit * n + "x" + "</i>" * n)
+        return time.process_time() - began
+
+    took(100)
+    assert took(20_000) < 40 * max(took(2_000), 0.02)
+
+
+def walked(source):
+    """Tags of open elements after each tag, by walking the whole path; the parser's stacks must agree."""
+    path = ["html"]
+    for end, tag in re.findall(r"<(/?)([a-z0-9]+)>", source):
+        if end:
+            at = max((i for i, t in enumerate(path) if t == tag and i), default=0)
+            if at and not (tag in html_text.INLINE and any(t in html_text.SCOPES for t in path[at + 1 :])):
+                del path[at:]
+            continue
+        if tag in html_text.CLOSES_PARAGRAPH:
+            edge = max((i for i, t in enumerate(path) if t in html_text.KEEPS_PARAGRAPH and i), default=0)
+            at = max((i for i, t in enumerate(path) if t == "p"), default=0)
+            if at > edge:
+                del path[at:]
+            if tag[0] == "h" and tag[1:].isdigit() and path[-1][0] == "h" and path[-1][1:].isdigit():
+                path.pop()
+        elif tag in html_text.CLOSED_BY:
+            tags, stop = html_text.CLOSED_BY[tag]
+            edge = max((i for i, t in enumerate(path) if t in stop and i), default=0)
+            at = min((i for i, t in enumerate(path) if t in tags and i > edge), default=0)
+            if at:
+                del path[at:]
+        path.append(tag)
+    return path
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_open_elements_equal_a_walk(seed):
+    rng = random.Random(seed)
+    for _ in range(200):
+        source = "".join(f"<{rng.choice(['', '', '/'])}{rng.choice(['p', 'div', 'li', 'ul', 'table', 'tr', 'td', 'b', 'i', 'article', 'h1', 'h2', 'dl', 'dt', 'dd'])}>" for _ in range(rng.randrange(40)))
+        root = html_text.parse(source + "<u>here</u>")
+        node = next(n for n in reversed(html_text._ordered(root)) if n.tag == "u")
+        assert [n.tag for n in html_text._path(node.parent)][::-1] == walked(source)
