@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from binloom.functions import alignment as al
 from binloom.functions import numeric as nm
 from binloom.functions import sequence as sq
-from binloom.operators import binquality, clustering, composition, counts, distance, embedding, graph, hits, latent, leaders, nmf, normalise, priors, relational
+from binloom.operators import binquality, clustering, composition, counts, distance, embedding, graph, hits, latent, leaders, neighbour_index, nmf, normalise, priors, relational
 from binloom.storage import cut, shared_folder
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -734,10 +734,29 @@ def widest_paths(spark, sf_dir):
     kept AS (SELECT s.* FROM s, last, total WHERE s.rank < greatest(last.k, least(n, 11)))
     SELECT id, neighbour, rank, round(distance, 4) AS distance, running::BIGINT AS running, coalesce(min(CASE WHEN running > 500000 THEN rank END) OVER (PARTITION BY id), 0) AS cut FROM kept""")
 def adaptive_neighbours(spark, sf_dir):
-    made = embedding.adaptive_neighbours(points(spark, sf_dir))
+    rows = points(spark, sf_dir)
+    index = neighbour_index.build(rows)
+    made = embedding.adaptive_neighbours(rows, search=lambda k: index.search(rows, k, exact=True))
     return made.select("id", "neighbour", F.col("rank").cast("long").alias("rank"), r4("distance").alias("distance"), "running", F.col("cut").cast("long").alias("cut"))
 
 
+@query(f"SELECT id, neighbour, rank, round(distance, 4) AS distance FROM ({KNN_SQL})")
+def indexed_neighbours(spark, sf_dir):
+    rows = points(spark, sf_dir)
+    made = neighbour_index.build(rows).search(rows, NEIGHBOURS, exact=True)
+    return made.select("id", "neighbour", F.col("rank").cast("long").alias("rank"), r4("distance").alias("distance"))
+
+
+@query()
+def neighbour_recall(spark, sf_dir):
+    """How many of the nearest neighbours of every fiftieth point the opened cells hold, their number fitted on other points."""
+    rows = points(spark, sf_dir)
+    index, asked, others = neighbour_index.build(rows), rows.filter("id % 50 = 0"), rows.filter("id % 50 = 25")
+    probes = index.probes_for(index.search(others, NEIGHBOURS, exact=True), others, 0.95)
+    wanted = cut(index.search(asked, NEIGHBOURS, exact=True))
+    return neighbour_index.recall(index.search(asked, NEIGHBOURS, probes), wanted).withColumns({"probes": F.lit(probes), "cells": F.lit(len(index.centres))})
+
+
 @query("SELECT vec_id AS id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS squared, 1.0::DOUBLE AS unit FROM embeddings")
 def vector_norms(spark, sf_dir):
     rows = points(spark, sf_dir)

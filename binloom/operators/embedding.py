@@ -5,6 +5,8 @@ Points are rows (id, embedding, length).  Distances are squared Euclidean, exact
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -20,6 +22,27 @@ ENOUGH_LENGTH, SHORT, SHORT_NEIGHBOURS = 500_000, 8_000, 10
 TILE_ROWS = 2048
 
 
+def closest(x: np.ndarray, ids: np.ndarray, y: np.ndarray, names: np.ndarray, k: int) -> list[pd.DataFrame]:
+    """(id, neighbour, distance) of the k rows of y nearest to each of x, and of those that tie with the last; a row itself is the first."""
+    keep, parts = min(k, len(y)), []
+    for at in range(0, len(x), 256):
+        part = x[at : at + 256]
+        d = np.maximum((part**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * part @ y.T, 0.0)
+        d[ids[at : at + 256, None] == names[None, :]] = -1.0
+        # one more than needed may tie at the edge, so all that tie stay
+        edge = np.partition(d, keep - 1, axis=1)[:, keep - 1 : keep]
+        i, j = np.nonzero(d <= edge + 1e-9 * np.maximum(edge, 1.0))
+        exact = ((part[i] - y[j]) ** 2).sum(1)
+        parts.append(pd.DataFrame({"id": ids[at + i], "neighbour": names[j], "distance": exact}))
+    return parts
+
+
+def top_ranks(found: DataFrame, k: int) -> DataFrame:
+    """Adds rank to (id, neighbour, distance), a point itself first, then by distance, ties by id; keeps k a point."""
+    order = Window.partitionBy("id").orderBy((F.col("id") != F.col("neighbour")).cast("int"), "distance", "neighbour")
+    return found.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
+
+
 def nearest(points: DataFrame, k: int, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(id, neighbour, rank, distance): the k nearest points of each, itself at rank 0; ties by id.
 
@@ -28,31 +51,17 @@ def nearest(points: DataFrame, k: int, tile_rows: int = TILE_ROWS) -> DataFrame:
     vectors = points.select("id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     left, right = met_blocks(vectors, "id", blocks_of(points, points.count(), tile_rows))
 
-    def closest(x: np.ndarray, ids: np.ndarray, y: np.ndarray, names: np.ndarray) -> list[pd.DataFrame]:
-        keep, parts = min(k, len(y)), []
-        for at in range(0, len(x), 256):
-            part = x[at : at + 256]
-            d = np.maximum((part**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * part @ y.T, 0.0)
-            d[ids[at : at + 256, None] == names[None, :]] = -1.0
-            # one more than needed may tie at the edge, so all that tie stay
-            edge = np.partition(d, keep - 1, axis=1)[:, keep - 1 : keep]
-            i, j = np.nonzero(d <= edge + 1e-9 * np.maximum(edge, 1.0))
-            exact = ((part[i] - y[j]) ** 2).sum(1)
-            parts.append(pd.DataFrame({"id": ids[at + i], "neighbour": names[j], "distance": exact}))
-        return parts
-
     def tile(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         if one.empty or two.empty:
             return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
         x, y, ids, names = np.stack(one["v"]), np.stack(two["v_2"]), one["id"].to_numpy(), two["id_2"].to_numpy()
-        parts = closest(x, ids, y, names)
+        parts = closest(x, ids, y, names, k)
         if one["i"].iloc[0] != one["j"].iloc[0]:
-            parts += closest(y, names, x, ids)
+            parts += closest(y, names, x, ids, k)
         return pd.concat(parts)
 
     found = left.groupBy("i", "j").cogroup(right.groupBy("i_2", "j_2")).applyInPandas(tile, "id long, neighbour long, distance double")
-    order = Window.partitionBy("id").orderBy((F.col("id") != F.col("neighbour")).cast("int"), "distance", "neighbour")
-    return found.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
+    return top_ranks(found, k)
 
 
 def with_running_length(neighbours: DataFrame, lengths: DataFrame, enough: int = ENOUGH_LENGTH) -> DataFrame:
@@ -63,18 +72,25 @@ def with_running_length(neighbours: DataFrame, lengths: DataFrame, enough: int =
     return summed.withColumn("cut", F.coalesce(F.min(F.when(F.col("running") > enough, F.col("rank"))).over(Window.partitionBy("id")), F.lit(0)))
 
 
-def adaptive_neighbours(points: DataFrame, first: int = 4, enough: int = ENOUGH_LENGTH, least_share: float = 0.5) -> DataFrame:
+def adaptive_neighbours(points: DataFrame, first: int = 4, enough: int = ENOUGH_LENGTH, least_share: float = 0.5, search: Callable[[int], DataFrame] | None = None) -> DataFrame:
     """Nearest neighbours, k growing by half until enough of the points have long enough neighbourhoods.
 
-    At least one more than the neighbours of short contigs are kept, and never more than there are points.
+    At least one more than the neighbours of short contigs are kept, and never more than there are points.  ``search``
+    gives the rows of ``nearest`` for a k; one search serves all k up to twice the one that was asked for, so that
+    growing k does not measure every distance again.
     """
-    total, k = points.count(), first
+    total, k, held, known = points.count(), first, None, 0
+    search = search or (lambda n: nearest(points, n))
     while True:
         k = min(k, total)
-        found = cut(with_running_length(nearest(points, max(k, min(total, SHORT_NEIGHBOURS + 1))), points.select("id", "length"), enough))
-        reached = found.filter((F.col("rank") == k - 1) & (F.col("running") > enough)).count()
+        kept = max(k, min(total, SHORT_NEIGHBOURS + 1))
+        if kept > known:
+            known = min(total, 2 * kept)
+            held = cut(with_running_length(search(known), points.select("id", "length"), enough))
+        reached = held.filter((F.col("rank") == k - 1) & (F.col("running") > enough)).count()
         if k == total or reached / max(total, 1) >= least_share:
-            return found
+            # the first rank with enough length counts only where it is among those kept
+            return cut(held.filter(F.col("rank") < kept).withColumn("cut", F.when(F.col("cut") < kept, F.col("cut")).otherwise(0)))
         k = int(k * 1.5)
 
 

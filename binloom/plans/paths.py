@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from binloom.operators import clustering, counts, distance, embedding, nmf, priors
+from binloom.operators import clustering, counts, distance, embedding, neighbour_index, nmf, priors
 from binloom.plans import binning
 from binloom.storage import cut
 
@@ -29,7 +29,8 @@ def density_bins(table: DataFrame, sequences: DataFrame, d1: float = 1.0) -> Dat
 
 def embedding_bins(points: DataFrame, dimensions: int, first: int = 4, enough: int = embedding.ENOUGH_LENGTH) -> DataFrame:
     """(id, peak, cluster) of embedded contigs (id, embedding, length): density peaks, linked where the valley between is shallow."""
-    found = embedding.adaptive_neighbours(points, first, enough)
+    index = neighbour_index.build(points)
+    found = embedding.adaptive_neighbours(points, first, enough, search=lambda k: index.search(points, k, exact=True))
     lists = cut(embedding.neighbourhoods(found, points, dimensions, enough))
     peaks = cut(embedding.density_peaks(lists))
     clusters = embedding.peak_clusters(peaks, embedding.peak_links(lists, peaks))
