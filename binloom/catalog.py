@@ -332,12 +332,14 @@ def inner_stops(spark, sf_dir):
     return composition.inner_stops(sequences(spark, sf_dir))
 
 
-@query("""
-    SELECT i::INT AS word, (xor(i & 3, 1) * 64 + xor(i >> 2 & 3, 1) * 16 + xor(i >> 4 & 3, 1) * 4 + xor(i >> 6 & 3, 1))::INT AS complement, bit_count(i & 170)::INT AS gc
-    FROM range(256) t(i)""")
+@query(f"""
+    SELECT kmer::INT AS word, (xor(kmer & 3, 1) * 64 + xor(kmer >> 2 & 3, 1) * 16 + xor(kmer >> 4 & 3, 1) * 4 + xor(kmer >> 6 & 3, 1))::INT AS complement,
+           bit_count(kmer & 170)::INT AS gc, sum(n)::BIGINT AS n FROM ({WORDS_SQL}) WHERE n > 0 GROUP BY kmer""")
 def word_complements(spark, sf_dir):
-    w = F.col("id").cast("int")
-    return spark.range(256).select(w.alias("word"), sq.reverse_complement_number(w).cast("int").alias("complement"), sq.gc_of_word(w).cast("int").alias("gc"))
+    """The tetramers that the sequences have, with their number."""
+    w = F.col("kmer").cast("int")
+    found = composition.long_form(composition.tetramers(sequences(spark, sf_dir))).filter("n > 0").groupBy("kmer").agg(F.sum("n").cast("long").alias("n"))
+    return found.select(w.alias("word"), sq.reverse_complement_number(w).cast("int").alias("complement"), sq.gc_of_word(w).cast("int").alias("gc"), "n")
 
 
 @query()
@@ -969,9 +971,13 @@ def members_of(spark, sf_dir):
     return relational.in_keys(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+CHOSEN = "o_orderkey % 7 = 0"
+
+
+@query(f"SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE {CHOSEN})")
 def others_than(spark, sf_dir):
-    return relational.not_in_keys(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    chosen = table(spark, sf_dir, "orders").filter(CHOSEN).select(F.col("o_custkey").alias("c_custkey"))
+    return relational.not_in_keys(table(spark, sf_dir, "customer").select("c_custkey"), chosen, "c_custkey")
 
 
 @query("SELECT o_custkey, array_to_string(list(o_orderkey ORDER BY o_orderkey), ' ') AS members FROM orders GROUP BY o_custkey")
@@ -980,9 +986,10 @@ def member_lists(spark, sf_dir):
     return made.select("o_custkey", F.array_join(F.transform("members", lambda x: x.cast("string")), " ").alias("members"))
 
 
-@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) ORDER BY c_acctbal DESC, c_custkey LIMIT 10")
+@query(f"SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE {CHOSEN}) ORDER BY c_acctbal DESC, c_custkey LIMIT 10")
 def largest_remaining(spark, sf_dir):
-    return relational.largest_remaining(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "c_acctbal", 10)
+    chosen = table(spark, sf_dir, "orders").filter(CHOSEN).select(F.col("o_custkey").alias("c_custkey"))
+    return relational.largest_remaining(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), chosen, "c_custkey", "c_acctbal", 10)
 
 
 @query(f"""

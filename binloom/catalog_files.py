@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from binloom.catalog import EVENTS_SQL, SEQ_SQL, WEIGHTS_SQL, _weights, event_counts, query, r4, sequences, table
-from binloom.operators import composition, counts, network, relational
+from binloom.catalog import EVENTS_SQL, ORDER, SEQ_SQL, WEIGHTS_SQL, _weights, event_counts, query, r4, sequences, table
+from binloom.operators import composition, counts, hits, network, relational
 from binloom.operators.latent import bin_network
 from binloom.plans import markers
-from binloom.sources import sinks, text
+from binloom.sources import bam, sinks, text
 from binloom.storage import shared_folder
 
 
@@ -67,11 +67,46 @@ def sam_candidates(spark, sf_dir):
     return counts.candidates(records, contigs).select("read_id", "contig", "dir", "proper", r4("identity").alias("identity"))
 
 
-@query("SELECT 'r' || l_orderkey AS read_id, count(*) AS n, count(*) = count(DISTINCT (l_orderkey, l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice)) AS ordered FROM lineitem GROUP BY 1")
+@query(f"""
+    SELECT 'r' || l_orderkey AS read_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY {ORDER}) AS place, (l_partkey % 256)::INT AS flag, 'c' || l_suppkey AS contig
+    FROM lineitem""")
 def sam_order(spark, sf_dir):
-    """Every record of a read has a place of its own."""
-    lines = text.sam_records(text._lines(spark, f"{_sam(spark, sf_dir)}/lines"))
-    return lines.groupBy("read_id").agg(F.count(F.lit(1)).alias("n"), (F.count_distinct("sample", "ord") == F.count(F.lit(1))).alias("ordered"))
+    """Records of a read come in the order in which they were written, by the places that they are read with."""
+    place = _place(spark)
+    lines = table(spark, sf_dir, "lineitem").repartition("l_orderkey").sortWithinPartitions("l_orderkey", *[c.strip() for c in ORDER.split(",")])
+    fields = [F.concat(F.lit("r"), F.col("l_orderkey")), (F.col("l_partkey") % 256).cast("string"), F.concat(F.lit("c"), F.col("l_suppkey")), *[F.lit(v) for v in ("1", "9", "20M", "=", "1", "0", "*", "*")]]
+    sinks.write_lines(lines.select(F.concat_ws("\t", *fields).alias("value")), place)
+    found = text.sam_records(text._lines(spark, place))
+    order = Window.partitionBy("read_id").orderBy("ord")
+    return found.select("read_id", F.row_number().over(order).cast("long").alias("place"), "flag", "contig")
+
+
+# ---------------------------------------------------------------- alignments, packed
+
+#: So small a stretch that several tasks read each file of the small tables, too.
+BAM_SPLIT = 1 << 18
+
+
+@query(f"""
+    SELECT l_returnflag AS sample, 'r' || l_orderkey AS read_id, row_number() OVER (PARTITION BY l_returnflag, l_orderkey ORDER BY {ORDER}) AS place, (l_partkey % 256)::INT AS flag,
+           CASE WHEN l_suppkey % 10 = 0 THEN '*' ELSE 'c' || l_suppkey END AS contig, l_linenumber || 'S20M' AS cigar, repeat('I', (l_linenumber + 20)::INT) AS qual, l_linenumber || 'A1' AS md
+    FROM lineitem""")
+def bam_records(spark, sf_dir):
+    """Order lines written as BAM files of their samples, and read again by splits, with their order in a read; some suppliers are not in the header."""
+    place, lines = _place(spark), table(spark, sf_dir, "lineitem")
+    w = Window.partitionBy("l_returnflag", "l_orderkey").orderBy(*[c.strip() for c in ORDER.split(",")])
+    made = lines.select(
+        F.col("l_returnflag").alias("sample"), F.concat(F.lit("r"), F.col("l_orderkey")).alias("read_id"), F.row_number().over(w).cast("long").alias("ord"), (F.col("l_partkey") % 256).cast("int").alias("flag"),
+        F.concat(F.lit("c"), F.col("l_suppkey")).alias("contig"), F.concat(F.col("l_linenumber").cast("string"), F.lit("S20M")).alias("cigar"),
+        F.repeat(F.lit("I"), F.col("l_linenumber") + 20).alias("qual"), F.concat(F.col("l_linenumber").cast("string"), F.lit("A1")).alias("md"),
+    )
+    suppliers = table(spark, sf_dir, "supplier").filter("s_suppkey % 10 <> 0")
+    contigs = suppliers.select(F.col("s_suppkey").cast("int").alias("ref_id"), F.concat(F.lit("c"), F.col("s_suppkey")).alias("name"), (F.col("s_suppkey") * 937 % 5000 + 1000).cast("int").alias("length"))
+    bam.write(made, contigs, place, 4)
+    bam.register(spark)
+    found = spark.read.format("bam").option("sample", bam.WRITTEN_SAMPLE).option("split", BAM_SPLIT).load(place)
+    order = Window.partitionBy("sample", "read_id").orderBy("ord")
+    return found.withColumn("place", F.row_number().over(order).cast("long")).drop("ord")
 
 
 # ---------------------------------------------------------------- sequences as text
@@ -101,11 +136,15 @@ def selected_sequences(spark, sf_dir):
     return found.select("name", F.length("seq").cast("long").alias("length"))
 
 
-@query("SELECT 'd_' || doc_id AS name, 'd' AS contig, 7 AS ref_id FROM documents")
+@query("""
+    SELECT 'd' || doc_id % 7 || '_' || doc_id AS name, 'd' || doc_id % 7 AS contig, (doc_id % 7 * 2 + 1)::INT AS ref_id FROM documents WHERE doc_id % 7 <> 3""")
 def coding_ordinals(spark, sf_dir):
-    """Coding sequences joined to the number of their contig."""
-    contigs = spark.createDataFrame([(7, "d"), (8, "e")], "ref_id int, name string")
-    return text.with_ordinals(text.read_reading_frames(spark, f"{_fasta(spark, sf_dir)}/*"), contigs).select("name", "contig", "ref_id")
+    """Coding sequences joined to the number of their contig, where it has one."""
+    place, docs = _place(spark), table(spark, sf_dir, "documents")
+    contig = F.concat(F.lit("d"), F.col("doc_id") % 7)
+    sinks.write_lines(docs.select(F.concat(F.lit(">"), contig, F.lit("_"), F.col("doc_id"), F.lit("\nACGTACGTACGT")).alias("value")), place)
+    contigs = docs.filter("doc_id % 7 <> 3").select((F.col("doc_id") % 7 * 2 + 1).cast("int").alias("ref_id"), contig.alias("name")).distinct()
+    return text.with_ordinals(text.read_reading_frames(spark, f"{place}/*"), contigs).select("name", "contig", "ref_id")
 
 
 @query("SELECT coalesce(source, 'none') AS bin, count(*) AS n FROM documents GROUP BY 1")
@@ -170,32 +209,38 @@ def clusters_as_lists(spark, sf_dir):
     return text.clusters_as_lists(clusters, names).select("cluster", F.array_join(F.transform("members", lambda x: x.cast("string")), " ").alias("members"))
 
 
-@query("""
-    WITH h AS (SELECT 'q_c' || l_suppkey AS query, 'c' || l_suppkey AS contig, 'COG0' || lpad((l_partkey % 60 + 12)::VARCHAR, 3, '0') AS cog, l_quantity * 10 AS score FROM lineitem),
-    k AS (SELECT h.* FROM h JOIN (VALUES ('COG0012', 210), ('COG0016', 240), ('COG0018', 340), ('COG0048', 100), ('COG0049', 120), ('COG0052', 140)) AS c(cog, cutoff) ON c.cog = h.cog WHERE score >= cutoff),
+_CUTOFFS_SQL = ", ".join(f"('{cog}', {score})" for cog, score in hits.CUTOFFS.items())
+
+
+@query(f"""
+    WITH h AS (SELECT 'c' || l_suppkey AS contig, 'COG0' || lpad((l_partkey % 600)::VARCHAR, 3, '0') AS cog, l_quantity * 10 AS score FROM lineitem),
+    k AS (SELECT h.* FROM h JOIN (VALUES {_CUTOFFS_SQL}) AS c(cog, cutoff) ON c.cog = h.cog WHERE score >= cutoff),
     t AS (SELECT contig, cog FROM k QUALIFY score = max(score) OVER (PARTITION BY contig))
     SELECT (s_suppkey - 1)::INT AS ref_id, min(cog) AS cog FROM t JOIN supplier ON 'c' || s_suppkey = contig GROUP BY s_suppkey HAVING count(DISTINCT cog) = 1""")
 def marker_ordinals(spark, sf_dir):
     """Hits of a table joined to the numbers of their contigs, written and read again."""
     place, lines = _place(spark), table(spark, sf_dir, "lineitem")
-    cog = F.concat(F.lit("COG0"), F.lpad((F.col("l_partkey") % 60 + 12).cast("string"), 3, "0"))
+    cog = F.concat(F.lit("COG0"), F.lpad((F.col("l_partkey") % 600).cast("string"), 3, "0"))
     contig = F.concat(F.lit("c"), F.col("l_suppkey"))
-    kept = lines.select(F.concat(contig, F.lit("_1")).alias("name"), contig.alias("query"), cog.alias("cog"), (F.col("l_quantity") * 10).alias("bitscore"))
-    sinks.write_table(kept.filter(F.col("cog").isin("COG0012", "COG0016", "COG0018", "COG0048", "COG0049", "COG0052")), f"{place}/hits", "\t")
+    sinks.write_table(lines.select(F.concat(contig, F.lit("_1")).alias("name"), contig.alias("query"), cog.alias("cog"), (F.col("l_quantity") * 10).alias("bitscore")), f"{place}/hits", "\t")
     contigs = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") - 1).cast("int").alias("ref_id"), F.concat(F.lit("c"), F.col("s_suppkey")).alias("name"))
     sinks.write_table(markers.marker_rows(text.read_delimited(spark, f"{place}/hits", markers.HITS, "\t"), contigs), f"{place}/out", "\t")
     return text.read_delimited(spark, f"{place}/out", "ref_id INT, cog STRING", "\t")
 
 
-@query("SELECT i::INT AS epoch, 'reads' AS head, i / 4.0::DOUBLE AS loss FROM range(4) t(i) UNION ALL SELECT i::INT, 'kmers', i / 8.0::DOUBLE FROM range(4) t(i)")
+@query("""
+    WITH m AS (SELECT l_linenumber - 1 AS epoch, avg(l_discount) AS reads, avg(l_tax) AS kmers FROM lineitem GROUP BY 1)
+    SELECT epoch::INT AS epoch, 'reads' AS head, round(reads, 6) AS loss FROM m UNION ALL SELECT epoch::INT, 'kmers', round(kmers, 6) FROM m""")
 def stored_model(spark, sf_dir):
-    """A network's weights come back as they were, and so do its losses."""
+    """A network's weights come back as they were, and so do losses, which are means of a table here."""
     place, net = _place(spark), bin_network(3, 4, hidden=6, latent=2)
-    sinks.write_model(net, spark, place, [[i / 4, i / 8] for i in range(4)])
+    means = table(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(F.avg("l_discount").alias("reads"), F.avg("l_tax").alias("kmers"))
+    losses = [[float(r["reads"]), float(r["kmers"])] for r in means.orderBy("l_linenumber").collect()]  # seven rows
+    sinks.write_model(net, spark, place, losses)
     again = network.from_weights(bin_network(3, 4, hidden=6, latent=2, seed=9), spark.read.parquet(f"{place}/weights"))
     if (again.flat() != net.flat()).any():
         raise AssertionError("weights differ")
-    return spark.read.parquet(f"{place}/losses")
+    return spark.read.parquet(f"{place}/losses").withColumn("loss", F.round("loss", 6))
 
 
 @query(f"""
