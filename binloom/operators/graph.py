@@ -12,6 +12,8 @@ from binloom.storage import cut, cut_counted
 
 #: Edges that one task joins at most; larger tables are contracted first.
 LOCAL_EDGES = 500_000
+#: Pairs that a task counts at once, and holds.
+ROOM = 2_000_000
 
 
 def _joined(batches):
@@ -67,10 +69,89 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, local_edges: in
     return nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
 
 
+class _Pairs:
+    """Counts of pairs of codes, kept as sorted arrays; what there is no room for is given out as it stands."""
+
+    def __init__(self):
+        self.keys, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, one: np.ndarray, two: np.ndarray) -> None:
+        keys, counts = np.unique(np.minimum(one, two) << 32 | np.maximum(one, two), return_counts=True)
+        both, at = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
+        self.keys, self.counts = both, np.bincount(at, np.concatenate([self.counts, counts]), len(both)).astype(np.int64)
+
+    def taken(self) -> tuple[np.ndarray, np.ndarray]:
+        out = self.keys, self.counts
+        self.keys, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        return out
+
+
+def _counted_pairs(kind):
+    """(a, b, n) of rows (contig, leader) that are sorted by contig: how many of a task's contigs have both leaders."""
+
+    def run(batches):
+        codes: dict = {}
+        names: list = []
+        pairs, held = _Pairs(), None
+
+        def batch_of(keys, counts):
+            a, b = ([names[c] for c in part] for part in (keys >> 32, keys & 0xFFFFFFFF))
+            return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind), pa.array(counts, pa.int64())], ["a", "b", "n"])
+
+        def met(group: np.ndarray, code: np.ndarray):
+            ends = np.searchsorted(group, group, side="right")
+            after = ends - np.arange(len(group)) - 1
+            total, at = np.cumsum(after), 0
+            while at < len(group):
+                # so many rows at a time that their pairs have room
+                stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + ROOM, side="right")))
+                n = after[at:stop]
+                one = np.repeat(np.arange(at, stop), n)
+                two = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n)
+                pairs.add(code[one], code[two])
+                at = stop
+                if len(pairs.keys) > ROOM:
+                    yield batch_of(*pairs.taken())
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            leaders = batch.column(1).dictionary_encode()
+            for x in leaders.dictionary.to_pylist():
+                if x not in codes:
+                    codes[x] = len(names)
+                    names.append(x)
+            own = np.array([codes[x] for x in leaders.dictionary.to_pylist()], dtype=np.int64)[leaders.indices.to_numpy()]
+            contigs = batch.column(0)
+            new = np.concatenate([[True], pc.not_equal(contigs.slice(1), contigs.slice(0, len(contigs) - 1)).to_numpy(zero_copy_only=False)])
+            group = np.cumsum(new)
+            if held is not None:
+                same = contigs[0].as_py() == held[0]
+                group = np.concatenate([np.full(len(held[1]), group[0] if same else group[0] - 1), group])
+                own = np.concatenate([held[1], own])
+            last = group == group[-1]
+            yield from met(group[~last], own[~last])
+            held = (contigs[len(contigs) - 1].as_py(), own[last])
+        if held is not None:
+            yield from met(np.zeros(len(held[1]), dtype=np.int64), held[1])
+        yield batch_of(*pairs.taken())
+
+    return run
+
+
 def shared_member_links(pairs: DataFrame, more_than: int = 5) -> DataFrame:
-    """(a, b, shared), a < b: leaders of (contig, leader) that have more than so many contigs in common."""
-    one, two = pairs.select("contig", F.col("leader").alias("a")).distinct(), pairs.select("contig", F.col("leader").alias("b")).distinct()
-    return one.join(two, "contig").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") > more_than)
+    """(a, b, shared), a < b: leaders of (contig, leader) that have more than so many contigs in common.
+
+    Every contig adds one to each pair of its leaders.  A task adds up the pairs of all its contigs in arrays and gives
+    each pair once, so what is shuffled grows with the pairs of leaders, not with the square of a contig's leaders.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = pairs.schema["leader"].dataType
+    name = kind.simpleString()
+    rows = pairs.select("contig", "leader").filter("contig IS NOT NULL AND leader IS NOT NULL").distinct().repartition("contig").sortWithinPartitions("contig")
+    found = rows.mapInArrow(_counted_pairs(to_arrow_type(kind)), f"a {name}, b {name}, n long")
+    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").alias("shared")).filter(F.col("shared") > more_than)
 
 
 def merged_members(members: DataFrame, groups: DataFrame) -> DataFrame:

@@ -265,3 +265,24 @@ def test_density_by_hand(spark):
     assert got == {0: (1500, 1e30, 0), 1: (1500, 1e30, 1), 2: (800, 3.0, 1)}
     centres = clustering.assign_centres(clustering.densities(pairs, sizes)).collect()
     assert {r["id"]: r["centre"] for r in centres} == {0: 0, 1: 1, 2: 2}
+
+
+@pytest.mark.parametrize(("seed", "room", "names"), [(0, 2_000_000, False), (1, 7, False), (2, 50, True), (3, 1, True)])
+def test_shared_members_equal_a_count(spark, monkeypatch, seed, room, names):
+    monkeypatch.setattr(graph, "ROOM", room)
+    rng = random.Random(seed)
+    rows = [(rng.randrange(60), rng.randrange(25)) for _ in range(700)] + [(7, i) for i in range(25)]
+    rows = [(c, f"l{x}" if names else x) for c, x in rows] + [(None, "l1" if names else 1)]
+    by = {}
+    for c, x in set(rows):
+        if c is not None:
+            by.setdefault(c, []).append(x)
+    wanted = {}
+    for members in by.values():
+        for a in members:
+            for b in members:
+                if a < b:
+                    wanted[a, b] = wanted.get((a, b), 0) + 1
+    got = graph.shared_member_links(spark.createDataFrame(rows, f"contig long, leader {'string' if names else 'long'}").repartition(3), 8).collect()
+    assert {(r["a"], r["b"]): r["shared"] for r in got} == {k: n for k, n in wanted.items() if n > 8}
+    assert len(got) > 3
