@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from binloom.llm._common import WORD, cut, running_total, text_or_empty
+from binloom.storage import cut_round
 
 #: Turns left in a class that one task finishes at most.
 LOCAL_TURNS = 4096
@@ -208,12 +209,12 @@ def trie(sequences: DataFrame, ids: DataFrame, local_turns: int = LOCAL_TURNS) -
             F.col("class").alias("conv_id"), F.lit(depth + 1).cast("long").alias("depth"), F.col("parent").alias("parent_conv_id"), F.col("whole").alias("n_convs"),
             ((F.col("whole") - 1) * F.col("top_words")).alias("own"), F.coalesce("top_ends", F.lit(NO_ENDS)).alias("ends_sha256"),
         ))
-        active, depth = cut(large.filter(F.col("pos") > depth)), depth + 1
+        active, depth = cut_round(large.filter(F.col("pos") > depth)), depth + 1
     finished = cut(reduce(DataFrame.unionByName, done)) if done else sequences.sparkSession.createDataFrame([], NODE)
     out = [finished]
     below = finished.filter(F.col("depth") == len(rounds))
     for d in range(len(rounds) - 1, -1, -1):
-        level = cut(folded(rounds[d], below)) if d else folded(rounds[d], below)
+        level = cut_round(folded(rounds[d], below)) if d else folded(rounds[d], below)
         out.append(level)
         below = level.unionByName(finished.filter(F.col("depth") == d))
     return reduce(DataFrame.unionByName, out)
