@@ -726,6 +726,20 @@ def widest_paths(spark, sf_dir):
     return graph.widest_paths(cut(edges), table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")))
 
 
+@query("""
+    WITH RECURSIVE d AS (SELECT l_suppkey AS a, l_suppkey % 7 * 10 + l_linenumber AS b, max(l_quantity) AS w FROM lineitem GROUP BY ALL HAVING a <> b),
+    e AS MATERIALIZED (SELECT a AS src, b AS dst, w FROM d UNION ALL SELECT b, a, w FROM d),
+    p AS (SELECT src AS "start", src AS id, 'infinity'::DOUBLE AS width FROM (SELECT DISTINCT src FROM e) UNION SELECT p."start", e.dst, least(p.width, e.w) FROM p JOIN e ON e.src = p.id)
+    SELECT "start", id, max(width) AS width FROM p WHERE "start" <> id AND ("start" * 31 + id * 17) % 10 = 0 GROUP BY ALL""")
+def forest_widths(spark, sf_dir):
+    """Widest undirected paths between some pairs of suppliers, along a spanning forest."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_suppkey") % 7 * 10 + F.col("l_linenumber")).alias("b"), F.col("l_quantity").alias("w"))
+    edges = cut(lines.groupBy("a", "b").agg(F.max("w").alias("w")).filter("a <> b"))
+    ids = cut(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct())
+    pairs = ids.withColumnRenamed("id", "start").join(ids, (F.col("start") * 31 + F.col("id") * 17) % 10 == 0).filter("start <> id")
+    return graph.forest_widths(graph.spanning_forest(edges), pairs)
+
+
 @query(f"""
     WITH RECURSIVE p AS MATERIALIZED ({POINTS_SQL}), total AS MATERIALIZED (SELECT count(*) AS n FROM p),
     d AS (SELECT a.id AS id, b.id AS neighbour, b.length AS length, list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS distance FROM p a CROSS JOIN p b),

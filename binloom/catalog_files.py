@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from binloom.catalog import EVENTS_SQL, ORDER, SEQ_SQL, WEIGHTS_SQL, _weights, event_counts, query, r4, sequences, table
-from binloom.operators import composition, counts, hits, network, relational
+from binloom.operators import composition, counts, hits, network
 from binloom.operators.latent import bin_network
+from binloom.operators.order import ranked
 from binloom.plans import markers
 from binloom.sources import bam, sinks, text
 from binloom.storage import shared_folder
@@ -205,7 +206,7 @@ def clusters_as_lists(spark, sf_dir):
     docs, place = table(spark, sf_dir, "documents"), _place(spark)
     sinks.write_table(docs.select("lang", "doc_id"), place, "\t")
     clusters = text.read_delimited(spark, place, "cluster STRING, contig STRING", "\t")
-    names = docs.select(F.col("doc_id").cast("string").alias("name"), (F.row_number().over(relational.ordered("doc_id")) - 1).cast("long").alias("row"))
+    names = ranked(docs.select("doc_id", F.col("doc_id").cast("string").alias("name")), "doc_id", name="row").select("name", "row")
     return text.clusters_as_lists(clusters, names).select("cluster", F.array_join(F.transform("members", lambda x: x.cast("string")), " ").alias("members"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from binloom.functions.numeric import local_density
 from binloom.operators import graph
 from binloom.operators.distance import blocks_of, met_blocks
+from binloom.operators.order import exact_median
 from binloom.storage import cut
 
 #: Length of neighbours that makes a neighbourhood, contigs below SHORT use SHORT_NEIGHBOURS of them.
@@ -95,9 +96,9 @@ def adaptive_neighbours(points: DataFrame, first: int = 4, enough: int = ENOUGH_
 
 
 def median_radius(found: DataFrame, lengths: DataFrame, enough: int = ENOUGH_LENGTH) -> DataFrame:
-    """One row, radius: the exact median distance at which neighbourhoods are long enough."""
+    """One row, radius: the exact median distance at which neighbourhoods are long enough; null if none is."""
     at = found.filter("rank = cut").join(lengths.select("id", "length"), "id").filter((F.col("cut") > 0) | (F.col("length") > enough))
-    return at.agg(F.median("distance").alias("radius"))
+    return found.sparkSession.createDataFrame([(exact_median(cut(at.select("distance")), "distance"),)], "radius double")
 
 
 def neighbourhoods(found: DataFrame, points: DataFrame, dimensions: int, enough: int = ENOUGH_LENGTH) -> DataFrame:
@@ -134,8 +135,10 @@ def density_peaks(lists: DataFrame) -> DataFrame:
 def peak_links(lists: DataFrame, peaks: DataFrame, most: float = 0.5) -> DataFrame:
     """(a, b, separability): peaks linked by a widest path; 1 - valley / density of the start is below ``most``."""
     chosen = peaks.select(F.col("peak").alias("id")).distinct()
-    width = graph.widest_paths(density_graph(lists), chosen)
     dense = lists.filter("rank = 0").select(F.col("id").alias("start"), "density")
+    # a narrower path is no link, so none is followed further than that
+    least = dense.withColumn("least", F.col("density") * (1 - most))
+    width = graph.widest_paths(density_graph(lists), chosen.join(least.select(F.col("start").alias("id"), "least"), "id"))
     met = width.filter("start <> id").join(chosen, "id", "left_semi").join(dense, "start")
     linked = met.withColumn("separability", 1 - F.col("width") / F.col("density"))
     return linked.filter(F.col("separability") < most).select(F.col("start").alias("a"), F.col("id").alias("b"), "separability")

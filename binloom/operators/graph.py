@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binloom.storage import cut, cut_counted
+from binloom.storage import cut, cut_counted, cut_round
 
 #: Edges that one task joins at most; larger tables are contracted first.
 LOCAL_EDGES = 500_000
@@ -167,7 +167,7 @@ def follow(pointers: DataFrame) -> DataFrame:
     state = cut(pointers.select("id", F.col("next").alias("root")))
     while True:
         target = state.select(F.col("id").alias("root"), F.col("root").alias("further"))
-        ahead = cut(state.join(target, "root", "left").select("id", F.coalesce("further", "root").alias("further"), "root"))
+        ahead = cut_round(state.join(target, "root", "left").select("id", F.coalesce("further", "root").alias("further"), "root"))
         state = ahead.select("id", F.col("further").alias("root"))
         if ahead.filter("further <> root").isEmpty():
             return state
@@ -176,13 +176,83 @@ def follow(pointers: DataFrame) -> DataFrame:
 def widest_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, id, width): the largest minimum of ``w`` along a path from each start; edges are (src, dst, w).
 
-    Relaxation to a fixed point; only pairs that improved spread further.
+    Relaxation to a fixed point; only pairs that improved spread further.  Where ``starts`` has a column ``least``, paths
+    as narrow as that, or narrower, are left out, and what is kept for a start is only what wider ones reach.
     """
+    bounds = cut(starts.select(F.col("id").alias("start"), F.col("least").cast("double").alias("least"))) if "least" in starts.columns else None
     state = fresh = cut(starts.select(F.col("id").alias("start"), "id", F.lit(float("inf")).alias("width")))
     steps = edges.select(F.col("src").alias("id"), "dst", "w")
     while True:
         reached = fresh.join(steps, "id").groupBy("start", F.col("dst").alias("id")).agg(F.max(F.least("width", "w")).alias("new"))
-        fresh = cut(reached.join(state, ["start", "id"], "left").filter("width IS NULL OR new > width").select("start", "id", F.col("new").alias("width")))
+        if bounds is not None:
+            # the bound does not stay in the rows: what is known of a column grows with every round that keeps it
+            reached = reached.join(bounds, "start").filter("new > least").select("start", "id", "new")
+        fresh = cut_round(reached.join(state, ["start", "id"], "left").filter("width IS NULL OR new > width").select("start", "id", F.col("new").alias("width")))
         if fresh.isEmpty():
             return state
-        state = cut(state.union(fresh).groupBy("start", "id").agg(F.max("width").alias("width")))
+        state = cut_round(state.union(fresh).groupBy("start", "id").agg(F.max("width").alias("width")))
+
+
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """(a, b, w), a < b: a forest of the heaviest undirected edges (a, b, w) that joins all that they join.
+
+    Rounds of Boruvka: every component takes its heaviest edge to another, ties by the edge's ends, which no round can
+    close to a ring; components are then joined, so the rounds are logarithmic in number.
+    """
+    ends = edges.filter("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "w")
+    left = cut(ends.groupBy("x", "y").agg(F.max("w").alias("w")).select("x", "y", "w", F.col("x").alias("a"), F.col("y").alias("b")))
+    taken = left.limit(0).select("x", "y", "w")
+    while not left.isEmpty():
+        both = left.select("a", "x", "y", "w").unionByName(left.select(F.col("b").alias("a"), "x", "y", "w"))
+        best = both.groupBy("a").agg(F.max(F.struct("w", "x", "y")).alias("e"))
+        chosen = cut(best.select("e.x", "e.y", "e.w").distinct())
+        taken = cut(taken.unionByName(chosen))
+        joined = components(chosen.join(left, ["x", "y"]).select("a", "b"))
+        joined = cut(joined)
+        one, two = joined.select(F.col("id").alias("a"), F.col("comp").alias("p")), joined.select(F.col("id").alias("b"), F.col("comp").alias("q"))
+        left = cut_round(left.join(one, "a", "left").join(two, "b", "left").select("x", "y", "w", F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b")).filter("a <> b"))
+    return taken.select(F.col("x").alias("a"), F.col("y").alias("b"), "w")
+
+
+def forest_widths(forest: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(start, id, width) of ``pairs`` (start, id) that a path of the forest (a, b, w) joins: the least weight along it.
+
+    That is the widest path in the graph that the forest spans.  Trees are hung up from their least node, and each node
+    learns its ancestors 1, 2, 4, ... above with the least weight up to them, so the state has n log n rows; both ends of
+    a pair then climb to the same depth and together to where they meet.
+    """
+    both = cut(forest.select("a", "b", "w").unionByName(forest.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
+    roots = components(forest.select("a", "b")).filter("id = comp").select(F.col("id").alias("node"))
+    # breadth first from the roots: the frontier's neighbours but the parents
+    frontier = hung = cut(roots.select("node", F.col("node").alias("up"), F.lit(float("inf")).alias("w"), F.lit(0).alias("depth")))
+    depth = 0
+    while True:
+        further = frontier.join(both, frontier["node"] == both["a"]).filter(F.col("b") != F.col("up"))
+        frontier = cut(further.select(F.col("b").alias("node"), F.col("a").alias("up"), both["w"].alias("w"), F.lit(depth + 1).alias("depth")))
+        if frontier.isEmpty():
+            break
+        hung, depth = cut(hung.unionByName(frontier)), depth + 1
+    levels = [hung.select("node", "up", "w")]
+    while (1 << len(levels)) <= depth:
+        above = levels[-1].select(F.col("node").alias("up"), F.col("up").alias("further"), F.col("w").alias("v"))
+        levels.append(cut(levels[-1].join(above, "up").select("node", F.col("further").alias("up"), F.least("w", "v").alias("w"))))
+    at = hung.select("node", "depth")
+    inf = F.lit(float("inf"))
+    one, two = at.select(F.col("node").alias("start"), F.col("depth").alias("p")), at.select(F.col("node").alias("id"), F.col("depth").alias("q"))
+    walk = pairs.select("start", "id").distinct().join(one, "start").join(two, "id")
+    # x is the deeper end
+    walk = cut(walk.select("start", "id", F.when(F.col("p") >= F.col("q"), F.col("start")).otherwise(F.col("id")).alias("x"), F.when(F.col("p") >= F.col("q"), F.col("id")).otherwise(F.col("start")).alias("y"), F.abs(F.col("p") - F.col("q")).alias("gap"), inf.alias("width")))
+
+    def climbed(state: DataFrame, level: DataFrame, column: str) -> DataFrame:
+        return state.join(level.select(F.col("node").alias(column), F.col("up").alias(f"{column}_up"), F.col("w").alias(f"{column}_w")), column)
+
+    for i in reversed(range(len(levels))):
+        step = F.col("gap").bitwiseAND(F.lit(1 << i)) > 0
+        walk = cut(climbed(walk, levels[i], "x").select("start", "id", F.when(step, F.col("x_up")).otherwise(F.col("x")).alias("x"), "y", "gap", F.when(step, F.least("width", "x_w")).otherwise(F.col("width")).alias("width")))
+    for i in reversed(range(len(levels))):
+        step = F.col("x_up") != F.col("y_up")
+        met = climbed(climbed(walk, levels[i], "x"), levels[i], "y")
+        walk = cut(met.select("start", "id", F.when(step, F.col("x_up")).otherwise(F.col("x")).alias("x"), F.when(step, F.col("y_up")).otherwise(F.col("y")).alias("y"), F.when(step, F.least("width", "x_w", "y_w")).otherwise(F.col("width")).alias("width")))
+    last = climbed(climbed(walk, levels[0], "x"), levels[0], "y")
+    joined = last.filter("x = y OR x_up = y_up")
+    return joined.select("start", "id", F.when(F.col("x") == F.col("y"), F.col("width")).otherwise(F.least("width", "x_w", "y_w")).alias("width"))

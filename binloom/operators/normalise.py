@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from binloom.operators.order import ranked
+
 
 def over_mean(rows: DataFrame, key: str, value: str, eps: float = 0.0) -> DataFrame:
     """Each value over the mean of its row (``key``)."""
@@ -20,4 +22,4 @@ def z_scores(rows: DataFrame, column: str, value: str) -> DataFrame:
 def dense_labels(rows: DataFrame, label: str, order: str) -> DataFrame:
     """(label, code): labels numbered from 0 as they come first by ``order``; one row a label."""
     first = rows.groupBy(label).agg(F.min(order).alias("first"))
-    return first.select(label, (F.row_number().over(Window.orderBy("first", label)) - 1).alias("code"))
+    return ranked(first, "first", label, name="code").select(label, "code")

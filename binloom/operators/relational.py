@@ -6,13 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def ordered(*columns: str):
-    """One window over a whole dimension table, to number its rows."""
-    from pyspark.sql import Window
-
-    return Window.orderBy(*columns)
-
-
 def all_rows(first: DataFrame, *others: DataFrame) -> DataFrame:
     """UNION ALL by column name."""
     for other in others:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from binloom.operators import clustering, counts, distance, embedding, neighbour_index, nmf, priors
+from binloom.operators.order import ranked
 from binloom.plans import binning
 from binloom.storage import cut
 
@@ -40,8 +41,7 @@ def embedding_bins(points: DataFrame, dimensions: int, first: int = 4, enough: i
 def peaks_by_length(peaks: DataFrame, points: DataFrame) -> DataFrame:
     """(ordinal, peak, length, members): peaks (id, peak) by falling length of their contig, ties by id."""
     sizes = peaks.groupBy("peak").agg(F.count(F.lit(1)).alias("members")).join(points.select(F.col("id").alias("peak"), "length"), "peak")
-    order = Window.orderBy(F.col("length").desc(), "peak")  # one row a peak
-    return sizes.select((F.row_number().over(order) - 1).alias("ordinal"), "peak", "length", "members")
+    return ranked(sizes, F.col("length").desc(), "peak", name="ordinal").select("ordinal", "peak", "length", "members")
 
 
 def deconvolved_bins(table: DataFrame, members: DataFrame, lengths: DataFrame, most: int = nmf.MOST_RANK) -> tuple[DataFrame, DataFrame]:

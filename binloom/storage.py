@@ -28,6 +28,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_round(df: DataFrame) -> DataFrame:
+    """``cut`` for the state of a loop that joins it with itself in every round.
+
+    Spark keeps an estimate of a checkpoint's size and multiplies those of a join's sides, so that its digits would double
+    with each round; rows that come as an RDD have none.
+    """
+    held = cut(df)
+    return DataFrame(df.sparkSession._jsparkSession.createDataFrame(held._jdf.javaRDD(), held._jdf.schema()), df.sparkSession)
+
+
 def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """``df`` after a cut, and its number of rows, counted on the way."""
     seen = Observation()
