@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from binloom.functions import alignment as al
 from binloom.functions import numeric as nm
 from binloom.functions import sequence as sq
-from binloom.operators import binquality, clustering, composition, counts, distance, embedding, graph, hits, latent, leaders, neighbour_index, nmf, normalise, priors, relational
+from binloom.operators import binquality, clustering, community, composition, counts, distance, embedding, graph, hits, latent, leaders, neighbour_index, nmf, normalise, priors, relational
 from binloom.storage import cut, shared_folder
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -577,6 +577,14 @@ def cluster_densities(spark, sf_dir):
     return _densities(spark, sf_dir)
 
 
+@query(DENSITY_SQL)
+def tiled_densities(spark, sf_dir):
+    """The same without a table of pairs."""
+    made = group_profiles(spark, sf_dir)
+    found = clustering.densities_by_tiles(made.drop("length"), made.select(F.col("contig").alias("id"), "length"), [LETTER_ALPHA] * 26, [KMER_ALPHA] * 256, digits=3)
+    return found.withColumn("density", F.col("density").cast("long"))
+
+
 @query(f"""
     WITH RECURSIVE d AS MATERIALIZED ({DENSITY_SQL}),
     c AS MATERIALIZED (SELECT id, separation > 1 AND density * separation > 1000 AS centre, nearest FROM d),
@@ -1043,3 +1051,23 @@ def streamed_counts(spark, sf_dir):
         (F.col("l_linestatus") == "F").alias("proper"), (100 * (1 - F.col("l_discount"))).alias("identity"),
     )
     return counter.counts(_streamed(spark, counter.weights_stream(rows), "update", counter.OUTPUT)).withColumn("count", r4("count"))
+
+
+# ---------------------------------------------------------------- mixtures and communities
+
+
+@query("SELECT round(avg(l_quantity), 3) AS mean, true AS spread FROM lineitem")
+def gamma_poisson_mean(spark, sf_dir):
+    """Of a fit with equal exposures the mean is the counts' own; quantities vary more than Poisson numbers."""
+    a, b = priors.fit_gamma_poisson(table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("x"), F.lit(1.0).alias("t")))
+    return spark.createDataFrame([(round(a / b, 3), 0 < a < 100)], "mean double, spread boolean")
+
+
+@query("SELECT s::INT AS sample, count(DISTINCT p_brand) AS taxa, true AS whole, true AS few, true AS near FROM part CROSS JOIN range(3) t(s) GROUP BY s")
+def community_samples(spark, sf_dir):
+    """Three samples of a community of parts as genomes of their brands: every taxon is there, with a few genomes, and abundances and reads add up."""
+    genomes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("genome"), F.col("p_brand").alias("taxon"), (F.col("p_size") * 100_000).alias("size"))
+    drawn = cut(community.community(genomes, 6, 3))
+    strains = drawn.groupBy("sample", "taxon").count().groupBy("sample").agg(F.count(F.lit(1)).alias("taxa"), F.max("count").alias("most"))
+    sums = drawn.groupBy("sample").agg(F.sum("abundance").alias("whole"), F.sum("reads").alias("reads"), F.count(F.lit(1)).alias("n"))
+    return strains.join(sums, "sample").select("sample", "taxa", (F.abs(F.col("whole") - 1) < 1e-9).alias("whole"), (F.col("most") <= 6).alias("few"), (F.abs(F.col("reads") - 1_000_000) <= F.col("n")).alias("near"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from binloom.operators import graph
+from binloom.operators import distance, graph
+from binloom.operators.distance import TILE_ROWS
 from binloom.storage import cut
 
 LEADER_DISTANCE = 1.0
@@ -115,6 +118,33 @@ def densities(pairs: DataFrame, lengths: DataFrame, d1: float = 1.0) -> DataFram
     return joined.select("id", "density", F.coalesce("m.distance", F.lit(1e30)).alias("separation"), F.coalesce("m.b", "id").alias("nearest"))
 
 
+def densities_by_tiles(profiles: DataFrame, lengths: DataFrame, alpha: list[float], kmer_alpha: list[float] | None = None, d1: float = 1.0, digits: int | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """The rows of ``densities`` from profiles (contig, profile, and kmer for both kinds of evidence), without a table of pairs.
+
+    Tiles of distances are folded twice: to the length within d1 of each row, then, with densities known, to the nearest
+    denser one.  What leaves a tile is one row for each of its rows.
+    """
+    kind = profiles.schema["contig"].dataType.simpleString()
+    sized = cut(profiles.join(lengths.select(F.col("id").alias("contig"), F.col("length").cast("double").alias("length")), "contig"))
+
+    def within(d: np.ndarray, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        inside = (d < d1) | (one["contig"].to_numpy()[:, None] == two["contig"].to_numpy()[None, :])
+        return pd.DataFrame({"id": one["contig"].astype(object), "density": inside @ two["length"].to_numpy()})
+
+    def denser(d: np.ndarray, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        order = np.argsort(two["contig"].to_numpy(), kind="stable")  # the first of those that tie has the least id
+        above = np.where(two["density"].to_numpy()[order][None, :] > one["density"].to_numpy()[:, None], d[:, order], np.inf)
+        at = above.argmin(axis=1)
+        found = np.isfinite(above[np.arange(len(at)), at])
+        return pd.DataFrame({"id": one["contig"].astype(object)[found], "distance": above[np.arange(len(at)), at][found], "b": two["contig"].astype(object).to_numpy()[order][at][found]})
+
+    dense = cut(distance.fold_tiles(sized, alpha, kmer_alpha, ["length"], within, f"id {kind}, density double", digits=digits, tile_rows=tile_rows).groupBy("id").agg(F.sum("density").alias("density")))
+    known = cut(sized.join(dense.withColumnRenamed("id", "contig"), "contig"))
+    higher = distance.fold_tiles(known, alpha, kmer_alpha, ["density"], denser, f"id {kind}, distance double, b {kind}", digits=digits, tile_rows=tile_rows).groupBy("id").agg(F.min(F.struct("distance", "b")).alias("m"))
+    joined = dense.join(higher, "id", "left")
+    return joined.select("id", "density", F.coalesce("m.distance", F.lit(1e30)).alias("separation"), F.coalesce("m.b", "id").alias("nearest"))
+
+
 def assign_centres(dense: DataFrame, least_separation: float = LEAST_SEPARATION, least_product: float = LEAST_PRODUCT) -> DataFrame:
     """(id, centre): clusters followed along their nearest to a centre; those that end elsewhere are dropped."""
     centre = (F.col("separation") > least_separation) & (F.col("density") * F.col("separation") > least_product)

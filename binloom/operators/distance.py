@@ -9,6 +9,7 @@ once for each profile.  Two kinds of evidence add up.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -171,3 +172,28 @@ def pair_distances(profiles: DataFrame, alpha: list[float], below: float | None
         return pd.concat(parts)
 
     return left.groupBy("i", "j").cogroup(right.groupBy("i_2", "j_2")).applyInPandas(tile, f"a {kind}, b {kind}, distance double")
+
+
+def fold_tiles(profiles: DataFrame, alpha: list[float], kmer_alpha: list[float] | None, extra: list[str], fold: Callable, result: str, q: float = Q, digits: int | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """What ``fold`` makes of the distances of each tile, so that no table of pairs is made.
+
+    ``fold(d, one, two)`` gets the distances of a strip's rows from a tile's other side, both as frames with contig and the
+    ``extra`` columns, and gives a frame of ``result`` for the rows of the strip.  Tiles off the diagonal are folded from both sides.
+    """
+    names = ["contig", "profile", *(["kmer"] if kmer_alpha else []), *extra]
+    left, right = met_blocks(profiles.select(*names), "contig", blocks_of(profiles, profiles.count(), tile_rows))
+    a, k = np.array(alpha, dtype=float), np.array(kmer_alpha, dtype=float) if kmer_alpha else None
+
+    def tile(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        if len(one) and len(two):
+            sides = [{c: (f[f"{c}{end}"].to_numpy() if c in ("contig", *extra) else np.stack(f[f"{c}{end}"]).astype(float)) for c in names} for f, end in ((one, ""), (two, "_2"))]
+            for x, y in [sides] if one["i"].iloc[0] == one["j"].iloc[0] else [sides, sides[::-1]]:
+                other = pd.DataFrame({c: y[c] for c in ("contig", *extra)})
+                for at in range(0, len(x["contig"]), STRIP_ROWS):
+                    s = slice(at, at + STRIP_ROWS)
+                    d = combined_tile(x["profile"][s], y["profile"], a, x["kmer"][s] if k is not None else None, y.get("kmer"), k, q, digits)
+                    parts.append(fold(d, pd.DataFrame({c: x[c][s] for c in ("contig", *extra)}), other))
+        return pd.concat(parts) if parts else pd.DataFrame({c.split()[0]: [] for c in result.split(", ")})
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i_2", "j_2")).applyInPandas(tile, result)

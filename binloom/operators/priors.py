@@ -185,3 +185,48 @@ def gamma_poisson(rows: list[tuple[float, float]], start: tuple[float, float] =
                 values = [values[0], *(cost(p) for p in points[1:])]
     a, b = np.exp(points[int(np.argmin(values))])
     return float(a), float(b)
+
+
+#: Points a side of the grid that one job evaluates, and the narrowest grid.
+GRID_SIDE, GRID_END = 13, 1e-6
+
+
+def fit_gamma_poisson(rows: DataFrame) -> tuple[float, float]:
+    """(a, b) of a gamma-Poisson mixture for rows (x, t) of counts and exposures, by jobs over their histogram.
+
+    Likelihoods of a grid over the logarithms of the mean a / b and of a are added up where the distinct pairs lie; the
+    grid moves while its best point is at the edge and shrinks around it otherwise.  Nulls and exposures of 0 are left out.
+    """
+    cells = cut(rows.filter("x IS NOT NULL AND t > 0").select(F.col("x").cast("double").alias("x"), F.col("t").cast("double").alias("t")).groupBy("x", "t").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    whole = cells.agg(F.sum(F.col("x") * F.col("n")).alias("x"), F.sum(F.col("t") * F.col("n")).alias("t")).first()
+    if not whole["x"]:
+        raise ValueError("no counts to fit")
+
+    def likelihoods(mean: np.ndarray, shape: np.ndarray) -> np.ndarray:
+        a, b = np.exp(shape), np.exp(shape - mean)
+
+        def run(batches):
+            sums = np.zeros(len(a))
+            for batch in batches:
+                x, t, n = (batch.column(c).to_numpy(zero_copy_only=False)[:, None] for c in ("x", "t", "n"))
+                for i in range(0, len(x), 4096):
+                    s = slice(i, i + 4096)
+                    sums += (n[s] * (log_gamma_np(x[s] + a) - log_gamma_np(a) - a * np.log1p(t[s] / b) + x[s] * (np.log(t[s]) - np.log(t[s] + b)))).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(a)), pa.int32()), pa.array(sums)], ["place", "value"])
+
+        found = np.zeros(len(a))
+        for r in cells.mapInArrow(run, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect():  # a row a grid point
+            found[r["place"]] = r["value"]
+        return found
+
+    centre, width = np.array([math.log(whole["x"] / whole["t"]), 0.0]), np.array([2.0, 8.0])
+    while width.max() > GRID_END:
+        steps = np.linspace(-1, 1, GRID_SIDE)
+        mean, shape = (g.ravel() for g in np.meshgrid(centre[0] + width[0] * steps, centre[1] + width[1] * steps, indexing="ij"))
+        best = int(np.argmax(likelihoods(mean, shape)))
+        at = np.array(divmod(best, GRID_SIDE))
+        centre = np.array([mean[best], shape[best]])
+        if abs(centre[1]) > 25:
+            break  # as good as Poisson, or without any mean
+        width = np.where((at == 0) | (at == GRID_SIDE - 1), width, width * 4 / (GRID_SIDE - 1))
+    return float(np.exp(centre[1])), float(np.exp(centre[1] - centre[0]))

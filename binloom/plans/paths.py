@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binloom.operators import clustering, counts, distance, embedding, neighbour_index, nmf, priors
+from binloom.operators import clustering, counts, embedding, neighbour_index, nmf, priors
 from binloom.operators.order import ranked
 from binloom.plans import binning
 from binloom.storage import cut
@@ -24,8 +24,8 @@ def density_bins(table: DataFrame, sequences: DataFrame, d1: float = 1.0) -> Dat
     lengths = sums.groupBy(F.col("cluster").alias("id")).agg(F.max("length").alias("length"))
     words = members.join(known.profiles.select("contig", F.posexplode("kmer").alias("i", "n")), "contig").groupBy("cluster", "i").agg(F.sum("n").alias("n"))
     kmers = words.groupBy(F.col("cluster").alias("contig")).agg(F.sort_array(F.collect_list(F.struct("i", "n"))).alias("k")).select("contig", F.col("k.n").alias("kmer"))
-    pairs = cut(distance.pair_distances(cut(reads.join(kmers, "contig")), known.alpha, None, known.kmer_alpha))
-    return clustering.merged_lists(clustering.assign_centres(clustering.densities(pairs, lengths, d1)), members)
+    dense = clustering.densities_by_tiles(reads.join(kmers, "contig"), lengths, known.alpha, known.kmer_alpha, d1)
+    return clustering.merged_lists(clustering.assign_centres(dense), members)
 
 
 def embedding_bins(points: DataFrame, dimensions: int, first: int = 4, enough: int = embedding.ENOUGH_LENGTH) -> DataFrame:
