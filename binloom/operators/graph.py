@@ -87,7 +87,7 @@ class _Pairs:
 
 
 def _counted_pairs(kind):
-    """(a, b, n) of rows (contig, leader) that are sorted by contig: how many of a task's contigs have both leaders."""
+    """(a, b, n) of rows (contig, leader) that are sorted by contig and may repeat: how many of a task's contigs have both leaders."""
 
     def run(batches):
         codes: dict = {}
@@ -99,6 +99,8 @@ def _counted_pairs(kind):
             return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind), pa.array(counts, pa.int64())], ["a", "b", "n"])
 
         def met(group: np.ndarray, code: np.ndarray):
+            once = np.unique(group << 32 | code)  # rows may repeat
+            group, code = once >> 32, once & 0xFFFFFFFF
             ends = np.searchsorted(group, group, side="right")
             after = ends - np.arange(len(group)) - 1
             total, at = np.cumsum(after), 0
@@ -149,7 +151,7 @@ def shared_member_links(pairs: DataFrame, more_than: int = 5) -> DataFrame:
 
     kind = pairs.schema["leader"].dataType
     name = kind.simpleString()
-    rows = pairs.select("contig", "leader").filter("contig IS NOT NULL AND leader IS NOT NULL").distinct().repartition("contig").sortWithinPartitions("contig")
+    rows = pairs.select("contig", "leader").filter("contig IS NOT NULL AND leader IS NOT NULL").repartition("contig").sortWithinPartitions("contig")
     found = rows.mapInArrow(_counted_pairs(to_arrow_type(kind)), f"a {name}, b {name}, n long")
     return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").alias("shared")).filter(F.col("shared") > more_than)
 

@@ -271,7 +271,7 @@ def test_density_by_hand(spark):
 def test_shared_members_equal_a_count(spark, monkeypatch, seed, room, names):
     monkeypatch.setattr(graph, "ROOM", room)
     rng = random.Random(seed)
-    rows = [(rng.randrange(60), rng.randrange(25)) for _ in range(700)] + [(7, i) for i in range(25)]
+    rows = [(rng.randrange(60), rng.randrange(25)) for _ in range(700)] + [(7, i) for i in range(25)] * 2
     rows = [(c, f"l{x}" if names else x) for c, x in rows] + [(None, "l1" if names else 1)]
     by = {}
     for c, x in set(rows):
