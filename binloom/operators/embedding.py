@@ -20,19 +20,28 @@ from binloom.storage import cut
 
 #: Length of neighbours that makes a neighbourhood, contigs below SHORT use SHORT_NEIGHBOURS of them.
 ENOUGH_LENGTH, SHORT, SHORT_NEIGHBOURS = 500_000, 8_000, 10
-TILE_ROWS = 2048
+#: Points of a tile's side at most.  Every point is sent to each of its block's tiles and leaves k candidates in each, so few large ones.
+TILE_ROWS = 16_384
+#: Distances of a strip that a task holds at once.
+ROOM = 1 << 20
 
 
-def closest(x: np.ndarray, ids: np.ndarray, y: np.ndarray, names: np.ndarray, k: int) -> list[pd.DataFrame]:
-    """(id, neighbour, distance) of the k rows of y nearest to each of x, and of those that tie with the last; a row itself is the first."""
+def closest(x: np.ndarray, ids: np.ndarray, y: np.ndarray, names: np.ndarray, k: int, chosen: np.ndarray | None = None, at_y: np.ndarray | None = None) -> list[pd.DataFrame]:
+    """(id, neighbour, distance) of the k rows of y nearest to each of x, and of those that tie with the last; a row itself is the first.
+
+    With ``chosen``, a row of x sees those rows of y only whose column in ``chosen``, by ``at_y``, is set.
+    """
     keep, parts = min(k, len(y)), []
-    for at in range(0, len(x), 256):
-        part = x[at : at + 256]
-        d = np.maximum((part**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * part @ y.T, 0.0)
-        d[ids[at : at + 256, None] == names[None, :]] = -1.0
+    squares, strip = (y**2).sum(1)[None], max(1, min(256, ROOM // max(1, len(y))))
+    for at in range(0, len(x), strip):
+        part = x[at : at + strip]
+        d = np.maximum((part**2).sum(1)[:, None] + squares - 2 * part @ y.T, 0.0)
+        d[ids[at : at + strip, None] == names[None, :]] = -1.0
+        if chosen is not None:
+            d = np.where(chosen[at : at + strip][:, at_y], d, np.inf)
         # one more than needed may tie at the edge, so all that tie stay
         edge = np.partition(d, keep - 1, axis=1)[:, keep - 1 : keep]
-        i, j = np.nonzero(d <= edge + 1e-9 * np.maximum(edge, 1.0))
+        i, j = np.nonzero((d <= edge + 1e-9 * np.maximum(edge, 1.0)) & (d < np.inf))
         exact = ((part[i] - y[j]) ** 2).sum(1)
         parts.append(pd.DataFrame({"id": ids[at + i], "neighbour": names[j], "distance": exact}))
     return parts
@@ -49,13 +58,14 @@ def nearest(points: DataFrame, k: int, tile_rows: int = TILE_ROWS) -> DataFrame:
 
     Blocks of points meet in tiles; each tile keeps k candidates a point, and a window keeps k of those.
     """
-    vectors = points.select("id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    # as they are stored: floats are sent as floats, and become doubles in the tiles
+    vectors = points.select("id", F.col("embedding").alias("v"))
     left, right = met_blocks(vectors, "id", blocks_of(points, points.count(), tile_rows))
 
     def tile(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         if one.empty or two.empty:
             return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
-        x, y, ids, names = np.stack(one["v"]), np.stack(two["v_2"]), one["id"].to_numpy(), two["id_2"].to_numpy()
+        x, y, ids, names = np.stack(one["v"]).astype(float), np.stack(two["v_2"]).astype(float), one["id"].to_numpy(), two["id_2"].to_numpy()
         parts = closest(x, ids, y, names, k)
         if one["i"].iloc[0] != one["j"].iloc[0]:
             parts += closest(y, names, x, ids, k)
