@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from binloom.operators.embedding import closest, top_ranks
-from binloom.storage import cut
+from binloom.storage import cut, cut_counted
 
 #: Points that centres are fitted on at most, centres at most, and rounds of the fit.
 SAMPLE, MOST_CELLS, ROUNDS = 20_000, 8_192, 8
-#: Points, and queries, of one tile at most; a fuller cell is split.  Rows that are measured against all centres at once.
-TILE_ROWS, STRIP_ROWS = 2048, 256
+#: Points, and queries, of one tile at most: whole cells are bundled up to so many points, and a fuller cell is split.
+#: Queries of a tile that are ranked at once.  Rows that are measured against all centres at once.
+TILE_ROWS, TURN_ROWS, STRIP_ROWS = 32_768, 2048, 256
 PROBES = 8
 
 
@@ -61,15 +62,15 @@ class Index:
         With ``exact`` the rows are those of ``embedding.nearest``; otherwise of the points in the ``probes`` nearest
         cells.  Ties go by id.
         """
-        asked = cut(queries.select("id", F.transform("embedding", lambda x: x.cast("double")).alias("v")))
-        found = top_ranks(self._met(asked, self._opened(asked, probes), k), k)
+        asked, count = cut_counted(queries.select("id", F.col("embedding").alias("v")))
+        found = top_ranks(self._met(self._opened(asked, probes), count, k), k)
         if not exact:
             return found
         found = cut(found)
         last = found.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far"))
         reach = F.when(F.coalesce("n", F.lit(0)) < k, float("inf")).otherwise(F.sqrt("far"))
         further = self._opened(asked.join(last, "id", "left").withColumn("reach", reach), probes, beyond=True)
-        return top_ranks(found.select("id", "neighbour", "distance").unionByName(self._met(asked, further, k)), k)
+        return top_ranks(found.select("id", "neighbour", "distance").unionByName(self._met(further, count, k)), k)
 
     def probes_for(self, wanted: DataFrame, queries: DataFrame, least: float = 0.9) -> int:
         """The fewest cells to open that hold so large a share of the neighbours ``wanted`` (id, neighbour) of some queries.
@@ -96,9 +97,20 @@ class Index:
                 return r["place"] + 1
         return 1
 
+    def _bundles(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bundle of every cell, and the points of every bundle: neighbours in number, of so many points that there are tiles for all cores."""
+        cores = self.filed.sparkSession.sparkContext.defaultParallelism
+        most = min(TILE_ROWS, -(-int(self.sizes.sum()) // math.ceil(math.sqrt(2 * cores))))
+        bundles, held = np.zeros(len(self.sizes), dtype=np.int64), [0]
+        for cell, n in enumerate(self.sizes.tolist()):
+            if held[-1] and held[-1] + n > most:
+                held.append(0)
+            bundles[cell], held[-1] = len(held) - 1, held[-1] + n
+        return bundles, np.array(held)
+
     def _opened(self, asked: DataFrame, probes: int, beyond: bool = False) -> DataFrame:
-        """(id, cell) of the nearest cells of each query, or of those ``beyond`` them that its reach doesn't rule out."""
-        centres, radii, sizes = self.centres, self.radii, self.sizes
+        """(id, v, bundle, cells): the nearest cells of each query by their bundles, or those ``beyond`` them that its reach doesn't rule out."""
+        centres, radii, sizes, bundles = self.centres, self.radii, self.sizes, self._bundles()[0]
 
         def run(batches):
             for part in batches:
@@ -111,29 +123,66 @@ class Index:
                         # a little more than the reach, as both sides are rounded
                         chosen = ~chosen & (d - radii[order] <= strip["reach"].to_numpy()[:, None] * (1 + 1e-6) + 1e-9)
                     i, j = np.nonzero(chosen & (sizes[order] > 0))
-                    yield pd.DataFrame({"id": strip["id"].to_numpy()[i], "cell": order[i, j]})
-
-        return asked.select("id", "v", *(["reach"] if beyond else [])).mapInPandas(run, "id long, cell int")
-
-    def _met(self, asked: DataFrame, opened: DataFrame, k: int) -> DataFrame:
-        """(id, neighbour, distance): of every opened cell the k nearest points of each query, from tiles of bounded size."""
-        spark = asked.sparkSession
-        opened = cut(opened)
-        asks = {r["cell"]: r["n"] for r in opened.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a cell
-        plan = [(c, -(-int(self.sizes[c]) // TILE_ROWS), -(-n // TILE_ROWS)) for c, n in asks.items()]
-        tiles = F.broadcast(spark.createDataFrame(plan, "cell int, parts int, turns int"))
-        part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-        held = self.filed.join(tiles, "cell").withColumn("part", part("parts"))
-        held = held.select(F.col("id").alias("neighbour"), F.col("v").alias("w"), F.col("cell").alias("c"), F.col("part").alias("p"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("t"))
-        posed = opened.join(asked, "id").join(tiles, "cell").withColumn("turn", part("turns"))
-        posed = posed.select("id", "v", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "turn")
+                    cells = order[i, j]
+                    to = np.lexsort((cells, bundles[cells], i))
+                    i, cells = i[to], cells[to]
+                    first = np.flatnonzero(np.diff(i, prepend=-1) | np.diff(bundles[cells], prepend=-1))
+                    if not len(first):
+                        continue
+                    lists = np.split(cells, first[1:])
+                    yield pd.DataFrame({"id": strip["id"].to_numpy()[i[first]], "v": strip["v"].to_numpy()[i[first]], "bundle": bundles[cells[first]], "cells": lists})
+
+        kind = asked.schema["v"].dataType.simpleString()
+        return asked.select("id", "v", *(["reach"] if beyond else [])).mapInPandas(run, f"id long, v {kind}, bundle int, cells array<int>")
+
+    def _met(self, opened: DataFrame, asked: int, k: int) -> DataFrame:
+        """(id, neighbour, distance): of the cells opened in a bundle the k nearest points of each query, from tiles of bounded size.
+
+        A query is sent once to a bundle, and a point once to every turn of the ``asked`` queries.
+        """
+        spark, (bundles, held) = opened.sparkSession, self._bundles()
+        parts = -(-held // TILE_ROWS)
+        least = math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism))
+        turns = max(1, -(-asked // TILE_ROWS), min(least, -(-asked // STRIP_ROWS)))
+        plan = [(c, int(b), max(1, int(parts[b]))) for c, b in enumerate(bundles)]
+        places = F.broadcast(spark.createDataFrame(plan, "cell int, c int, parts int"))  # a row a cell
+        split = F.broadcast(spark.createDataFrame(sorted({row[1:] for row in plan}), "bundle int, parts int"))
+        part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+        filed = self.filed.join(places, "cell").withColumn("p", part(F.col("parts")))
+        filed = filed.select(F.col("id").alias("neighbour"), F.col("v").alias("w"), "cell", "c", "p", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("t"))
+        posed = opened.join(split, "bundle").select("id", "v", "cells", "bundle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), part(F.lit(turns)).alias("turn"))
 
         def tile(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
             if one.empty or two.empty:
                 return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
-            return pd.concat(closest(np.stack(one["v"]), one["id"].to_numpy(), np.stack(two["w"]), two["neighbour"].to_numpy(), k))
-
-        return posed.groupBy("cell", "part", "turn").cogroup(held.groupBy("c", "p", "t")).applyInPandas(tile, "id long, neighbour long, distance double")
+            x, ids, y, names = np.stack(one["v"]).astype(float), one["id"].to_numpy(), np.stack(two["w"]).astype(float), two["neighbour"].to_numpy()
+            cells, at = np.unique(two["cell"].to_numpy(), return_inverse=True)
+            members = [np.flatnonzero(at == i) for i in range(len(cells))]
+            found = []
+            for start in range(0, len(x), TURN_ROWS):
+                turn = slice(start, start + TURN_ROWS)
+                chosen = np.stack([np.isin(cells, c) for c in one["cells"].iloc[turn]])
+                if chosen.mean() > 0.5:  # most cells are open: all at once, without the others
+                    parts = closest(x[turn], ids[turn], y, names, k, chosen if not chosen.all() else None, at)
+                else:
+                    parts = []
+                    for i, rows in enumerate(members):
+                        who = start + np.flatnonzero(chosen[:, i])
+                        parts += closest(x[who], ids[who], y[rows], names[rows], k) if len(who) else []
+                if parts:
+                    found.append(_first(pd.concat(parts), k))
+            return pd.concat(found) if found else pd.DataFrame({"id": [], "neighbour": [], "distance": []})
+
+        return posed.groupBy("bundle", "part", "turn").cogroup(filed.groupBy("c", "p", "t")).applyInPandas(tile, "id long, neighbour long, distance double")
+
+
+def _first(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k first rows of each id, in the order of ``top_ranks``."""
+    ids, names, d = (found[c].to_numpy() for c in ("id", "neighbour", "distance"))
+    order = np.lexsort((names, d, ids != names, ids))
+    new = np.flatnonzero(np.diff(ids[order], prepend=ids[order[0]] - 1)) if len(order) else np.empty(0, np.int64)
+    rank = np.arange(len(order)) - np.repeat(new, np.diff(new, append=len(order)))
+    return found.iloc[order[rank < k]]
 
 
 def build(points: DataFrame, cells: int | None = None, sample: int = SAMPLE) -> Index:
@@ -141,7 +190,7 @@ def build(points: DataFrame, cells: int | None = None, sample: int = SAMPLE) ->
 
     Centres are fitted on the driver from at most ``sample`` points, those of least hash; every point is filed.
     """
-    vectors = points.select("id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    vectors = points.select("id", F.col("embedding").alias("v"))
     count = vectors.count()
     chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()["v"]
     wanted = cells or min(MOST_CELLS, max(1, round(math.sqrt(count))))
@@ -154,7 +203,7 @@ def build(points: DataFrame, cells: int | None = None, sample: int = SAMPLE) ->
                 order, d = nearest_cells(np.stack(strip["v"]).astype(float), centres, 1)
                 yield strip.assign(cell=order[:, 0], d=d[:, 0])[["id", "v", "cell", "d"]]
 
-    filed = cut(vectors.mapInPandas(file, "id long, v array<double>, cell int, d double"))
+    filed = cut(vectors.mapInPandas(file, f"id long, v {vectors.schema['v'].dataType.simpleString()}, cell int, d double"))
     radii, sizes = np.zeros(len(centres)), np.zeros(len(centres), dtype=np.int64)
     for r in filed.groupBy("cell").agg(F.max("d").alias("d"), F.count(F.lit(1)).alias("n")).collect():  # a row a cell
         radii[r["cell"]], sizes[r["cell"]] = r["d"], r["n"]

@@ -62,3 +62,23 @@ def test_index_of_nothing(spark):
     index = neighbour_index.build(rows)
     assert index.search(rows, 3, exact=True).collect() == []
     assert neighbour_index.recall(index.search(rows, 3), index.search(rows, 3)).first()["recall"] is None
+
+
+def test_a_query_is_sent_once_to_a_bundle_of_cells(spark, monkeypatch):
+    rows = points_of(spark, 7, 900, 3)
+    index = neighbour_index.build(rows)
+    asked = rows.selectExpr("id", "embedding AS v")
+    every = index._opened(asked, len(index.centres))
+    assert len(index.centres) == 30 and every.count() <= 4 * 900
+    assert every.selectExpr("sum(size(cells))").first()[0] == 900 * int((index.sizes > 0).sum())
+    monkeypatch.setattr(neighbour_index, "TURN_ROWS", 7)
+    for probes in (1, 5, 25):
+        opened = {(r["id"], c) for r in index._opened(asked, probes).collect() for c in r["cells"]}
+        cell = {r["id"]: r["cell"] for r in index.filed.collect()}
+        found = index.search(rows, 6, probes).collect()
+        assert all((r["id"], cell[r["neighbour"]]) in opened for r in found)
+
+
+def test_tiles_are_few(spark):
+    # each point goes to as many tiles as there are blocks, and leaves its nearest in each
+    assert embedding.blocks_of(spark.range(1), 600_000, embedding.TILE_ROWS) <= 40
