@@ -16,7 +16,7 @@ from binloom.functions.numeric import local_density
 from binloom.operators import graph
 from binloom.operators.distance import blocks_of, met_blocks
 from binloom.operators.order import exact_median
-from binloom.storage import cut
+from binloom.storage import cut, cut_round
 
 #: Length of neighbours that makes a neighbourhood, contigs below SHORT use SHORT_NEIGHBOURS of them.
 ENOUGH_LENGTH, SHORT, SHORT_NEIGHBOURS = 500_000, 8_000, 10
@@ -154,6 +154,30 @@ def peak_links(lists: DataFrame, peaks: DataFrame, most: float = 0.5) -> DataFra
     return linked.filter(F.col("separability") < most).select(F.col("start").alias("a"), F.col("id").alias("b"), "separability")
 
 
+def valley_edges(lists: DataFrame, peaks: DataFrame, most: float = 0.5) -> DataFrame:
+    """(a, b): pairs of peaks that join the same peaks into clusters as ``peak_links``, without a row for each pair of peaks.
+
+    A peak links to all peaks that it reaches over points dense enough for it.  A point that one peak reaches is reached by no
+    peak of higher density unless by that one's path too, so each point needs only the lowest density of a peak that reaches it;
+    these spread to a fixed point.  From a point so reached the way to its own peak goes over denser points, so the peak is linked
+    as well, and an edge that the lowest peak can take links the peaks of its ends.
+    """
+    none = F.lit(float("inf"))  # a point without density narrows no path
+    own = lists.filter("rank = 0").select("id", "density")
+    steps = cut(density_graph(lists).select(F.col("src").alias("id"), "dst", F.coalesce("w", none).alias("w")))
+    tops = peaks.select(F.col("peak").alias("id")).distinct().join(own, "id").filter("density IS NOT NULL")
+    state = fresh = cut(tops.select("id", F.col("density").alias("low")))
+    taken = (1 - F.col("w") / F.col("low")) < most
+    while True:
+        reached = fresh.join(steps, "id").filter(taken).groupBy(F.col("dst").alias("id")).agg(F.min("low").alias("new"))
+        fresh = cut_round(reached.join(state, "id", "left").filter("low IS NULL OR new < low").select("id", F.col("new").alias("low")))
+        if fresh.isEmpty():
+            break
+        state = cut_round(state.union(fresh).groupBy("id").agg(F.min("low").alias("low")))
+    one, two = peaks.select("id", F.col("peak").alias("a")), peaks.select(F.col("id").alias("dst"), F.col("peak").alias("b"))
+    return state.join(steps, "id").filter(taken).join(one, "id").join(two, "dst").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def peak_clusters(peaks: DataFrame, links: DataFrame) -> DataFrame:
     """(id, cluster): points by the component of their peak."""
     groups = graph.components(links.select("a", "b"), peaks.select(F.col("peak").alias("id")))

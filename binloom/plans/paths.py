@@ -34,7 +34,7 @@ def embedding_bins(points: DataFrame, dimensions: int, first: int = 4, enough: i
     found = embedding.adaptive_neighbours(points, first, enough, search=lambda k: index.search(points, k, exact=True))
     lists = cut(embedding.neighbourhoods(found, points, dimensions, enough))
     peaks = cut(embedding.density_peaks(lists))
-    clusters = embedding.peak_clusters(peaks, embedding.peak_links(lists, peaks))
+    clusters = embedding.peak_clusters(peaks, embedding.valley_edges(lists, peaks))
     return peaks.join(clusters, "id")
 
 

@@ -286,3 +286,19 @@ def test_shared_members_equal_a_count(spark, monkeypatch, seed, room, names):
     got = graph.shared_member_links(spark.createDataFrame(rows, f"contig long, leader {'string' if names else 'long'}").repartition(3), 8).collect()
     assert {(r["a"], r["b"]): r["shared"] for r in got} == {k: n for k, n in wanted.items() if n > 8}
     assert len(got) > 3
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_clusters_of_peaks_by_the_lowest_that_reaches(spark, seed):
+    rng = random.Random(seed)
+    n = 90
+    dense = [round(rng.uniform(0.2, 1) ** 3, 2) + 0.01 for _ in range(n)]
+    rows = [(i, j, r, dense[i]) for i in range(n) for r, j in enumerate([i, *rng.sample([x for x in range(n) if x != i], rng.randint(0, 3))])]
+    lists = spark.createDataFrame(rows, "id long, neighbour long, rank int, density double")
+    peaks = embedding.density_peaks(lists).localCheckpoint()
+    edges = embedding.valley_edges(lists, peaks, 0.3).localCheckpoint()
+    got = {r["id"]: r["cluster"] for r in embedding.peak_clusters(peaks, edges).collect()}
+    wanted = {r["id"]: r["cluster"] for r in embedding.peak_clusters(peaks, embedding.peak_links(lists, peaks, 0.3)).collect()}
+    assert got == wanted and 1 < len(set(got.values())) < peaks.select("peak").distinct().count()
+    # rows for edges between points, not for pairs of peaks
+    assert edges.count() <= len(rows) - n
