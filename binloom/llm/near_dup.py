@@ -38,6 +38,8 @@ BATCH_ROWS = 512
 SMALL_ROWS = 300_000
 #: Bits of each signature value that a sketch keeps, and the deviations by which its estimate may fall below the similarity.
 SKETCH_BITS, SKETCH_DEVIATIONS = 4, 4.4
+#: Slots of parities, a power of two.
+PARITY_SLOTS = 4096
 _ODD = np.random.default_rng(20240611).integers(1, 2**63, size=SHINGLE_WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -121,6 +123,24 @@ def _differences(one: str, two: str):
     return F.aggregate(F.zip_with(one, two, nibbles), F.lit(0), lambda acc, n: acc + n)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether each slot has an odd number of a set's shingle hashes, 64 slots in a long."""
+    slots = (hashes >> np.uint64(65 - PARITY_SLOTS.bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(slots, minlength=PARITY_SLOTS) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _parities_of(batches):
+    for batch in batches:
+        found = [parities(np.frombuffer(x.as_buffer(), np.uint64)) for x in batch.column("hashes")]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "odd"])
+
+
+def _near_in_parity(percent: int):
+    """Two sets differ in at least as many shingles as slots, and linked ones in at most (1 - p) / (1 + p) of their sizes' sum."""
+    apart = F.aggregate(F.zip_with("x.odd", "y.odd", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, n: acc + n)
+    return F.coalesce(apart * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent), F.lit(True))
+
+
 def _raw_texts(column: pa.Array) -> Iterator[bytes]:
     for value in column.cast(pa.binary()):
         yield value.as_py() or b""
@@ -209,23 +229,26 @@ def _may_link(percent: int):
     return (both * (100 + percent) >= sizes * percent) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
 
 
-def apart(rows: DataFrame, classes: DataFrame, percent: int, permutations: int) -> DataFrame:
+def apart(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, permutations: int) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket and that the bounds allow.
 
     One end of each pair is outside the bucket's largest component, so that is never paired with itself; a
-    pair leaves the join once, in the first bucket that it shares, and only if its sketches allow a link.
+    pair leaves the join once, in the first bucket that it shares, and only if its sketches and parities allow a link.
     """
     ids, count = cut_counted(rows.select("id", "n").distinct())
     signs = join_counted(classes, ids, count, ["id", "n"], "left_semi").groupBy("id").agg(F.first(F.struct("keys", "sketch")).alias("s")).select("id", "s.keys", "s.sketch")
+    # an id of several sets has no parities, as they could be those of another
+    odd = sets.join(ids.select("id").distinct(), "id", "left_semi").mapInArrow(_parities_of, "id long, odd array<long>").groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.first("odd").alias("odd"))
+    signs = signs.join(odd.select("id", F.when(F.col("k") == 1, F.col("odd")).alias("odd")), "id", "left")
     largest = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max(F.struct("k", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"))
     largest = cut(largest.filter("comps > 1").select("key", F.col("m.comp").alias("main")))  # cut, so that Spark can split a large bucket
-    tagged = cut(rows.join(largest, "key").join(signs, "id").select("key", "main", "comp", F.struct("id", "n", "c", "keys", "sketch").alias("x")))
+    tagged = cut(rows.join(largest, "key").join(signs, "id").select("key", "main", "comp", F.struct("id", "n", "c", "keys", "sketch", "odd").alias("x")))
     one = tagged.filter("comp <> main").select("key", F.col("comp").alias("ca"), "x")
     two = tagged.select("key", F.col("main"), F.col("comp").alias("cb"), F.col("x").alias("y"))
     other = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("x.id") < F.col("y.id")))
     alike = _differences("x.sketch", "y.sketch") <= most_differences(percent, permutations)
     first = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("key")
-    pairs = one.join(two, "key").filter(other).filter(_may_link(percent)).filter(alike).filter(first)
+    pairs = one.join(two, "key").filter(other).filter(_may_link(percent)).filter(alike).filter(_near_in_parity(percent)).filter(first)
     return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
 
@@ -255,7 +278,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, permutations: int = PERM
     with arrow_batches(spark, BATCH_ROWS):
         rows, still = cut_counted(still_open(members, labels, count, sets, percent))
         if still:
-            pairs = apart(rows, classes, percent, permutations).join(tried, ["a", "b"], "left_anti")
+            pairs = apart(rows, classes, sets, percent, permutations).join(tried, ["a", "b"], "left_anti")
             found, links = cut_counted(verified(cut(pairs), sets, percent))
             if links:
                 labels = cut(components(edges.union(found)))

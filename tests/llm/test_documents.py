@@ -563,3 +563,31 @@ def test_null_and_repeated_rows(spark):
     assert len(mixing.mixed_documents(made).collect()) == 4
     assert len(packing.pack(made).collect()) == 4
     assert len(fp.fingerprints(made).collect()) == 4
+
+
+def test_parities_bound_the_difference_and_spare_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 2**63, 6000, dtype=np.uint64)
+    for n, own in ((10, 3), (300, 40), (5000, 900)):
+        one, two = np.unique(pool[:n]), np.unique(np.concatenate([pool[own:n], pool[-own:]]))
+        differ = int(np.bitwise_count((near_dup.parities(one) ^ near_dup.parities(two)).view(np.uint64)).sum())
+        assert differ <= len(np.setxor1d(one, two)) and (n > 300 or differ > 0.8 * len(np.setxor1d(one, two)))
+    # variants of one text, alike to about 0.7: many share a bucket and nearly none links
+    base, rows = [f"w{i}" for i in range(300)], []
+    for i in range(80):
+        words = list(base)
+        for at in rng.choice(300, 6, replace=False):
+            words[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(words)))
+    asked, real = [], near_dup.verified
+    monkeypatch.setattr(near_dup, "verified", lambda pairs, sets, percent: asked.append(pairs.count()) or real(pairs, sets, percent))
+    found = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    parent = {i: i for i in sets}
+    for i in sets:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                old, new = max(parent[i], parent[j]), min(parent[i], parent[j])
+                parent = {k: new if v == old else v for k, v in parent.items()}
+    assert found == parent
+    assert len(asked) < 2 or asked[1] <= 150
