@@ -322,3 +322,10 @@ def test_tasks_of_shared_members_do_not_grow_with_the_table(spark, monkeypatch):
     rows = spark.range(3000).selectExpr("id div 6 AS contig", "id % 6 + (id div 600) * 6 AS leader")
     got = graph.shared_member_links(rows, 5).collect()
     assert len(got) == 5 * 15 and {r["shared"] for r in got} == {100}
+
+
+def test_pairs_leave_a_tile_by_strips(spark):
+    made = spark.createDataFrame([(i, [float(i % 7), float(i % 3)]) for i in range(700)], "contig long, profile array<double>")
+    pairs = distance.pair_distances(made, [0.7] * 2, None)
+    assert "CoGroup" not in pairs._jdf.queryExecution().toString() and "FlatMapGroupsInPandas" in pairs._jdf.queryExecution().toString()
+    assert pairs.count() == pairs.select("a", "b").distinct().count() == 700 * 700
