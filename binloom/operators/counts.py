@@ -56,15 +56,9 @@ def _records() -> Column:
     return F.array_sort(F.collect_list(F.struct("ord", "dir", "proper", "identity")))
 
 
-def fold_contigs(rows: DataFrame) -> DataFrame:
-    """One entry (sample, read_id, contig, dir, paired, identity) for each contig of a read.
-
-    The first record opens the entry.  A record of the other mate averages the identity, the first time
-    always and later only upwards, and makes the entry paired; one of the same mate raises it.  Entries of
-    different contigs don't meet, so the fold runs inside (read, contig) groups.
-    """
-    grouped = rows.groupBy(*READ, "contig").agg(_records().alias("r"))
-    first = F.col("r")[0]
+def folded(records: Column) -> Column:
+    """The entry (dir, paired, identity, averaged) that a contig's records in order, structs of dir, proper and identity, fold to."""
+    first = records[0]
     start = F.struct(first["dir"].alias("dir"), first["proper"].alias("paired"), first["identity"].cast("double").alias("identity"), F.lit(False).alias("averaged"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -73,8 +67,18 @@ def fold_contigs(rows: DataFrame) -> DataFrame:
         value = F.when(other, F.when(~acc["averaged"] | (mean > acc["identity"]), mean).otherwise(acc["identity"])).otherwise(F.greatest(acc["identity"], x["identity"].cast("double")))
         return F.struct(acc["dir"].alias("dir"), (acc["paired"] | other).alias("paired"), value.alias("identity"), (acc["averaged"] | other).alias("averaged"))
 
-    folded = F.aggregate(F.slice("r", 2, F.greatest(F.size("r") - 1, F.lit(0))), start, step)
-    return grouped.select(*READ, "contig", folded.alias("e")).select(*READ, "contig", "e.dir", "e.paired", "e.identity")
+    return F.aggregate(F.slice(records, 2, F.greatest(F.size(records) - 1, F.lit(0))), start, step)
+
+
+def fold_contigs(rows: DataFrame) -> DataFrame:
+    """One entry (sample, read_id, contig, dir, paired, identity) for each contig of a read.
+
+    The first record opens the entry.  A record of the other mate averages the identity, the first time
+    always and later only upwards, and makes the entry paired; one of the same mate raises it.  Entries of
+    different contigs don't meet, so the fold runs inside (read, contig) groups.
+    """
+    grouped = rows.groupBy(*READ, "contig").agg(_records().alias("r"))
+    return grouped.select(*READ, "contig", folded(F.col("r")).alias("e")).select(*READ, "contig", "e.dir", "e.paired", "e.identity")
 
 
 def fold_ordered(rows: DataFrame) -> DataFrame:

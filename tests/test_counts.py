@@ -72,3 +72,22 @@ def test_zero_rows_and_guard(spark):
     assert sorted((r["contig"], r["count"]) for r in full.collect()) == [("a", 1.0), ("b", 0.0)]
     with pytest.raises(ValueError):
         counts.require_counts(full)
+
+
+def test_streamed_weights_over_batches_equal_batch(spark, tmp_path):
+    records = [(f"r{i % 40}", f"c{i * 7 % 5}", i, i % 2 + 1, i % 3 == 0, 95.0 + i * 13 % 6) for i in range(400)]
+    # this read counts after the first batch only: its average falls below the least identity then
+    records = [("gone", "c0", 0, 1, False, 97.0), *records, ("gone", "c0", 1000, 2, False, 90.0)]
+    for at, part in enumerate((records[:150], records[150:300], records[300:])):
+        rows(spark, *part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"batch={at}"))
+    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+
+    def keep(batch, number):
+        batch.write.mode("overwrite").parquet(str(tmp_path / f"out/n={number}"))
+
+    stream = counter.weights_stream(source)
+    stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out")).drop("n")
+    got = {(r["read_id"], r["contig"]): r["weight"] for r in counter.latest(found).collect()}
+    wanted = {(r["read_id"], r["contig"]): r["weight"] for r in counts.read_weights(counts.fold_contigs(rows(spark, *records))).collect()}
+    assert got == {k: pytest.approx(v) for k, v in wanted.items()} and "gone" not in {k[0] for k in got}
