@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from binloom.functions import alignment as al
 from binloom.functions import numeric as nm
 from binloom.functions import sequence as sq
+from binloom.operators import composition
 
 
 def test_log_gamma_error_bound():
@@ -71,3 +72,22 @@ def test_vectors(spark):
     norm, zero, soft = row.select(nm.l2_normalised(F.col("a")), nm.l2_normalised(F.col("b")), nm.softmax(F.col("a"))).first()
     assert norm == pytest.approx([0.6, 0.8]) and zero == [0.0, 0.0]
     assert sum(soft) == pytest.approx(1)
+
+
+def test_native_tetramers_read_each_sequence_once(spark):
+    seqs = ["", "ATG", "ATGC", "AANNTTGGCC\nATGNNN", "x😀yATGCé" * 30, None, "ATGCATGCTTTTAAAA" * 50]
+    rows = spark.createDataFrame(list(enumerate(seqs)), "name long, seq string")
+    made = composition.tetramers_long(rows)
+    wanted = {(r["name"], r["kmer"]): r["n"] for r in composition.long_form(composition.tetramers(rows)).filter("n > 0").collect()}
+    assert {(r["name"], r["kmer"]): r["n"] for r in made.collect()} == wanted
+    # the other strand's words come of the counted ones, not of a second reading
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + made._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") == 1
+
+
+def test_tetramers_are_counted_in_small_slices():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["ATGCA"] * 1000)], ["name", "seq"])
+    for step in (composition._counted, composition._codons_counted):
+        parts = list(step(iter([batch])))
+        assert max(p.num_rows for p in parts) <= 256 and sum(p.num_rows for p in parts) == 1000
