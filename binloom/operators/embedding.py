@@ -148,8 +148,8 @@ def peak_links(lists: DataFrame, peaks: DataFrame, most: float = 0.5) -> DataFra
     dense = lists.filter("rank = 0").select(F.col("id").alias("start"), "density")
     # a narrower path is no link, so none is followed further than that
     least = dense.withColumn("least", F.col("density") * (1 - most))
-    width = graph.widest_paths(density_graph(lists), chosen.join(least.select(F.col("start").alias("id"), "least"), "id"))
-    met = width.filter("start <> id").join(chosen, "id", "left_semi").join(dense, "start")
+    width = graph.widths_between(cut(density_graph(lists)), chosen.join(least.select(F.col("start").alias("id"), "least"), "id"), chosen)
+    met = width.join(dense, "start")
     linked = met.withColumn("separability", 1 - F.col("width") / F.col("density"))
     return linked.filter(F.col("separability") < most).select(F.col("start").alias("a"), F.col("id").alias("b"), "separability")
 

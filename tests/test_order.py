@@ -77,3 +77,15 @@ def test_widths_along_a_deep_tree_take_few_rounds(spark, monkeypatch):
     assert got == {(r["start"], r["id"]): min(weights[min(r) : max(r)]) for r in pairs.collect()}
     assert len(cuts) < 60
     assert graph.path_labels(chain).select(F.max(F.size("path"))).first()[0] <= 11
+
+
+@pytest.mark.parametrize("tile", [(1000, 1000), (7, 4)])
+def test_widths_by_tiles_equal_widest_paths(spark, tile):
+    rng = random.Random(8)
+    rows = [(rng.randrange(40), rng.randrange(40), rng.random() if i % 9 else None) for i in range(130)]
+    edges = spark.createDataFrame(rows, "src long, dst long, w double")
+    starts = spark.createDataFrame([(i, 0.1 * (i % 7) if i else None) for i in range(0, 45, 2)], "id long, least double")
+    ends = spark.createDataFrame([(i,) for i in range(0, 40, 3)], "id long")
+    wanted = {(r["start"], r["id"], r["width"]) for r in graph.widest_paths(edges, starts).collect() if r["id"] % 3 == 0 and r["id"] < 40 and r["start"] != r["id"]}
+    got = [(r["start"], r["id"], r["width"]) for r in graph.widths_between(edges, starts, ends, *tile).collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted
