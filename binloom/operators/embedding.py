@@ -21,9 +21,9 @@ from binloom.storage import cut, cut_round
 #: Length of neighbours that makes a neighbourhood, contigs below SHORT use SHORT_NEIGHBOURS of them.
 ENOUGH_LENGTH, SHORT, SHORT_NEIGHBOURS = 500_000, 8_000, 10
 #: Points of a tile's side at most.  Every point is sent to each of its block's tiles and leaves k candidates in each, so few large ones.
-TILE_ROWS = 16_384
-#: Distances of a strip that a task holds at once.
-ROOM = 1 << 20
+TILE_ROWS = 65_536
+#: Rows and columns of the distances that a task holds at once.
+STRIP_ROWS, STRIP_COLUMNS = 256, 4096
 
 
 def closest(x: np.ndarray, ids: np.ndarray, y: np.ndarray, names: np.ndarray, k: int, chosen: np.ndarray | None = None, at_y: np.ndarray | None = None) -> list[pd.DataFrame]:
@@ -31,17 +31,34 @@ def closest(x: np.ndarray, ids: np.ndarray, y: np.ndarray, names: np.ndarray, k:
 
     With ``chosen``, a row of x sees those rows of y only whose column in ``chosen``, by ``at_y``, is set.
     """
-    keep, parts = min(k, len(y)), []
-    squares, strip = (y**2).sum(1)[None], max(1, min(256, ROOM // max(1, len(y))))
-    for at in range(0, len(x), strip):
-        part = x[at : at + strip]
-        d = np.maximum((part**2).sum(1)[:, None] + squares - 2 * part @ y.T, 0.0)
-        d[ids[at : at + strip, None] == names[None, :]] = -1.0
-        if chosen is not None:
-            d = np.where(chosen[at : at + strip][:, at_y], d, np.inf)
+    keep, parts, width = min(k, len(y)), [], max(STRIP_COLUMNS, k)
+    turned, squares = -2 * y.T, (y**2).sum(1)
+    own = pd.DataFrame({"id": ids, "row": np.arange(len(x))}).dropna().merge(pd.DataFrame({"id": names, "column": np.arange(len(y))}), "inner", "id")[["row", "column"]].to_numpy()
+    for at in range(0, len(x), STRIP_ROWS):
+        part, found, bound = x[at : at + STRIP_ROWS], [], None
+        square = (part**2).sum(1)
+        slack = lambda edge: edge + 1e-9 * np.maximum(edge + square, 1.0)  # noqa: B023, E731  edges lack the row's own square
+        mine = own[(own[:, 0] >= at) & (own[:, 0] < at + len(part))]
+        for first in range(0, len(y), width):
+            d = part @ turned[:, first : first + width]
+            d += squares[first : first + width]
+            here = mine[(mine[:, 1] >= first) & (mine[:, 1] < first + width)]
+            d[here[:, 0] - at, here[:, 1] - first] = -np.inf
+            if chosen is not None:
+                d[~chosen[at : at + len(part)][:, at_y[first : first + width]]] = np.inf
+            if bound is None:
+                # the k-th of some columns is no less than the k-th of all, so only what is as near is put in order
+                bound = slack(np.nan_to_num(np.partition(d, keep - 1, axis=1)[:, keep - 1], nan=np.inf, posinf=np.inf, neginf=-np.inf))
+            i, j = np.divmod(np.flatnonzero(d <= bound[:, None]), d.shape[1])
+            found.append((i, j + first, d[i, j]))
+        i, j, near = (np.concatenate(c) for c in zip(*found, strict=True))
+        i, j, near = (c[near < np.inf] for c in (i, j, near))
+        order, count = np.lexsort((near, i)), np.bincount(i, minlength=len(part))
+        full, edge = count >= keep, np.full(len(part), np.inf)
+        edge[full] = near[order[(np.cumsum(count) - count)[full] + keep - 1]]
         # one more than needed may tie at the edge, so all that tie stay
-        edge = np.partition(d, keep - 1, axis=1)[:, keep - 1 : keep]
-        i, j = np.nonzero((d <= edge + 1e-9 * np.maximum(edge, 1.0)) & (d < np.inf))
+        held = near <= slack(edge)[i]
+        i, j = i[held], j[held]
         exact = ((part[i] - y[j]) ** 2).sum(1)
         parts.append(pd.DataFrame({"id": ids[at + i], "neighbour": names[j], "distance": exact}))
     return parts

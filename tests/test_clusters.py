@@ -171,6 +171,30 @@ def test_nearest_is_exact_over_tiles(spark):
         assert [got[i, k] for k in range(6)] == np.argsort(d[i])[:6].tolist()
 
 
+def test_blocks_of_points_do_not_multiply_with_the_table(spark):
+    # each point is sent once for each block, and leaves k candidates for each
+    few, many = (embedding.blocks_of(spark.range(1), n, embedding.TILE_ROWS) for n in (60_000, 190_000))
+    assert few == many
+
+
+@pytest.mark.parametrize("columns", [7, 16, 4096])
+def test_closest_in_pieces_of_columns(monkeypatch, columns):
+    monkeypatch.setattr(embedding, "STRIP_COLUMNS", columns)
+    monkeypatch.setattr(embedding, "STRIP_ROWS", 8)
+    rng = np.random.default_rng(5)
+    v = rng.integers(0, 3, size=(60, 3)).astype(float)  # many ties
+    ids = rng.permutation(60)
+    d = ((v[:, None] - v[None, 20:]) ** 2).sum(2)
+    d[ids[:, None] == ids[None, 20:]] = -1.0
+    for allowed in (None, rng.random((60, 4)) < 0.4):
+        at = rng.integers(0, 4, size=40)
+        seen = d if allowed is None else np.where(allowed[:, at], d, np.inf)
+        edge = np.sort(seen, axis=1)[:, 5]
+        want = {(ids[i], ids[20 + j]) for i in range(60) for j in range(40) if seen[i, j] <= edge[i] and seen[i, j] < np.inf}
+        got = pd.concat(embedding.closest(v, ids, v[20:], ids[20:], 6, allowed, at))
+        assert set(zip(got["id"], got["neighbour"])) == want and len(got) == len(want)
+
+
 def test_factors_separate_two_profiles(spark):
     rng = np.random.default_rng(5)
     w = np.array([[0.7, 0.2, 0.1], [0.1, 0.1, 0.8]])
