@@ -51,8 +51,9 @@ def md_mismatches(md: Column) -> Column:
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
 
     def step(acc: Column, token: Column) -> Column:
-        run = F.when(token.rlike("^[0-9]"), F.try_to_number(token, F.lit("999999999")).cast("int"))
-        mismatch = token.rlike("^[A-Z]$")
+        # by the order of characters, digits come before letters and those before "^"
+        run = F.when((token < ":") & (F.length(token) <= 9), token.cast("int"))
+        mismatch = (token >= "A") & (token < "^")
         at = acc["at"] + F.coalesce(run, F.when(mismatch, 1).otherwise(0))
         return F.struct(at.alias("at"), F.when(mismatch, F.concat(acc["out"], F.array(acc["at"]))).otherwise(acc["out"]).alias("out"))
 
@@ -61,10 +62,10 @@ def md_mismatches(md: Column) -> Column:
 
 def identity(md: Column, quality: Column, start: Column, end: Column) -> Column:
     """Per cent of matches among the bases of the window whose quality suffices; null if there is none."""
-    positions = F.when(end > start, F.sequence(start, end - 1)).otherwise(F.array().cast("array<int>"))
-    good = F.filter(positions, lambda p: F.ascii(F.substring(quality, p + 1, F.lit(1))) >= LEAST_QUALITY)
-    bad = F.array_intersect(good, F.transform(md_mismatches(md), lambda p: p + start))
-    return 100.0 * (F.size(good) - F.size(bad)) / F.nullif(F.size(good), F.lit(0))
+    window = F.substring(quality, start + 1, end - start)
+    good = F.length(F.regexp_replace(window, rf"[\x00-\x{LEAST_QUALITY - 1:02x}]", ""))
+    bad = F.filter(md_mismatches(md), lambda p: F.ascii(F.substring(window, p + 1, F.lit(1))) >= LEAST_QUALITY)
+    return 100.0 * (good - F.size(bad)) / F.nullif(good, F.lit(0))
 
 
 def coverage(start: Column, end: Column, length: Column) -> Column:

@@ -45,11 +45,10 @@ def candidates(records: DataFrame, contigs: DataFrame, gaps: bool = False, least
     end = al.clipped_end(F.col("cigar"), length)
     measured = known.filter(usable & F.col("free")).withColumns({"start": start, "end": end, "length": length})
     measured = measured.filter(al.coverage(F.col("start"), F.col("end"), F.col("length")) >= least_coverage)
-    out = measured.select(
-        *READ, "contig", "ord", al.pair_direction(F.col("flag")).alias("dir"), al.has_flag(F.col("flag"), al.PROPER).alias("proper"),
-        al.identity(F.col("md"), F.col("qual"), F.col("start"), F.col("end")).alias("identity"),
-    )
-    return out.filter("identity IS NOT NULL AND NOT isnan(identity)")
+    identity = al.identity(F.col("md"), F.col("qual"), F.col("start"), F.col("end"))
+    # a filter would evaluate the identity again for each of its conditions
+    usable_identity = F.explode(F.filter(F.array(identity), lambda x: x.isNotNull() & ~F.isnan(x)))
+    return measured.select(*READ, "contig", "ord", al.pair_direction(F.col("flag")).alias("dir"), al.has_flag(F.col("flag"), al.PROPER).alias("proper"), usable_identity.alias("identity"))
 
 
 def _records() -> Column:

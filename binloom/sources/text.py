@@ -23,7 +23,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 def sample_name(file: Column) -> Column:
     """File name without folder and extension."""
-    return F.regexp_extract(file, r"([^/]+?)(?:\.[A-Za-z0-9]+)?$", 1)
+    return F.regexp_replace(F.substring_index(file, "/", -1), r"(?<=.)\.[A-Za-z0-9]+$", "")
 
 
 def check_sorted(lines: DataFrame) -> DataFrame:
