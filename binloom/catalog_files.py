@@ -86,6 +86,8 @@ def sam_order(spark, sf_dir):
 
 #: So small a stretch that several tasks read each file of the small tables, too.
 BAM_SPLIT = 1 << 18
+#: Records of the files of one part, so that a task that writes one does not grow with the table.
+BAM_PART_RECORDS = 9_000_000
 
 
 @query(f"""
@@ -103,7 +105,7 @@ def bam_records(spark, sf_dir):
     )
     suppliers = table(spark, sf_dir, "supplier").filter("s_suppkey % 10 <> 0")
     contigs = suppliers.select(F.col("s_suppkey").cast("int").alias("ref_id"), F.concat(F.lit("c"), F.col("s_suppkey")).alias("name"), (F.col("s_suppkey") * 937 % 5000 + 1000).cast("int").alias("length"))
-    bam.write(made, contigs, place, 4)
+    bam.write(made, contigs, place, max(4, -(-lines.count() // BAM_PART_RECORDS)))
     bam.register(spark)
     found = spark.read.format("bam").option("sample", bam.WRITTEN_SAMPLE).option("split", BAM_SPLIT).load(place)
     order = Window.partitionBy("sample", "read_id").orderBy("ord")

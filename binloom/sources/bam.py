@@ -15,6 +15,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +31,9 @@ OPERATIONS = "MIDNSHP=X"
 SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
 END_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 _FIXED = struct.Struct("<iiBBHHHiiii")
+#: Qualities as characters and back, and what has no such form.
+_SHOWN, _TOO_HIGH = bytes(q + 33 & 255 for q in range(256)), bytes(range(223, 256))
+_HIDDEN, _TOO_LOW = bytes(c - 33 & 255 for c in range(256)), bytes(range(33))
 #: Bytes of a file that a task reads, records of an Arrow batch, and records in a row that must look like ones before a place counts as the start of one.
 SPLIT_BYTES, BATCH_RECORDS, CHAIN = 32 << 20, 4096, 8
 #: Bytes of a block before it is packed, and of one record at most where a start is sought.
@@ -143,7 +147,16 @@ def _header(take) -> list[tuple[str, int]]:
 # ---------------------------------------------------------------- records
 
 
+def _turned(values: bytes, table: bytes, never: bytes) -> bytes:
+    found = values.translate(table, never)
+    if len(found) != len(values):
+        raise ValueError("a quality is out of range")
+    return found
+
+
 def _md(data: bytes) -> str | None:
+    if data[:3] == b"MDZ":
+        return data[3 : data.index(0, 3)].decode()
     at = 0
     while at + 3 <= len(data):
         tag, kind = data[at : at + 2], chr(data[at + 2])
@@ -161,17 +174,28 @@ def _md(data: bytes) -> str | None:
     return None
 
 
+@lru_cache(65_536)
+def _cigar(packed: bytes) -> str:
+    return "".join(f"{p >> 4}{OPERATIONS[p & 15]}" for p in struct.unpack(f"<{len(packed) // 4}I", packed)) or "*"
+
+
+@lru_cache(65_536)
+def _packed_cigar(cigar: str) -> tuple[int, bytes, int]:
+    """Number of operations, their bytes, and the bases that they take."""
+    operations = [(int(n), OPERATIONS.index(o)) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
+    return len(operations), b"".join(struct.pack("<I", n << 4 | o) for n, o in operations), sum(n for n, o in operations if OPERATIONS[o] in "MIS=X")
+
+
 def _decoded(block: bytes, names: list[str]) -> tuple:
     """read_id, flag, contig, cigar, qual, md of a record."""
     ref, _, name_size, _, _, operations, flag, bases, _, _, _ = _FIXED.unpack_from(block)
     at = _FIXED.size
     name = block[at : at + name_size - 1].decode()
     at += name_size
-    packed = struct.unpack_from(f"<{operations}I", block, at)
+    cigar = _cigar(block[at : at + 4 * operations])
     at += 4 * operations + (bases + 1) // 2
     quality = block[at : at + bases]
-    shown = "*" if not quality or quality[0] == 0xFF else bytes(q + 33 for q in quality).decode("latin-1")
-    cigar = "".join(f"{p >> 4}{OPERATIONS[p & 15]}" for p in packed) or "*"
+    shown = "*" if not quality or quality[0] == 0xFF else _turned(quality, _SHOWN, _TOO_HIGH).decode("latin-1")
     return name, flag, names[ref] if ref >= 0 else "*", cigar, shown, _md(block[at + bases :])
 
 
@@ -247,13 +271,27 @@ def _whole(file, size: int) -> Iterator[tuple[int, bytes]]:
             at += 1
 
 
+@lru_cache(2)
+def _known_header(path: str, size: int, changed: int | None) -> tuple[list[str], tuple[int, int] | None]:
+    """Names of the reference sequences of a BGZF file, and the first record's place, if it has one.
+
+    A worker reads many stretches of a file, and every one needs the whole header, which may have as many names as there are contigs.
+    """
+    system, plain = _opened(path)
+    with system.open_input_file(plain) as file:
+        stream = _Stream(_blocks(file, 0))
+        names = [n for n, _ in _header(stream.take)]
+        return names, stream.place() if stream.have(1) else None
+
+
 def records(path: str, start: int, end: int | None) -> Iterator[tuple[int, tuple]]:
     """(ord, fields) of the records that start in bytes start to end of a file; ``end`` is None where it can't be split.
 
     ord is the block's place and the record's within it, as one number; in a file that can't be split the record's number.
     """
     system, plain = _opened(path)
-    size = system.get_file_info(plain).size
+    info = system.get_file_info(plain)
+    size = info.size
     with system.open_input_file(plain) as file:
         if end is None:
             stream = _Stream(_whole(file, size))
@@ -262,18 +300,20 @@ def records(path: str, start: int, end: int | None) -> Iterator[tuple[int, tuple
                 yield number, _decoded(stream.take(struct.unpack("<i", stream.take(4))[0]), names)
                 number += 1
             return
-        stream = _Stream(_blocks(file, 0))
-        names = [n for n, _ in _header(stream.take)]
-        if not stream.have(1):
+        names, first = _known_header(path, size, info.mtime_ns)
+        if first is None:
             return
-        first = stream.place()
         if start > first[0]:
             begin = _first_block(file, start, size)
             stream = _Stream(_blocks(file, begin))
             if not _find_record(stream, len(names), end):
                 return
+        else:
+            stream = _Stream(_blocks(file, first[0]))
+            stream.have(first[1] + 1)
+            stream.at = first[1]
         while stream.have(4) and (place := stream.place())[0] < end:
-            yield place[0] << 16 | place[1], _decoded(stream.take(struct.unpack("<i", stream.take(4))[0]), names)
+            yield place[0] << 16 | place[1], _decoded(stream.take(struct.unpack_from("<i", stream.data, stream.at)[0] + 4)[4:], names)
 
 
 # ---------------------------------------------------------------- Spark sources
@@ -371,11 +411,11 @@ def bam_contigs(spark, path: str, least: int = 2000) -> DataFrame:
 
 def packed_record(name: str, flag: int, ref: int, cigar: str, qual: str, md: str | None) -> bytes:
     """A record's bytes; bases are unknown (N), as many as there are qualities or, without any, as the operations take."""
-    operations = [(int(n), OPERATIONS.index(o)) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
-    bases = len(qual) if qual != "*" else sum(n for n, o in operations if OPERATIONS[o] in "MIS=X")
-    quality = bytes(c - 33 for c in qual.encode("latin-1")) if qual != "*" else b"\xff" * bases
-    body = _FIXED.pack(ref, 0 if ref >= 0 else -1, len(name.encode()) + 1, 255, 0, len(operations), flag, bases, -1, -1, 0)
-    body += name.encode() + b"\0" + b"".join(struct.pack("<I", n << 4 | o) for n, o in operations) + b"\xff" * ((bases + 1) // 2) + quality
+    count, operations, taken = _packed_cigar(cigar)
+    bases = len(qual) if qual != "*" else taken
+    quality = _turned(qual.encode("latin-1"), _HIDDEN, _TOO_LOW) if qual != "*" else b"\xff" * bases
+    body = _FIXED.pack(ref, 0 if ref >= 0 else -1, len(name.encode()) + 1, 255, 0, count, flag, bases, -1, -1, 0)
+    body += name.encode() + b"\0" + operations + b"\xff" * ((bases + 1) // 2) + quality
     body += b"MDZ" + md.encode() + b"\0" if md is not None else b""
     return struct.pack("<i", len(body)) + body
 
@@ -431,7 +471,7 @@ def write(records: DataFrame, contigs: DataFrame, folder: str, parts: int = 1) -
     columns = ["sample", "part", "read_id", "flag", "contig", "cigar", "qual", "md"]
 
     def run(batches):
-        held, writer, count = None, None, 0
+        held, writer, count, head = None, None, 0, None
         for batch in batches:
             done = []
             for sample, part, name, flag, contig, cigar, qual, md in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -441,7 +481,8 @@ def write(records: DataFrame, contigs: DataFrame, folder: str, parts: int = 1) -
                         done.append((f"{folder}/{held[0]}.{held[1]}.bam", count))
                     held, count = (sample, part), 0
                     writer = _Writer(f"{folder}/{sample}.{part}.bam")
-                    writer.add(packed_header(header))
+                    head = head or packed_header(header)
+                    writer.add(head)
                 writer.add(packed_record(name, flag or 0, numbers.get(contig, -1), cigar or "*", qual or "*", md))
                 count += 1
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], ["path", "records"])

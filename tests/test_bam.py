@@ -68,3 +68,26 @@ def test_written_files_hold_reads_together_and_in_order(spark, tmp_path):
     want = sorted(rows, key=lambda r: (r[0], r[1], r[2]))
     assert [(r[0], r[1], *r[3:]) for r in got] == [(r[0], r[1], r[3], r[4] if r[4] != "gone" else "*", *r[5:]) for r in want]
     assert [tuple(r) for r in bam.bam_contigs(spark, str(tmp_path / "out")).orderBy("ref_id").collect()] == [(0, "a", 3000), (1, "b", 5000)]
+
+
+def test_stretches_of_a_file_share_its_header(tmp_path, monkeypatch):
+    contigs, rows = made(6, 500)
+    path, read = str(tmp_path / "h.bam"), []
+    packed(path, contigs, rows, random.Random(6))
+    size, header = (tmp_path / "h.bam").stat().st_size, bam._header
+    monkeypatch.setattr(bam, "_header", lambda take: read.append(1) or header(take))
+    for at in range(0, size, 5_000):
+        list(bam.records(path, at, min(size, at + 5_000)))
+    assert size > 10_000 and len(read) == 1
+    # a file that is written anew has its own
+    packed(path, [("other", 7)], [("r", 0, 0, "4M", "IIII", None)], random.Random(7))
+    assert [r[2] for _, r in bam.records(path, 0, (tmp_path / "h.bam").stat().st_size)] == ["other"]
+
+
+def test_qualities_out_of_range_are_errors():
+    with pytest.raises(ValueError):
+        bam.packed_record("r", 0, 0, "1M", " ", None)
+    record = bytearray(bam.packed_record("r", 0, 0, "1M", "!", None)[4:])
+    record[-1] = 230
+    with pytest.raises(ValueError):
+        bam._decoded(bytes(record), ["c"])
