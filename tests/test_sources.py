@@ -169,3 +169,14 @@ def test_stream_of_files(spark, tmp_path):
     want = {(r[0], r[1]): r[2] for r in events.groupBy(F.window("ts", "1 day").start, "k").count().collect()}
     got = {(r["start"], r["k"]): r["n"] for r in spark.table("w").collect()}
     assert got and all(want[k] == v for k, v in got.items())
+
+
+def test_sample_names_of_long_paths_take_no_long_time(spark):
+    import time
+
+    paths = {"file:///a/b.c/d.bam": "d", "/a/.bam": ".bam", "/a.b/c": "c", "/a/x..bam": "x.", "/a/b.sam.gz": "b.sam"}
+    paths |= {f"/{'a' * 40_000}{i}/s.sam": "s" for i in range(8)}
+    rows = spark.createDataFrame([(p,) for p in paths], "p string")
+    began = time.time()
+    got = {r["p"]: r["s"] for r in rows.select("p", text.sample_name(F.col("p")).alias("s")).collect()}
+    assert got == paths and time.time() - began < 10
