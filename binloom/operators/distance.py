@@ -22,6 +22,8 @@ from binloom.functions.numeric import log1p_exp, log_gamma, log_gamma_np
 Q = math.exp(-8.0)
 #: Contigs of a tile's side at most, at least where there are cores for more tiles, and of a strip of it.
 TILE_ROWS, LEAST_TILE_ROWS, STRIP_ROWS = 4096, 16, 256
+#: Values of log-gamma in a table at most, and of a piece of a tile's terms.
+TABLE_VALUES, PIECE_VALUES = 1 << 20, 500_000
 
 
 def literal_array(values) -> Column:
@@ -99,6 +101,35 @@ def from_query(profiles: DataFrame, query: DataFrame, alpha: list[float], q: flo
     return profiles.crossJoin(F.broadcast(one)).select("contig", profile_distance(F.col("profile"), F.col("_p"), F.col("total"), F.col("_t"), alpha, q).alias("distance"))
 
 
+def _summed_terms(x: np.ndarray, y: np.ndarray, alpha: np.ndarray) -> Callable[[slice], np.ndarray]:
+    """Gives for rows of x the sums of G(x + y + alpha) over the positions, with each row of y.
+
+    Counts that are whole numbers look their terms up in a table of the same values, where it is smaller than the work.
+    """
+    priors, at = np.unique(alpha, return_inverse=True)
+    whole = x.size > 0 and y.size > 0 and all((m >= 0).all() and (m == np.floor(m)).all() for m in (x, y))
+    size = x.max() + y.max() + 1 if whole else math.inf
+    if size * len(priors) <= min(TABLE_VALUES, len(x) * y.size):
+        size = int(size)
+        values = log_gamma_np(np.arange(size) + priors[:, None]).ravel()
+        left, right, term = x.astype(np.int64) + at * size, y.astype(np.int64), values.take
+    else:
+        left, right, term = x, y, lambda total: log_gamma_np(total + alpha)
+    columns = max(1, PIECE_VALUES // max(1, x.shape[1]))
+
+    def run(rows: slice) -> np.ndarray:
+        some = left[rows]
+        out = np.empty((len(some), len(right)))
+        for j in range(0, len(right), columns):
+            part = right[j : j + columns]
+            step = max(1, PIECE_VALUES // max(1, part.size))
+            for i in range(0, len(some), step):
+                out[i : i + step, j : j + columns] = term(some[i : i + step, None, :] + part[None, :, :]).sum(axis=2)
+        return out
+
+    return run
+
+
 def tile_distances(x: np.ndarray, y: np.ndarray, alpha: np.ndarray, groups: int = 1, q: float = Q) -> np.ndarray:
     """Distances of all rows of x from all rows of y.
 
@@ -111,10 +142,11 @@ def tile_distances(x: np.ndarray, y: np.ndarray, alpha: np.ndarray, groups: int
     own = lambda m, t: log_gamma_np(m + alpha).sum(axis=1) - log_gamma_np(t + context).sum(axis=1)
     prior = log_gamma_np(alpha).sum() - log_gamma_np(context).sum()
     out = own(x, tx)[:, None] + own(y, ty)[None, :] - prior
+    both, contexts = _summed_terms(x, y, alpha), _summed_terms(tx, ty, context)
     step = max(1, 4_000_000 // max(1, y.size))
     for i in range(0, len(x), step):
         s = slice(i, i + step)
-        out[s] -= log_gamma_np(x[s, None, :] + y[None, :, :] + alpha).sum(axis=2) - log_gamma_np(tx[s, None, :] + ty[None, :, :] + context).sum(axis=2)
+        out[s] -= both(s) - contexts(s)
     return _softened(out, q)
 
 

@@ -394,6 +394,32 @@ def test_pairs_in_a_table_equal_sorted_ones(monkeypatch, grid, room):
     assert got == wanted
 
 
+@pytest.mark.parametrize("groups", [1, 2])
+def test_terms_of_whole_counts_are_looked_up(monkeypatch, groups):
+    rng = np.random.default_rng(3)
+    x, y = rng.poisson(40, (60, 26)).astype(float), rng.poisson(400, (500, 26)).astype(float)
+    alpha = np.repeat([0.5, 42.52], 13)
+    context = alpha.reshape(groups, -1).sum(axis=1)
+    real, seen = distance.log_gamma_np, []
+    sides = lambda m, p: real(m + p).sum(axis=1)
+    tx, ty = (m.reshape(len(m), groups, -1).sum(axis=2) for m in (x, y))
+    odds = sides(x, alpha)[:, None] - sides(tx, context)[:, None] + (sides(y, alpha) - sides(ty, context))[None, :] - (real(alpha).sum() - real(context).sum())
+    odds -= real(x[:, None] + y[None] + alpha).sum(axis=2) - real(tx[:, None] + ty[None] + context).sum(axis=2)
+    wanted = distance._softened(odds, distance.Q)
+    monkeypatch.setattr(distance, "log_gamma_np", lambda v: seen.append(np.size(v)) or real(v))
+    found = distance.tile_distances(x, y, alpha, groups)
+    assert np.allclose(found, wanted, rtol=0, atol=1e-7)
+    assert sum(seen) < x.shape[0] * y.size / 4  # each term was computed before
+    monkeypatch.setattr(distance, "TABLE_VALUES", 0)
+    monkeypatch.setattr(distance, "PIECE_VALUES", 1000)
+    assert (distance.tile_distances(x, y, alpha, groups) == found).all()
+    # fractions, and counts too large for a table, are computed
+    monkeypatch.undo()
+    for a, b in ((x + 0.25, y), (x * 1e9, y), (x[:0], y), (x, y[:0])):
+        got = distance.tile_distances(a, b, alpha, groups)
+        assert got.shape == (len(a), len(b)) and np.isfinite(got).all()
+
+
 def test_pairs_leave_a_tile_by_strips(spark):
     made = spark.createDataFrame([(i, [float(i % 7), float(i % 3)]) for i in range(700)], "contig long, profile array<double>")
     pairs = distance.pair_distances(made, [0.7] * 2, None)

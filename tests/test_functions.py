@@ -1,9 +1,11 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from binloom import catalog
 from binloom.functions import alignment as al
 from binloom.functions import numeric as nm
 from binloom.functions import sequence as sq
@@ -91,3 +93,25 @@ def test_tetramers_are_counted_in_small_slices():
     for step in (composition._counted, composition._codons_counted):
         parts = list(step(iter([batch])))
         assert max(p.num_rows for p in parts) <= 256 and sum(p.num_rows for p in parts) == 1000
+
+
+def test_letters_are_counted_from_bytes(spark, monkeypatch, tmp_path):
+    texts = [None, "", "Hello World", "\u0130stanbul \u0130I\u0131i", "5 \u212a Kk", "\u00c4\u00e4\u017f\u00df\u0390 \U0001f600zZ", "x" * 70 + "Y\u212a" * 5, "\x00a\nb\tA"] + [chr(97 + i % 26) * (i % 5) for i in range(600)]
+    docs = spark.createDataFrame([(i, t, "s" if i % 2 else None, "l") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    low = F.lower(F.coalesce("text", F.lit("")))
+    each = F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c)))).cast("double") for c in catalog.LETTERS])
+    wanted = {r["doc_id"]: r["p"] for r in docs.select("doc_id", each.alias("p")).collect()}
+    made = catalog.letter_profiles(spark, str(tmp_path))
+    got = made.collect()
+    assert {r["contig"]: r["profile"] for r in got} == wanted and len(got) == len(texts)
+    assert all(r["total"] == sum(r["profile"]) for r in got)
+    plan = made._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "replace(" not in plan  # a text was read 26 times before
+    groups = {r["contig"]: r["profile"] for r in catalog.letter_profiles(spark, str(tmp_path), [F.coalesce("source", F.lit(""))]).collect()}
+    assert groups == {k: [sum(c) for c in zip(*(wanted[i] for i in wanted if (i % 2 == 1) == (k == "s")), strict=True)] for k in ("", "s")}
+    monkeypatch.setattr(composition, "PIECE_BYTES", 3)
+    for kind in (pa.string(), pa.large_string()):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, kind)], ["name", "seq"]).slice(1, 300)
+        pieces = {k: v for b in composition._letters_counted([batch, batch.slice(0, 0)]) for k, v in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+        assert pieces == {i: wanted[i] for i in range(1, 301)}
