@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from binloom.operators.clustering import LEADER_DISTANCE
 from binloom.operators.distance import Q, combined_tile, own_of
-from binloom.storage import cut
+from binloom.operators.graph import TASK_ROWS
+from binloom.storage import cut, cut_counted
 
 #: Contigs that a step decides at most; the driver holds their profiles.
 BLOCK = 256
@@ -77,10 +78,10 @@ def met(profiles: DataFrame, block: pd.DataFrame, alpha: np.ndarray, kmer_alpha:
     return profiles.select(*columns).mapInPandas(run, f"a {kind}, b {kind}, d double, ta double, at int, self_b double")
 
 
-def settled(found: DataFrame, state: DataFrame, block: pd.DataFrame, d0: float) -> list[str]:
+def settled(found: DataFrame, count: int, state: DataFrame, block: pd.DataFrame, d0: float) -> list[str]:
     """The block's answers with unsure ones decided, as far as the first that another unsure one before it can change.
 
-    ``state`` has contig, state and bound.  The first unsure one is always decided.
+    ``found`` has ``count`` rows, ``state`` has contig, state and bound.  The first unsure one is always decided.
     """
     answers = block["answer"].tolist()
     unsure = [i for i, a in enumerate(answers) if a == "unsure"]
@@ -88,7 +89,10 @@ def settled(found: DataFrame, state: DataFrame, block: pd.DataFrame, d0: float)
     kind = found.schema["b"].dataType.simpleString()
     places = spark.createDataFrame([(c, i, a) for i, (c, a) in enumerate(zip(block["contig"].tolist(), answers, strict=True)) if a != "taken"], f"b {kind}, pb int, block_state string")
     wanted = found.filter(F.col("at").isin(unsure)).select("b").distinct()
-    rows = found.join(wanted, "b", "left_semi").join(state.select(F.col("contig").alias("b"), "state", "bound"), "b").join(F.broadcast(places), "b", "left")
+    # by number, so that tasks, which order a contig's rows, do not grow with the table
+    tasks = max(1, -(-count // TASK_ROWS))
+    dealt, asked, known = (side.repartition(tasks, "b") for side in (found, wanted, state.select(F.col("contig").alias("b"), "state", "bound")))
+    rows = dealt.join(asked, "b", "left_semi").join(known, "b").join(F.broadcast(places), "b", "left")
     before = Window.partitionBy("b").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     far, doubtful = F.lit(float("inf")), F.col("at").isin(unsure)
     led = F.coalesce(F.min(F.when(~doubtful, F.col("d"))).over(before), far)
@@ -134,10 +138,10 @@ def lead(
         d = combined_tile(x, x, a, kx, kx, k, q, digits)
         block["answer"], block["self"] = decided(d, d0), np.diag(d)
         sent = block[block["answer"] != "taken"].reset_index(drop=True)
-        found = cut(met(profiles, sent, a, k, d0, q, digits))
+        found, count = cut_counted(met(profiles, sent, a, k, d0, q, digits))
         answers = sent["answer"].tolist()
         if "unsure" in answers:
-            answers = settled(found, state, sent, d0)
+            answers = settled(found, count, state, sent, d0)
         chosen = [i for i, s in enumerate(answers) if s == "leader"]
         told = zip(sent["contig"].tolist(), answers, sent["self"].tolist(), strict=False)
         new = profiles.sparkSession.createDataFrame(list(told), f"contig {kind}, new string, new_self double")

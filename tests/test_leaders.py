@@ -38,3 +38,17 @@ def test_sweep_by_both_kinds_names_and_nothing(spark):
     key = lambda rows: sorted((r["contig"], r["leader"], r["owned"]) for r in rows)
     assert key(found) == key(wanted)
     assert leaders.lead(made.limit(0), alpha.tolist(), kmer.tolist()).collect() == []
+
+
+def test_tasks_of_unsure_leaders_do_not_grow_with_the_table(spark, monkeypatch):
+    x = profiles_of(4)
+    n, alpha = len(x), np.full(x.shape[1], 0.7)
+    rows = [(int(i), float(x[i].sum()), x[i].tolist()) for i in range(n)]
+    made = spark.createDataFrame(rows, "contig long, total double, profile array<double>")
+    dealt, real = [], type(made).repartition
+    monkeypatch.setattr(leaders, "TASK_ROWS", 2, raising=False)
+    monkeypatch.setattr(type(made), "repartition", lambda self, parts, *by: dealt.append((parts, by)) or real(self, parts, *by))
+    found = leaders.lead(made, alpha.tolist(), d0=1.0, q=0.2, digits=2, block_rows=25).collect()
+    owner, _ = sequential(distance.combined_tile(x, x, alpha, q=0.2, digits=2), sorted(range(n), key=lambda i: (-x[i].sum(), -i)), 1.0)
+    assert {r["contig"]: r["leader"] for r in found if r["owned"]} == dict(enumerate(owner))
+    assert max((parts for parts, by in dealt if by == ("b",)), default=0) > 4  # more than the session's shuffle partitions
