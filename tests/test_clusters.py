@@ -1,6 +1,7 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -425,3 +426,35 @@ def test_pairs_leave_a_tile_by_strips(spark):
     pairs = distance.pair_distances(made, [0.7] * 2, None)
     assert "CoGroup" not in pairs._jdf.queryExecution().toString() and "FlatMapGroupsInPandas" in pairs._jdf.queryExecution().toString()
     assert pairs.count() == pairs.select("a", "b").distinct().count() == 700 * 700
+
+
+def test_each_tile_of_pairs_is_a_task(spark):
+    made = spark.createDataFrame([(i, [float(i % 7), float(i % 3)]) for i in range(700)], "contig long, profile array<double>")
+    pairs = distance.pair_distances(made, [0.7] * 2, None, tile_rows=100)
+    assert pairs.withColumn("task", F.spark_partition_id()).select("task").distinct().count() == pairs.rdd.getNumPartitions() == 7 * 8 // 2
+
+
+@pytest.mark.parametrize("below", [None, 1.0, 1e-5])
+def test_tiles_round_as_sql_does(spark, below):
+    rng = np.random.default_rng(5)
+    made = spark.createDataFrame([(i, [float(v) for v in rng.poisson(20 + 300 * (i % 3) * (1 + np.arange(26) % 2 * (i % 2)), 26)]) for i in range(90)], "contig long, profile array<double>")
+    plain = distance.pair_distances(made, [42.52] * 26, below).toPandas()
+    connection = duckdb.connect()
+    connection.register("plain", plain)
+    wanted = connection.execute("SELECT a, b, round(distance, 4) FROM plain ORDER BY a, b").fetchall()
+    got = sorted(tuple(r) for r in distance.pair_distances(made, [42.52] * 26, below, digits=4).collect())
+    assert got == wanted
+    assert below is None or any(d == 0 for _, _, d in got)
+    ties = pd.DataFrame({"d": [0.0, 0.00005, 0.00015, 0.12345, 0.49995, 7.0]})
+    connection.register("ties", ties)
+    assert distance._rounded(ties["d"].to_numpy(), 4).tolist() == [d for (d,) in connection.execute("SELECT round(d, 4) FROM ties").fetchall()]
+
+
+@pytest.mark.parametrize("groups", [1, 2])
+def test_terms_are_looked_up_a_row_at_a_time(monkeypatch, groups):
+    rng = np.random.default_rng(4)
+    x, y, alpha = rng.poisson(40, (20, 6)).astype(float), rng.poisson(90, (300, 6)).astype(float), np.repeat([0.5, 42.52], 3)
+    wanted = distance.tile_distances(x, y, alpha, groups)
+    monkeypatch.setattr(distance, "WIDE_ROWS", 300)
+    monkeypatch.setattr(distance, "PIECE_VALUES", 0)  # sums of counts are not stored
+    assert np.allclose(distance.tile_distances(x, y, alpha, groups), wanted, rtol=0, atol=1e-9)
