@@ -164,9 +164,9 @@ def peak_links(lists: DataFrame, peaks: DataFrame, most: float = 0.5) -> DataFra
     chosen = peaks.select(F.col("peak").alias("id")).distinct()
     dense = lists.filter("rank = 0").select(F.col("id").alias("start"), "density")
     # a narrower path is no link, so none is followed further than that
-    least = dense.withColumn("least", F.col("density") * (1 - most))
-    width = graph.widths_between(cut(density_graph(lists)), chosen.join(least.select(F.col("start").alias("id"), "least"), "id"), chosen)
-    met = width.join(dense, "start")
+    least = dense.select(F.col("start").alias("id"), (F.col("density") * (1 - most)).alias("least"), "density")
+    # rows are pairs of peaks, which carry the density of their start so that none of them moves
+    met = graph.widths_by_hub(cut(density_graph(lists)), chosen.join(least, "id"), chosen)
     linked = met.withColumn("separability", 1 - F.col("width") / F.col("density"))
     return linked.filter(F.col("separability") < most).select(F.col("start").alias("a"), F.col("id").alias("b"), "separability")
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from binloom.operators import graph, order
+from binloom.storage import cut
 
 
 def test_ranks_equal_a_sort(spark):
@@ -89,3 +90,47 @@ def test_widths_by_tiles_equal_widest_paths(spark, tile):
     wanted = {(r["start"], r["id"], r["width"]) for r in graph.widest_paths(edges, starts).collect() if r["id"] % 3 == 0 and r["id"] < 40 and r["start"] != r["id"]}
     got = [(r["start"], r["id"], r["width"]) for r in graph.widths_between(edges, starts, ends, *tile).collect()]
     assert len(got) == len(set(got)) and set(got) == wanted
+
+
+def widest(rows, least, wanted):
+    """(start, id, width) of paths from starts to the nodes that are wanted, by relaxation."""
+    found = set()
+    for start, bound in least.items():
+        known, changed = {start: float("inf")}, bound is not None
+        while changed:
+            changed = False
+            for src, dst, w in rows:
+                new = min(known.get(src, -1.0), float("inf") if w is None else w)
+                if new > bound and new > known.get(dst, -1.0):
+                    known[dst], changed = new, True
+        found |= {(start, x, width) for x, width in known.items() if bound is not None and x in wanted and x != start}
+    return found
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_widths_by_a_hub_equal_widest_paths(spark, seed, monkeypatch):
+    rng = random.Random(seed)
+    rows = [(rng.randrange(60), rng.randrange(60), rng.randrange(1, 30) / 8 if i % 9 else None) for i in range((90, 240, 30)[seed])]
+    edges = cut(spark.createDataFrame(rows, "src long, dst long, w double"))
+    least = {i: 0.1 * (i % 17) if i else None for i in range(0, 66, 2)}
+    starts = spark.createDataFrame([(i, x, i / 4) for i, x in least.items()], "id long, least double, density double")
+    ends = spark.createDataFrame([(i,) for i in range(0, 63, 3)] * 2, "id long")
+    monkeypatch.setattr(graph, "TASK_STARTS", 9)
+    monkeypatch.setattr(graph, "TILE_ENDS", 8)
+    searched = []
+    monkeypatch.setattr(graph, "widths_between", lambda *a, known=graph.widths_between: (searched.append(a), known(*a))[1])
+    got = [tuple(r) for r in graph.widths_by_hub(edges, starts, ends, 0 if seed else 100).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(*r, r[0] / 4) for r in widest(rows, least, range(0, 63, 3))}
+    # two to choose the hub, one to it and one from it, one each way for what is wider
+    assert len(searched) == (6 if seed else 1)
+
+
+def test_searches_past_a_hub_are_short(spark, monkeypatch):
+    """On a ring where every node is as dense as another, nothing is wider than over the hub, so that no start follows the ring."""
+    edges = cut(spark.createDataFrame([(i, (i + 1) % 300, 1.0) for i in range(300)], "src long, dst long, w double"))
+    nodes = spark.createDataFrame([(i, 0.5) for i in range(300)], "id long, least double")
+    asked = []
+    monkeypatch.setattr(graph, "widths_between", lambda *a, known=graph.widths_between: (asked.append(a[1]), known(*a))[1])
+    got = graph.widths_by_hub(edges, nodes, nodes.select("id"))
+    assert got.agg(F.count("id"), F.min("width"), F.max("width")).first()[:] == (300 * 299, 1.0, 1.0)
+    assert all(bounds.agg(F.min("least")).first()[0] >= 1.0 for bounds in asked[-2:])
